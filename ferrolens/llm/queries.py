@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from ferrolens.llm.bpe import op8_bpe
+from ferrolens.llm.quality import op6_quality
 
 QUERIES = {
+    "op6_quality": op6_quality,
     "op8_bpe": op8_bpe,
 }
 
