@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from ferrolens.llm.bpe import op8_bpe
+from ferrolens.llm.media import op7_media
 from ferrolens.llm.quality import op6_quality
 
 QUERIES = {
     "op6_quality": op6_quality,
+    "op7_media": op7_media,
     "op8_bpe": op8_bpe,
 }
 
