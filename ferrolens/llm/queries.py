@@ -5,8 +5,10 @@ from __future__ import annotations
 from ferrolens.llm.bpe import op8_bpe
 from ferrolens.llm.media import op7_media
 from ferrolens.llm.quality import op6_quality
+from ferrolens.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_media": op7_media,
     "op8_bpe": op8_bpe,
