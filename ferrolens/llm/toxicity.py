@@ -7,8 +7,8 @@
 3. Each such span becomes a lattice: a symbol may stand for the letters it looks like, a run of one
    letter for one or two of it, a separator between letters for nothing. Viterbi decoding under
    the character model picks the best path.
-4. The restored text is scored: a logistic regression over the presence of words, trained by FTRL
-   with an L1 penalty that leaves few words with a weight.
+4. The restored text is scored: a logistic regression over the rates of words and word prefixes,
+   trained by FTRL with an L1 penalty that leaves few features with a weight.
 
 Null, empty and blank texts have the bias alone, repeated texts score alike, and texts of any
 length are decoded and scored whole.
@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrolens.llm.bytewords import INK_BYTE, LOWER, flat_bytes, tokens, words
+from ferrolens.llm.bytewords import INK_BYTE, LOWER, WORD_BYTE, flat_bytes, mix, prefix_hash, span_hash, tokens
 from ferrolens.llm.frames import map_text, pick, slices, table, texts_of
 from ferrolens.llm.ftrl import Ftrl, documents_and_labels, fit_in_one_task, fold, labelled_sample, sigmoid
 
+#: Bits of the hashed feature space, and the lengths of word prefixes in bytes.
+BITS, PREFIXES = 24, (3, 4, 5, 6, 7, 8)
 #: Labelled rows that training reads at most; the parameter of the bounded sample.
 TRAIN_ROWS = 8000
 KNOWN_SPANS = 100_000
@@ -228,33 +230,46 @@ def restore_text(df: DataFrame, model: np.ndarray, text: str = "text", out: str
 # -- scoring ---------------------------------------------------------------------------------------
 
 
-def present(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of each text's distinct words."""
-    h, owner, *_ = words(texts)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return h[new], owner[new]
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed index and text number of every word and every proper word prefix of PREFIXES bytes,
+    and the number of words of each text. Prefixes carry what inflected insults have in common."""
+    data, bounds = flat_bytes(texts)
+    data = LOWER[data]
+    starts, ends, owner = tokens(data, bounds, WORD_BYTE)
+    prefix = prefix_hash(data)
+    hashes, owners = [span_hash(prefix, starts, ends)], [owner]
+    for n in PREFIXES:
+        longer = ends - starts > n
+        hashes.append(mix(span_hash(prefix, starts[longer], starts[longer] + n) + np.uint64(n)))
+        owners.append(owner[longer])
+    return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(owners), np.bincount(owner, minlength=len(texts))
+
+
+def values(counts: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """What a feature is worth: its occurrences in a hundred words, 3 at most."""
+    return np.minimum(100 * counts / n_words, 3.0)
 
 
 def fit_toxicity(texts: pa.Array, labels: list[int], model: np.ndarray) -> bytes:
-    """(word hash, weight) of the words that keep a weight; the first entry is the bias."""
+    """(feature index, weight) of the features that keep a weight; the first entry is the bias."""
     restorer = Restorer(model)
-    hashes, owners, at = [], [], 0
+    index, value, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], []
     for piece in slices(pa.RecordBatch.from_arrays([texts], names=["t"]), 0):
-        h, owner = present(restorer.texts(piece.column(0)))
-        hashes.append(h)
-        owners.append(owner + at)
-        at += piece.num_rows
-    h = np.concatenate([np.zeros(0, np.uint64), *hashes])
-    owner = np.concatenate([np.zeros(0, np.int64), *owners])
-    vocabulary, index = np.unique(h, return_inverse=True)
-    cut = np.searchsorted(owner, np.arange(len(labels) + 1))
-    rows = [(index[a:b], np.ones(b - a)) for a, b in zip(cut, cut[1:], strict=False)]
-    weights, bias = Ftrl(alpha=0.3, l1=2.0, l2=0.001, epochs=3).fit(rows, labels, len(vocabulary))
+        at, owner, n_words = features(restorer.texts(piece.column(0)))
+        keys, counts = np.unique(owner << BITS | at, return_counts=True)
+        index.append((keys & ((1 << BITS) - 1)).astype(np.int32))
+        value.append(values(counts, n_words[keys >> BITS]).astype(np.float32))
+        sizes.append(np.bincount(keys >> BITS, minlength=piece.num_rows))
+    index, value = np.concatenate(index), np.concatenate(value)
+    used = np.zeros(1 << BITS, bool)
+    used[index] = True
+    vocabulary = np.flatnonzero(used)
+    index = (np.cumsum(used, dtype=np.int32) - 1)[index]
+    cut = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))])
+    rows = [(index[a:b], value[a:b].astype(float)) for a, b in zip(cut, cut[1:], strict=False)]
+    weights, bias = Ftrl(alpha=1.0, l1=2.0, l2=0.001, epochs=4).fit(rows, labels, len(vocabulary))
     kept = np.flatnonzero(weights)
-    return np.concatenate([[np.uint64(0)], vocabulary[kept]]).tobytes() + np.concatenate([[bias], weights[kept]]).tobytes()
+    return np.concatenate([[-1], vocabulary[kept]]).astype(np.int64).tobytes() + np.concatenate([[bias], weights[kept]]).tobytes()
 
 
 def train_toxicity(documents: DataFrame, labels: DataFrame, model: np.ndarray, most: int = TRAIN_ROWS) -> bytes:
@@ -273,17 +288,17 @@ def score_toxicity(df: DataFrame, model: np.ndarray, weights: bytes, text: str =
         model, packed = shared.value
         restorer = Restorer(model)
         n = len(packed) // 16
-        keys, values = np.frombuffer(packed[: 8 * n], np.uint64)[1:], np.frombuffer(packed[8 * n :], np.float64)
+        keys, weight = np.frombuffer(packed[: 8 * n], np.int64), np.frombuffer(packed[8 * n :], np.float64)
+        table_ = np.zeros(1 << BITS, bool)
+        table_[keys[1:]] = True
 
         def apply(texts: pa.Array) -> list[pa.Array]:
-            sums = np.zeros(len(texts))
-            if len(keys):
-                h, owner, *_ = words(restorer.texts(texts))
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[at] == h
-                pairs = np.unique(owner[hit] * len(keys) + at[hit])
-                sums = np.bincount(pairs // len(keys), values[1:][pairs % len(keys)], minlength=len(texts))
-            return [pa.array(sigmoid(sums + values[0]))]
+            at, owner, n_words = features(restorer.texts(texts))
+            hit = table_[at]
+            found, counts = np.unique(owner[hit] << BITS | at[hit], return_counts=True)
+            who = found >> BITS
+            w = weight[1:][np.searchsorted(keys[1:], found & ((1 << BITS) - 1))] if len(found) else np.zeros(0)
+            return [pa.array(sigmoid(np.bincount(who, w * values(counts, n_words[who]), minlength=len(texts)) + weight[0]))]
 
         return apply
 
