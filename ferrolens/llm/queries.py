@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from ferrolens.llm.bpe import op8_bpe
+from ferrolens.llm.decontamination import op1_decontamination
 from ferrolens.llm.media import op7_media
 from ferrolens.llm.pages import op4_pages
 from ferrolens.llm.quality import op6_quality
 from ferrolens.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op4_pages": op4_pages,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
