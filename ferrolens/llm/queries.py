@@ -7,6 +7,7 @@ from ferrolens.llm.decontamination import op1_decontamination
 from ferrolens.llm.media import op7_media
 from ferrolens.llm.pages import op4_pages
 from ferrolens.llm.quality import op6_quality
+from ferrolens.llm.suffixtree import op9_suffixtree
 from ferrolens.llm.toxicity import op5_toxicity
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_media": op7_media,
     "op8_bpe": op8_bpe,
+    "op9_suffixtree": op9_suffixtree,
 }
 
 SQL: dict[str, str] = {}
