@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ferrolens.llm.bpe import op8_bpe
 from ferrolens.llm.decontamination import op1_decontamination
+from ferrolens.llm.licenses import op10_licenses
 from ferrolens.llm.media import op7_media
 from ferrolens.llm.pages import op4_pages
 from ferrolens.llm.quality import op6_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_media": op7_media,
     "op8_bpe": op8_bpe,
     "op9_suffixtree": op9_suffixtree,
+    "op10_licenses": op10_licenses,
 }
 
 SQL: dict[str, str] = {}
