@@ -8,11 +8,13 @@ from ferrolens.llm.licenses import op10_licenses
 from ferrolens.llm.media import op7_media
 from ferrolens.llm.pages import op4_pages
 from ferrolens.llm.quality import op6_quality
+from ferrolens.llm.suffixdedup import op3_suffixdedup
 from ferrolens.llm.suffixtree import op9_suffixtree
 from ferrolens.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_suffixdedup": op3_suffixdedup,
     "op4_pages": op4_pages,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
