@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 CHUNK = 1 << 20
-SYMBOLS = 257  # 0 ends a string; byte b is b + 1
+SYMBOLS = 256  # 0 ends a string; the bytes that occur are 1, 2, ... in their order
+MOST = 255  # common prefixes are counted up to here
 
 
 @dataclass
@@ -31,38 +33,49 @@ class Collection:
     common: np.ndarray
 
 
-class _Files:
-    """The pair of files of one round: symbols (uint16) and common prefixes (uint16)."""
+class _File:
+    """The file of a round: pairs of a symbol and a common prefix, a byte each, one after another."""
 
-    def __init__(self, folder: str, turn: int):
-        self.paths = [os.path.join(folder, f"{kind}{turn % 2}") for kind in ("symbols", "common")]
+    def __init__(self, folder: str, name: str):
+        self.handle = open(os.path.join(folder, name), "w+b")  # noqa: SIM115
+        self.rows = 0
 
-    def write(self):
-        return [open(p, "wb") for p in self.paths]  # noqa: SIM115
+    def rewrite(self, parts: Iterator[np.ndarray]) -> None:
+        self.handle.seek(0)
+        self.rows = 0
+        for part in parts:
+            part.tofile(self.handle)
+            self.rows += len(part)
+        self.handle.flush()
 
-    def chunks(self, size: int):
-        with open(self.paths[0], "rb") as a, open(self.paths[1], "rb") as b:
-            start = 0
-            while True:
-                x, y = np.fromfile(a, np.uint16, size), np.fromfile(b, np.uint16, size)
-                if not len(x):
-                    return
-                yield start, x, y
-                start += len(x)
+    def chunks(self, size: int) -> Iterator[tuple[int, np.ndarray]]:
+        self.handle.seek(0)
+        for start in range(0, self.rows, size):
+            yield start, np.fromfile(self.handle, np.uint16, min(size, self.rows - start))
+
+
+def pairs(symbols: np.ndarray, common: np.ndarray) -> np.ndarray:
+    return symbols.astype(np.uint16) | common.astype(np.uint16) << np.uint16(8)
 
 
 def build(data: np.ndarray, bounds: np.ndarray, chunk: int = CHUNK) -> Collection:
-    """Of the strings data[bounds[i]:bounds[i + 1]] (uint8). Equal suffixes follow in the order of the strings."""
+    """Of the strings data[bounds[i]:bounds[i + 1]] (uint8). Equal suffixes follow in the order of the strings.
+
+    At most 255 different bytes may occur (in UTF-8 no more than 243 can).
+    """
     m = len(bounds) - 1
     lengths = np.diff(bounds)
+    occur = np.bincount(data, minlength=256) > 0
+    if occur.sum() > 255:
+        raise ValueError("more than 255 different bytes")
+    data = np.cumsum(occur).astype(np.uint8)[data]
+    ends = bounds[1:]
     with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-        files = _Files(folder, 0)
-        last = np.zeros(m, np.uint16)
+        file, other = _File(folder, "a"), _File(folder, "b")
+        last = np.zeros(m, np.uint8)
         some = lengths > 0
-        last[some] = data[bounds[1:][some] - 1].astype(np.uint16) + 1
-        for f, x in zip(files.write(), (last, np.zeros(m, np.uint16)), strict=True):
-            x.tofile(f)
-            f.close()
+        last[some] = data[ends[some] - 1]
+        file.rewrite(iter([pairs(last, np.zeros(m))]))
         totals = np.bincount(last, minlength=SYMBOLS)
         live = np.flatnonzero(some)  # strings whose symbol of the last round is yet to become a suffix
         at, symbol = live.copy(), last[live]  # where that symbol stands, and what it is
@@ -70,39 +83,43 @@ def build(data: np.ndarray, bounds: np.ndarray, chunk: int = CHUNK) -> Collectio
             base = m + np.concatenate([[0], np.cumsum(totals[1:])])  # first row of the suffixes that begin with symbol 1, 2, ...
             order = np.argsort(at, kind="stable")
             live, at, symbol = live[order], at[order], symbol[order]
-            rows, common, changed = _places(files, at, symbol, base, chunk)
-            before = np.zeros(len(live), np.uint16)
+            rows, common, changed = _places(file, at, base, totals, chunk)
+            before = np.zeros(len(live), np.uint8)
             more = lengths[live] > j
-            before[more] = data[bounds[1:][live[more]] - 1 - j].astype(np.uint16) + 1
-            new = _Files(folder, j)
-            _insert(files, new, rows, before, common, changed, chunk)
-            files = new
-            totals += np.bincount(before, minlength=SYMBOLS)
+            before[more] = data[ends[live[more]] - 1 - j]
+            other.rewrite(_insert(file, rows, before, common, changed, chunk))
+            file, other = other, file
+            totals = totals + np.bincount(before, minlength=SYMBOLS)
             live, at, symbol = live[more], rows[more], before[more]
-        symbols = np.fromfile(files.paths[0], np.uint16)
-        shared = np.fromfile(files.paths[1], np.uint16)
-    return _named(symbols, shared, m, int(lengths.max(initial=0)))
+        final = np.concatenate([np.zeros(0, np.uint16), *(x for _, x in file.chunks(chunk))])
+        file.handle.close()
+        other.handle.close()
+    return _named((final & 255).astype(np.uint8), final >> 8, m, int(lengths.max(initial=0)))
 
 
-def _places(files: _Files, at: np.ndarray, symbol: np.ndarray, base: np.ndarray, chunk: int):
+def _places(file: _File, at: np.ndarray, base: np.ndarray, totals: np.ndarray, chunk: int):
     """Rows and common prefixes of the new suffixes (in the order of `at`), and the changed common
     prefixes (rows, values) of the suffixes behind them."""
     rows, common = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     changed_rows, changed = [], []
     seen = np.zeros(SYMBOLS, np.int64)
     had, asked = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
-    lowest = np.full(SYMBOLS, 65535, np.int64)  # least common prefix since the symbol's last place
-    for start, b, h in files.chunks(chunk):
+    lowest = np.full(SYMBOLS, MOST, np.int64)  # least common prefix since the symbol's last place
+    total = int(totals.sum())
+    for start, x in file.chunks(chunk):
+        b = (x & np.uint16(255)).astype(np.uint8)
+        h = np.full(len(x) + 1, MOST, np.uint8)
+        h[:-1] = x >> np.uint16(8)
         lo, hi = np.searchsorted(at, [start, start + len(b)])
         query = np.zeros(len(b), bool)
         query[at[lo:hi] - start] = True
         order = np.argsort(b, kind="stable")
-        counts = np.bincount(b, minlength=SYMBOLS)
+        counts = totals if len(b) == total else np.bincount(b, minlength=SYMBOLS)
         firsts = np.cumsum(counts) - counts
         # places, in the order by symbol, of the asked ones and of those that follow an asked one
         mine = np.flatnonzero(query[order])
-        after = np.unique(np.concatenate([mine + 1, firsts[asked & (counts > 0)]]))
-        t = np.union1d(mine, after[after < len(b)])
+        t = np.sort(np.concatenate([mine, mine + 1, firsts[asked & (counts > 0)]]), kind="stable")
+        t = t[(np.append(t[1:], -1) != t) & (t < len(b))]
         s = np.searchsorted(firsts, t, "right") - 1
         while len(wrong := np.flatnonzero(counts[s] == 0)):
             s[wrong] -= 1
@@ -116,9 +133,9 @@ def _places(files: _Files, at: np.ndarray, symbol: np.ndarray, base: np.ndarray,
         back = np.argsort(p, kind="stable")[::-1]  # from back to front, so that the ranges below touch each other at most
         t, s, p, mine, same, exists = t[back], s[back], p[back], mine[back], same[back], exists[back]
         left = np.where(same, order[t - 1] + 1, 0)
-        low = np.minimum.reduceat(np.append(h, np.uint16(65535)), np.stack([left, p + 1], 1).ravel())[::2].astype(np.int64) if len(t) else np.zeros(0, np.int64)
+        low = np.minimum.reduceat(h, np.stack([left, p + 1], 1).ravel())[::2].astype(np.int64) if len(t) else np.zeros(0, np.int64)
         low = np.where(same, low, np.minimum(low, lowest[s]))
-        share = np.where(exists, low + 1, 0)
+        share = np.where(exists, np.minimum(low + 1, MOST), 0)
         row = base[s - 1] + seen[s] + t - firsts[s]
         k = np.searchsorted(at, p[mine] + start)
         rows[k], common[k] = row[mine], share[mine]
@@ -128,7 +145,7 @@ def _places(files: _Files, at: np.ndarray, symbol: np.ndarray, base: np.ndarray,
         if len(b) == chunk:  # what the next chunk needs to know
             present = np.flatnonzero(counts)
             final = order[firsts[present] + counts[present] - 1]
-            tail = np.minimum.accumulate(np.append(h, np.uint16(65535))[::-1])[::-1].astype(np.int64)
+            tail = np.minimum.accumulate(h[::-1])[::-1].astype(np.int64)
             lowest = np.minimum(lowest, tail[0])
             lowest[present] = tail[final + 1]
             had[present], asked[present] = True, query[final]
@@ -136,35 +153,23 @@ def _places(files: _Files, at: np.ndarray, symbol: np.ndarray, base: np.ndarray,
     return rows, common, (np.concatenate([np.zeros(0, np.int64), *changed_rows]), np.concatenate([np.zeros(0, np.int64), *changed]))
 
 
-def _insert(old: _Files, new: _Files, rows: np.ndarray, symbols: np.ndarray, common: np.ndarray, changed, chunk: int) -> None:
-    """Write the old files with the new rows (places in the new files) put in."""
+def _insert(old: _File, rows: np.ndarray, symbols: np.ndarray, common: np.ndarray, changed, chunk: int) -> Iterator[np.ndarray]:
+    """The old file's rows with the new rows (places among all) put in, chunk by chunk."""
     order = np.argsort(rows, kind="stable")
-    rows, symbols, common = rows[order], symbols[order], common[order]
+    rows, put = rows[order], pairs(symbols[order], common[order])
     order = np.argsort(changed[0], kind="stable")
-    changed_rows, changed_values = changed[0][order], changed[1][order]
+    changed_rows, changed_values = changed[0][order], changed[1][order].astype(np.uint8)
     gaps = rows - np.arange(len(rows))  # how many old rows stand before each new one
-    a, b = new.write()
-    written = 0
-    for start, x, y in old.chunks(chunk):
+    written = end = 0
+    for start, x in old.chunks(chunk):
         end = start + len(x)
-        lo, hi = np.searchsorted(gaps, [start, end], "left")
-        n = len(x) + hi - lo
-        put = rows[lo:hi] - written
-        keep = np.ones(n, bool)
-        keep[put] = False
-        out_x, out_y = np.empty(n, np.uint16), np.empty(n, np.uint16)
-        out_x[keep], out_y[keep] = x, y
-        out_x[put], out_y[put] = symbols[lo:hi], common[lo:hi]
-        c, d = np.searchsorted(changed_rows, [written, written + n])
-        out_y[changed_rows[c:d] - written] = changed_values[c:d]
-        out_x.tofile(a)
-        out_y.tofile(b)
-        written += n
-    lo = np.searchsorted(gaps, end, "left")
-    symbols[lo:].astype(np.uint16).tofile(a)
-    common[lo:].astype(np.uint16).tofile(b)
-    a.close()
-    b.close()
+        lo, hi = np.searchsorted(gaps, [start, end])
+        out = np.insert(x, gaps[lo:hi] - start, put[lo:hi])
+        c, d = np.searchsorted(changed_rows, [written, written + len(out)])
+        out.view(np.uint8)[2 * (changed_rows[c:d] - written) + 1] = changed_values[c:d]  # little-endian: the second byte
+        yield out
+        written += len(out)
+    yield put[np.searchsorted(gaps, end) :]
 
 
 def _named(symbols: np.ndarray, common: np.ndarray, m: int, longest: int) -> Collection:

@@ -10,7 +10,8 @@ earlier document, or before in the same one. Strings never cross documents.
 2. Anchors that one segment alone has are settled. Segments equal as a whole are copies: all but the
    first go, and the first stands for them from here on. Each task drops its own copies beforehand.
 3. Anchors with different segments need suffix order: the segments' bytes are fetched, dealt out by
-   anchor, and collected into string collections of bounded size. For each, transform and common
+   anchor, and collected into string collections of bounded size, less what no other string can
+   share. For each, transform and common
    prefixes are built column by column through sequential files (`columnbwt`). Suffixes that share
    LENGTH bytes with their neighbour are equal windows; all but the first are removed.
 4. An anchor with more than HOT different segments (a line that many texts quote in different
@@ -41,7 +42,7 @@ from ferrolens.llm.frames import column_index, fresh, positional, slices, stored
 LENGTH, K = 100, 32
 #: Different segments of one anchor that still form one collection.
 HOT = 4000
-COLLECTION_BYTES = 512 << 10
+COLLECTION_BYTES = 1 << 20
 BLOCK = 2 << 20
 PLACE_BITS = U(23)
 
@@ -172,8 +173,30 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(data: np.ndarray, bounds: np.ndarray, rank: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (rank, start, end) of windows of the strings that another string's window equals and precedes.
 
-    data[bounds[i]:bounds[i + 1]] stands in document rank[i] from start[i] on.
+    data[bounds[i]:bounds[i + 1]] stands in document rank[i] from start[i] on. Only what suffix order
+    can still tell apart goes into the collection: strings without a window whose hash occurs twice
+    here stay out, the others are cut to the stretch from their first to their last such window.
     """
+    n = np.maximum(np.diff(bounds) - length + 1, 0)
+    before = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(n)), n)
+    at = np.arange(n.sum()) - before[owner] + bounds[:-1][owner]
+    hashes = span_hash(prefix_hash(data), at, at + length)
+    order = np.argsort(hashes, kind="stable")
+    again = np.zeros(len(order), bool)
+    same = hashes[order][1:] == hashes[order][:-1]
+    again[order[1:]] = same
+    again[order[:-1]] |= same
+    at, owner = at[again], owner[again]
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    string, first = np.unique(owner, return_index=True)
+    low, high = at[first], at[np.append(first[1:], len(at)) - 1] + length
+    rank, start = rank[string], start[string] + low - bounds[:-1][string]
+    sizes = high - low
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    data = data[np.arange(bounds[-1]) + np.repeat(low - bounds[:-1], sizes)]
     suffixes = build(data, bounds)
     alike = suffixes.common >= length
     member = alike.copy()
