@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ferrolens.llm.bpe import op8_bpe
 from ferrolens.llm.decontamination import op1_decontamination
+from ferrolens.llm.jaccardjoin import op2_jaccardjoin
 from ferrolens.llm.licenses import op10_licenses
 from ferrolens.llm.media import op7_media
 from ferrolens.llm.pages import op4_pages
@@ -14,6 +15,7 @@ from ferrolens.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_jaccardjoin": op2_jaccardjoin,
     "op3_suffixdedup": op3_suffixdedup,
     "op4_pages": op4_pages,
     "op5_toxicity": op5_toxicity,
