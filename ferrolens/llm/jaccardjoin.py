@@ -28,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrolens.llm.bytewords import BASE, U, mix, ngrams, words
-from ferrolens.llm.frames import pick, slices, stored, table, texts_of
+from ferrolens.llm.frames import column_index, map_text, pick, positional, slices, stored, table, texts_of
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Classes, and n-grams, of one part of a large component.
@@ -215,9 +216,9 @@ def common_elements(elements: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
-    """(id, class_id, n_links, cluster_id, cluster) for every row of docs; see the module.
+    """(id, node, class_id, n_links, cluster_id, cluster) for every row of docs; see the module.
 
-    cluster is the hash that tells clusters apart, null where there are no n-grams.
+    node and cluster are hashes that tell classes and clusters apart, null where there are no n-grams.
     """
     spark = docs.sparkSession
     bands, rows = plan_bands(threshold, recall)
@@ -260,11 +261,39 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     facts = stored(facts, "facts")
     least = facts.groupBy("cluster").agg(F.min("class_id").alias("cluster_id"))
     facts = facts.join(least, "cluster")
-    found = members.filter(F.col("node").isNotNull()).select("id", "node").join(facts, "node").select("id", "class_id", "n_links", "cluster_id", "cluster")
-    bare = members.filter(F.col("node").isNull()).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("cluster_id"), F.lit(None).cast("long").alias("cluster"))
+    found = members.filter(F.col("node").isNotNull()).select("id", "node").join(facts, "node").select("id", "node", "class_id", "n_links", "cluster_id", "cluster")
+    bare = members.filter(F.col("node").isNull()).select("id", "node", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("cluster_id"), F.lit(None).cast("long").alias("cluster"))
     return found.unionByName(bare)
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs with one row of each cluster: the one with its least id. Rows without n-grams all stay.
+
+    Of repeated rows one stays; all columns pass through, whatever their names.
+    """
+    names = docs.columns
+    flat = positional(docs)
+    k, t = f"c{column_index(docs, key)}", column_index(docs, text)
+    joined = jaccard_join(flat, k, f"c{t}", threshold).filter(F.col("node").isNotNull())
+    first = stored(joined.filter(F.col("id").eqNullSafe(F.col("cluster_id")) & F.col("class_id").eqNullSafe(F.col("cluster_id"))).select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "node", "cluster"), "first")
+    repeated = first.groupBy("cluster").count().filter("count > 1").limit(1).count() > 0
+    first = first.dropDuplicates(["cluster"]).withColumn("stays", F.lit(True)).drop("cluster")
+
+    def make():
+        def apply(texts: pa.Array) -> list[pa.Array]:
+            grams, offsets = shingles(texts)
+            return [pa.array(set_hashes(grams, offsets).view(np.int64), mask=np.diff(offsets) == 0)]
+
+        return apply
+
+    marked = map_text(flat, f"c{t}", make, [("node", T.LongType())]).withColumn("id", F.coalesce(F.col(k).cast("long"), F.lit(NO_ID)))
+    kept = marked.join(first, ["id", "node"], "left").filter(F.col("node").isNull() | F.col("stays"))
+    if repeated:  # rows alike in id and text
+        bare = kept.filter(F.col("node").isNull())
+        kept = kept.filter(F.col("node").isNotNull()).dropDuplicates(["node"]).unionByName(bare)
+    return kept.select(flat.columns).toDF(*names)
+
+
 def op2_jaccardjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard_join(table(spark, sf_dir, "documents"))
     return joined.select(F.col("id").alias("doc_id"), "class_id", "n_links", "cluster_id")

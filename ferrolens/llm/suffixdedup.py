@@ -335,25 +335,28 @@ def removal_spans(docs: DataFrame, rank: str = "rank", text: str = "text") -> Da
     return removed.unionByName(repeated).groupBy("rank").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+def kept_pieces(data: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
     out, at = [], 0
     for s, e in spans:
         out.append(data[at:s])
         at = e
-    return b"".join([*out, data[at:]])
+    return [*out, data[at:]]
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-FIELDS = [("spans", SPANS), ("kept", T.BinaryType())]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `spans` (merged, in bytes) and `kept` (the bytes that stay) appended, under fresh names."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """docs with `spans` (merged, in bytes) and `kept` (the bytes that stay) appended, under fresh names.
+
+    as_text gives the rest as a string; a character that a span cuts goes as a whole.
+    """
+    fields = [("spans", SPANS), ("kept", T.StringType() if as_text else T.BinaryType())]
     names, width, at = docs.columns, len(docs.columns), column_index(docs, text)
     flat = ranked(positional(docs), f"c{column_index(docs, key)}", f"c{at}")
     spans = removal_spans(flat, "rank", f"c{at}")
     joined = flat.join(spans, "rank", "left").drop("rank")
-    schema = T.StructType([*joined.schema.fields[:width], *(T.StructField(f"n{i}", t) for i, (_, t) in enumerate(FIELDS))])
+    schema = T.StructType([*joined.schema.fields[:width], *(T.StructField(f"n{i}", t) for i, (_, t) in enumerate(fields))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,16 +367,32 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 owner, s, e = merged(np.repeat(np.arange(len(n)), n), *(flat_.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2)))
                 cut = np.searchsorted(owner, np.arange(len(n) + 1))
                 pairs = list(zip(s.tolist(), e.tolist(), strict=True))
-                kept = [kept_bytes(t, pairs[a:b]) for t, a, b in zip(texts, cut, cut[1:], strict=False)]
+                pieces = (kept_pieces(t, pairs[a:b]) for t, a, b in zip(texts, cut, cut[1:], strict=False))
+                kept = ["".join(x.decode("utf-8", "ignore") for x in p) if as_text else b"".join(p) for p in pieces]
                 made = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["start", "end"]))
-                yield pa.RecordBatch.from_arrays([*piece.columns[:width], made, pa.array(kept, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:width], made, pa.array(kept, pa.string() if as_text else pa.binary())], names=schema.names)
 
     new: list[str] = []
-    for name, _ in FIELDS:
+    for name, _ in fields:
         new.append(fresh(name, [*names, *new]))
     return joined.mapInArrow(run, schema).toDF(*names, *new)
 
 
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with repeated substrings cut out of the texts, and n_chars set anew where there is such a
+    column. Texts of which only white space is left go; texts without repeats stay as they are."""
+    names = docs.columns
+    at = column_index(docs, text)
+    flat = positional(docs)
+    done = remove_repeats(flat, f"c{column_index(docs, key)}", f"c{at}", as_text=True)
+    cut = F.size("spans") > 0
+    done = done.filter(~cut | (F.length(F.trim(F.regexp_replace("kept", r"\s+", " "))) > 0)).withColumn(f"c{at}", F.when(cut, F.col("kept")).otherwise(F.col(f"c{at}")))
+    if "n_chars" in names:
+        n = f"c{names.index('n_chars')}"
+        done = done.withColumn(n, F.when(cut, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return done.select(flat.columns).toDF(*names)
+
+
 def op3_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = remove_repeats(docs)
