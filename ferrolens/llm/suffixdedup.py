@@ -41,7 +41,7 @@ from ferrolens.llm.frames import column_index, fresh, positional, slices, stored
 
 LENGTH, K = 100, 32
 #: Different segments of one anchor that still form one collection.
-HOT = 4000
+HOT = 512
 COLLECTION_BYTES = 1 << 20
 BLOCK = 2 << 20
 PLACE_BITS = U(23)
