@@ -144,6 +144,8 @@ def scan(texts: pa.Array, index: Index, coverage: float) -> tuple[np.ndarray, li
     begin = np.cumsum(counts) - counts
     lo, hi = np.searchsorted(index.hashes, grams, "left"), np.searchsorted(index.hashes, grams, "right")
     at = np.flatnonzero((hi > lo) & (owner[: len(grams)] == owner[K - 1 :]))
+    if not len(at):
+        return counts, found
     n = (hi - lo)[at]
     entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at], n)
     spot = np.repeat(at, n)
