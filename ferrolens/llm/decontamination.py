@@ -15,7 +15,7 @@ test sets are; beyond that the documents are scanned once for each block, and th
 are merged by document. Memory of a task is bound by the slice and the block.
 
 Null and empty texts have no words and are clean; an item without words has no window; equal
-windows of several items count for each of them; repeated rows are scanned each for itself.
+windows of several items count for each of them, rows that share an item id are one item; repeated rows are scanned each for itself.
 """
 
 from __future__ import annotations
@@ -159,19 +159,21 @@ class Phrases:
         number = number.astype(np.int64) + 1
         counts = np.bincount(who, minlength=len(items))
         begin = np.cumsum(counts) - counts
+        names = sorted({k for k, _ in items})  # rows of one id are one item
+        number_of = {k: i for i, k in enumerate(names)}
         rows, owner = [], []
         for i, (a, n) in enumerate(zip(begin.tolist(), counts.tolist(), strict=True)):
             for s in range(a, a + max(n - window, 0) + 1) if n else ():
                 row = np.zeros(window, np.int64)
                 row[: min(n, window)] = number[s : s + min(n, window)]
                 rows.append(row)
-                owner.append(i)
+                owner.append(number_of[items[i][0]])
         if not rows:
-            return cls(vocabulary, np.zeros((0, window), np.int64), np.zeros(0, np.int64), [k for k, _ in items], np.zeros(0, np.int64), np.zeros(1, np.int64))
+            return cls(vocabulary, np.zeros((0, window), np.int64), np.zeros(0, np.int64), names, np.zeros(0, np.int64), np.zeros(1, np.int64))
         windows, back = np.unique(np.array(rows), axis=0, return_inverse=True)
-        pairs = np.unique(back.ravel() * len(items) + np.array(owner))
-        starts = np.searchsorted(pairs // len(items), np.arange(len(windows) + 1))
-        return cls(vocabulary, windows, (windows > 0).sum(1), [k for k, _ in items], pairs % len(items), starts)
+        pairs = np.unique(back.ravel() * len(names) + np.array(owner))
+        starts = np.searchsorted(pairs // len(names), np.arange(len(windows) + 1))
+        return cls(vocabulary, windows, (windows > 0).sum(1), names, pairs % len(names), starts)
 
 
 @dataclass
@@ -326,10 +328,7 @@ def _columns(texts: pa.Array, phrases: Phrases) -> list[pa.Array]:
     n = len(texts)
     n_hit = np.bincount(hits.span_text, hits.span_end - hits.span_start, minlength=n).astype(np.int64)
     names = np.array(phrases.items, object)
-    # ids of one text in the order of their strings
-    place = np.argsort(np.argsort(names, kind="stable"), kind="stable") if len(names) else np.zeros(0, np.int64)
-    order = np.lexsort((place[hits.item], hits.item_text))
-    items = pa.array(names[hits.item[order]].tolist(), pa.string())
+    items = pa.array(names[hits.item].tolist(), pa.string())  # numbered in the order of their strings, and found in it
     offsets = lambda owner: pa.array(np.searchsorted(np.sort(owner), np.arange(n + 1)), pa.int32())
     spans = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (hits.span_start, hits.span_end, hits.char_spans[:, 0], hits.char_spans[:, 1])], names=["start", "end", "byte_start", "byte_end"])
     return [pa.array(hits.n_words.astype(np.int64)), pa.array(n_hit), pa.ListArray.from_arrays(offsets(hits.item_text), items), pa.ListArray.from_arrays(offsets(hits.span_text), spans)]

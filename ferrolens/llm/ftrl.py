@@ -79,7 +79,8 @@ def fit_in_one_task(sample: DataFrame, fit) -> bytes:
         texts = rows.column("text").combine_chunks() if rows else pa.array([], pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([fit(texts, rows.column("label").to_pylist() if rows else [])], pa.binary())], names=["model"])
 
-    return bytes(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    model = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(model["model"]) if model else fit(pa.array([], pa.string()), [])  # without any row no task runs
 
 
 def documents_and_labels(documents: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:

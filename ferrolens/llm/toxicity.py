@@ -115,7 +115,7 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
             for k in range(i, j):
                 options = [(span[k], 0.0)]
                 wild = c in "*#"
-                if c in LOOKS_LIKE and (beside or not wild):
+                if c in LOOKS_LIKE and (beside if wild else STRONG[ord(c)] or j < n and not span[j].isspace()):
                     options += [(x, COST_WILD if wild else COST_SYMBOL) for x in LOOKS_LIKE[c]]
                 if c in SEPARATORS and 0 < i and j < n:
                     options.append(("", COST_SEPARATOR))
