@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrolens.plans import alarms, life, logs, retrieval, series  # noqa: F401
+from ferrolens.plans import alarms, life, logs, retrieval, series, tables, text  # noqa: F401
 from ferrolens.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
