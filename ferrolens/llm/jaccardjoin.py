@@ -232,8 +232,10 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     edges = banded.join(hubs, "band").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     candidates = stored(component_ids(edges, "candidates"), "components")
     # every candidate component in parts of bounded size; every pair of parts once
+    # (components of more than one part are at most one in PART classes, or in PART_GRAMS n-grams)
     shape = candidates.join(classes.select(F.col("node"), "grams"), "node").groupBy("root").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("grams") / PART_GRAMS)).cast("int").alias("parts"))
-    asked = candidates.join(shape, "root").join(classes.select("node", "class_id", "size"), "node").select(
+    shape = stored(shape.filter("parts > 1"), "shape")
+    asked = candidates.join(shape, "root", "left").join(classes.select("node", "class_id", "size"), "node").withColumn("parts", F.coalesce("parts", F.lit(1))).select(
         "root", "parts", "node", "size", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.coalesce("class_id", F.lit(NO_ID)).alias("id")
     )
     texts = docs.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text").join(asked, "id").select("root", "parts", "node", "size", "part", "text")
