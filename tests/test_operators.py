@@ -170,3 +170,24 @@ def test_live_windows_join(spark, tmp_path):
 
 def test_micros(spark):
     assert spark.sql("select timestamp_ntz'1970-01-01 00:00:01.5' as t").select(micros("t").alias("m")).first()["m"] == 1_500_000
+
+
+def test_parsed_model_answers(spark):
+    from ferrolens.operators import knowledge as K
+
+    answer = 'Sure:\n```json\n{"entities": [{"name": "Pump", "type": "Part"}, {"name": "CMP", "type": "Tool"}], "relations": [{"source": "pump", "target": "cmp", "type": "PART_OF"}, {"source": "x", "target": "PUMP", "type": "NEAR"}]}\n```'
+    entities, relations = K.parse_graph(spark.createDataFrame([(answer,), ("broken",), (None,)], "response string"))
+    assert {tuple(r) for r in entities.collect()} == {("Pump", "Part"), ("CMP", "Tool")}
+    assert {tuple(r) for r in relations.select("source", "target", "kind").collect()} == {("Pump", "CMP", "PART_OF"), ("x", "Pump", "NEAR")}
+    found = K.parse_candidates(spark.createDataFrame([(1, '[{"symptom": "leak"}]'), (2, "no")], "response_id int, response string")).collect()
+    assert [(r["response_id"], r["type"], r["symptom"], r["confidence"], r["status"]) for r in found] == [(1, "unknown", "leak", 0.5, "PendingReview")]
+    results = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 1)], "query_id int, chunk_id int, place int")
+    placed = K.rerank_from_scores(results, spark.createDataFrame([(1, '[{"index": 1, "score": 9}, {"index": 7, "score": 10}]'), (2, "?")], "query_id int, response string"))
+    assert sorted((r["query_id"], r["new_place"], r["chunk_id"]) for r in placed.collect()) == [(1, 1, 11), (1, 2, 10), (2, 1, 12)]
+
+
+def test_typing_errors_and_units(spark):
+    from ferrolens.operators import knowledge as K
+
+    df = spark.createDataFrame([("슬러이 펌프 E1023 100um 30 rpm A-12",)], "q string")
+    assert df.select(K.correct_patterns("q").alias("c")).first()["c"] == "슬러리 펌프 E-1023 100 μm 30 RPM A-12"
