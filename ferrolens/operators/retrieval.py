@@ -12,13 +12,14 @@ def tokenize(text: Column | str) -> Column:
     """Terms: lower-cased words of two or more characters between white space and punctuation; a run
     of Hangul gives its bigrams, or itself if it is a single character."""
     text = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-    # Hangul and other letters in one word are taken apart first
+    simple = F.filter(F.split(text, r"(?U)[\s\p{P}]+"), lambda w: F.length(w) >= 2)
+    # in texts with Hangul, it is taken apart from other letters first
     apart = F.regexp_replace(F.regexp_replace(text, r"([가-힣])([^가-힣])", "$1 $2"), r"([^가-힣])([가-힣])", "$1 $2")
     words = F.split(apart, r"(?U)[\s\p{P}]+")
     grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))
     korean = lambda w: w.rlike(r"^[가-힣]+$")
     terms = F.transform(words, lambda w: F.when(korean(w) & (F.length(w) > 1), grams(w)).when(korean(w) | (F.length(w) >= 2), F.array(w)).otherwise(F.array().cast("array<string>")))
-    return F.flatten(terms)
+    return F.when(text.rlike("[가-힣]"), F.flatten(terms)).otherwise(simple)
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def bm25_search(queries: DataFrame, index: DataFrame, chunks: DataFrame, k: int)
     postings of asked terms go on to the sum.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize("query"))).alias("term"))
-    sizes = chunks.select(F.size(tokenize("text")).alias("length")).agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"))
+    sizes = chunks.agg(F.count("*").alias("n_chunks")).join(F.broadcast(index.agg(F.sum("tf").alias("terms")))).select("n_chunks", (F.col("terms") / F.col("n_chunks")).alias("mean_length"))
     wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
     rarity = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

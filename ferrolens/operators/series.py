@@ -37,23 +37,28 @@ def moving_average(df: DataFrame, n: int, keys=KEYS, order=ORDER) -> DataFrame:
     return numbered.withColumn("average", F.avg("value").over(w.rowsBetween(1 - n, 0))).filter(F.col("at") >= F.least(F.lit(n), F.col("n"))).drop("at", "n")
 
 
-def fold(df: DataFrame, keys, order, schema: str, step: Callable[[dict | None, pd.DataFrame], tuple[dict, pd.DataFrame]]) -> DataFrame:
+def fold(df: DataFrame, keys, order, columns: list[str], schema: str, step: Callable) -> DataFrame:
     """Run an order-dependent recursion over every series, streaming over sorted partitions.
 
-    step(state, rows) takes the rows of one series that come next and the state after those before
-    (None at the start). Only a batch and one state are in memory, so a series may be of any length.
+    step(state, row) takes the state so far (None at a series' start) and the values of `columns` of
+    the next row; it returns the new state and an output row, or None for no output. Only a batch
+    and one state are in memory, so a series may be of any length.
     """
     keys, order = list(keys), list(order)
+    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
-            for key, rows in batch.groupby(keys, sort=False, dropna=False):
+            out = []
+            for key, row in zip(zip(*(batch[k] for k in keys), strict=True), zip(*(batch[c] for c in columns), strict=True), strict=True):
                 if key != current:
                     current, state = key, None
-                state, out = step(state, rows)
-                if len(out):
-                    yield out
+                state, made = step(state, row)
+                if made is not None:
+                    out.append(made)
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
@@ -62,15 +67,13 @@ def ema(df: DataFrame, span: int) -> DataFrame:
     """Exponential moving average with alpha 2 / (span + 1), from the first value on."""
     alpha = 2 / (span + 1)
 
-    def step(state, rows):
-        values = rows["value"].tolist()
-        now, out = (None if state is None else state["ema"]), []
-        for x in values:
-            now = x if now is None else alpha * x + (1 - alpha) * now
-            out.append(now)
-        return {"ema": now}, rows.assign(ema=out)[["equipment_id", "sensor_id", "event_id", "ema"]]
+    def step(now, row):
+        *key, x = row
+        now = x if now is None else alpha * x + (1 - alpha) * now
+        return now, (*key, now)
 
-    return fold(df.filter("value is not null").select(*KEYS, *ORDER, "value"), KEYS, ORDER, "equipment_id long, sensor_id string, event_id long, ema double", step)
+    rows = df.filter("value is not null").select(*KEYS, *ORDER, "value")
+    return fold(rows, KEYS, ORDER, [*KEYS, "event_id", "value"], "equipment_id long, sensor_id string, event_id long, ema double", step)
 
 
 def cusum(df: DataFrame, threshold: float = 5.0, drift: float = 0.5, least: int = 10) -> DataFrame:
@@ -78,18 +81,17 @@ def cusum(df: DataFrame, threshold: float = 5.0, drift: float = 0.5, least: int
     stats = df.groupBy(*KEYS).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
     joined = df.filter("value is not null").join(stats.filter((F.col("n") >= least) & (F.col("std") >= 1e-10)), list(KEYS)).select(*KEYS, *ORDER, "value", "mean", "std")
 
-    def step(state, rows):
-        up, down = (0.0, 0.0) if state is None else (state["up"], state["down"])
-        hits = []
-        for i, z in enumerate(((rows["value"] - rows["mean"]) / rows["std"]).tolist()):
-            up, down = max(0.0, up + z - drift), max(0.0, down - z - drift)
-            if up > threshold or down > threshold:
-                hits.append((i, "up" if up > threshold else "down"))
-                up = down = 0.0
-        found = rows.iloc[[i for i, _ in hits]].assign(direction=[d for _, d in hits])
-        return {"up": up, "down": down}, found[["equipment_id", "sensor_id", "event_id", "ts", "value", "direction"]]
-
-    return fold(joined, KEYS, ORDER, "equipment_id long, sensor_id string, event_id long, ts timestamp_ntz, value double, direction string", step)
+    def step(state, row):
+        *shown, mean, std = row
+        z = (shown[-1] - mean) / std
+        up, down = state or (0.0, 0.0)
+        up, down = max(0.0, up + z - drift), max(0.0, down - z - drift)
+        if max(up, down) > threshold:
+            return (0.0, 0.0), (*shown, "up" if up > threshold else "down")
+        return (up, down), None
+
+    schema = "equipment_id long, sensor_id string, event_id long, ts timestamp_ntz, value double, direction string"
+    return fold(joined, KEYS, ORDER, [*KEYS, "event_id", "ts", "value", "mean", "std"], schema, step)
 
 
 def trend(df: DataFrame, keys=KEYS, order=ORDER, flat: float = 0.001) -> DataFrame:

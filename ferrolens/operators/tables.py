@@ -141,14 +141,11 @@ def suppress(alerts: DataFrame, minutes: float = 60) -> DataFrame:
 
     width = pd.Timedelta(minutes=minutes)
 
-    def step(state, rows):
-        last, keep = (None if state is None else state["last"]), []
-        for ts in rows["ts"]:
-            issue = last is None or ts - last >= width
-            keep.append(issue)
-            last = ts if issue else last
-        return {"last": last}, rows[keep]
+    def step(last, row):
+        ts = row[2]
+        issue = last is None or ts - last >= width
+        return (ts, row) if issue else (last, None)
 
     kind = {f.name: f.dataType.simpleString() for f in alerts.schema.fields}
     columns = ["equipment_id", "hypothesis", "ts", "alert_id"]
-    return fold(alerts.select(columns), ["equipment_id", "hypothesis"], ["ts", "alert_id"], ", ".join(f"{c} {kind[c]}" for c in columns), step)
+    return fold(alerts.select(columns), ["equipment_id", "hypothesis"], ["ts", "alert_id"], columns, ", ".join(f"{c} {kind[c]}" for c in columns), step)
