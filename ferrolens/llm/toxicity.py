@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrolens.llm.bytewords import INK_BYTE, LOWER, WORD_BYTE, flat_bytes, mix, prefix_hash, span_hash, tokens
-from ferrolens.llm.frames import map_text, pick, slices, table, texts_of
+from ferrolens.llm.frames import collected, map_text, pick, slices, table, texts_of
 from ferrolens.llm.ftrl import Ftrl, documents_and_labels, fit_in_one_task, fold, labelled_sample, sigmoid
 
 #: Bits of the hashed feature space, and the lengths of word prefixes in bytes.
@@ -80,9 +80,9 @@ def count_characters(documents: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["gram", "n"])
 
-    rows = pick(documents, text="text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    rows = collected(pick(documents, text="text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     out = np.zeros(CLASSES**ORDER, np.int64)
-    out[rows["gram"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out[rows["gram"]] = rows["n"]
     return out
 
 
