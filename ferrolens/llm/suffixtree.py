@@ -5,17 +5,19 @@ is the smoothed unigram model over all training tokens. A context is a sequence
 words. The tree is learned in passes over all training texts:
 
 1. All unigrams are counted.
-2. Sequences of 2 to DEPTH + 1 tokens that are at least the share RATE of the training tokens are
-   found exactly: what is so frequent over all must be so in some section of the texts, so each
-   section (a few million tokens in a task) names its own frequent ones, and a second pass counts
-   just these. At most 1 / RATE sequences of each length are frequent, whatever the corpus.
+2. Sequences of 2 to DEPTH + 1 tokens are added up by section (a few million tokens in a task) and
+   then by key in Spark; those that occur LEAST times or more are kept. What is kept grows with
+   the corpus, so it stays in stored tables.
 3. A context is retained if its next-symbol distribution diverges from that of its longest
    retained suffix: twice its count times the Kullback-Leibler divergence must exceed what chance
    gives. Its frequent continuations keep discounted estimates; the rest of the mass goes to the
    suffix's distribution (back-off), so every word has a probability in every state.
 
-Scoring walks each text once, taking at each token the longest retained suffix. Words of at least
-the share WORD_RATE (at most 1 / WORD_RATE of them) are broadcast; counts of all others are joined.
+Growing is a sequence of joins and grouped sums, one length after the other. For scoring, texts are
+dealt into sections; the distinct sequences of a section are joined to the tree by key, and each
+section walks its texts with its own part of the tree, taking at each token the longest retained
+suffix. Words of at least the share WORD_RATE (at most 1 / WORD_RATE of them) are broadcast; counts
+of all others are joined.
 
 Null and empty texts have the end token alone. Repeated rows are scored each for itself. Words are
 known by 64-bit hashes.
@@ -23,11 +25,14 @@ known by 64-bit hashes.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,12 +42,16 @@ from ferrolens.llm.frames import collected, pick, slices, stored, table, texts_o
 from ferrolens.llm.ftrl import fold
 
 DEPTH = 4
-#: Share of the training tokens from which on a sequence, or a single word, counts as frequent.
-RATE, WORD_RATE = 5e-6, 1e-6
+#: Occurrences that it takes to learn from a sequence.
+LEAST = 3
+#: Share of the training tokens from which on a single word is broadcast.
+WORD_RATE = 1e-6
 #: Tokens of a section: at least SECTION / 2, at most 3 * SECTION / 2, if the task has as many.
 SECTION = 1_000_000
-#: Candidate sequences that are broadcast at once.
-CANDIDATES = 2_000_000
+#: log2 of the bits of a broadcast bitmap over keys.
+SKETCH = 26
+#: Bytes of text that are scored together, with the part of the tree that they meet.
+SCORED_BYTES = 4 << 20
 DISCOUNT = 0.5
 END = U(0x0E0D0E0D0E0D0E0D)
 
@@ -141,74 +150,65 @@ class Lookup:
         return out
 
 
-def frequent_sequences(texts: DataFrame, total: int, rate: float = RATE, depth: int = DEPTH) -> dict[str, np.ndarray]:
-    """All sequences of 2 to depth + 1 tokens with a count of at least rate * total, exactly.
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are stored."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    Columns: n (length), key, context, last, shorter (without the first token), shorter_context, c.
-    """
-    spark = texts.sparkSession
-    names = ["n", "key", "context", "shorter", "shorter_context", "last"]
-
-    def propose(batches):
-        for h, counts in _sections(batches):
-            least = rate * len(h)
-            before_now = np.ones(len(h), bool)
-            previous = older = None
-            for n, now, valid in sequences(h, counts, depth + 1):
-                if n == 1:
-                    keys, inverse, c = np.unique(now, return_inverse=True, return_counts=True)
-                    before_now = (c >= least)[inverse]
-                else:
-                    # both shorter sequences must be frequent here
-                    fit = valid & before_now
-                    fit[1:] &= before_now[:-1]
-                    fit[0] = False
-                    at = np.flatnonzero(fit)
-                    keys, first, inverse, c = np.unique(now[at], return_index=True, return_inverse=True, return_counts=True)
-                    good = c >= least
-                    before_now = np.zeros(len(h), bool)
-                    before_now[at] = good[inverse]
-                    i = at[first[good]]
-                    context = previous[i - 1]
-                    shorter_context = older[i - 1] if n > 2 else np.zeros(len(i), U)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), n, np.int32)), *map(_signed, (now[i], context, previous[i], shorter_context, h[i]))], names=names)
-                older, previous = previous, now
 
+def sketch(keys: DataFrame) -> np.ndarray:
+    """A bitmap with the bit of every key's leading SKETCH bits set; at most 2 ** SKETCH / 64 rows reach the driver."""
+    place = F.shiftrightunsigned("key", 64 - SKETCH)
+    rows = collected(keys.select(F.shiftrightunsigned(place, 6).alias("word"), place.bitwiseAND(63).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")))
+    out = np.zeros(1 << SKETCH - 6, U)
+    out[rows["word"].astype(np.int64)] = rows["bits"].astype(np.int64).view(U)
+    return out
+
+
+def met(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the keys may be in the bitmap; those that were put in always are."""
+    place = keys >> U(64 - SKETCH)
+    return bitmap[(place >> U(6)).astype(np.int64)] >> (place & U(63)) & U(1) > 0
+
+
+def frequent_sequences(texts: DataFrame, counts: DataFrame, total: int, least: float = LEAST, depth: int = DEPTH) -> list[DataFrame]:
+    """For each length from 2 to depth + 1, (key, context, shorter, c): all sequences with a count of at least `least`, exactly.
+
+    shorter is the sequence without its first token. Counts are added up by section before the shuffle.
+    """
+    names = ["key", "context", "shorter", "c"]
     # sections of a fair size need partitions of a fair size
     few = max(1, total // (SECTION // 2))
     sized = texts.coalesce(few) if few < texts.rdd.getNumPartitions() else texts
-    schema = "n int, " + ", ".join(f"{c} long" for c in names[1:])
-    proposed = stored(sized.mapInArrow(propose, schema).groupBy("key").agg(*(F.first(c).alias(c) for c in names if c != "key")), "proposed")
-    found: list[dict[str, np.ndarray]] = []
-    n_blocks = max(1, -(-proposed.count() // CANDIDATES))
-    for block in range(n_blocks):
-        rows = proposed.filter(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == block).select("n", "key")
-        rows = collected(rows)
-        by_n = {n: np.sort(rows["key"][rows["n"] == n].view(U)) for n in range(2, depth + 2)}
-        shared = spark.sparkContext.broadcast(by_n)
-
-        def count(batches, shared=shared):
-            look = {n: Lookup(k) for n, k in shared.value.items()}
-            sums = {n: np.zeros(len(k.keys), np.int64) for n, k in look.items()}
-            for h, counts in _sections(batches):
-                for n, now, valid in sequences(h, counts, depth + 1):
-                    if n > 1:
-                        at = look[n](now[valid])
-                        sums[n] += np.bincount(at[at >= 0], minlength=len(sums[n]))
-            for n, s in sums.items():
-                some = np.flatnonzero(s)
-                yield pa.RecordBatch.from_arrays([_signed(look[n].keys[some]), pa.array(s[some])], names=["key", "c"])
-
-        counted = texts.mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= rate * total)
-        got = collected(counted.join(proposed, "key"))  # at most depth / rate rows over all blocks
-        found.append({c: got[c].astype(np.int64) for c in [*names, "c"]})
-    out = {c: np.concatenate([f[c] for f in found]) for c in [*names, "c"]}
-    return {c: v if c in ("n", "c") else v.view(U) for c, v in out.items()}
+    out: list[DataFrame] = []
+    for longest in range(2, depth + 2):
+        shared = texts.sparkSession.sparkContext.broadcast(sketch(out[-1] if out else counts.filter(F.col("c") >= least)))
+
+        def run(batches, longest=longest, shared=shared):
+            for h, sizes in _sections(batches):
+                previous = now = h
+                for _, following, valid in sequences(h, sizes, longest):
+                    previous, now = now, following
+                # both shorter sequences must be frequent
+                may = met(shared.value, previous)
+                fit = valid & may
+                fit[1:] &= may[:-1]
+                at = np.flatnonzero(fit)
+                keys, first, c = np.unique(now[at], return_index=True, return_counts=True)
+                for a in range(0, len(keys), 200_000):
+                    i = at[first[a : a + 200_000]]
+                    yield pa.RecordBatch.from_arrays([*map(_signed, (now[i], previous[i - 1], previous[i])), pa.array(c[a : a + 200_000])], names=names)
+
+        counted = sized.mapInArrow(run, "key long, context long, shorter long, c long").groupBy("key")
+        out.append(stored(counted.agg(*(F.max(x).alias(x) for x in ("context", "shorter")), F.sum("c").alias("c")).filter(F.col("c") >= least), f"frequent{longest}"))
+        shared.destroy()
+        released(texts.sparkSession)
+    return out
 
 
 @dataclass
-class Tree:
-    """The suffix tree: words with their counts, contexts with back-off weights, continuations."""
+class Part:
+    """A part of the tree in arrays: words with their counts, contexts with back-off weights, continuations."""
 
     total: int
     distinct: int
@@ -218,39 +218,70 @@ class Tree:
     continuations: list[tuple[np.ndarray, np.ndarray]]  # by length of the context - 1: sorted keys, log10 probability
 
     @classmethod
-    def grow(cls, total: int, distinct: int, word_keys: np.ndarray, word_counts: np.ndarray, frequent: dict[str, np.ndarray], depth: int = DEPTH) -> Tree:
-        order = np.argsort(word_keys)
-        word_keys, word_counts = word_keys[order], word_counts[order]
-        unit = lambda c: (c + 1) / (total + distinct + 1)
-        keys, counts, p_now = word_keys, word_counts, unit(word_counts)  # sequences one shorter: key, count, probability of the last token in its state
-        contexts, continuations = [], []
-        for n in range(2, depth + 2):
-            mine = frequent["n"] == n
-            order = np.argsort(frequent["key"][mine])
-            f = {k: v[mine][order] for k, v in frequent.items()}
-            if not len(f["key"]):
-                break
-            context, inverse = np.unique(f["context"], return_inverse=True)
-            c_context = counts[np.searchsorted(keys, context)]
-            below = p_now[np.searchsorted(keys, f["shorter"])]
-            here = (f["c"] - DISCOUNT) / c_context[inverse]
-            listed, listed_below = np.bincount(inverse, here), np.minimum(np.bincount(inverse, below), 1 - 1e-9)
-            rest = np.maximum(1 - listed, 1e-9)
-            divergence = np.bincount(inverse, here * np.log(here / below)) + rest * np.log(rest / (1 - listed_below))
-            n_listed = np.bincount(inverse)
-            kept = 2 * c_context * divergence > n_listed + 4 * np.sqrt(2 * n_listed) + 10
-            contexts.append((context[kept], np.log10(rest / (1 - listed_below))[kept]))
-            in_kept = kept[inverse]
-            continuations.append((f["key"][in_kept], np.log10(here)[in_kept]))
-            keys, counts, p_now = f["key"], f["c"], np.where(in_kept, here, below)
-        return cls(total, distinct, word_keys, word_counts, contexts, continuations)
-
-    def bytes(self) -> int:
-        return sum(a.nbytes + b.nbytes for a, b in [(self.word_keys, self.word_counts), *self.contexts, *self.continuations])
+    def of(cls, total: int, distinct: int, word_keys: np.ndarray, word_counts: np.ndarray, rows: dict[str, np.ndarray], depth: int) -> Part:
+        """From rows of a tree's entries."""
+        order = np.argsort(rows["key"].view(U))
+        key, level, listed, value = rows["key"].view(U)[order], rows["level"][order], rows["listed"][order].astype(bool), rows["value"][order]
+        levels = lambda mask: [(key[mask & (level == n)], value[mask & (level == n)]) for n in range(depth)]
+        return cls(total, distinct, word_keys, word_counts, levels(~listed), levels(listed))
+
+
+@dataclass
+class Tree:
+    """The suffix tree: common words with their counts, and a stored table of all contexts and continuations.
+
+    entries: key, level (length of the context - 1), listed (a continuation, else a context), value
+    (log10 of its probability or of the back-off weight).
+    """
+
+    total: int
+    distinct: int
+    word_keys: np.ndarray
+    word_counts: np.ndarray
+    entries: DataFrame
+    depth: int = DEPTH
+
+    @cached_property
+    def whole(self) -> Part:
+        """All of a small tree, to look at; nothing else collects it."""
+        return Part.of(self.total, self.distinct, self.word_keys, self.word_counts, collected(self.entries), self.depth)
+
+    @property
+    def contexts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return self.whole.contexts
+
+
+def grow(total: int, distinct: int, counts: DataFrame, frequent: list[DataFrame], least: float) -> DataFrame:
+    """Entries of the tree: the divergence test of each length, as joins and grouped sums."""
+    # sequences one shorter: key, count, probability of the last token in its state
+    states = counts.filter(F.col("c") >= least).select("key", "c", ((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("p"))
+    levels = []
+    for n, f in enumerate(frequent, 2):
+        below = states.select(F.col("key").alias("shorter"), F.col("p").alias("below"))
+        whole = states.select(F.col("key").alias("context"), F.col("c").alias("c_context"))
+        f = f.join(below, "shorter").join(whole, "context")
+        f = stored(f.select("key", "context", "c", "c_context", "below", ((F.col("c") - DISCOUNT) / F.col("c_context")).alias("here")), f"level{n}")
+        sums = f.groupBy("context").agg(
+            F.max("c_context").alias("c_context"), F.count("*").alias("n"), F.sum("here").alias("here"), F.least(F.sum("below"), F.lit(1 - 1e-9)).alias("below"), F.sum(F.col("here") * F.ln(F.col("here") / F.col("below"))).alias("divergence")
+        )
+        rest, free = F.greatest(1 - F.col("here"), F.lit(1e-9)), 1 - F.col("below")
+        divergence = F.col("divergence") + rest * F.ln(rest / free)
+        kept = 2 * F.col("c_context") * divergence > F.col("n") + 4 * F.sqrt(2 * F.col("n")) + 10
+        contexts = stored(sums.filter(kept).select("context", F.log10(rest / free).alias("weight")), f"contexts{n}")
+        states = stored(f.join(contexts.select("context", F.lit(True).alias("kept")), "context", "left").select("key", "c", F.coalesce("kept", F.lit(False)).alias("kept"), F.when(F.col("kept"), F.col("here")).otherwise(F.col("below")).alias("p")), f"states{n}")
+        level = F.lit(n - 2).alias("level")
+        levels.append(contexts.select(F.col("context").alias("key"), level, F.lit(False).alias("listed"), F.col("weight").alias("value")))
+        levels.append(states.filter("kept").select("key", level, F.lit(True).alias("listed"), F.log10("p").alias("value")))
+        released(counts.sparkSession)
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 class Scorer:
-    def __init__(self, tree: Tree):
+    def __init__(self, tree: Tree | Part):
+        tree = tree.whole if isinstance(tree, Tree) else tree
         self.tree = tree
         self.words = Lookup(tree.word_keys)
         self.log_word = np.log10((tree.word_counts + 1) / (tree.total + tree.distinct + 1))
@@ -285,25 +316,30 @@ class Scorer:
         return counts, np.bincount(owner[~rare], minlength=n), np.bincount(owner, base, n), np.bincount(owner, score, n), who[first], key[first], tf
 
 
-def suffix_tree(texts: DataFrame, rate: float = RATE, word_rate: float = WORD_RATE, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The tree learned from the `text` column, and the stored table (key, c) of all words."""
+def suffix_tree(texts: DataFrame, rate: float = 0.0, word_rate: float = WORD_RATE, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
+    """The tree learned from the `text` column, and the stored table (key, c) of all words.
+
+    Sequences need LEAST occurrences whatever the corpus; a rate above 0 asks for that share of the tokens too.
+    """
     counts = stored(count_words(texts), "words")
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
     common = collected(counts.filter(F.col("c") >= F.greatest(F.lit(word_rate * total), F.lit(1.0))))  # at most 1 / word_rate rows
-    # a sequence can be frequent by a count of 1 in a tiny corpus; it takes 3 occurrences to learn from
-    rate = max(rate, 3 / max(total, 1))
-    frequent = frequent_sequences(texts, total, rate, depth)
-    return Tree.grow(total, distinct, common["key"].astype(np.int64).view(U), common["c"].astype(np.int64), frequent, depth), counts
+    keys, n = common["key"].astype(np.int64).view(U), common["c"].astype(np.int64)
+    order = np.argsort(keys)
+    least = max(LEAST, rate * total)
+    frequent = frequent_sequences(texts, counts, total, least, depth)
+    return Tree(total, distinct, keys[order], n[order], grow(total, distinct, counts, frequent, least), depth), counts
 
 
 def score_texts(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     """docs (id, text, ...) with n_tokens, n_known, base_score and score; the text goes.
 
-    The tree is bounded by its rates; Tree.bytes() says its size. Rare words' counts are joined.
+    Sections of texts meet their part of the tree by a join on the sequences' keys. Rare words' counts are joined.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tree)
+    total, distinct, depth = tree.total, tree.distinct, tree.depth
+    shared = spark.sparkContext.broadcast((tree.word_keys, tree.word_counts))  # bounded by word_rate
     names = docs.columns
     at = names.index("text")
     kept = [f for f in docs.schema.fields if f.name != "text"]
@@ -311,18 +347,63 @@ def score_texts(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     rows = docs.withColumn("row", F.monotonically_increasing_id())
     schema = T.StructType([*kept, *T._parse_datatype_string(new).fields])
 
-    def run(batches):
-        score = Scorer(shared.value)
+    def deal(batches):
+        section, held = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            for piece in slices(batch, at):
+                size = piece.column(at).nbytes
+                if held and held + size > SCORED_BYTES:
+                    section, held = section + 1, 0
+                held += size
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.full(piece.num_rows, section))], names=dealt.names)
+
+    dealt = T.StructType([*rows.schema.fields, T.StructField("section", T.LongType())])
+    dealt_rows = stored(rows.mapInArrow(deal, dealt), "sections")
+
+    def probe(batches):
+        def keys_of(section, texts):
+            h, sizes = token_stream(pa.concat_arrays(texts))
+            for _, now, valid in sequences(h, sizes, depth + 1):
+                keys = np.unique(now[valid & met(present.value, now)])
+                for a in range(0, len(keys), 200_000):
+                    some = keys[a : a + 200_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), section)), _signed(some)], names=["section", "key"])
+
+        now, held = None, []
         for batch in batches:
+            sections = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(sections)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and sections[a] != now:
+                    yield from keys_of(now, held)
+                    held = []
+                now = sections[a]
+                held.append(texts_of(batch.column(0).slice(a, b - a)))
+        if held:
+            yield from keys_of(now, held)
+
+    present = spark.sparkContext.broadcast(sketch(tree.entries))
+    # a section that lies in two tasks is probed by both
+    probes = dealt_rows.select("text", "section").mapInArrow(probe, "section long, key long")
+    hits = probes.join(tree.entries, "key").select("section", "key", "level", "listed", "value")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        part = Part.of(total, distinct, *shared.value, {c: right.column(c).to_numpy() for c in right.column_names}, depth)
+        score = Scorer(part)
+        out = []
+        for batch in left.drop_columns(["section"]).combine_chunks().to_batches():
             for piece in slices(batch, at):
                 n, common, base, states, who, key, tf = score(texts_of(piece.column(at)))
                 rare = pa.StructArray.from_arrays([_signed(key), pa.array(tf.astype(np.int32))], names=["key", "tf"])
                 offsets = pa.array(np.searchsorted(who, np.arange(piece.num_rows + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays(
+                out.append(pa.RecordBatch.from_arrays(
                     [*(c for i, c in enumerate(piece.columns[:-1]) if i != at), piece.columns[-1], pa.array(n.astype(np.int64)), pa.array(common.astype(np.int64)), pa.array(base), pa.array(states), pa.ListArray.from_arrays(offsets, rare)], names=schema.names
-                )
+                ))
+        return pa.Table.from_batches(out)
 
-    scored = stored(rows.mapInArrow(run, schema), "scored")
+    scored = stored(dealt_rows.groupBy("section").cogroup(hits.groupBy("section")).applyInArrow(run, schema), "scored")
     unit = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree.total + tree.distinct + 1)))
     sums = (
         scored.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.tf").join(counts, "key", "left")

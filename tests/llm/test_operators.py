@@ -224,6 +224,26 @@ def test_suffix_tree(spark, rows, docs):
         assert sum(scores) == pytest.approx(1.0, abs=1e-6)
 
 
+def test_suffix_tree_keeps_what_a_large_corpus_dilutes(spark):
+    """A context of 14 occurrences stays in the tree among 3 million other tokens, and scoring meets it."""
+    import pyarrow as pa
+
+    filler = spark.range(0, 500, 1, 4).select(F.repeat(F.concat(F.lit("w"), F.col("id") % 50, F.lit(" ")), 6000).alias("text"))
+    planted = spark.createDataFrame([("alpha beta gamma",)] * 14, "text string")
+    tree, counts = suffixtree.suffix_tree(filler.union(planted))
+    assert tree.total > 3_000_000
+    h, _ = suffixtree.token_stream(pa.array(["alpha"]))
+    assert int(h[0]) in tree.contexts[0][0].tolist()
+    texts = ["alpha beta gamma", "beta w1 w1", None, "new"]
+    held = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r for r in suffixtree.score_texts(held, tree, counts).collect()}
+    assert len(got) == 4 and got[0]["score"] > got[0]["base_score"] + 9
+    # sections meet the same tree as a scorer that holds all of it
+    _, _, base, states, *_ = suffixtree.Scorer(tree)(pa.array([t or "" for t in texts]))
+    for i in range(4):
+        assert got[i]["score"] - got[i]["base_score"] == pytest.approx(states[i] - base[i])
+
+
 def state_probabilities(tree, counts, frame, n):
     """P(x | context) of every row's last word, and of the end token, from differences of scores."""
     import numpy as np
