@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,43 +61,60 @@ def unit(vector: Column | str) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-#: Query vectors that may be broadcast.
-MOST_QUERIES = 20_000
+#: Query vectors that are broadcast at once, and cells of a matrix of scores.
+MOST_QUERIES, CELLS = 20_000, 4_000_000
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, score, place): exact search by cosine. queries: query_id, vector; vectors: chunk_id, vector.
 
-    The stated queries go to every block of vectors as arrays of a broadcast of checked size; a task
-    keeps the k best of each query of its own rows, so what is shuffled is k rows a query and task.
+    Queries go to every block of vectors as arrays of broadcasts of MOST_QUERIES at most, one scan of
+    the vectors for each; a task keeps the k best of each query of its own rows, so what is shuffled is
+    k rows a query and task.
     """
     import numpy as np
     import pandas as pd
 
-    asked = queries.select("query_id", unit("vector").alias("vector")).limit(MOST_QUERIES + 1).toPandas()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: search in blocks of them")
-    kind = queries.schema["query_id"].dataType.simpleString()
-    if not len(asked):
-        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double, place long")
-    shared = vectors.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), np.array(asked["vector"].tolist())))
+    spark = vectors.sparkSession
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
     rows = vectors.filter(where) if where is not None else vectors
     rows = rows.select("chunk_id", unit("vector").alias("vector"))
 
-    def run(batches):
-        ids, matrix = shared.value
-        held = None
-        for batch in batches:
-            scores = matrix @ np.array(batch["vector"].tolist()).T
-            top = np.argsort(-scores, axis=1, kind="stable")[:, : min(4 * k, scores.shape[1])]
-            some = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "chunk_id": batch["chunk_id"].to_numpy()[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()})
-            held = some if held is None else pd.concat([held, some])
-            held["r"] = held["score"].round(9)
-            held = held.sort_values(["query_id", "r", "chunk_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k).drop(columns="r")
-        if held is not None:
-            yield held
-
-    found = rows.mapInPandas(run, f"query_id {kind}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double")
+    def search(shared) -> DataFrame:
+        def top(some: pd.DataFrame) -> pd.DataFrame:
+            some["r"] = some["score"].round(9)
+            return some.sort_values(["query_id", "r", "chunk_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k).drop(columns="r")
+
+        def run(batches):
+            ids, matrix = shared.value
+            held = None
+            for batch in batches:
+                if not len(batch):
+                    continue
+                chunks, columns = batch["chunk_id"].to_numpy(), np.array(batch["vector"].tolist()).T
+                found = [] if held is None else [held]
+                step = max(1, CELLS // len(chunks))
+                for a in range(0, len(ids), step):
+                    scores = matrix[a : a + step] @ columns
+                    rounded = scores.round(9)
+                    # all that tie with the k-th stay until they are ordered by chunk_id
+                    least = np.partition(rounded, -k, axis=1)[:, -k] if k < len(chunks) else np.full(len(rounded), -np.inf)
+                    q, c = np.nonzero(rounded >= least[:, None])
+                    found.append(top(pd.DataFrame({"query_id": ids[a + q], "chunk_id": chunks[c], "score": scores[q, c]})))
+                held = top(pd.concat(found))
+            if held is not None:
+                yield held
+
+        return rows.mapInPandas(run, kinds)
+
+    found = None
+    asked = queries.select("query_id", unit("vector").alias("vector")).toLocalIterator()
+    while block := list(islice(asked, MOST_QUERIES)):
+        arrays = pd.Series([r["query_id"] for r in block]).to_numpy(), np.array([r["vector"] for r in block])
+        some = search(spark.sparkContext.broadcast(arrays))
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return spark.createDataFrame([], f"{kinds}, place long")
     return best(found, k)
 
 

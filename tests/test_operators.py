@@ -191,3 +191,15 @@ def test_typing_errors_and_units(spark):
 
     df = spark.createDataFrame([("슬러이 펌프 E1023 100um 30 rpm A-12",)], "q string")
     assert df.select(K.correct_patterns("q").alias("c")).first()["c"] == "슬러리 펌프 E-1023 100 μm 30 RPM A-12"
+
+
+def test_vector_search_in_blocks_and_with_ties(spark, monkeypatch):
+    """More queries than one block holds are all answered; of many equal vectors the least ids win."""
+    from ferrolens.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 3)
+    vectors = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(99, -1, -1)] + [(200, [0.0, 1.0])], "chunk_id long, vector array<double>").coalesce(1)
+    asked = spark.createDataFrame([(q, [1.0, 0.1 * q]) for q in range(10)], "query_id long, vector array<double>")
+    got = sorted((r["query_id"], r["place"], r["chunk_id"]) for r in retrieval.vector_search(asked, vectors, 2).collect())
+    assert got == [(q, p, p - 1) for q in range(10) for p in (1, 2)]
+    assert retrieval.vector_search(asked.limit(0), vectors, 2).count() == 0
