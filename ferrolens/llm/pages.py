@@ -6,7 +6,8 @@
    As each page has few subtrees, a host's template has at most (subtrees a page) / SHARE entries,
    whatever its size.
 3. On each page, template subtrees go, and so do elements that say by tag, role, class or id that
-   they are menus, headers, footers, sidebars, notices, adverts, forms or comments. If the page
+   they are menus, headers, footers, sidebars, notices, adverts, forms or comments; by class and id, no article or what holds it goes,
+   except comments and related articles beside another. If the page
    marks its article (<article>, <main>), only that stays; paragraphs and headings in it are never
    taken for template, since articles that sites carry twice, or quote, are still articles.
 4. Blocks of the rest, character references decoded, white space single, are joined by two newlines.
@@ -36,7 +37,7 @@ MIN_PAGES, SHARE = 4, 0.1
 HELD_HASHES = 200_000
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +53,10 @@ WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr login masthead menu menubar modal nav navbar navigation "
     "newsletter notice notices notification pagination pager popup promo promotion recommended related remark respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Whole class tokens or ids by which even an article is none, if the page has another.
+SECOND = frozenset("comment comments disqus related recommended".split())
+#: First parts of class tokens that only say what a page has or lacks.
+ABOUT = frozenset("has have no not non with without hide hidden is".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dl dt dd ol ul table tr figure figcaption".split())
 
 
@@ -147,8 +152,12 @@ class Page:
                 out[i] = int.from_bytes(hashlib.blake2b(self.source[a:b].strip().encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
         return out
 
-    def says_aside(self, i: int) -> bool:
-        """Whether tag, role, class or id name something other than an article."""
+    def says_aside(self, i: int, holder: bool = False, words: bool = True) -> bool:
+        """Whether tag, role, class or id name something other than an article.
+
+        Words of class and id count by whole tokens, or by their first and last parts. For a holder
+        (an article, or what contains one) only SECOND counts, and nothing without `words`.
+        """
         tag = self.tags[i]
         if tag in NEVER:
             return True
@@ -161,26 +170,40 @@ class Page:
                 return True
             if name == "role" and value in ROLES:
                 return True
-            if name in ("class", "id") and not WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
+            if name in ("class", "id"):
+                for token in value.split():
+                    parts = re.findall(r"[a-z]+", token)
+                    if holder:
+                        if words and token in SECOND:
+                            return True
+                    elif parts and parts[0] not in ABOUT and (parts[0] in WORDS or parts[-1] in WORDS):
+                        return True
         return False
 
     def text(self, template: frozenset[int]) -> str:
         tags, parents = self.tags, self.parents
         n = len(tags)
-        gone, marked, heading = [False] * n, [False] * n, [False] * n
+        holders = [tag in ("article", "main") for tag in tags]
+        for i in range(n - 1, -1, -1):
+            if holders[i] and parents[i] >= 0:
+                holders[parents[i]] = True
         hashes = self.hashes() if template else {}
-        for i, tag in enumerate(tags):
-            p = parents[i]
-            up, body = (gone[p], marked[p]) if p >= 0 else (False, False)
-            aside = up or self.says_aside(i)
-            marked[i] = body or tag in ("article", "main") and not aside
-            if tag == "header":  # of an article, a header keeps its headings alone
-                heading[i] = body
-                aside = aside or not body
-            elif p >= 0 and heading[p]:
-                heading[i] = True
-            gone[i] = aside or not (marked[i] and (tag in PROSE or tag in ("article", "main"))) and hashes.get(i) in template
+        # if class and id leave no article of several or one, they don't count for articles
+        for words in (True, False):
+            gone, marked, heading = [False] * n, [False] * n, [False] * n
+            for i, tag in enumerate(tags):
+                p = parents[i]
+                up, body = (gone[p], marked[p]) if p >= 0 else (False, False)
+                aside = up or self.says_aside(i, holders[i], words)
+                marked[i] = body or tag in ("article", "main") and not aside
+                if tag == "header":  # of an article, a header keeps its headings alone
+                    heading[i] = body
+                    aside = aside or not body
+                elif p >= 0 and heading[p]:
+                    heading[i] = True
+                gone[i] = aside or not (marked[i] and (tag in PROSE or tag in ("article", "main"))) and hashes.get(i) in template
+            if not any(holders) or any(m and not g for m, g in zip(marked, gone, strict=True)):
+                break
         only = any(m and not g for m, g in zip(marked, gone, strict=True))
         blocks: list[list[str]] = [[]]
         for i, a, b in self.events:

@@ -159,6 +159,18 @@ def test_page_text():
     assert parsed.text(template) == "Body text"
 
 
+def test_articles_stay_whatever_their_theme_says():
+    text = lambda page: pages.Page(page).text(frozenset())
+    for attributes in ('style="overflow:hidden"', 'data-id="ad" data-role="form"', 'class="content has-sidebar"', 'class="post no-comments"', 'class="layout with-nav"', 'title="no hidden class=ad"'):
+        assert text(f"<body><div {attributes}><p>Kept</p></div></body>") == "Kept"
+        assert text(f"<body><div {attributes}><article {attributes}><p>Kept</p></article></div></body>") == "Kept"
+    assert text("<body><div class='sidebar-left wide'><article class='widget notice'><p>Kept</p></article></div></body>") == "Kept"
+    for attributes in ("hidden", "class='box ad-banner'", "id=comments", "class='post-comments'", "role=navigation"):
+        assert text(f"<body><p>Kept</p><div {attributes}><p>Gone</p></div></body>") == "Kept"
+    assert text("<body><article><p>Kept</p></article><div id=comments><article><p>Reply</p></article></div></body>") == "Kept"
+    assert text("<body><article class=comments><p>Kept</p></article></body>") == "Kept"
+
+
 def test_deobfuscation():
     rnd = random.Random(11)
     lexicon = "stupid idiot moron worthless the quick brown fox jumps over lazy dog and then runs away from it".split()
