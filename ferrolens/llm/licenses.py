@@ -7,7 +7,8 @@
 2. Every K-word sequence of every document is looked up. A shared run of W + K - 1 words always
    meets a fingerprint. Hits of one template on neighbouring diagonals make a candidate.
 3. Each candidate is aligned with its template in a band around its diagonals (local alignment;
-   match 1, mismatch and gap -1), which gives the covered share of the template and the span.
+   match 1, mismatch and gap -1), which gives the covered share of the template and the span. What lies before and behind a match is
+   aligned again, until nothing is left that reaches the coverage.
 
 A match needs `coverage` of the template's words. Null, empty and wordless texts have no matches; a
 document may have many, also of one template. Repeated rows are scanned each for itself. Texts are
@@ -107,11 +108,12 @@ def align(a: np.ndarray, b: np.ndarray, lo: int, hi: int) -> tuple[int, int, int
         up = score[i - 1, 2 : width + 2] - 1
         best = np.maximum(np.maximum(diagonal, up), 0)
         kind = np.where(best == 0, 0, np.where(best == diagonal, 1, 2))
-        for k in range(1, width):  # gaps in a run along the row
-            if best[k - 1] - 1 > best[k]:
-                best[k], kind[k] = best[k - 1] - 1, 3
-        score[i, 1 : width + 1], step[i, 1 : width + 1] = best, kind
-    i, k = np.unravel_index(score.argmax(), score.shape)
+        run = np.maximum.accumulate(best + np.arange(width)) - np.arange(width)  # gaps in a run along the row
+        kind[run > best] = 3
+        score[i, 1 : width + 1], step[i, 1 : width + 1] = run, kind
+    # of several ends that are as good, the middle one: what is left on both sides is aligned again
+    ends = np.flatnonzero(score == score.max())
+    i, k = np.unravel_index(ends[len(ends) // 2], score.shape)
     matched, last, first = 0, int(i - 1 + lo + k - 1), 0
     while i > 0 and step[i, k]:
         j = int(i - 1 + lo + k - 1)
@@ -125,6 +127,21 @@ def align(a: np.ndarray, b: np.ndarray, lo: int, hi: int) -> tuple[int, int, int
     return matched, first, last + 1
 
 
+def alignments(a: np.ndarray, b: np.ndarray, lo: int, hi: int, coverage: float) -> list[tuple[int, int, int]]:
+    """Matched words and places in b of all matches of template a that reach the coverage; none overlap."""
+    out, todo = [], [(0, len(b))]
+    while todo:
+        x, y = todo.pop()
+        left, right = max(lo - x, 1 - len(a)), min(hi - x, y - x - 1)
+        if y - x < coverage * len(a) or left > right:
+            continue
+        matched, s, e = align(a, b[x:y], left, right)
+        if matched and matched / len(a) >= coverage:
+            out.append((matched, x + s, x + e))
+            todo += [(x, x + s), (x + e, y)]
+    return out
+
+
 MATCHES = T.ArrayType(
     T.StructType(
         [T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType())] + [T.StructField(n, T.LongType()) for n in ("start", "end", "byte_start", "byte_end")]
@@ -163,12 +180,10 @@ def scan(texts: pa.Array, index: Index, coverage: float) -> tuple[np.ndarray, li
         right = int(diagonal[b - 1] - begin[i]) + BAND
         offset = max(left, 0)
         part = text[offset : max(right, 0) + len(index.words[t])]
-        matched, s, e = align(index.words[t], part, left - offset, right - offset)
-        share = matched / len(index.words[t])
-        if share >= coverage:
+        for matched, s, e in alignments(index.words[t], part, left - offset, right - offset, coverage):
             s, e = s + offset, e + offset
             g = int(begin[i])
-            found[i].append({"license": index.names[t], "coverage": share, "start": s, "end": e, "byte_start": int(starts[g + s] - bounds[i]), "byte_end": int(ends[g + e - 1] - bounds[i])})
+            found[i].append({"license": index.names[t], "coverage": matched / len(index.words[t]), "start": s, "end": e, "byte_start": int(starts[g + s] - bounds[i]), "byte_end": int(ends[g + e - 1] - bounds[i])})
     for matches in found:
         matches.sort(key=lambda m: (m["start"], m["end"], m["license"]))
     return counts, found

@@ -144,6 +144,16 @@ def test_license_alignment():
     assert text[got["gpl-notice"]["byte_start"] : got["gpl-notice"]["byte_end"]] == "THIS work is licensed under the GNU Lesser General Public License, version 3"
 
 
+@pytest.mark.parametrize("between", [" Foo. ", " ", " Foo bar baz. "])
+@pytest.mark.parametrize("notice", ["All rights reserved.", "Released under the MIT License."])
+def test_adjacent_notices_all_match(notice, between):
+    index = licenses.Index.of(licenses.TEMPLATES)
+    for n in (2, 3, 50):
+        text = between.join([notice] * n)
+        _, found = licenses.scan(pa.array([text]), index, 0.8)
+        assert [text[m["byte_start"] : m["byte_end"]] for m in found[0]] == [notice[:-1]] * n
+
+
 def test_page_text():
     page = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li>Menu</ul></nav>"
