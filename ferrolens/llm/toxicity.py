@@ -3,7 +3,8 @@
 1. A character language model (4-grams over 30 classes) is counted over all documents.
 2. Spans that may be disguised are found in numpy: tokens with a look-alike symbol next to a
    letter, tokens with a letter three times in a row, runs of single letters, and letters with
-   separators between them. In every other token the lattice has one path, the token itself.
+   separators between them; between spaces or separators a symbol counts like a letter, if
+   the span has a letter at all. In every other token the lattice has one path, the token itself.
 3. Each such span becomes a lattice: a symbol may stand for the letters it looks like, a run of one
    letter for one or two of it, a separator between letters for nothing. Viterbi decoding under
    the character model picks the best path.
@@ -102,11 +103,13 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
     """For each step through the span, what may have been meant, and its channel cost."""
     steps: list[list[tuple[str, float]]] = []
     i, n = 0, len(span)
+    spaced = any(c.isspace() for c in span)  # single characters with spaces between them
     while i < n:
         c, j = span[i], i + 1
         while j < n and span[j] == c:
             j += 1
-        beside = i > 0 and j < n and not span[i - 1].isspace() and not span[j].isspace()
+        follows = j < n and (spaced or not span[j].isspace())
+        beside = i > 0 and follows and (spaced or not span[i - 1].isspace())
         if c.isalpha():
             run = j - i
             options = [(c * min(run, 2), 0.0)] if run < 3 else [(c, COST_REPEAT), (c * 2, COST_REPEAT), (c * run, 0.0)]
@@ -115,7 +118,7 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
             for k in range(i, j):
                 options = [(span[k], 0.0)]
                 wild = c in "*#"
-                if c in LOOKS_LIKE and (beside if wild else STRONG[ord(c)] or j < n and not span[j].isspace()):
+                if c in LOOKS_LIKE and (beside if wild else STRONG[ord(c)] or follows):
                     options += [(x, COST_WILD if wild else COST_SYMBOL) for x in LOOKS_LIKE[c]]
                 if c in SEPARATORS and 0 < i and j < n:
                     options.append(("", COST_SEPARATOR))
@@ -164,13 +167,17 @@ def suspects(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         same[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
     total = lambda mask: np.add.reduceat(mask.astype(np.int32), starts) if len(starts) else np.zeros(0)
     n_letters, n_joints = total(letter & (data < 128)), total(JOINT[data] & (after & before))
-    pick_ = ((total(odd) > 0) & (n_letters > 0)) | (total(same) > 0) | ((n_letters >= 3) & (n_joints >= n_letters - 1))
-    # runs of three or more tokens of one letter each
-    single = (n_letters == 1) & (ends - starts <= 2)
+    # a symbol between separators or spaces is taken like a letter
+    like = letter & (data < 128) | SYMBOL[data] & ~JOINT[data]
+    n_like, n_between = total(like), total(JOINT[data] & np.append(letter[1:] | like[1:], False) & np.insert(letter[:-1] | like[:-1], 0, False))
+    pick_ = ((total(odd) > 0) & (n_letters > 0)) | (total(same) > 0) | ((n_letters >= 3) & (n_joints >= n_letters - 1)) | ((n_letters > 0) & (n_like >= 3) & (n_between >= n_like - 1))
+    # runs of three or more tokens of one letter or symbol each, a letter among them
+    single = (n_letters == 1) & (ends - starts <= 2) | (ends - starts == 1) & SYMBOL[data[starts]]
     edge = np.diff(np.concatenate([[0], (single & np.append(False, single[1:] & (owner[1:] == owner[:-1]))).astype(np.int8), [0]]))
     first, last = np.flatnonzero(edge == 1) - 1, np.flatnonzero(edge == -1) - 1  # the token before the first that follows a single one
     first = np.where(single[np.maximum(first, 0)] & (first >= 0), first, first + 1)
-    long = last - first >= 2
+    summed = np.concatenate([[0], np.cumsum(n_letters)])
+    long = (last - first >= 2) & (summed[last + 1] > summed[first])
     first, last = first[long], last[long]
     inside = np.zeros(len(starts) + 1, np.int64)
     np.add.at(inside, first, 1)

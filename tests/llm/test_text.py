@@ -194,6 +194,19 @@ def test_deobfuscation():
     assert restore(pa.array(given)).to_pylist() == ["you idiot", "stupid fox", "moron!", "stupid", "", "the quick fox", "worthless"]
 
 
+def test_combined_disguises():
+    rnd = random.Random(11)
+    lexicon = "stupid idiot moron worthless the quick brown fox jumps over lazy dog and then runs away from it".split()
+    counts = np.zeros(toxicity.CLASSES**toxicity.ORDER, np.int64)
+    for _ in range(400):
+        line = np.concatenate([[0, 0, 0], toxicity.CLASS[np.frombuffer(" ".join(rnd.choices(lexicon, k=12)).encode(), np.uint8)], [0]])
+        key = ((line[:-3] * 30 + line[1:-2]) * 30 + line[2:-1]) * 30 + line[3:]
+        np.add.at(counts, key, 1)
+    restore = toxicity.Restorer(toxicity.character_model(counts)).texts
+    given = ["you m 0 r 0 n", "1 d 1 o t", "m.0.r.0.n", "an 1 d ! o t runs", "1 2 3", "the fox 4 5 6", "10.0.0.1"]
+    assert restore(pa.array(given)).to_pylist() == ["you moron", "idiot", "moron", "an idiot runs", "1 2 3", "the fox 4 5 6", "10.0.0.1"]
+
+
 def test_hashes_depend_on_content_alone():
     data, _ = flat_bytes(pa.array(["abcabc", "abc"]))
     p = prefix_hash(data)
