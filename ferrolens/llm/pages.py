@@ -1,16 +1,18 @@
 """Operator 4: main text of web pages, without what a site repeats on its pages.
 
 1. A tolerant parser turns each page into elements (tag, attributes, source range, parent).
-2. The source of every block element is hashed; Spark counts, for each host, on how many pages each
-   hash occurs. Subtrees on at least MIN_PAGES pages and SHARE of the host's pages are the template.
+2. Every block element is hashed, by its source or, where it is a list of links, by its shape; Spark
+   counts, for each host, on how many pages each hash occurs. Subtrees on at least MIN_PAGES pages and SHARE of the host's pages are the template.
    As each page has few subtrees, a host's template has at most (subtrees a page) / SHARE entries,
    whatever its size.
-3. On each page, template subtrees go, and so do elements that say by tag, role, class or id that
-   they are menus, headers, footers, sidebars, notices, adverts, forms or comments; by class and id, no article or what holds it goes,
-   except comments and related articles beside another. If the page
-   marks its article (<article>, <main>), only that stays; paragraphs and headings in it are never
-   taken for template, since articles that sites carry twice, or quote, are still articles.
-4. Blocks of the rest, character references decoded, white space single, are joined by two newlines.
+3. On each page, template subtrees are deleted first, inside an article too. Articles that a site
+   carries twice, or quotes, are no template: prose inside <article> or <main> is deleted only if it
+   has at most PROSE_CHARS characters and stands on PROSE_SHARE of the host's pages, and never if nothing
+   else would be left of the article.
+4. Of what is left, elements go that say by tag, role, class or id that they are menus, headers,
+   footers, sidebars, notices, adverts, forms or comments (`says_aside`). If the page marks its
+   article (<article>, <main>), only that stays.
+5. Blocks of the rest, character references decoded, white space single, are joined by two newlines.
 
 Null, empty and textless pages give an empty text. Pages without a host in their url form one host
 of their own. Repeated rows count once each. Pages are parsed whole; depth and length are free.
@@ -33,10 +35,15 @@ from ferrolens.llm.frames import column_index, fresh, pick, positional, slices,
 
 #: A subtree is template if it is on so many pages of a host, and on this share of them.
 MIN_PAGES, SHARE = 4, 0.1
+#: Prose of an article is template only up to this length, and from this share of the host's pages on.
+PROSE_CHARS, PROSE_SHARE = 200, 0.5
+#: Share of its text in links that makes an element a list of links.
+LINKED = 0.8
 #: Hashes that a task counts before it sends them on.
 HELD_HASHES = 200_000
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+NAMED = re.compile(r"""(?:^|(?<=\s))(?:class|id)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 # Fixed values of HTML.
@@ -55,8 +62,11 @@ WORDS = frozenset(
 )
 #: Whole class tokens or ids by which even an article is none, if the page has another.
 SECOND = frozenset("comment comments disqus related recommended".split())
-#: First parts of class tokens that only say what a page has or lacks.
-ABOUT = frozenset("has have no not non with without hide hidden is".split())
+#: Parts of a class token that leave the meaning to its other parts ("site-footer", "share-buttons").
+PLAIN = frozenset(
+    "area block bottom box bar button buttons container content form global group icon icons inner item items left link links list main outer page panel post posts primary right row secondary section side site slot "
+    "text top unit wrap wrapper".split()
+)
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dl dt dd ol ul table tr figure figcaption".split())
 
 
@@ -144,18 +154,45 @@ class Page:
         close(0, len(source))
 
     def hashes(self) -> dict[int, int]:
-        """64-bit hashes of the sources of block elements below the body."""
+        """64-bit hashes of the block elements below the body.
+
+        Of most it is the hash of their source. Lists of links (all but LINKED of the text stands in links) change their entries
+        from page to page: outside articles, theirs is the hash of tags, classes and ids, equal neighbours once.
+        """
+        tags, parents, n = self.tags, self.parents, len(self.tags)
+        size, linked = [0] * n, [0] * n
+        link, article = [False] * n, [False] * n
+        for i, tag in enumerate(tags):
+            p = parents[i]
+            link[i] = tag == "a" or p >= 0 and link[p]
+            article[i] = tag in ("article", "main") or p >= 0 and article[p]
+        for i, a, b in self.events:
+            if a >= 0 <= i:
+                m = len(self.source[a:b].strip())
+                size[i] += m
+                linked[i] += m * link[i]
+        shapes: list[list[str]] = [[] for _ in range(n)]
         out = {}
-        for i, tag in enumerate(self.tags):
+        for i in range(n - 1, -1, -1):
+            tag, p = tags[i], parents[i]
+            inner = shapes[i][::-1]
+            shape = f"<{tag} {' '.join(sorted(NAMED.findall(self.attributes[i])))}>{''.join(x for k, x in enumerate(inner) if not k or inner[k - 1] != x)}</>"
+            if p >= 0:
+                size[p] += size[i]
+                linked[p] += linked[i]
+                shapes[p].append(hashlib.blake2b(shape.encode("utf-8", "replace"), digest_size=8).hexdigest())
             if tag in BLOCK and tag not in ("html", "body"):
                 a, b = self.spans[i]
-                out[i] = int.from_bytes(hashlib.blake2b(self.source[a:b].strip().encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+                many = not article[i] and size[i] > 0 and linked[i] >= LINKED * size[i]
+                told = "links" + shape if many else self.source[a:b].strip()
+                out[i] = int.from_bytes(hashlib.blake2b(told.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
         return out
 
     def says_aside(self, i: int, holder: bool = False, words: bool = True) -> bool:
         """Whether tag, role, class or id name something other than an article.
 
-        Words of class and id count by whole tokens, or by their first and last parts. For a holder
+        A class token or id counts if it is one of WORDS, or made of these and of PLAIN parts alone: "cookie-notice"
+        and "site-footer" do, "share-price" and "has-sidebar" don't. For a holder
         (an article, or what contains one) only SECOND counts, and nothing without `words`.
         """
         tag = self.tags[i]
@@ -176,32 +213,59 @@ class Page:
                     if holder:
                         if words and token in SECOND:
                             return True
-                    elif parts and parts[0] not in ABOUT and (parts[0] in WORDS or parts[-1] in WORDS):
+                    elif any(x in WORDS for x in parts) and all(x in WORDS or x in PLAIN for x in parts):
                         return True
         return False
 
-    def text(self, template: frozenset[int]) -> str:
+    def template(self, hashes: dict[int, int], common: dict[int, float]) -> list[bool]:
+        """Which elements the host's template deletes; `common` gives the share of pages of its hashes."""
+        tags, parents, n = self.tags, self.parents, len(self.tags)
+        article, cut = [-1] * n, [False] * n  # innermost article around or at the element
+        kept, short = {}, {}
+        for i, tag in enumerate(tags):
+            p = parents[i]
+            article[i] = i if tag in ("article", "main") else article[p] if p >= 0 else -1
+            share = common.get(hashes.get(i))
+            if share is None or article[i] == i or cut[p] and p >= 0:
+                cut[i] = p >= 0 and cut[p]
+            elif article[i] < 0 or tag not in PROSE:
+                cut[i] = True
+            elif share >= PROSE_SHARE and self.spans[i][1] - self.spans[i][0] <= PROSE_CHARS:
+                cut[i] = True
+                short.setdefault(article[i], []).append(i)
+            if tag in PROSE and article[i] >= 0 and not cut[i]:
+                kept[article[i]] = True
+        for a, some in short.items():  # all prose of an article is common: a page that the site carries again
+            if a not in kept:
+                for i in some:
+                    cut[i] = False
+        return [c or parents[i] >= 0 and cut[parents[i]] for i, c in enumerate(cut)]
+
+    def text(self, common: dict[int, float]) -> tuple[str, int, int]:
+        """The main text, and how many subtrees the template and then the rules deleted."""
         tags, parents = self.tags, self.parents
         n = len(tags)
         holders = [tag in ("article", "main") for tag in tags]
         for i in range(n - 1, -1, -1):
             if holders[i] and parents[i] >= 0:
                 holders[parents[i]] = True
-        hashes = self.hashes() if template else {}
+        cut = self.template(self.hashes(), common) if common else [False] * n
+        by_template = sum(c and not (parents[i] >= 0 and cut[parents[i]]) for i, c in enumerate(cut))
         # if class and id leave no article of several or one, they don't count for articles
         for words in (True, False):
-            gone, marked, heading = [False] * n, [False] * n, [False] * n
+            gone, marked, heading, by_rule = [False] * n, [False] * n, [False] * n, 0
             for i, tag in enumerate(tags):
                 p = parents[i]
                 up, body = (gone[p], marked[p]) if p >= 0 else (False, False)
-                aside = up or self.says_aside(i, holders[i], words)
+                aside = up or cut[i] or self.says_aside(i, holders[i], words)
                 marked[i] = body or tag in ("article", "main") and not aside
                 if tag == "header":  # of an article, a header keeps its headings alone
                     heading[i] = body
                     aside = aside or not body
                 elif p >= 0 and heading[p]:
                     heading[i] = True
-                gone[i] = aside or not (marked[i] and (tag in PROSE or tag in ("article", "main"))) and hashes.get(i) in template
+                gone[i] = aside
+                by_rule += aside and not up and not cut[i]
             if not any(holders) or any(m and not g for m, g in zip(marked, gone, strict=True)):
                 break
         only = any(m and not g for m, g in zip(marked, gone, strict=True))
@@ -218,7 +282,7 @@ class Page:
             elif not heading[i] or self._in_heading(i):
                 blocks[-1].append(self.source[a:b])
         lines = (" ".join("".join(map(html_.unescape, b)).split()) for b in blocks)
-        return "\n\n".join(x for x in lines if x)
+        return "\n\n".join(x for x in lines if x), by_template, by_rule
 
     def _in_heading(self, i: int) -> bool:
         while i >= 0:
@@ -234,7 +298,7 @@ def host_of(url) -> F.Column:
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, template array<long>): hashes of the subtrees that recur across a host's pages.
+    """(host, template array<struct<hash, share>>): the subtrees that recur across a host's pages, and on what share of them.
 
     pages has host and html. A task adds up what it has seen before anything is shuffled.
     """
@@ -258,30 +322,56 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float =
 
     counted = pages.select("host", "html").mapInArrow(run, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages)
     sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    return counted.join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("template"))
+    return counted.join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list(F.struct("hash", (F.col("n") / F.col("pages")).alias("share"))).alias("template"))
 
 
-def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str = "text") -> DataFrame:
-    """pages with the main text appended; a clashing name gets a suffix. All other columns stay."""
+#: Hosts with a template that are broadcast to the pages at once; as many hosts again take another join.
+MOST_HOSTS = 10_000
+
+
+def with_templates(keyed: DataFrame, templates: DataFrame) -> DataFrame:
+    """keyed (with host) and each row's template. Templates of the MOST_HOSTS hosts with the most pages are
+    broadcast, so that no large host goes to one task; pages of the other hosts, all small, are shuffled."""
+    if templates.count() <= MOST_HOSTS:
+        return keyed.join(F.broadcast(templates), "host", "left")
+    large = stored(keyed.groupBy("host").count().orderBy(F.desc("count"), "host").limit(MOST_HOSTS).select("host"), "large")
+    first = keyed.join(F.broadcast(large), "host", "left_semi").join(F.broadcast(templates.join(F.broadcast(large), "host", "left_semi")), "host", "left")
+    rest = keyed.join(F.broadcast(large), "host", "left_anti").join(templates, "host", "left")
+    return first.unionByName(rest)
+
+
+def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str = "text", template: bool = True) -> DataFrame:
+    """pages with the main text, n_template and n_rules (subtrees that each deleted) appended; a clashing
+    name gets a suffix. All other columns stay. Without `template` the rules alone decide."""
     flat = pick(pages, url=url, html=html).select(host_of(F.col("url")).alias("host"), "html")
-    templates = stored(site_templates(flat), "templates")
     names = pages.columns
     keyed, at = positional(pages), column_index(pages, html)
-    joined = keyed.withColumn("host", host_of(F.col(f"c{column_index(pages, url)}"))).join(templates, "host", "left").drop("host")
+    keyed = keyed.withColumn("host", host_of(F.col(f"c{column_index(pages, url)}")))
+    if template:
+        joined = with_templates(keyed, stored(site_templates(flat), "templates")).drop("host")
+    else:
+        joined = keyed.drop("host").withColumn("template", F.lit(None).cast("array<struct<hash: long, share: double>>"))
     width = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, at):
-                texts = []
-                for source, template in zip(texts_of(piece.column(at)).to_pylist(), piece.column(width).to_pylist(), strict=True):
-                    texts.append(Page(source).text(frozenset(template or ())))
-                yield pa.RecordBatch.from_arrays([*piece.columns[:width], pa.array(texts, pa.string())], names=[*piece.schema.names[:width], "new"])
-
-    schema = T.StructType([*keyed.schema.fields, T.StructField("new", T.StringType())])
-    return joined.mapInArrow(run, schema).toDF(*names, fresh(out, names))
+                found = [
+                    Page(source).text({x["hash"]: x["share"] for x in common or ()})
+                    for source, common in zip(texts_of(piece.column(at)).to_pylist(), piece.column(width).to_pylist(), strict=True)
+                ]
+                texts, by_template, by_rule = zip(*found, strict=True) if found else ((), (), ())
+                new = [pa.array(texts, pa.string()), pa.array(by_template, pa.int64()), pa.array(by_rule, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:width], *new], names=[*piece.schema.names[:width], "n0", "n1", "n2"])
+
+    fields = [T.StructField("n0", T.StringType()), T.StructField("n1", T.LongType()), T.StructField("n2", T.LongType())]
+    schema = T.StructType([*keyed.drop("host").schema.fields, *fields])
+    new: list[str] = []
+    for name in (out, "n_template", "n_rules"):
+        new.append(fresh(name, [*names, *new]))
+    return joined.mapInArrow(run, schema).toDF(*names, *new)
 
 
 def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pick(table(spark, sf_dir, "pages"), page_id="page_id", url="url", html="html")
-    return main_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return main_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template", "n_rules")

@@ -279,12 +279,34 @@ def test_pages(spark):
     data = [(i, f"http://h.example/{i}", shell.format(f"text {i}")) for i in range(8)] + [(8, None, None), (9, "http://other.example", shell.format("alone")), (9, "http://other.example", shell.format("alone"))]
     frame = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("text", F.lit("old"))
     done = pages.main_text(frame)
-    assert done.columns == [*frame.columns, "text_1"]
+    assert done.columns == [*frame.columns, "text_1", "n_template", "n_rules"]
     got = sorted((r["page_id"], r["text_1"]) for r in done.collect())
     assert got == [*((i, f"text {i}") for i in range(8)), (8, ""), (9, "Our site\n\nalone"), (9, "Our site\n\nalone")]
     assert pages.main_text(frame.limit(0)).count() == 0
 
 
+def test_site_templates_against_all_pages_counted(spark):
+    rnd = random.Random(3)
+    parts = [f"<div>part {i}</div>" for i in range(12)]
+    data = [(f"http://h{rnd.randrange(3)}.example/{i}", "<body>" + "".join(rnd.sample(parts, rnd.randrange(4))) + f"<p>own {i}</p></body>") for i in range(60)] + [(None, None), ("http://h0.example", "")]
+    counts, sizes = Counter(), Counter()
+    for url, html in data:
+        host = (url or "").removeprefix("http://").split("/")[0]
+        sizes[host] += 1
+        counts.update({(host, h) for h in pages.Page(html or "").hashes().values()})
+    want = {(host, h): n / sizes[host] for (host, h), n in counts.items() if n >= pages.MIN_PAGES and n >= pages.SHARE * sizes[host]}
+    frame = spark.createDataFrame(data, "url string, html string").select(pages.host_of(F.col("url")).alias("host"), "html").repartition(5)
+    got = {(r["host"], x["hash"]): x["share"] for r in pages.site_templates(frame).collect() for x in r["template"]}
+    assert want and got == want
+    most = pages.MOST_HOSTS
+    try:
+        pages.MOST_HOSTS = 1  # the way beyond the broadcast
+        few = pages.main_text(spark.createDataFrame(data, "url string, html string")).collect()
+    finally:
+        pages.MOST_HOSTS = most
+    assert sorted(map(str, few)) == sorted(map(str, pages.main_text(spark.createDataFrame(data, "url string, html string")).collect()))
+
+
 def test_licenses(docs):
     found = licenses.scan_licenses(docs)
     assert found.columns == [*docs.columns, "n_words", "matches"] and found.count() == docs.count()

@@ -1,5 +1,6 @@
 """Byte-level operators against plain Python and the public library."""
 
+import collections
 import random
 import re
 
@@ -160,17 +161,17 @@ def test_page_text():
         "<div class='ad'>Buy</div><article><header><h1>Head &amp; tail</h1><p>by x</p></header><p><b>One<br>two<p>Three &lt;3&nbsp;x</p><aside>Side</aside>"
         "<section id=comments><p>Nice</p></section><ul><li>a<li>b</ul></article><footer>&copy;</footer>"
     )
-    assert pages.Page(page).text(frozenset()) == "Head & tail\n\nOne two\n\nThree <3 x\n\na\n\nb"
-    assert pages.Page("").text(frozenset()) == "" == pages.Page("<p").text(frozenset())
+    assert pages.Page(page).text({})[0] == "Head & tail\n\nOne two\n\nThree <3 x\n\na\n\nb"
+    assert pages.Page("").text({})[0] == "" == pages.Page("<p").text({})[0]
     plain = "<body><div>Site name</div><p>Body text</p></body>"
     parsed = pages.Page(plain)
-    template = frozenset([parsed.hashes()[parsed.tags.index("div")]])
-    assert parsed.text(frozenset()) == "Site name\n\nBody text"
-    assert parsed.text(template) == "Body text"
+    template = {parsed.hashes()[parsed.tags.index("div")]: 1.0}
+    assert parsed.text({}) == ("Site name\n\nBody text", 0, 0)
+    assert parsed.text(template) == ("Body text", 1, 0)
 
 
 def test_articles_stay_whatever_their_theme_says():
-    text = lambda page: pages.Page(page).text(frozenset())
+    text = lambda page: pages.Page(page).text({})[0]
     for attributes in ('style="overflow:hidden"', 'data-id="ad" data-role="form"', 'class="content has-sidebar"', 'class="post no-comments"', 'class="layout with-nav"', 'title="no hidden class=ad"'):
         assert text(f"<body><div {attributes}><p>Kept</p></div></body>") == "Kept"
         assert text(f"<body><div {attributes}><article {attributes}><p>Kept</p></article></div></body>") == "Kept"
@@ -179,6 +180,27 @@ def test_articles_stay_whatever_their_theme_says():
         assert text(f"<body><p>Kept</p><div {attributes}><p>Gone</p></div></body>") == "Kept"
     assert text("<body><article><p>Kept</p></article><div id=comments><article><p>Reply</p></article></div></body>") == "Kept"
     assert text("<body><article class=comments><p>Kept</p></article></body>") == "Kept"
+    for attributes in ("class='social-history'", "id='share-price'", "class='comment-on-law'"):
+        assert text(f"<article><p>Intro</p><section {attributes}><p>Kept</p></section></article>") == "Intro\n\nKept"
+    for attributes in ("class='site-footer'", "class='share-buttons'", "id='newsletter-signup'", "class='cookie-notice bottom'"):
+        assert text(f"<article><p>Intro</p><div {attributes}><p>Gone</p></div></article>") == "Intro"
+
+
+def test_template_within_articles():
+    subscribe, passage = "<div>Subscribe to our list today</div>", "<p>" + "A passage that the site quotes again and again. " * 6 + "</p>"
+    byline, menu = "<p>By our staff</p>", "<div class='top'><a href='/{0}'>Go {0}</a> <a href='/b'>There</a></div>"
+    site = [f"<body>{menu.format(i)}<article><h1>Title {i}</h1>{byline}<p>Text {i}</p>{passage if i < 5 else ''}{subscribe}</article></body>" for i in range(8)]
+    again = "<body><article><p>The same notice</p></article></body>"
+    whole = [*site, *[again] * 8]
+    counts = collections.Counter(h for p in whole for h in set(pages.Page(p).hashes().values()))
+    common = {h: n / 16 for h, n in counts.items() if n >= 4 and n >= 1.6}
+    said = "A passage that the site quotes again and again. " * 6
+    for i, p in enumerate(site):
+        text, by_template, by_rule = pages.Page(p).text(common)
+        assert text == "\n\n".join([f"Title {i}", f"Text {i}", *([said.strip()] if i < 5 else [])])
+        assert (by_template, by_rule) == (3, 0)  # menu, byline and subscription
+        assert "Subscribe" in pages.Page(p).text({})[0]
+    assert pages.Page(again).text(common)[0] == "The same notice"  # nothing else would be left
 
 
 def test_deobfuscation():
