@@ -3,16 +3,17 @@
 Test phrases are windows of 13 consecutive benchmark words (an item of fewer words is one window).
 A shard is a slice of the documents that a task holds. For each shard:
 
-1. Words that no window has can't be part of an occurrence: maximal runs of window words remain,
-   and runs shorter than the shortest window go. What is left is the shard's text of word numbers.
+1. All its words are numbered; its text is the sequence of the numbers, with a 0 after each document.
 2. An FM-index is built over it: suffix order, Burrows-Wheeler transform, a wavelet tree (one bit
-   vector with block ranks for each bit of a word number), and every 8th suffix position.
-3. All windows are searched backwards together, one word a step, through wavelet-tree ranks.
+   vector with ranks for each bit of a word number), and every 8th suffix position.
+3. All windows are searched backwards together, one word a step, through wavelet-tree ranks; a window
+   with a word that the shard lacks ends there.
 4. Occurrences are located by walking back to sampled positions, and their spans are merged.
 
-The benchmark is broadcast in blocks of at most BLOCK_WORDS words: one block while it is as small as
-test sets are; beyond that the documents are scanned once for each block, and the spans found
-are merged by document. Memory of a task is bound by the slice and the block.
+The benchmark is broadcast in blocks of at most BLOCK_WORDS words, one at a time; a longer item is
+split where windows overlap. One block serves while the benchmark is as small as test sets are;
+beyond that the documents are indexed once for each block, and the spans found are merged by document.
+Memory of a task is bound by the slice, or the longest text, and the block.
 
 Null and empty texts have no words and are clean; an item without words has no window; equal
 windows of several items count for each of them, rows that share an item id are one item; repeated rows are scanned each for itself.
@@ -20,6 +21,7 @@ windows of several items count for each of them, rows that share an item id are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,29 +43,52 @@ BLOCK_WORDS = 1_000_000
 # -- the index -------------------------------------------------------------------------------------
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
+def suffix_order(text: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of a sequence of numbers in order; zeros end runs and compare by position.
 
-    Prefix doubling: ranks of 1, 2, 4, ... symbols until all differ.
+    `order` may give the places in the order of their first symbols, zeros by position.
+
+    Prefix doubling: ranks of 1, 2, 4, ... symbols. A rank is the place of its group's first suffix;
+    groups of one suffix are done, and only the others are sorted again.
     """
     n = len(text)
-    rank = text.astype(np.int64) + n
+    key = text.astype(np.int64) + n
     ends = np.flatnonzero(text == 0)
-    rank[ends] = np.arange(len(ends))
+    key[ends] = np.arange(len(ends))
+    order = np.argsort(key) if order is None else order.copy()
+    rank = np.empty(n, np.int64)
+    rank[order] = _group_starts(key[order])
+    open_ = _shared(rank[order])  # places whose group has several suffixes
     width = 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[:-width] = rank[width:] + 1 if width < n else 0
-        key = rank * (int(rank.max()) + 2 if width == 1 else n + 2) + second if int(rank.max()) < 1 << 30 else None
-        order = np.argsort(key, kind="stable") if key is not None else np.lexsort((second, rank))
-        a, b = rank[order], second[order]
-        new = np.ones(n, np.int64)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        if rank[order[-1]] == n - 1 or width >= n:
-            return order
+    while len(open_):
+        at = order[open_]
+        second = np.zeros(len(at), np.int64)
+        inside = at + width < n
+        second[inside] = rank[at[inside] + width] + 1
+        by = np.lexsort((second, rank[at])) if n >= 1 << 31 else np.argsort(rank[at] * (n + 1) + second)
+        at, second = at[by], second[by]
+        order[open_] = at
+        first = rank[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        rank[at] = open_[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        open_ = open_[_shared(rank[at])]
         width *= 2
+    return order
+
+
+def _group_starts(keys: np.ndarray) -> np.ndarray:
+    """For each of sorted keys the place of the first equal one."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+
+
+def _shared(ranks: np.ndarray) -> np.ndarray:
+    """Places at which a value equals one of its neighbours."""
+    same = np.zeros(len(ranks) + 1, bool)
+    same[1:-1] = ranks[1:] == ranks[:-1]
+    return np.flatnonzero(same[1:] | same[:-1])
 
 
 class WaveletTree:
@@ -71,9 +96,9 @@ class WaveletTree:
 
     def __init__(self, symbols: np.ndarray, bits: int):
         self.bits, self.levels, self.zeros = bits, [], []
-        now = symbols
+        now = symbols.astype(np.int32) if bits < 32 else symbols
         for level in range(bits - 1, -1, -1):
-            bit = (now >> level & 1).astype(bool)
+            bit = (now & (1 << level)) != 0
             ones = np.zeros(len(now) + 1, np.int32)
             np.cumsum(bit, out=ones[1:])
             self.levels.append(ones)
@@ -103,8 +128,8 @@ class WaveletTree:
 class FmIndex:
     """Counts and locates phrases in a text of numbers from 1 on, whose runs end in 0."""
 
-    def __init__(self, text: np.ndarray, symbols: int):
-        order = suffix_order(text)
+    def __init__(self, text: np.ndarray, symbols: int, order: np.ndarray | None = None):
+        order = suffix_order(text, order)
         self.n = len(text)
         self.tree = WaveletTree(text[order - 1], max(1, int(symbols).bit_length()))
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols + 1))])
@@ -156,22 +181,20 @@ class Phrases:
     def of(cls, items: list[tuple[str, str]], window: int) -> Phrases:
         h, who, *_ = words(pa.array([t or "" for _, t in items], pa.string()))
         vocabulary, number = np.unique(h, return_inverse=True)
-        number = number.astype(np.int64) + 1
+        number = np.append(number.astype(np.int64) + 1, np.zeros(window, np.int64))
         counts = np.bincount(who, minlength=len(items))
         begin = np.cumsum(counts) - counts
         names = sorted({k for k, _ in items})  # rows of one id are one item
         number_of = {k: i for i, k in enumerate(names)}
-        rows, owner = [], []
-        for i, (a, n) in enumerate(zip(begin.tolist(), counts.tolist(), strict=True)):
-            for s in range(a, a + max(n - window, 0) + 1) if n else ():
-                row = np.zeros(window, np.int64)
-                row[: min(n, window)] = number[s : s + min(n, window)]
-                rows.append(row)
-                owner.append(number_of[items[i][0]])
-        if not rows:
+        per = np.where(counts > 0, np.maximum(counts - window, 0) + 1, 0)  # windows of each item
+        if not per.sum():
             return cls(vocabulary, np.zeros((0, window), np.int64), np.zeros(0, np.int64), names, np.zeros(0, np.int64), np.zeros(1, np.int64))
-        windows, back = np.unique(np.array(rows), axis=0, return_inverse=True)
-        pairs = np.unique(back.ravel() * len(names) + np.array(owner))
+        item = np.repeat(np.arange(len(items)), per)
+        start = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + begin[item]
+        inside = np.arange(window) < np.minimum(counts, window)[item][:, None]
+        rows = np.where(inside, number[start[:, None] + np.arange(window)], 0)
+        windows, back = np.unique(rows, axis=0, return_inverse=True)
+        pairs = np.unique(back.ravel() * len(names) + np.array([number_of[k] for k, _ in items])[item])
         starts = np.searchsorted(pairs // len(names), np.arange(len(windows) + 1))
         return cls(vocabulary, windows, (windows > 0).sum(1), names, pairs % len(names), starts)
 
@@ -197,26 +220,27 @@ def find(texts: pa.Array, phrases: Phrases) -> Hits:
     empty = Hits(n_words, none, none, none, none, none, np.zeros((0, 2), np.int64))
     if not len(h) or not len(phrases.windows):
         return empty
-    place = np.minimum(np.searchsorted(phrases.vocabulary, h), len(phrases.vocabulary) - 1)
-    number = np.where(phrases.vocabulary[place] == h, place + 1, 0).astype(np.int64)
-    # maximal runs of window words within texts
-    inside = number > 0
-    first = inside.copy()
-    first[1:] &= ~(inside[:-1] & (owner[1:] == owner[:-1]))
-    last = inside.copy()
-    last[:-1] &= ~(inside[1:] & (owner[1:] == owner[:-1]))
-    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    long = b - a >= phrases.lengths.min()
-    a, b = a[long], b[long]
-    if not len(a):
-        return empty
-    sizes = b - a + 1  # and the 0 that ends a run
-    ends_ = np.cumsum(sizes)
-    source = np.arange(ends_[-1]) - np.repeat(ends_ - sizes, sizes) + np.repeat(a, sizes)
-    text = number[np.minimum(source, len(number) - 1)]
-    text[ends_ - 1] = 0
-    index = FmIndex(text, len(phrases.vocabulary))
-    lo, hi = index.search(phrases.windows, phrases.lengths)
+    by_word = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[by_word][1:] != h[by_word][:-1]
+    vocabulary, number = h[by_word][new], np.empty(len(h), np.int64)
+    number[by_word] = np.cumsum(new) - 1
+    # the text: all words' numbers, and a 0 behind each document that has words
+    last = np.ones(len(h), bool)
+    last[:-1] = owner[1:] != owner[:-1]
+    at = np.arange(len(h)) + np.cumsum(last) - last
+    text = np.zeros(len(h) + int(last.sum()), np.int64)
+    text[at] = number + 1
+    source = np.zeros(len(text), np.int64)  # of places in the text: which word stands there
+    source[at] = np.arange(len(h))
+    index = FmIndex(text, len(vocabulary), np.concatenate([np.flatnonzero(text == 0), at[by_word]]))
+    # the windows in the shard's numbers; those with a word that it lacks don't occur
+    place = np.minimum(np.searchsorted(vocabulary, phrases.vocabulary), len(vocabulary) - 1)
+    number_of = np.append(0, np.where(vocabulary[place] == phrases.vocabulary, place + 1, 0))
+    windows = number_of[phrases.windows]
+    whole = np.flatnonzero((windows > 0).sum(1) == phrases.lengths)
+    lo, hi = np.zeros(len(windows), np.int64), np.zeros(len(windows), np.int64)
+    lo[whole], hi[whole] = index.search(windows[whole], phrases.lengths[whole])
     n = hi - lo
     which = np.repeat(np.arange(len(lo)), n)
     rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
@@ -252,16 +276,31 @@ SPANS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("star
 FIELDS = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("spans", SPANS)]
 
 
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str]]]:
-    """Items of the benchmark in blocks of at most `most` words' worth of bytes; never all at once."""
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def _pieces(text: str, most: int, window: int) -> Iterator[tuple[int, str]]:
+    """(words, text) of pieces of at most `most` words; a piece repeats the last window - 1 words of the one before."""
+    if len(text) < 2 * most:  # a word and what parts it from the next are two characters at least
+        yield len(text) // 2 + 1, text
+        return
+    spans = [m.span() for m in WORD.finditer(text)]
+    for a in range(0, max(len(spans) - window + 1, 1), most - window + 1):
+        some = spans[a : a + most]
+        yield len(some), text[some[0][0] : some[-1][1]] if some else ""
+
+
+def _blocks(benchmark: DataFrame, most: int, window: int) -> Iterator[list[tuple[str, str]]]:
+    """Items of the benchmark in blocks of at most `most` words; never all at once."""
+    most = max(most, 2 * window)
     block, held = [], 0
     for row in benchmark.filter(F.col("text").isNotNull()).toLocalIterator():
-        size = len(row["text"]) // 4 + 1
-        if block and held + size > most:
-            yield block
-            block, held = [], 0
-        block.append(("" if row["item"] is None else row["item"], row["text"]))
-        held += size
+        for size, text in _pieces(row["text"], most, window):
+            if block and held + size > most:
+                yield block
+                block, held = [], 0
+            block.append(("" if row["item"] is None else row["item"], text))
+            held += size
     if block:
         yield block
 
@@ -295,15 +334,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
             new.append(fresh(name, names + new))
         return df.toDF(*names, *new)
 
-    shared = [spark.sparkContext.broadcast(Phrases.of(b, window)) for b in _blocks(items, block_words)]
-    if len(shared) < 2:
-        return out(scan(flat, shared[0] if shared else spark.sparkContext.broadcast(Phrases.of([], window))))
-    # one scan for each block; rows are told apart by a number that is stored with them
+    blocks = _blocks(items, block_words, window)
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        return out(scan(flat, spark.sparkContext.broadcast(Phrases.of(block, window))))
+    # one scan for each block, its results stored before the next is broadcast; rows are told apart by a number that is stored with them
     rows = stored(flat.withColumn("row", F.monotonically_increasing_id()), "rows")
     found = None
-    for s in shared:
-        some = scan(rows, s).select("row", "n1", F.explode_outer("n3").alias("span"), "n2").select("row", "n2", "span.*").filter(F.col("start").isNotNull())
+    while block is not None:
+        shared = spark.sparkContext.broadcast(Phrases.of(block, window))
+        some = scan(rows, shared).select("row", "n1", F.explode_outer("n3").alias("span"), "n2").select("row", "n2", "span.*").filter(F.col("start").isNotNull())
+        some = stored(some, "block")
         found = some if found is None else found.unionByName(some)
+        shared.destroy()
+        block, following = following, next(blocks, None)
     merged = found.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("n2")))).alias("n2"), F.collect_list(F.struct("start", "end", "byte_start", "byte_end")).alias("n3"))
     merged = stored(merged.select("row", "n2", _merged_spans(F.col("n3")).alias("n3")), "found")
     counted = scan(rows, spark.sparkContext.broadcast(Phrases.of([], window))).drop("n1", "n2", "n3")
