@@ -8,7 +8,8 @@ earlier document, or before in the same one. Strings never cross documents.
    be dealt out by the hash of their anchor. Consecutive windows with one anchor form a segment of
    LENGTH to 2 * LENGTH - K bytes. Only hashes and places of segments travel.
 2. Anchors that one segment alone has are settled. Segments equal as a whole are copies: all but the
-   first go, and the first stands for them from here on. Each task drops its own copies beforehand.
+   first go, and the first stands for them from here on. Each task drops its own copies beforehand
+   (`Seen`), so that what a hot line sends to one task grows with the tasks, not with its occurrences.
 3. Anchors with different segments need suffix order: the segments' bytes are fetched, dealt out by
    anchor, and collected into string collections of bounded size, less what no other string can
    share. For each, transform and common
@@ -41,8 +42,10 @@ from ferrolens.llm.frames import column_index, fresh, positional, slices, stored
 
 LENGTH, K = 100, 32
 #: Different segments of one anchor that still form one collection.
-HOT = 512
-COLLECTION_BYTES = 1 << 20
+HOT = 16_384
+COLLECTION_BYTES = 2 << 20
+#: Segments that a task remembers to drop copies of.
+HELD = 1 << 20
 BLOCK = 2 << 20
 PLACE_BITS = U(23)
 
@@ -110,8 +113,39 @@ def _marks(anchor, content, rank, start, end, kind) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_signed(anchor), _signed(content), _signed(rank), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.full(len(rank), kind, np.int32))], names=MARK_NAMES)
 
 
+class Seen:
+    """First places (rank, start) of segments by content hash, of the last HELD to 2 * HELD different ones."""
+
+    def __init__(self):
+        self.sorted: list[tuple[np.ndarray, ...]] = []  # newest first
+
+    def copies(self, content: np.ndarray, rank: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which segments (content distinct, sorted) repeat one that was seen and comes earlier; the others are kept in mind."""
+        out, known = np.zeros(len(content), bool), np.zeros(len(content), bool)
+        for c, r, s in self.sorted:
+            at = np.minimum(np.searchsorted(c, content), len(c) - 1)
+            hit = (c[at] == content) & ~known
+            out |= hit & ((r[at] < rank) | (r[at] == rank) & (s[at] < start))
+            known |= hit
+        if not known.all():
+            self._add(content[~known], rank[~known], start[~known])
+        return out
+
+    def _add(self, *new: np.ndarray) -> None:
+        self.sorted.insert(0, new)
+        # runs of like sizes are merged, as in a log-structured table
+        while len(self.sorted) > 1 and 2 * len(self.sorted[0][0]) >= len(self.sorted[1][0]) and len(self.sorted[0][0]) < HELD:
+            a, b = self.sorted.pop(0), self.sorted.pop(0)
+            c = np.concatenate([a[0], b[0]])
+            order = np.argsort(c)
+            self.sorted.insert(0, (c[order], *(np.concatenate([x, y])[order] for x, y in zip(a[1:], b[1:], strict=True))))
+        while sum(len(x[0]) for x in self.sorted) > 2 * HELD:
+            self.sorted.pop()
+
+
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of (rank, text), without copies within a slice, whose spans are removed right away."""
+    """Segments of (rank, text), less copies of what the task has seen, whose spans are removed right away."""
+    seen = Seen()
     for batch in batches:
         for piece in slices(batch, 1, BLOCK):
             data, bounds = flat_bytes(texts_of(piece.column(1)))
@@ -125,7 +159,10 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchor, content, rank, start, end = anchor[order], content[order], rank[order], start[order], end[order]
             first = np.ones(len(content), bool)
             first[1:] = content[1:] != content[:-1]
-            yield _marks(anchor[first], content[first], rank[first], start[first], end[first], NEEDED)
+            once = np.flatnonzero(first)
+            first[once[seen.copies(content[once], rank[once], start[once])]] = False
+            if first.any():
+                yield _marks(anchor[first], content[first], rank[first], start[first], end[first], NEEDED)
             if not first.all():
                 rank, start, end = merged(rank[~first], start[~first], end[~first])
                 yield _marks(mix(rank.astype(U) + start.astype(U)), np.zeros(len(rank), U), rank, start, end, REMOVED)
