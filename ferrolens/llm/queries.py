@@ -7,6 +7,7 @@ from ferrolens.llm.decontamination import op1_decontamination
 from ferrolens.llm.jaccardjoin import op2_jaccardjoin
 from ferrolens.llm.licenses import op10_licenses
 from ferrolens.llm.media import op7_media
+from ferrolens.llm.oracles import SQL
 from ferrolens.llm.pages import op4_pages
 from ferrolens.llm.quality import op6_quality
 from ferrolens.llm.suffixdedup import op3_suffixdedup
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_licenses": op10_licenses,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
