@@ -5,12 +5,14 @@
 2. Documents with equal sets form a class; its smallest doc_id stands for it. Only classes go on.
 3. MinHash: BANDS bands of ROWS rows; classes that agree on a band are candidates. A pair of
    similarity s is met with probability 1 - (1 - s**ROWS)**BANDS; `plan_bands` chooses the numbers
-   for a target recall at the threshold (20 bands of 5 rows: 0.9996 at 0.8).
+   for a target recall at the threshold (18 bands of 5 rows: 0.999 at 0.8).
 4. Classes and band buckets are joined into candidate components by propagating the smallest id.
    Components are cut into parts of at most PART classes, and every pair of parts is a group of its
    own: the classes' full sets meet there, all pairs are verified exactly, and only counts and a
    spanning forest of the links come out. So a component of any size is spread over many tasks,
-   pairs are never emitted, and no link is lost.
+   pairs are never emitted, and no link is lost. A component of more than MOST_PARTS parts
+   (chains of chance collisions grow such) is verified bucket by bucket instead, where only pairs that share
+   a band meet, each in the first band that it shares: a set is copied once for each bucket then, which is less.
 5. Links join classes into clusters.
 
 Result, one row for each document: id, class_id, n_links (documents with a similarity of at least
@@ -36,6 +38,10 @@ from ferrolens.llm.frames import column_index, map_text, pick, positional, slice
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Classes, and n-grams, of one part of a large component.
 PART, PART_GRAMS = 1024, 1_000_000
+#: A component of more parts than this is verified by buckets; the plan has about as many bands.
+MOST_PARTS = 18
+#: Rows of one key from which on they may be dealt out apart from the others.
+HUB = 1000
 NO_ID = -(1 << 63)
 #: Elements that one step of verification holds at once.
 STEP = 1 << 21
@@ -124,20 +130,44 @@ def sketches(docs: DataFrame, bands: int, rows: int, n: int = N) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, node long, grams long, bands array<long>")
 
 
+def hub_limit(spark: SparkSession, rows: int) -> int:
+    """Rows of a key that make it a hub: of `rows` rows at most 4 * shuffle partitions are hubs, so these may be broadcast."""
+    return max(HUB, rows // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def spread(rows: DataFrame, facts: DataFrame, hubs: DataFrame | None, key: str) -> DataFrame:
+    """rows joined with facts (one row a key): the hubs' facts by broadcast, so that their rows stay where they are."""
+    if hubs is None:
+        return rows.join(facts, key)
+    hubs = F.broadcast(hubs.select(key))
+    few, many = facts.join(hubs, key, "left_semi"), facts.join(hubs, key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(hubs, key, "left_anti").join(many, key))
+
+
+def hubs_of(rows: DataFrame, key: str) -> DataFrame | None:
+    """The keys of stored rows that are hubs, as a stored table, or None if there are none."""
+    total = rows.count()
+    if total <= HUB:
+        return None
+    found = stored(rows.groupBy(key).count().filter(F.col("count") > hub_limit(rows.sparkSession, total)).select(key), "hubs")
+    return found if found.limit(1).count() else None
+
+
 def component_ids(edges: DataFrame, checkpoint: str) -> DataFrame:
     """(node, root): the smallest node that edges (a, b) connect each node with.
 
     Rounds of large-star and small-star, each a groupBy: a node's neighbours are all tied to the
     smallest of them, first the larger ones, then the smaller ones. The number of rounds grows with
-    the logarithm of the longest chain; each round is stored.
+    the logarithm of the longest chain; each round is stored. Hubs' edges aren't brought together.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), checkpoint)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hubs = hubs_of(both, "a")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = spread(both, least, hubs, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        joined = spread(large, least, hubs, "a")  # of a node no more edges than before
         small = joined.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).distinct()
         after = stored(small, checkpoint)
         # a forest of stars that no longer changes: nobody's root has a root
@@ -148,8 +178,8 @@ def component_ids(edges: DataFrame, checkpoint: str) -> DataFrame:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (root, i, j, node, part, size, set) in the order of root, i, j: link counts and a forest
-    of the links of each pair of parts. A pair of parts holds 2 * PART classes at most."""
+    """Of rows (root, i, j, node, part, size, set, level, bands) in the order of root, i, j: link counts and a forest
+    of the links of each pair of parts. A pair of parts holds 2 * PART classes at most, up to chance."""
     held: list[pa.RecordBatch] = []
     key = None
     for batch in batches:
@@ -182,6 +212,11 @@ def _pairs(rows: pa.Table, threshold: float) -> pa.RecordBatch:
     linked[np.arange(n), np.arange(n)] = False
     if rows.column("i")[0].as_py() != rows.column("j")[0].as_py():
         linked &= part[:, None] != part[None, :]
+    level = rows.column("level")[0].as_py()
+    if level > 0:  # a bucket: pairs that share an earlier band were counted there
+        bands = get("bands").flatten().to_numpy().reshape(n, -1)
+        for k in range(level):
+            linked &= bands[:, None, k] != bands[None, :, k]
     count = linked @ size
     # a forest of the links: every node is tied to the least one that it reaches here
     root = np.arange(n)
@@ -227,30 +262,43 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     members = stored(sketches(docs, bands, rows, n), "sketches")
     classes = stored(members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("class_id"), F.count("*").alias("size"), F.first("grams").alias("grams"), F.first("bands").alias("bands")), "classes")
     # buckets of band hashes, each tied to its least class
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
-    edges = banded.join(hubs, "band").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    banded = classes.select("node", "grams", F.explode("bands").alias("band"))
+    buckets = stored(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n"), F.sum("grams").alias("bulk")).filter("n > 1"), "buckets")
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    hot = buckets.filter(F.col("n") > hub_limit(spark, total)).select("band")
+    edges = spread(banded.select("node", "band"), buckets.select("band", "hub"), hot if total > HUB else None, "band").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     candidates = stored(component_ids(edges, "candidates"), "components")
     # every candidate component in parts of bounded size; every pair of parts once
     # (components of more than one part are at most one in PART classes, or in PART_GRAMS n-grams)
-    shape = candidates.join(classes.select(F.col("node"), "grams"), "node").groupBy("root").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("grams") / PART_GRAMS)).cast("int").alias("parts"))
+    in_parts = lambda count, bulk: F.greatest(F.ceil(count / PART), F.ceil(bulk / PART_GRAMS)).cast("int")
+    shape = candidates.join(classes.select(F.col("node"), "grams"), "node").groupBy("root").agg(in_parts(F.count("*"), F.sum("grams")).alias("parts"))
     shape = stored(shape.filter("parts > 1"), "shape")
-    asked = candidates.join(shape, "root", "left").join(classes.select("node", "class_id", "size"), "node").withColumn("parts", F.coalesce("parts", F.lit(1))).select(
-        "root", "parts", "node", "size", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.coalesce("class_id", F.lit(NO_ID)).alias("id")
-    )
-    texts = docs.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text").join(asked, "id").select("root", "parts", "node", "size", "part", "text")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    place = "array<struct<root: long, parts: int, part: int, level: int>>"
+    sized = candidates.join(shape, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    asked = sized.filter(F.col("parts") <= MOST_PARTS).select("node", F.array(F.struct("root", "parts", part, F.lit(-1).alias("level"))).cast(place).alias("places"))
+    asked = asked.join(classes.select("node", "class_id", "size"), "node").withColumn("bands", F.lit(None).cast("array<long>"))
+    if shape.filter(F.col("parts") > MOST_PARTS).limit(1).count():
+        giant = sized.filter(F.col("parts") > MOST_PARTS).select("node").join(classes.drop("grams"), "node")
+        in_bucket = giant.select("node", F.posexplode("bands").alias("level", "band"))
+        in_bucket = spread(in_bucket, buckets.select("band", in_parts(F.col("n"), F.col("bulk")).alias("parts")), hot, "band")
+        places = in_bucket.groupBy("node").agg(F.collect_list(F.struct(F.col("band").alias("root"), "parts", part, "level")).cast(place).alias("places"))
+        asked = asked.unionByName(giant.join(places, "node").select(*asked.columns))
+    asked = asked.withColumn("id", F.coalesce("class_id", F.lit(NO_ID))).drop("class_id")
+    texts = docs.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text").join(asked, "id").select("places", "bands", "node", "size", "text")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 5):
-                grams, offsets = shingles(texts_of(piece.column(5)), n)
+            for piece in slices(batch, 4):
+                grams, offsets = shingles(texts_of(piece.column(4)), n)
                 mine = set_hashes(grams, offsets).view(np.int64) == piece.column(2).to_numpy(zero_copy_only=False)  # not another text of the same id
-                made = pa.RecordBatch.from_arrays([*piece.columns[:5], _lists(grams, offsets)], names=["root", "parts", "node", "size", "part", "set"])
+                made = pa.RecordBatch.from_arrays([*piece.columns[:4], _lists(grams, offsets)], names=["places", "bands", "node", "size", "set"])
                 yield made.filter(pa.array(mine))
 
-    sets = texts.mapInArrow(fetch, "root long, parts int, node long, size long, part int, set array<long>")
+    sets = texts.mapInArrow(fetch, f"places {place}, bands array<long>, node long, size long, set array<long>")
+    sets = sets.select(F.explode("places").alias("at"), "bands", "node", "size", "set").select("at.*", "bands", "node", "size", "set")
     # part p meets itself and all others: (i, j) with i <= j
-    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "part", "size", "set")
+    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "part", "size", "set", "level", "bands")
     checked = stored(
         paired.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda batches: _verify(batches, threshold), "node long, links long, tied long"), "links"
     )
@@ -258,12 +306,16 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     clusters = component_ids(checked.filter("node != tied").select(F.col("node").alias("a"), F.col("tied").alias("b")), "links")
     facts = (
         classes.select("node", "class_id", "size").join(links, "node", "left").join(clusters, "node", "left")
-        .select("node", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("cluster"))
+        .select("node", "class_id", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("cluster"))
     )
     facts = stored(facts, "facts")
+    large = hubs_of(facts, "cluster")
     least = facts.groupBy("cluster").agg(F.min("class_id").alias("cluster_id"))
-    facts = facts.join(least, "cluster")
-    found = members.filter(F.col("node").isNotNull()).select("id", "node").join(facts, "node").select("id", "node", "class_id", "n_links", "cluster_id", "cluster")
+    facts = spread(facts, least, large, "cluster")
+    rows_ = facts.agg(F.sum("size")).first()[0] or 0
+    copied = facts.filter(F.col("size") > hub_limit(spark, rows_)).select("node") if rows_ > HUB else None
+    facts = facts.select("node", "class_id", "n_links", "cluster_id", "cluster")
+    found = spread(members.filter(F.col("node").isNotNull()).select("id", "node"), facts, copied, "node").select("id", "node", "class_id", "n_links", "cluster_id", "cluster")
     bare = members.filter(F.col("node").isNull()).select("id", "node", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("cluster_id"), F.lit(None).cast("long").alias("cluster"))
     return found.unionByName(bare)
 

@@ -135,8 +135,13 @@ def shingles(t):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def test_jaccard_join(spark, docs, rows, monkeypatch):
+@pytest.mark.parametrize(("hub", "parts"), [(1000, 18), (3, 1)])  # without and with hubs and components verified by buckets
+def test_jaccard_join(spark, docs, rows, monkeypatch, hub, parts):
     monkeypatch.setattr(jaccardjoin, "PART", 4)  # several parts of one component
+    monkeypatch.setattr(jaccardjoin, "HUB", hub)
+    monkeypatch.setattr(jaccardjoin, "MOST_PARTS", parts)
+    if hub < 1000:
+        monkeypatch.setattr(jaccardjoin, "hub_limit", lambda spark, rows: 3)
     sets = [shingles(t) for _, t in rows]
     linked = lambda a, b: bool(a and b) and len(a & b) >= 0.8 * len(a | b)
     n = [sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
