@@ -100,3 +100,22 @@ def time_window(records: DataFrame, equipment: int, start: str, end: str, channe
     """Records of an equipment from start to end, of some channels or all."""
     found = records.filter((F.col("equipment_id") == equipment) & (F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") <= F.lit(end).cast("timestamp_ntz")))
     return found.filter(F.col("channel").isin(channels)) if channels else found
+
+
+def rca_evidence(triggers: DataFrame, records: DataFrame, readings: DataFrame, anomalies: DataFrame, passages: DataFrame | None = None) -> DataFrame:
+    """Evidence for each trigger (equipment_id, trigger_id, trigger_ts) from its own equipment: records from 300 s before to 60 s
+    behind, readings (sensor_id, value) from 600 s before to 120 s behind as mean by sensor, anomalies from 900 s before
+    to 120 s behind, and the passages (trigger_id, chunk_id, place) retrieved for it."""
+    keys = ["equipment_id", "trigger_id"]
+    asked = triggers.select(*keys, "trigger_ts")
+    near = lambda df, before, after: band_join(asked, df, ["equipment_id"], "trigger_ts", "ts", before, after)
+    ids = lambda df, name: df.groupBy(*keys).agg(F.sort_array(F.collect_list("event_id")).alias(name))
+    means = near(readings, 600, 120).groupBy(*keys, "sensor_id").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    series = means.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sensor_id", "mean", "n"))).alias("series"))
+    out = triggers
+    for part in (ids(near(records, 300, 60), "records"), series, ids(near(anomalies, 900, 120), "anomalies")):
+        out = out.join(part, keys, "left")
+    if passages is not None:
+        told = passages.groupBy("trigger_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"]).alias("passages"))
+        out = out.join(told, "trigger_id", "left")
+    return out

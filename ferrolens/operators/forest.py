@@ -79,3 +79,9 @@ def score(df: DataFrame, steps: DataFrame) -> DataFrame:
 def severity(score_: Column | str, caution: float = 0.6, anomaly: float = 0.75) -> Column:
     score_ = F.col(score_) if isinstance(score_, str) else score_
     return F.when(score_ >= anomaly, "Anomaly").when(score_ >= caution, "Caution").otherwise("Normal")
+
+
+def list_models(models: DataFrame) -> DataFrame:
+    """(equipment_id, sensor_id, version, trained_at, n): the newest model of each series, and how many it has."""
+    newest = F.max(F.struct("trained_at", "version")).alias("m")
+    return models.groupBy("equipment_id", "sensor_id").agg(newest, F.count("*").alias("n")).select("equipment_id", "sensor_id", "m.version", "m.trained_at", "n")

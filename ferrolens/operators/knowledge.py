@@ -30,11 +30,52 @@ def correct_patterns(query: Column | str) -> Column:
     return out
 
 
-def expand_keywords(words: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """(query_id, term): keywords (query_id, keyword) and all terms of the synonym groups (group_id, term) that have them."""
+def corrections(query: Column | str) -> Column:
+    """What `correct_patterns` changes: an array of (original, corrected), typing errors first, then codes, then units."""
+    text = F.col(query) if isinstance(query, str) else query
+    pair = lambda a, b: F.struct(a.alias("original"), b.alias("corrected"))
+    said, now = [], text
+    for wrong, right in TYPOS.items():
+        if wrong != right:
+            said.append(F.when(F.contains(now, F.lit(wrong)), F.array(pair(F.lit(wrong), F.lit(right)))))
+            now = F.replace(now, F.lit(wrong), F.lit(right))
+    found = lambda pattern, spelt: F.transform(F.regexp_extract_all(now, F.lit(pattern), 0), lambda x: pair(x, F.regexp_replace(x, pattern, spelt)))
+    said.append(found(r"\b([A-Z]{1,3})(\d{3,5})\b", "$1-$2"))
+    said += [found(rf"(?i)(\d+(?:\.\d+)?)\s*{unit}\b", f"$1 {spelling}") for unit, spelling in UNITS.items() if unit != spelling]
+    none = F.array().cast("array<struct<original: string, corrected: string>>")
+    return F.filter(F.concat(*(F.coalesce(x, none) for x in said)), lambda x: x["original"] != x["corrected"])
+
+
+# What keywords are expanded by where there are no synonyms.
+RELATED = {
+    "시기": ["기준", "시간", "수명", "주기"],
+    "언제": ["기준", "시간", "시점"],
+    "원인": ["이유", "문제", "발생"],
+    "방법": ["절차", "순서", "단계"],
+    "주기": ["기준", "시간", "수명"],
+}
+
+
+def expand_keywords(words: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """(query_id, term): keywords (query_id, keyword) and all terms of the synonym groups (group_id, term) that have them;
+    without synonyms, the RELATED words."""
+    own = words.select("query_id", F.col("keyword").alias("term"))
+    if synonyms is None:
+        related = F.create_map(*(x for k, v in RELATED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+        return own.unionByName(words.select("query_id", F.explode(related[F.col("keyword")]).alias("term"))).distinct()
     groups = words.join(synonyms.select("group_id", F.lower("term").alias("low")), F.lower("keyword") == F.col("low")).select("query_id", "group_id").distinct()
-    more = groups.join(synonyms, "group_id").select("query_id", "term")
-    return words.select("query_id", F.col("keyword").alias("term")).unionByName(more).distinct()
+    return own.unionByName(groups.join(synonyms, "group_id").select("query_id", "term")).distinct()
+
+
+def canonical_terms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """queries (query_id, query) with `canonical`: each word replaced by the first term of its synonym group
+    (group_id, place, term), of several groups the least; other words and their order stay."""
+    heads = synonyms.groupBy("group_id").agg(F.min_by("term", "place").alias("head"))
+    of_word = synonyms.join(heads, "group_id").groupBy(F.lower("term").alias("low")).agg(F.min_by("head", "group_id").alias("head"))
+    words = queries.select("query_id", F.posexplode(F.filter(F.split("query", r"\s+"), lambda w: w != "")).alias("at", "word"))
+    told = words.join(of_word, F.lower("word") == F.col("low"), "left").select("query_id", "at", F.coalesce("head", "word").alias("word"))
+    joined = told.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("canonical"))
+    return queries.join(joined, "query_id", "left").withColumn("canonical", F.coalesce("canonical", F.lit("")))
 
 
 def prefix_parts(text: Column | str) -> tuple[Column, Column, Column]:
@@ -114,10 +155,19 @@ def rule_stats(rules: DataFrame) -> DataFrame:
 
 
 def link_documents(anomalies: DataFrame, causal: DataFrame) -> DataFrame:
-    """Anomalies (equipment_id, sensor_id, confidence) and causal entries (entry_id, symptom, action) whose symptom names the
-    sensor as a word: evidence of tier 3 at 0.8 of the confidence."""
-    words = causal.select("entry_id", "action", F.explode(F.array_distinct(F.split(F.lower("symptom"), r"[^a-z0-9_]+"))).alias("word"))
-    return anomalies.join(words, F.lower("sensor_id") == F.col("word")).select("equipment_id", "sensor_id", "entry_id", "action", (0.8 * F.col("confidence")).alias("confidence"))
+    """Anomalies (equipment_id, sensor_id, description, confidence) and causal entries (entry_id, error_code, symptom, action) whose
+    symptom names the sensor as a word, or whose code stands in the description: evidence of tier 3 at 0.8 of the confidence.
+
+    description and error_code may be missing. Both ways are joins on words.
+    """
+    words = lambda text, split: F.explode(F.array_distinct(F.split(F.lower(text), split)))
+    out = ["equipment_id", "sensor_id", "entry_id", "action", "confidence"]
+    told = causal.select("entry_id", "action", words("symptom", r"[^a-z0-9_]+").alias("word"))
+    linked = anomalies.join(told, F.lower("sensor_id") == F.col("word")).select(out)
+    if "description" in anomalies.columns and "error_code" in causal.columns:
+        codes = causal.filter("error_code != ''").select("entry_id", "action", F.lower("error_code").alias("word"))
+        linked = linked.unionByName(anomalies.withColumn("word", words("description", r"[^a-z0-9_.\-]+|[.\-]+(?![a-z0-9])")).join(codes, "word").select(out)).distinct()
+    return linked.withColumn("confidence", 0.8 * F.col("confidence"))
 
 
 def citations(passages: DataFrame) -> DataFrame:

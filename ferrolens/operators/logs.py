@@ -100,3 +100,16 @@ def metric_rollup(df: DataFrame, seconds: int) -> DataFrame:
     """Metrics by name and time bucket: count, sum, mean, extremes."""
     at = (F.floor(micros("ts") / (seconds * 1_000_000)) * seconds).alias("bucket")
     return df.groupBy("name", at).agg(F.count("*").alias("n"), F.sum("value").alias("sum"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def log_context(df: DataFrame, now: Column, hours: int = 1, n: int = 10) -> DataFrame:
+    """(context): one row of text for an answer: the n most frequent errors of the last hours, and each service's health.
+
+    It has no row if there were no logs. Services are few, so their lines are one text.
+    """
+    recent = df.filter((F.col("ts") <= now) & (F.col("ts") >= now - F.make_dt_interval(hours=F.lit(hours))))
+    errors = top_errors(recent, n).select(F.lit(0).alias("part"), (-F.col("n")).alias("a"), "service", F.format_string("- [%d회] %s: %s", "n", "service", "template").alias("line"))
+    health = service_health(recent).select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("a"), "service", F.format_string("- %s: Total=%d, ERR=%d, WRN=%d", "service", "total", "err", "wrn").alias("line"))
+    lines = errors.unionByName(health).agg(F.array_sort(F.collect_list(F.struct("part", "a", "service", "line"))).alias("x"))
+    part = lambda k, title: F.when(F.exists("x", lambda r: r["part"] == k), F.concat(F.lit(title), F.array_join(F.transform(F.filter("x", lambda r: r["part"] == k), lambda r: r["line"]), "\n")))
+    return lines.filter(F.size("x") > 0).select(F.concat_ws("\n\n", part(0, "## 최근 Top 에러:\n"), part(1, "## 서비스 헬스:\n")).alias("context"))

@@ -169,3 +169,54 @@ def apply_retention(df: DataFrame, now: Column, policy=RETENTION) -> DataFrame:
     at = F.when(F.col("step") == 0, micros("ts")).otherwise(F.floor(micros("ts") / (F.col("step") * 1_000_000)) * F.col("step") * 1_000_000)
     raw = F.when(F.col("step") == 0, F.col("event_id"))
     return tiered.groupBy(*KEYS, "step", at.cast("long").alias("at_micros"), raw.alias("event_id")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+
+
+# -- patterns --------------------------------------------------------------------------------------
+
+
+def drifts(df: DataFrame, n: int = 20, least: float = 1.5) -> DataFrame:
+    """(keys, part, slope, direction): stretches of n consecutive readings whose least-squares line rises or falls by at
+    least `least` deviations of the series over the stretch. Shorter rests at the end don't count."""
+    std = df.groupBy(*KEYS).agg(F.stddev_pop("value").alias("std")).filter("std > 1e-10")
+    at = F.row_number().over(over()) - 1
+    parts = df.withColumn("at", at).withColumn("part", F.floor(F.col("at") / n)).groupBy(*KEYS, "part").agg(F.count("*").alias("m"), F.regr_slope("value", "at").alias("slope"))
+    rise = F.col("slope") * (n - 1)
+    found = parts.filter(F.col("m") == n).join(std, list(KEYS)).filter(F.abs(rise) >= least * F.col("std"))
+    return found.select(*KEYS, "part", "slope", F.when(F.col("slope") > 0, "up").otherwise("down").alias("direction"))
+
+
+def jumps(df: DataFrame, n: int = 10, least: float = 3.0) -> DataFrame:
+    """Readings with `step`, in deviations of the n readings before, of those that stand `least` or more above their mean."""
+    before = over().rowsBetween(-n, -1)
+    told = df.withColumns({"mean_": F.avg("value").over(before), "std_": F.stddev_pop("value").over(before), "n_": F.count("*").over(before)})
+    step = (F.col("value") - F.col("mean_")) / F.col("std_")
+    return told.filter((F.col("n_") == n) & (F.col("std_") > 1e-10)).withColumn("step", step).filter(F.col("step") >= least).drop("mean_", "std_", "n_")
+
+
+def starvation(df: DataFrame, flow: str, torque: str, seconds: int, change: float = 0.1) -> DataFrame:
+    """(equipment_id, bucket, flow, torque): time buckets in which the mean flow fell and the mean torque rose by `change` or
+    more against the bucket with readings of both before."""
+    of = lambda s: F.avg(F.when(F.col("sensor_id") == s, F.col("value")))
+    wide = df.groupBy("equipment_id", bucket("ts", seconds).alias("bucket")).agg(of(flow).alias("flow"), of(torque).alias("torque")).filter("flow is not null and torque is not null")
+    w = Window.partitionBy("equipment_id").orderBy("bucket")
+    before = wide.withColumns({"flow_": F.lag("flow").over(w), "torque_": F.lag("torque").over(w)})
+    return before.filter((F.col("flow") <= (1 - change) * F.col("flow_")) & (F.col("torque") >= (1 + change) * F.col("torque_"))).drop("flow_", "torque_")
+
+
+def zone_balance(df: DataFrame, worst: float = 1.5) -> DataFrame:
+    """(equipment_id, imbalance, worst_zones): how far the most restless zone (sensor_id) is above the median of the zones'
+    deviations, as 1 - median / greatest, and the zones at `worst` times the median or more."""
+    zones = df.groupBy("equipment_id", "sensor_id").agg(F.stddev_pop("value").alias("std"))
+    middle = zones.groupBy("equipment_id").agg(F.median("std").alias("middle"), F.max("std").alias("most"))
+    told = zones.join(middle, "equipment_id").groupBy("equipment_id", "middle", "most").agg(F.sort_array(F.collect_list(F.when(F.col("std") >= worst * F.col("middle"), F.col("sensor_id")))).alias("zones"))
+    return told.select("equipment_id", F.when(F.col("most") > 1e-10, 1 - F.col("middle") / F.col("most")).otherwise(0.0).alias("imbalance"), F.array_join("zones", ",").alias("worst_zones"))
+
+
+def detect_anomalies(df: DataFrame, equipment, start: Column, end: Column) -> DataFrame:
+    """(equipment_id, sensor_id, event_id, ts, value, method, score, since, until): what both tests find odd in the readings of
+    an equipment from start to end, with that window."""
+    some = df.filter((F.col("equipment_id") == F.lit(equipment)) & (F.col("ts") >= start) & (F.col("ts") <= end))
+    names = [*KEYS, "event_id", "ts", "value"]
+    sigma = sigma_anomalies(some).select(*names, F.lit("sigma").alias("method"), F.abs("z").alias("score"))
+    local = local_anomalies(some).select(*names, F.lit("local").alias("method"), "score")
+    return sigma.unionByName(local).withColumns({"since": start, "until": end})

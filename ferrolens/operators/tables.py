@@ -74,6 +74,48 @@ def neighbours(seeds: DataFrame, relations: DataFrame, depth: int) -> DataFrame:
     return reached
 
 
+def graph_search(queries: DataFrame, entities: DataFrame, relations: DataFrame, depth: int = 2) -> DataFrame:
+    """(query_id, entity_id, distance): what the entities that a query's keywords (query_id, keyword) name lead to within
+    `depth` relations, each once with its least distance."""
+    seeds = resolve_keywords(queries, entities)
+    near = neighbours(seeds.select(F.col("entity_id").alias("seed")).distinct(), relations, depth)
+    return seeds.withColumnRenamed("entity_id", "seed").join(near, "seed").groupBy("query_id", "entity_id").agg(F.min("distance").alias("distance"))
+
+
+def resolve_keywords(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, entity_id) of the entities whose name, or a word of it, is one of the keywords (query_id, keyword)."""
+    asked = queries.select("query_id", F.lower("keyword").alias("word"))
+    names = entities.select(F.lower("name").alias("word"), "entity_id").unionByName(keyword_index(entities).select("word", "entity_id"))
+    return asked.join(names, "word").select("query_id", "entity_id").distinct()
+
+
+MOST_SEEDS, MOST_ENTITIES, MOST_RELATIONS = 10, 20, 30
+
+
+def graph_context(queries: DataFrame, entities: DataFrame, relations: DataFrame, depth: int = 2) -> DataFrame:
+    """(query_id, context): a text of the entities and relations around a query's keywords (query_id, keyword).
+
+    The first MOST_SEEDS entities by id are followed; named are the first MOST_ENTITIES by distance and name, without
+    regard to case, and the first MOST_RELATIONS (source, kind, target) by distance of their nearer end. Queries that
+    name no entity have no row.
+    """
+    first = lambda df, n, *order: df.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("k") <= n)
+    seeds = first(resolve_keywords(queries, entities), MOST_SEEDS, "entity_id").select("query_id", F.col("entity_id").alias("seed"))
+    near = seeds.join(neighbours(seeds.select("seed").distinct(), relations, depth), "seed").groupBy("query_id", "entity_id").agg(F.min("distance").alias("distance"))
+    known = near.join(entities, "entity_id")
+    named = known.groupBy("query_id", F.lower("name").alias("low")).agg(F.min(F.struct("distance", "name", "type")).alias("e")).select("query_id", "e.*")
+    named = first(named, MOST_ENTITIES, "distance", "name")
+    ends = relations.select("source", "kind", "target", F.explode(F.array("source", "target")).alias("entity_id"))
+    around = near.filter(F.col("distance") < depth).join(ends, "entity_id").groupBy("query_id", "source", "kind", "target").agg(F.min("distance").alias("distance"))
+    around = first(around, MOST_RELATIONS, "distance", "source", "kind", "target")
+    lines = lambda df, line, name: df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias(name))
+    a = lines(named, F.concat(F.lit("- "), "name", F.lit(" ["), "type", F.lit("]")), "a")
+    b = lines(around, F.concat(F.lit("- "), "source", F.lit(" -["), "kind", F.lit("]-> "), "target"), "b")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x["line"]), "\n")
+    context = F.concat(F.lit("[관련 지식 그래프]\n\n엔티티:\n"), text("a"), F.when(F.col("b").isNotNull(), F.concat(F.lit("\n\n관계:\n"), text("b"))).otherwise(""))
+    return a.join(b, "query_id", "left").select("query_id", context.alias("context"))
+
+
 # -- expert rules ----------------------------------------------------------------------------------
 
 
@@ -149,3 +191,48 @@ def suppress(alerts: DataFrame, minutes: float = 60) -> DataFrame:
     kind = {f.name: f.dataType.simpleString() for f in alerts.schema.fields}
     columns = ["equipment_id", "hypothesis", "ts", "alert_id"]
     return fold(alerts.select(columns), ["equipment_id", "hypothesis"], ["ts", "alert_id"], columns, ", ".join(f"{c} {kind[c]}" for c in columns), step)
+
+
+SEVERITIES = {"Critical": 0, "Warning": 1}
+
+
+def active_alerts(alerts: DataFrame, acknowledged: DataFrame) -> DataFrame:
+    """Alerts (alert_id, severity, ts, ...) that nobody acknowledged (alert_id), with their place: the severest first, of these the newest."""
+    rank = F.coalesce(F.create_map(*(F.lit(x) for kv in SEVERITIES.items() for x in kv))[F.col("severity")], F.lit(len(SEVERITIES)))
+    return alerts.join(acknowledged.select("alert_id").distinct(), "alert_id", "left_anti").withColumn("rank", rank).orderBy("rank", F.desc("ts"), "alert_id").drop("rank")
+
+
+def alert_history(alerts: DataFrame, n: int = 100) -> DataFrame:
+    """The n latest alerts."""
+    return alerts.orderBy(F.desc("ts"), F.desc("alert_id")).limit(n)
+
+
+def alert_counts(alerts: DataFrame, acknowledged: DataFrame) -> DataFrame:
+    """Alerts by severity: all, and those not acknowledged."""
+    marked = alerts.join(acknowledged.select("alert_id", F.lit(True).alias("done")).distinct(), "alert_id", "left")
+    return marked.groupBy("severity").agg(F.count("*").alias("n"), F.count_if(F.col("done").isNull()).alias("active"))
+
+
+def acknowledge(acknowledged: DataFrame, ids: DataFrame, by: str, at: Column) -> DataFrame:
+    """Acknowledgements (alert_id, by, at) with those of the ids (alert_id); who was first stays."""
+    new = ids.select("alert_id").distinct().join(acknowledged, "alert_id", "left_anti").select("alert_id", F.lit(by).alias("by"), at.alias("at"))
+    return acknowledged.unionByName(new)
+
+
+def alert_ids(alerts: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """alerts with `alert_no`: one sequence PA-000001, PA-000002, ... in order of the first column, a time, then the others.
+
+    Alerts are numbered day by day; what came before a day is a running sum over the days.
+    """
+    day = F.to_date(order[0])
+    counts = alerts.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
+    before = counts.select("day", (F.sum("n").over(Window.orderBy("day")) - F.col("n")).alias("before"))  # one row a day
+    number = F.row_number().over(Window.partitionBy("day").orderBy(*order)) + F.col("before")
+    numbered = alerts.withColumn("day", day).join(F.broadcast(before), F.col("day").eqNullSafe(before["day"])).drop(before["day"])
+    text = number.cast("string")
+    return numbered.withColumn("alert_no", F.concat(F.lit("PA-"), F.lpad(text, 6, "0"))).drop("day", "before")
+
+
+def expire(df: DataFrame, now: Column, hours: float, at: str = "ts") -> DataFrame:
+    """Rows of an expiring table that are younger than `hours`."""
+    return df.filter(F.col(at) > now - F.make_dt_interval(hours=F.lit(int(hours)), mins=F.lit(round(hours % 1 * 60))))

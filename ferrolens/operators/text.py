@@ -159,6 +159,24 @@ def mask_equipment(df: DataFrame, text: str, scope: list[str], order: list[str])
     return joined.withColumn("masked", masked)
 
 
+# What is masked in texts of logs.
+LOG_EQUIPMENT = r"\b[A-Z]{2,6}-\d{2,4}\b"
+LOG_SENSITIVE = {
+    r"(?i)(?:yield|수율)\s*[:\-=]?\s*\d+\.?\d*\s*%?": "[YIELD_REDACTED]",
+    r"(?i)(?:recipe|레시피)\s*[:\-=]?\s*[\w\-\.]+": "[RECIPE_REDACTED]",
+}
+
+
+def mask_text(text: Column | str) -> Column:
+    """The text with equipment ids as [EQUIP_A], [EQUIP_B], ... by first appearance in it, without yields and recipes."""
+    ids = F.array_distinct(F.regexp_extract_all(_c(text), F.lit(LOG_EQUIPMENT), 0))
+    named = F.transform(ids, lambda x, i: F.struct(x.alias("id"), F.concat(F.lit("[EQUIP_"), F.char(F.lit(65) + i), F.lit("]")).alias("alias")))
+    out = F.aggregate(named, _c(text), lambda s, a: F.regexp_replace(s, F.concat(F.lit(r"\b"), a["id"], F.lit(r"\b")), a["alias"]))
+    for pattern, mark in LOG_SENSITIVE.items():
+        out = F.regexp_replace(out, pattern, mark)
+    return out
+
+
 def unmask(text: Column | str, aliases: Column | str) -> Column:
     return F.aggregate(aliases, _c(text), lambda s, a: F.replace(s, a["alias"], a["id"]))
 
@@ -191,9 +209,26 @@ def answer_check(text: Column | str) -> Column:
     )
 
 
+# Beginnings of reference sections that a model writes by itself.
+REFERENCE_SECTIONS = (
+    r"\n---\s*\n\s*📚\s*\*{0,2}참고\s*문서",
+    r"\n#{1,3}\s*참조\s*\n",
+    r"\n#{1,3}\s*참고\s*문서\s*\n",
+    r"\n#{1,3}\s*참고문서\s*\n",
+    r"\n#{1,3}\s*출처\s*\n",
+    r"\n#{1,3}\s*신뢰도\s*\n",
+    r"\n📚\s*\*{0,2}참고\s*문서",
+    r"\n---\s*\n\s*\*{0,2}참고\s*문서",
+    r"\n---\s*\n\s*\*{0,2}참고\s*정보",
+    r"\n---\s*\n\s*- 📄",
+)
+
+
 def clean_answer(text: Column | str) -> Column:
-    """Without think blocks and leaked control tokens."""
-    return F.trim(F.regexp_replace(F.regexp_replace(_c(text), r"(?is)<think>.*?</think>", ""), r"<\|[a-z_]+\|>", ""))
+    """Without think blocks, leaked control tokens and all that follows the earliest reference section."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(_c(text), r"(?is)<think>.*?</think>", ""), r"<\|[a-z_]+\|>", ""))
+    any_section = "(?:" + "|".join(REFERENCE_SECTIONS) + ")"
+    return F.when(bare.rlike(any_section), F.regexp_replace(bare, rf"(?s)\s*{any_section}.*", "")).otherwise(bare)
 
 
 def reflected(answers: DataFrame, passages: DataFrame) -> DataFrame:

@@ -56,3 +56,90 @@ def write_chunks(chunks: DataFrame, path: str, buckets: int = 16) -> None:
         new.unionByName(kept.select(new.columns)).write.mode("overwrite").parquet(staged)
         new = spark.read.schema(new.schema).parquet(staged)
     new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+ENTRY = "id string, query string, language string, intent string, expected_docs array<string>, expected_keywords array<string>, expected_answer string"
+
+
+def load_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, query, language, intent, documents, keywords, answer): the entries of an evaluation file in JSON."""
+    file = spark.read.schema(f"entries array<struct<{ENTRY}>>").json(path, multiLine=True)
+    e = file.select(F.explode("entries").alias("e")).select("e.*")
+    return e.select(F.col("id").alias("query_id"), "query", "language", "intent", F.col("expected_docs").alias("documents"), F.col("expected_keywords").alias("keywords"), F.col("expected_answer").alias("answer"))
+
+
+def load_synonyms(spark: SparkSession, path: str) -> DataFrame:
+    """(group_id, place, term): groups of terms, a JSON array of arrays; blank terms don't count."""
+    text = spark.read.text(path, wholetext=True)
+    groups = text.select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("group_id", "terms"))
+    return groups.select("group_id", F.posexplode("terms").alias("place", "term")).filter(F.trim("term") != "")
+
+
+def write_report(measures: DataFrame, report: DataFrame, path: str, failed: int = 20) -> None:
+    """An evaluation as JSON below the path: its measures, its report, and a text of it with the first failed queries."""
+    measures.write.mode("overwrite").json(f"{path}/measures")
+    report.write.mode("overwrite").json(f"{path}/report")
+    lines = report.select(F.lit(0).alias("part"), F.format_string("%s/%s: n=%d recall=%.3f mrr=%.3f ndcg=%.3f hit=%.3f passed=%s", *(F.coalesce(c, F.lit("all")) for c in ("intent", "language")), "n", "recall", "mrr", "ndcg", "hit_rate", "passed").alias("value"))
+    missed = measures.filter(~F.col("hit")).orderBy("query_id").limit(failed).select(F.lit(1).alias("part"), F.format_string("failed: %s", F.col("query_id").cast("string")).alias("value"))
+    lines.unionByName(missed).coalesce(1).sortWithinPartitions("part", "value").select("value").write.mode("overwrite").text(f"{path}/summary")
+
+
+class IndexAlias:
+    """Two tables of chunks under one name: searches read the active one, a new index is written beside it, then promoted.
+
+    The state is a one-row table of its own, so that every session sees the same; it is replaced as a whole by a new version.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _versions(self):
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/*/_SUCCESS"))
+        return sorted(int(f.getPath().getParent().getName()) for f in found or [])
+
+    def state(self) -> dict:
+        """The active side, whether the standby side is ready, and the side before; nothing is active at first."""
+        versions = self._versions()
+        if not versions:
+            return {"active": None, "ready": False, "before": None}
+        return self.spark.read.schema("active string, ready boolean, before string").json(f"{self.path}/state/{versions[-1]}").first().asDict()
+
+    def _write(self, **state) -> None:
+        version = (self._versions() or [0])[-1] + 1
+        self.spark.createDataFrame([state], "active string, ready boolean, before string").coalesce(1).write.json(f"{self.path}/state/{version}")
+
+    @property
+    def standby(self) -> str:
+        return "green" if self.state()["active"] == "blue" else "blue"
+
+    def prepare(self, chunks: DataFrame) -> None:
+        """Write the standby side anew; searches go on with the active one."""
+        state = self.state()
+        chunks.write.mode("overwrite").parquet(f"{self.path}/{self.standby}")
+        self._write(active=state["active"], ready=True, before=state["before"])
+
+    def promote(self) -> None:
+        """The prepared side becomes active."""
+        state = self.state()
+        if not state["ready"]:
+            raise ValueError("no side is prepared")
+        self._write(active=self.standby, ready=False, before=state["active"])
+
+    def rollback(self) -> None:
+        """The side before the last promotion becomes active again."""
+        state = self.state()
+        if state["before"] is None:
+            raise ValueError("there is nothing to go back to")
+        self._write(active=state["before"], ready=False, before=state["active"])
+
+    def read(self) -> DataFrame:
+        """The active side."""
+        active = self.state()["active"]
+        if active is None:
+            raise ValueError("nothing is active")
+        return self.spark.read.parquet(f"{self.path}/{active}")
+
+    def view(self, name: str) -> None:
+        """A view of the active side under the name."""
+        self.read().createOrReplaceTempView(name)
