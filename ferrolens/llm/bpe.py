@@ -21,6 +21,7 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 from functools import cached_property
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -39,6 +40,8 @@ KNOWN_CHUNKS = 300_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"\p{White_Space}+")
 NEVER = np.int64(1) << 40
+#: Characters from which on a word is merged without a proposal.
+LONG = 512
 
 
 def byte_letters() -> dict[int, str]:
@@ -204,16 +207,29 @@ class Encoder:
         return out
 
     def merged(self, word: str) -> list[int]:
-        """Exact merging: the adjacent pair of lowest rank first, leftmost among equals."""
+        """Exact merging: the adjacent pair of lowest rank first, leftmost among equals.
+
+        Pairs wait in a heap, and parts are a linked list, so that n bytes take n log n steps.
+        """
         data = word.encode("utf-8")
-        parts = [*self.inner[list(data[:-1])].tolist(), int(self.final[data[-1]])]
-        while len(parts) > 1:
-            best = min(((self.merge[p][0], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self.merge), default=None)
-            if best is None:
-                break
-            i = best[1]
-            parts[i : i + 2] = [self.merge[parts[i], parts[i + 1]][1]]
-        return parts
+        parts = [*self.inner[np.frombuffer(data[:-1], np.uint8)].tolist(), int(self.final[data[-1]])]
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        waiting = [(self.merge[p][0], i, *p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self.merge]
+        heapify(waiting)
+        while waiting:
+            _, i, a, b = heappop(waiting)
+            j = after[i]
+            if parts[i] != a or j >= n or parts[j] != b:
+                continue  # one of the two was merged otherwise
+            parts[i], parts[j] = self.merge[a, b][1], -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (parts[x], parts[y]) in self.merge:
+                    heappush(waiting, (self.merge[parts[x], parts[y]][0], x, parts[x], parts[y]))
+        return [p for p in parts if p >= 0]
 
     def merged_all(self, words: list[str]) -> list[list[int]]:
         """`merged` for many words at once: each round makes every word's next merge."""
@@ -300,7 +316,13 @@ class Encoder:
         return good
 
     def learn(self, words: list[str]) -> None:
-        """Encode words not met before."""
+        """Encode words not met before. Very long ones, which would hold up the others' proposals, are merged at once."""
+        endless = [w for w in words if len(w) > LONG]
+        if endless:
+            self.words.add(endless, *flat_lists([self.merged(w) for w in endless]))
+            words = [w for w in words if len(w) <= LONG]
+            if not words:
+                return
         flat, bounds = self.greedy(words)
         sizes = np.diff(bounds)
         owner = np.repeat(np.arange(len(words)), sizes)
