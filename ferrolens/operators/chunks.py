@@ -80,6 +80,19 @@ def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, markdown: b
     return docs.select(*keys, "text").mapInPandas(run, f"{kinds}, {SCHEMA}")
 
 
+def sections_of(docs: DataFrame) -> DataFrame:
+    """(document_id, place, section, text): the parts of documents (document_id, text) between Markdown headers, with their
+    header path, empty before the first; blank parts don't count."""
+    key = docs.schema["document_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, i, section, text[a:b].strip()) for d, text in zip(batch["document_id"], batch["text"], strict=True) for i, (section, a, b) in enumerate(sections(text or ""))]
+            yield pd.DataFrame(rows, columns=["document_id", "place", "section", "text"])
+
+    return docs.select("document_id", "text").mapInPandas(run, f"document_id {key}, place int, section string, text string")
+
+
 def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of pages (document_id, page, text); no chunk goes over the edge of a page."""
     return chunk(pages, size, overlap, keys=("document_id", "page"))

@@ -30,6 +30,12 @@ def mean_path(n: int) -> float:
     return 1.0 if n == 2 else 2 * (math.log(n - 1) + EULER) - 2 * (n - 1) / n
 
 
+def path_length(n: Column | str) -> Column:
+    """`mean_path` of a column of counts."""
+    n = F.col(n) if isinstance(n, str) else n
+    return F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(2 * (F.ln(n - 1) + EULER) - 2 * (n - 1) / n)
+
+
 def grow(values: np.ndarray, most: int, rng: np.random.Generator) -> list[tuple[float, float]]:
     """Steps (from value, path length) of one tree, in order of value."""
     out: list[tuple[float, float]] = []

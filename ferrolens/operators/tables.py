@@ -116,6 +116,15 @@ def graph_context(queries: DataFrame, entities: DataFrame, relations: DataFrame,
     return a.join(b, "query_id", "left").select("query_id", context.alias("context"))
 
 
+UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
+def stable_id(key: Column | str) -> Column:
+    """The id of a row with a string key: the key itself, in small letters, if it is a UUID, else its MD5."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.when(key.rlike(UUID), F.lower(key)).otherwise(F.md5(key))
+
+
 # -- expert rules ----------------------------------------------------------------------------------
 
 
@@ -224,13 +233,12 @@ def alert_ids(alerts: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) ->
 
     Alerts are numbered day by day; what came before a day is a running sum over the days.
     """
-    day = F.to_date(order[0])
-    counts = alerts.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
+    dated = alerts.withColumn("day", F.coalesce(F.to_date(order[0]), F.lit("0001-01-01").cast("date")))
+    counts = dated.groupBy("day").agg(F.count("*").alias("n"))
     before = counts.select("day", (F.sum("n").over(Window.orderBy("day")) - F.col("n")).alias("before"))  # one row a day
-    number = F.row_number().over(Window.partitionBy("day").orderBy(*order)) + F.col("before")
-    numbered = alerts.withColumn("day", day).join(F.broadcast(before), F.col("day").eqNullSafe(before["day"])).drop(before["day"])
-    text = number.cast("string")
-    return numbered.withColumn("alert_no", F.concat(F.lit("PA-"), F.lpad(text, 6, "0"))).drop("day", "before")
+    number = (F.row_number().over(Window.partitionBy("day").orderBy(*order)) + F.col("before")).cast("string")
+    numbered = dated.join(F.broadcast(before), "day")
+    return numbered.withColumn("alert_no", F.concat(F.lit("PA-"), F.lpad(number, F.greatest(F.lit(6), F.length(number)), F.lit("0")))).drop("day", "before")
 
 
 def expire(df: DataFrame, now: Column, hours: float, at: str = "ts") -> DataFrame:

@@ -69,3 +69,22 @@ def alm8(spark, sf):
 def alm10(spark, sf):
     records = logs(spark, sf).withColumnRenamed("user_id", "equipment_id").withColumn("channel", F.col("template"))
     return A.time_window(records, 8, "2024-01-01", "2024-01-15", ["error", "view"]).select("event_id", "ts", "level")
+
+
+@query(
+    "alm9_rca_evidence",
+    f"""with {LOGS}, t as (select user_id as equipment_id, event_id as trigger_id, epoch_us(ts) as at_ from logs where level = 'Error'), r as (select user_id as equipment_id, event_id, template, value, epoch_us(ts) as at_ from logs),
+    a as (select t.trigger_id, string_agg(cast(event_id as varchar), ',' order by event_id) as records from t join r on r.equipment_id = t.equipment_id and r.at_ between t.at_ - 300000000 and t.at_ + 60000000 group by 1),
+    s as (select trigger_id, string_agg(template || ':' || n, ',' order by template) as series from (select t.trigger_id, template, count(*) as n from t join r on r.equipment_id = t.equipment_id and r.at_ between t.at_ - 600000000 and t.at_ + 120000000 group by 1, 2) group by 1),
+    o as (select t.trigger_id, string_agg(cast(event_id as varchar), ',' order by event_id) as anomalies from t join r on r.equipment_id = t.equipment_id and r.at_ between t.at_ - 900000000 and t.at_ + 120000000 and value > 50 group by 1)
+    select trigger_id, records, series, anomalies, 'p1,p2' as passages from t left join a using (trigger_id) left join s using (trigger_id) left join o using (trigger_id)""",
+)
+def alm9(spark, sf):
+    records = logs(spark, sf).withColumnRenamed("user_id", "equipment_id")
+    triggers = records.filter("level = 'Error'").select("equipment_id", F.col("event_id").alias("trigger_id"), F.col("ts").alias("trigger_ts"))
+    readings_ = records.withColumnRenamed("template", "sensor_id")
+    passages = triggers.select("trigger_id", F.explode(F.array(F.lit(2), F.lit(1))).alias("place")).withColumn("chunk_id", F.concat(F.lit("p"), F.col("place").cast("string")))
+    found = A.rca_evidence(triggers, records, readings_, readings_.filter("value > 50"), passages)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    series = F.array_join(F.transform("series", lambda x: F.concat(x["sensor_id"], F.lit(":"), x["n"].cast("string"))), ",")
+    return found.select("trigger_id", text("records").alias("records"), series.alias("series"), text("anomalies").alias("anomalies"), F.array_join("passages", ",").alias("passages"))

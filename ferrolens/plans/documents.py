@@ -191,3 +191,13 @@ def cau3(spark, sf):
 )
 def cau4(spark, sf):
     return C.extract_causal(manual(spark, sf, "user_id"))
+
+
+@query(
+    "doc1_sections",
+    """select event_id as document_id, 0 as place, '' as section, 'lead' as text from events union all select event_id, 1, 'Pump ' || event_id, 'Body.' from events
+    union all select event_id, 2, 'Pump ' || event_id || ' > ' || event_type, 'More #1' from events union all select event_id, 3, 'End', '#######x' from events""",
+)
+def doc1(spark, sf):
+    text = told("lead\n# Pump ", K, "\nBody.\n\n### ", F.col("event_type"), " \nMore #1\n## Blank\n \n# End\n#######x")
+    return C.sections_of(table(spark, sf, "events").select(K.alias("document_id"), text.alias("text")))

@@ -102,12 +102,22 @@ def fus2(spark, sf):
     return K.link_documents(odd, causal).withColumn("confidence", r6("confidence"))
 
 
-@query("alr4_alert_ids", "select event_id, 'PA-' || lpad(cast(row_number() over (partition by user_id order by ts, event_id) as varchar), 6, '0') as alert_id from events")
-def alr4(spark, sf):
-    from pyspark.sql import Window
+@query(
+    "fus2_link_codes",
+    """with a as (select user_id as equipment_id, event_type as sensor_id, event_id % 30 as k, max(value) / 1000 as confidence from events group by 1, 2, 3), c as (select n_nationkey as entry_id, 'E-' || n_nationkey as code, n_name as action, case when n_nationkey = 3 then 'view' else 'no' end as symptom from nation)
+    select distinct equipment_id, sensor_id, entry_id, action, round(0.8 * confidence, 6) + 0.0 as confidence from a join c on (symptom = 'view' and sensor_id = 'view') or entry_id = k""",
+)
+def fus2_codes(spark, sf):
+    """Anomalies whose description quotes a code, next to those whose sensor a symptom names."""
+    odd = table(spark, sf, "events").groupBy(F.col("user_id").alias("equipment_id"), F.col("event_type").alias("sensor_id"), (F.col("event_id") % 30).alias("k")).agg((F.max("value") / 1000).alias("confidence"))
+    odd = odd.withColumn("description", F.concat(F.lit("Spike, see e-"), F.col("k").cast("string"), F.lit(". Then E-99-1")))
+    causal = table(spark, sf, "nation").select(F.col("n_nationkey").alias("entry_id"), F.concat(F.lit("E-"), F.col("n_nationkey").cast("string")).alias("error_code"), F.when(F.col("n_nationkey") == 3, "View").otherwise("no").alias("symptom"), F.col("n_name").alias("action"))
+    return K.link_documents(odd, causal).withColumn("confidence", r6("confidence"))
+
 
-    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf, "events").select("event_id", F.concat(F.lit("PA-"), F.lpad(number.cast("string"), 6, "0")).alias("alert_id"))
+@query("alr4_alert_ids", "select event_id, 'PA-' || lpad(cast(row_number() over (order by ts, event_id) as varchar), cast(greatest(6, length(cast(row_number() over (order by ts, event_id) as varchar))) as integer), '0') as alert_id from events")
+def alr4(spark, sf):
+    return T.alert_ids(table(spark, sf, "events").select("event_id", "ts")).select("event_id", F.col("alert_no").alias("alert_id"))
 
 
 @query("ans5_citations", """select answer_id, document_id, concat_ws('-', cast(document_id as varchar), 'C' || cast(document_id % 5 as varchar), case when document_id % 2 = 0 then 'S' || cast(document_id % 3 as varchar) end, case when line_start is not null then '{Line:' || line_start || '-' || line_start + 4 || '}' else '{Page:' || event_id % 9 || '}' end) as shown, score
@@ -125,3 +135,65 @@ def ans5(spark, sf):
 def exp4(spark, sf):
     runs = table(spark, sf, "events").select(F.col("event_type").alias("mode"), F.col("value").alias("total_ms"), F.char_length("props").alias("chars"), (F.col("event_id") % 4).alias("citations"), (F.col("value") / 100).alias("score"))
     return K.benchmark_summary(runs).withColumns({c: r6(c) for c in ("total_ms", "chars", "citations", "score")})
+
+
+@query("qry6_corrections", """select event_id, 'E' || (1000 + event_id % 900) || '>E-' || (1000 + event_id % 900) || ';' || event_id % 7 || '.5um>' || event_id % 7 || '.5 μm;' || event_id % 90 || ' rpm>' || event_id % 90 || ' RPM' as said from events""")
+def qry6_corrections(spark, sf):
+    number = lambda n: (F.col("event_id") % n).cast("string")
+    asked = F.concat(F.lit("E"), (1000 + F.col("event_id") % 900).cast("string"), F.lit(" at "), number(90), F.lit(" rpm, "), number(7), F.lit(".5um"))
+    said = F.array_join(F.transform(K.corrections(asked), lambda c: F.concat(c["original"], F.lit(">"), c["corrected"])), ";")
+    return table(spark, sf, "events").select("event_id", said.alias("said"))
+
+
+SYNONYMS = [(1, 0, "View"), (1, 1, "look"), (1, 2, "see"), (2, 0, "click"), (2, 1, "see"), (3, 0, "other")]
+
+
+@query("qry5_canonical_terms", "select event_id as query_id, case event_type when 'view' then 'View' else event_type end || ' View, the View ' || user_id as canonical from events")
+def qry5(spark, sf):
+    synonyms = spark.createDataFrame(SYNONYMS, "group_id int, place int, term string")
+    asked = table(spark, sf, "events").select(F.col("event_id").alias("query_id"), F.concat("event_type", F.lit("  SEE  ,the look "), F.col("user_id").cast("string")).alias("query"))
+    asked = asked.withColumn("query", F.regexp_replace("query", r"\s+,the", ", the"))
+    return K.canonical_terms(asked.withColumn("query", F.regexp_replace("query", r",", " ,")), synonyms).select("query_id", F.regexp_replace("canonical", r" ,", ",").alias("canonical"))
+
+
+@query(
+    "qry4_related_keywords",
+    """with w as (select distinct user_id as query_id, case event_id % 3 when 0 then '원인' when 1 then '주기' else event_type end as keyword from events), r(keyword, term) as (values ('원인', '이유'), ('원인', '문제'), ('원인', '발생'), ('주기', '기준'), ('주기', '시간'), ('주기', '수명'))
+    select query_id, keyword as term from w union select query_id, term from w join r using (keyword)""",
+)
+def qry4_related(spark, sf):
+    word = F.when(F.col("event_id") % 3 == 0, "원인").when(F.col("event_id") % 3 == 1, "주기").otherwise(F.col("event_type"))
+    return K.expand_keywords(table(spark, sf, "events").select(F.col("user_id").alias("query_id"), word.alias("keyword")).distinct())
+
+
+RESOLVED = """i as (
+        select entity_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(name), '[\\s_\\-#]+'), lambda w: length(w) >= 2))) as word from entities union select entity_id, lower(name) from entities
+    ), seeds as (select distinct n_nationkey as query_id, entity_id as seed from nation join i on word = lower(n_name)),
+    both_ as (select source, target from relations union select target, source from relations)"""
+
+
+def asked_nations(spark, sf):
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("keyword"))
+
+
+@query(
+    "gra10_graph_search",
+    f"""with recursive {GRAPH}, {RESOLVED}, w as (select query_id, seed as entity_id, 0 as distance from seeds union select w.query_id, b.target, w.distance + 1 from w join both_ b on b.source = w.entity_id where w.distance < 2)
+    select query_id, entity_id, cast(min(distance) as bigint) as distance from w group by 1, 2""",
+)
+def gra10(spark, sf):
+    return T.graph_search(asked_nations(spark, sf), *graph(spark, sf))
+
+
+@query(
+    "gra6_graph_context",
+    f"""with {GRAPH}, {RESOLVED}, first as (select query_id, seed from (select *, row_number() over (partition by query_id order by seed) as k from seeds) where k <= 10),
+    near as (select query_id, entity_id, min(d) as d from (select query_id, seed as entity_id, 0 as d from first union all select query_id, target, 1 from first join both_ on source = seed) group by 1, 2),
+    named as (select query_id, d, name, type, row_number() over (partition by query_id order by d, name) as k from (select query_id, lower(name) as low, min((d, name, type)) as e, e[1] as d, e[2] as name, e[3] as type from near join entities using (entity_id) group by 1, 2)),
+    around as (select *, row_number() over (partition by query_id order by source, target) as k from (select distinct query_id, source, target from near join relations on entity_id in (source, target) where d = 0)),
+    a as (select query_id, string_agg('- ' || name || ' [' || type || ']', chr(10) order by k) as a from named where k <= 20 group by 1), b as (select query_id, string_agg('- ' || source || ' -[in]-> ' || target, chr(10) order by k) as b from around where k <= 30 group by 1)
+    select query_id, '[관련 지식 그래프]' || chr(10) || chr(10) || '엔티티:' || chr(10) || a || coalesce(chr(10) || chr(10) || '관계:' || chr(10) || b, '') as context from a left join b using (query_id)""",
+)
+def gra6(spark, sf):
+    entities, relations = graph(spark, sf)
+    return T.graph_context(asked_nations(spark, sf), entities, relations.withColumn("kind", F.lit("in")), 1)

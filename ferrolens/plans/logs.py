@@ -79,3 +79,15 @@ def log8(spark, sf):
 @query("log9_metric_rollup", f"with {LOGS} select template as name, epoch_us(ts) // 86400000000 * 86400 as bucket, count(*) as n, round(sum(value), 6) + 0.0 as sum, round(avg(value), 6) + 0.0 as mean, min(value) as low, max(value) as high from logs group by 1, 2")
 def log9(spark, sf):
     return L.metric_rollup(logs(spark, sf).withColumnRenamed("template", "name"), 86_400).withColumns({"sum": r6("sum"), "mean": r6("mean")})
+
+
+@query(
+    "fil12_log_context",
+    f"""with {LOGS}, m as (select max(ts) as now from logs), r as (select logs.* from logs, m where ts <= now and ts >= now - interval 600 hours),
+    e as (select service, template, count(*) as n from r where level in ('Error', 'Fatal', 'Critical') group by 1, 2 order by n desc, service, template limit 10), h as (select lower(service) as service, count(*) as n, count(*) filter (level = 'Error') as err, count(*) filter (level = 'Warning') as wrn from r group by 1)
+    select '## 최근 Top 에러:' || chr(10) || (select string_agg('- [' || n || '회] ' || service || ': ' || template, chr(10) order by n desc, service) from e) || chr(10) || chr(10) || '## 서비스 헬스:' || chr(10) || (select string_agg('- ' || service || ': Total=' || n || ', ERR=' || err || ', WRN=' || wrn, chr(10) order by service) from h) as context""",
+)
+def fil12(spark, sf):
+    df = logs(spark, sf)
+    now = df.agg(F.max("ts").alias("now"))
+    return L.log_context(df.join(F.broadcast(now)), F.col("now"), 600)

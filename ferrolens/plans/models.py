@@ -49,6 +49,10 @@ def doc13(spark, sf):
 
 @query("if2_path_length", "select user_id, count(*) as n, round(case when count(*) <= 1 then 0 when count(*) = 2 then 1 else 2 * (ln(count(*) - 1) + 0.5772156649) - 2 * (count(*) - 1) / count(*) end, 6) + 0.0 as c from events group by 1")
 def if2(spark, sf):
-    n = F.col("n")
-    c = F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(2 * (F.ln(n - 1) + forest.EULER) - 2 * (n - 1) / n)
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("c", r6(c))
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("c", r6(forest.path_length("n")))
+
+
+@query("if4_list_models", "select user_id as equipment_id, event_type as sensor_id, arg_max(event_id % 5, (ts, event_id % 5)) as version, max(ts) as trained_at, count(*) as n from events group by 1, 2")
+def if4(spark, sf):
+    models = table(spark, sf, "events").select(F.col("user_id").alias("equipment_id"), F.col("event_type").alias("sensor_id"), (F.col("event_id") % 5).alias("version"), F.col("ts").alias("trained_at"))
+    return forest.list_models(models)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ferrolens.functions.numbers import r6
 from ferrolens.operators import evaluation as E
 from ferrolens.operators import retrieval as R
+from ferrolens.operators import pipelines as P
+from ferrolens.operators.chunks import chunk
 from ferrolens.plans.registry import query
 from ferrolens.plans.views import table
 
@@ -103,9 +105,9 @@ def ret10(spark, sf):
     return R.merge_subquestions(vectors(spark, sf).withColumn("query_id", F.col("query_id") % 200), 5).withColumn("score", r6("score"))
 
 
-@query("ret11_confidence", f"with {INDEX}, t as (select query_id, max(score) as top from bm25 where chunk_id % 3 = 0 and place <= 10 group by 1) select item_id as query_id, round(coalesce(top, 0), 5) + 0.0 as max_score, coalesce(top, 0) >= 100 as is_confident from benchmark left join t on item_id = query_id")
+@query("ret11_confidence", f"with {INDEX}, t as (select query_id, max(score) as top from bm25 where place <= 10 group by 1) select item_id as query_id, round(coalesce(top, 0), 5) + 0.0 as max_score, coalesce(top, 0) >= 100 as is_confident from benchmark left join t on item_id = query_id")
 def ret11(spark, sf):
-    return R.confidence(questions(spark, sf), bm25(spark, sf).filter("chunk_id % 3 = 0"), 100.0).withColumn("max_score", F.round("max_score", 5) + 0.0)
+    return R.confidence(questions(spark, sf), bm25(spark, sf), 100.0).withColumn("max_score", F.round("max_score", 5) + 0.0)
 
 
 #: Relevant to a passage: the documents whose text contains it.
@@ -186,3 +188,46 @@ def exp3(spark, sf):
     select name, count(*) as n, round(avg(value), 6) + 0.0 as mean, max(value) filter (at_ = floor(n * 0.5)) as p50, max(value) filter (at_ = floor(n * 0.95)) as p95, min(value) as low, max(value) as high from p group by 1""")
 def exp5(spark, sf):
     return E.latency_summary(table(spark, sf, "events").select(F.col("event_type").alias("name"), F.col("value").alias("latency"), F.col("event_id").alias("id"))).withColumn("mean", r6("mean"))
+
+
+def corpus(spark, sf):
+    """Documents as chunks; those that an embedding shares its number with have a vector."""
+    vectors_ = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return P.Corpus.of(chunks(spark, sf), vectors_.join(chunks(spark, sf).select("chunk_id"), "chunk_id", "left_semi"))
+
+
+def requests(spark, sf):
+    """All passages as questions, each with the vector of its number."""
+    vectors_ = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return questions(spark, sf).join(vectors_, "query_id")
+
+
+@query("ret9_naive")
+def ret9(spark, sf):
+    return P.retrieve(requests(spark, sf), corpus(spark, sf), P.NAIVE, 5, 0.05)
+
+
+@query("ret9_graph")
+def ret9_graph(spark, sf):
+    """Chosen by a model's answer for every other question, with the graph around the question's words."""
+    asked = requests(spark, sf)
+    items = F.to_json(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(i.alias("index"), ((i + 1) % 3).cast("double").alias("score"))))
+    responses = asked.filter("query_id % 2 = 0").select("query_id", F.concat(F.lit("```json\n"), items, F.lit("\n```")).alias("response"))
+    entities = asked.select(F.col("query_id").cast("string").alias("entity_id"), F.get(F.split("query", " "), F.lit(2)).alias("name"), F.lit("word").alias("type"))
+    relations = asked.select(F.col("query_id").cast("string").alias("source"), F.lit("next").alias("kind"), (F.col("query_id") + 1).cast("string").alias("target"))
+    return P.retrieve(asked, corpus(spark, sf), P.GRAPH, 5, 0.05, responses=responses, graph=(entities, relations))
+
+
+@query("ret9_agentic")
+def ret9_agentic(spark, sf):
+    """Every four passages are the sub-questions of one request."""
+    asked = requests(spark, sf).select(F.expr("query_id div 4").alias("query_id"), (F.col("query_id") % 4).alias("sub_id"), "query", "vector")
+    return P.retrieve(asked, corpus(spark, sf), P.AGENTIC, 5, 0.05)
+
+
+@query("eva10_evaluate_bm25")
+def eva10(spark, sf):
+    """Measures of BM25 over the chunks of all documents; relevant to a passage are the documents that contain it."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    relevant = truth(spark, sf).join(questions(spark, sf), "query_id")
+    return P.evaluate_bm25(chunk(docs, markdown=True).select("document_id", "chunk_index", "text"), relevant, 10)

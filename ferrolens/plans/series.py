@@ -126,3 +126,54 @@ def ts12(spark, sf):
 )
 def ts13(spark, sf):
     return readings(spark, sf).groupBy(*S.KEYS).agg(F.count("*").alias("n"), r6(F.max("value") - F.min("value")).alias("peak_to_peak"), (F.max(micros("ts")) - F.min(micros("ts"))).alias("span_micros"))
+
+
+@query(
+    "ts14_zone_balance",
+    f"""with {READINGS}, z as (select {KEY}, stddev_pop(value) as std from readings group by {KEY}), m as (select equipment_id, median(std) as middle, max(std) as most from z group by 1)
+    select equipment_id, round(case when most > 1e-10 then 1 - middle / most else 0 end, 6) + 0.0 as imbalance, coalesce(string_agg(sensor_id, ',' order by sensor_id) filter (std >= 1.5 * middle), '') as worst_zones from z join m using (equipment_id) group by equipment_id, middle, most""",
+)
+def ts14_zones(spark, sf):
+    return S.zone_balance(readings(spark, sf)).withColumn("imbalance", r6("imbalance"))
+
+
+@query(
+    "ts14_jumps",
+    f"""with {READINGS}, t as (select *, avg(value) over w as m, stddev_pop(value) over w as s, count(*) over w as n from readings window w as (partition by {KEY} order by ts, event_id rows between 10 preceding and 1 preceding))
+    select {KEY}, event_id, round((value - m) / s, 5) + 0.0 as step from t where n = 10 and s > 1e-10 and (value - m) / s >= 3""",
+)
+def ts14_jumps(spark, sf):
+    return S.jumps(readings(spark, sf)).select(*S.KEYS, "event_id", (F.round("step", 5) + 0.0).alias("step"))
+
+
+@query(
+    "ts14_drifts",
+    f"""with {LINES}, t as (select *, row_number() over (partition by {KEY} order by ts, event_id) - 1 as at_ from readings), p as (select {KEY}, at_ // 20 as part, regr_slope(value, at_) as slope, count(*) as m from t group by all), s as (select {KEY}, stddev_pop(value) as std from readings group by {KEY})
+    select {KEY}, cast(part as bigint) as part, round(slope, 6) + 0.0 as slope, case when slope > 0 then 'up' else 'down' end as direction from p join s using ({KEY}) where m = 20 and std > 1e-10 and abs(slope * 19) >= 1.5 * std""",
+)
+def ts14_drifts(spark, sf):
+    return S.drifts(lines(spark, sf)).withColumn("slope", r6("slope"))
+
+
+@query(
+    "ts14_starvation",
+    f"""with {LINES}, b as (select equipment_id, epoch_us(ts) // 86400000000 * 86400 as bucket, avg(value) filter (sensor_id = 'view') as flow, avg(value) filter (sensor_id = 'click') as torque from readings group by 1, 2 having count(*) filter (sensor_id = 'view') > 0 and count(*) filter (sensor_id = 'click') > 0),
+    l as (select *, lag(flow) over w as f, lag(torque) over w as t from b window w as (partition by equipment_id order by bucket)) select equipment_id, bucket, round(flow, 6) + 0.0 as flow, round(torque, 6) + 0.0 as torque from l where flow <= 0.9 * f and torque >= 1.1 * t""",
+)
+def ts14_starvation(spark, sf):
+    return S.starvation(lines(spark, sf), "view", "click", 86_400).withColumns({c: r6(c) for c in ("flow", "torque")})
+
+
+WINDOW = "r as (select * from readings where equipment_id = 3 and ts >= '2024-01-02' and ts <= '2024-12-25')"
+
+
+@query(
+    "if5_detect_anomalies",
+    f"""with {LINES}, {WINDOW}, s as (select {KEY}, avg(value) as mean, stddev_pop(value) as std, count(value) as n from r group by {KEY}), t as (select *, row_number() over (partition by {KEY} order by ts, event_id) as k, count(*) over (partition by {KEY}) as n, sum(value) over w - value as s, sum(value * value) over w - value * value as q from r
+    window w as (partition by {KEY} order by ts, event_id rows between 10 preceding and 10 following)), u as (select *, sqrt(greatest(q / 20 - (s / 20) * (s / 20), 0)) as std from t where n >= 40 and k > 10 and k <= n - 10)
+    select {KEY}, event_id, 'sigma' as method, round(abs((value - mean) / std), 6) + 0.0 as score from r join s using ({KEY}) where n >= 5 and std > 1e-10 and abs((value - mean) / std) >= 2
+    union all select {KEY}, event_id, 'local', round(abs(value - s / 20) / std, 6) + 0.0 from u where std > 1e-10 and abs(value - s / 20) / std > 2.5""",
+)
+def if5(spark, sf):
+    found = S.detect_anomalies(lines(spark, sf), 3, F.lit("2024-01-02").cast("timestamp_ntz"), F.lit("2024-12-25").cast("timestamp_ntz"))
+    return found.select(*S.KEYS, "event_id", "method", r6("score").alias("score"))

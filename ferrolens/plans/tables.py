@@ -22,9 +22,10 @@ def snk2(spark, sf):
     return table(spark, sf, "documents").join(doomed, "doc_id", "left_anti").filter("source != 'src3'").select("doc_id")
 
 
-@query("snk4_stable_id", "select doc_id, md5(source || ':' || cast(doc_id as varchar)) as stable_id from documents")
+@query("snk4_stable_id", "select doc_id, case when doc_id % 3 = 0 then '00000000-0000-4000-8000-' || lpad(cast(doc_id as varchar), 12, '0') else md5(source || ':' || cast(doc_id as varchar)) end as stable_id from documents")
 def snk4(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(F.concat_ws(":", "source", F.col("doc_id").cast("string"))).alias("stable_id"))
+    uuid = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    return table(spark, sf, "documents").select("doc_id", T.stable_id(F.when(F.col("doc_id") % 3 == 0, uuid).otherwise(F.concat_ws(":", "source", F.col("doc_id").cast("string")))).alias("stable_id"))
 
 
 @query("fil1_score_floor", "select vec_id, embedding[1]::double as score from embeddings where embedding[1]::double >= 0.1")
@@ -268,3 +269,41 @@ def fus5(spark, sf):
     board = readings(spark, sf).groupBy("equipment_id", "sensor_id").agg(now.alias("latest"), F.min("ts").alias("a"), F.max("ts").alias("b"))
     band = F.when(F.col("latest") > 50, "ok").when(F.col("latest") > 20, "caution").otherwise("danger")
     return board.select("equipment_id", "sensor_id", "latest", band.alias("band"), (F.round(seconds_between("a", "b"), 3) + 0.0).alias("seconds"))
+
+
+RAISED = "raised as (select event_id as alert_id, case when event_type = 'error' then 'Critical' when event_type = 'purchase' then 'Warning' else 'Caution' end as severity, ts from events), done as (select event_id as alert_id from events where event_id % 4 = 0)"
+
+
+def raised(spark, sf):
+    events = table(spark, sf, "events")
+    severity = F.when(F.col("event_type") == "error", "Critical").when(F.col("event_type") == "purchase", "Warning").otherwise("Caution")
+    return events.select(F.col("event_id").alias("alert_id"), severity.alias("severity"), "ts"), events.filter("event_id % 4 = 0").select(F.col("event_id").alias("alert_id"))
+
+
+@query("alr3_active_alerts", f"with {RAISED} select * from raised where alert_id not in (select alert_id from done)")
+def alr3_active(spark, sf):
+    return T.active_alerts(*raised(spark, sf))
+
+
+@query("alr3_alert_history", f"with {RAISED} select * from raised order by ts desc, alert_id desc limit 100")
+def alr3_history(spark, sf):
+    return T.alert_history(raised(spark, sf)[0])
+
+
+@query("alr3_counts_by_severity", f"with {RAISED} select severity, count(*) as n, count(*) filter (done.alert_id is null) as active from raised left join done using (alert_id) group by 1")
+def alr3_severity(spark, sf):
+    return T.alert_counts(*raised(spark, sf))
+
+
+@query("alr3_acknowledge", f"with {RAISED} select alert_id, 'first' as \"by\", timestamp '2024-01-01' as at from done union all select event_id, 'second', timestamp '2024-06-01' from events where event_id % 6 = 0 and event_id % 4 <> 0")
+def alr3_acknowledge(spark, sf):
+    at = lambda d: F.lit(d).cast("timestamp_ntz")
+    every, done = raised(spark, sf)
+    done = done.withColumns({"by": F.lit("first"), "at": at("2024-01-01")})
+    return T.acknowledge(done, every.filter("alert_id % 6 = 0").select("alert_id"), "second", at("2024-06-01"))
+
+
+@query("str7_expire", "select event_id, ts from events where ts > (select max(ts) from events) - interval 30 hours")
+def str7(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "ts")
+    return T.expire(events.join(F.broadcast(events.agg(F.max("ts").alias("now")))), F.col("now"), 30).drop("now")

@@ -105,7 +105,7 @@ def _redacted(x: str, kinds) -> str:
     return x
 
 
-KINDS = ("yield", "ip")
+KINDS = tuple(X.SENSITIVE)
 
 
 @query("red2_redact_output", f"select conv_id, turn, md5({_redacted(SEED, KINDS)}) as digest from conversations")
@@ -134,22 +134,30 @@ def red4(spark, sf):
     return table(spark, sf, "events").select("event_id", fields["UserId"].alias("user"), fields["kind"].alias("kind"))
 
 
-@query("ans1_gate_a", "select query_id, top is null or top >= 0.4 as confident from (select q.vec_id as query_id, max(list_cosine_similarity(list_transform(q.embedding, lambda x: x::double), list_transform(v.embedding, lambda x: x::double))) filter (v.vec_id % 100 = 7) as top from embeddings q, embeddings v where q.vec_id % 50 = 0 group by 1)")
+@query(
+    "ans1_gate_a",
+    """select q.vec_id as query_id, coalesce(max(list_cosine_similarity(list_transform(q.embedding, lambda x: x::double), list_transform(v.embedding, lambda x: x::double))) >= 0.4, true) as confident
+    from embeddings q left join embeddings v on v.vec_id <> q.vec_id where q.vec_id % 50 = 0 group by 1""",
+)
 def ans1(spark, sf):
+    """Whether some other vector is near enough."""
     from ferrolens.operators import retrieval as R
 
     every = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     asked = every.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
-    top = R.vector_search(asked, every, 1, F.col("chunk_id") % 100 == 7)
+    top = R.vector_search(asked, every, 2).filter("chunk_id != query_id").groupBy("query_id").agg(F.max("score").alias("score"))
     return asked.select("query_id").join(top, "query_id", "left").select("query_id", (F.col("score").isNull() | (F.col("score") >= 0.4)).alias("confident"))
 
 
-HITS = """p as (select c.conv_id * 100 + c.turn as answer_id, item_id as passage_id, list_filter(list_distinct(regexp_split_to_array(lower(b.text), '[^a-z]+')), lambda w: length(w) >= 4) as keywords, lower(c.text) as answer from conversations c join benchmark b on b.item_id = (c.conv_id + c.turn) % 40 where c.role = 'assistant'),
+HITS = """p as (select c.conv_id * 100 + c.turn as answer_id, item_id as passage_id, list_filter(list_distinct(regexp_split_to_array(lower(b.text), '[^a-z]+')), lambda w: length(w) >= 4) as keywords, lower(c.text) as answer from conversations c join benchmark b on b.item_id = (c.conv_id + c.turn) % (select count(*) from benchmark) where c.role = 'assistant'),
     h as (select answer_id, passage_id, len(keywords) as n, len(list_filter(keywords, lambda k: contains(answer, k))) as hits from p), r as (select * from h where n = 0 or hits >= 3 or hits >= 0.3 * n)"""
 
 
 def answers(spark, sf):
-    said_ = table(spark, sf, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), F.col("text").alias("answer"), ((F.col("conv_id") + F.col("turn")) % 40).alias("passage_id"))
+    n = table(spark, sf, "benchmark").agg(F.count("*").alias("n"))
+    said_ = table(spark, sf, "conversations").filter("role = 'assistant'").join(F.broadcast(n)).select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), F.col("text").alias("answer"), ((F.col("conv_id") + F.col("turn")) % F.col("n")).alias("passage_id")
+    )
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("passage_id"), F.filter(F.array_distinct(F.split(F.lower("text"), "[^a-z]+")), lambda w: F.length(w) >= 4).alias("keywords"))
     return said_.select("answer_id", "answer"), said_.select("answer_id", "passage_id").join(items, "passage_id")
 
@@ -170,7 +178,26 @@ def ans4(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.answer_check("text").alias("gate"))
 
 
-@query("ans6_clean_answer", r"select conv_id, turn, trim(regexp_replace(regexp_replace('<think>' || role || '</think>' || text || '<|end|>', '(?is)<think>.*?</think>', '', 'g'), '<\|[a-z_]+\|>', '', 'g')) as answer from conversations")
+@query(
+    "ans6_clean_answer",
+    r"""select conv_id, turn, case (conv_id + turn) % 6 when 5 then trim(text) || chr(10) || '출처 없음' else regexp_replace(trim(text), '\s+$', '') end as answer from conversations""",
+)
 def ans6(spark, sf):
-    raw = F.concat(F.lit("<think>"), "role", F.lit("</think>"), "text", F.lit("<|end|>"))
+    """Answers with a think block, a control token and, five times of six, a reference section and more."""
+    n = (F.col("conv_id") + F.col("turn")) % 6
+    tail = (
+        F.when(n == 0, "\n---\n📚 **참고 문서:**\n- a.md").when(n == 1, "\n## 참조 \na\n## 출처\nb").when(n == 2, "\n\n# 신뢰도\nhigh").when(n == 3, "\n---\n**참고 정보**\n## 참고문서\n").when(n == 4, "\n---\n- 📄 a.md").otherwise("\n출처 없음")
+    )
+    raw = F.concat(F.lit("<think>"), "role", F.lit("\n</think>"), F.trim("text"), tail, F.lit("<|end|>"))
     return table(spark, sf, "conversations").select("conv_id", "turn", X.clean_answer(raw).alias("answer"))
+
+
+@query(
+    "red5_mask_text",
+    """select event_id, case when event_id % 2 = 0 then 'Tool [EQUIP_A] then [EQUIP_B], [EQUIP_A]. ' else 'Tool [EQUIP_A] then [EQUIP_A], [EQUIP_A]. ' end || '[YIELD_REDACTED] of [RECIPE_REDACTED] [YIELD_REDACTED], AB1 A-12 ' || event_type as masked from events""",
+)
+def red5(spark, sf):
+    first = F.concat(F.lit("CMP-0"), (F.col("event_id") % 9).cast("string"))
+    other = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("ETCH-1"), (F.col("event_id") % 90).cast("string"))).otherwise(first)
+    text = F.concat(F.lit("Tool "), first, F.lit(" then "), other, F.lit(", "), first, F.lit(". Yield: 9"), (F.col("event_id") % 10).cast("string"), F.lit(".5% of recipe = R7-x.1 수율 88, AB1 A-12 "), "event_type")
+    return table(spark, sf, "events").select("event_id", X.mask_text(text).alias("masked"))

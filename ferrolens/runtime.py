@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,9 @@ def on_executors(spark: SparkSession) -> None:
             z.write(f, f.relative_to(ROOT))
     spark.sparkContext.addPyFile(path)
     spark._ferrolens_shipped = True
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new folder's path under spark.checkpoint.dir, which all executors share; under the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{base.rstrip('/')}/ferrolens-{uuid.uuid4().hex}"

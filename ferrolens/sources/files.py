@@ -39,23 +39,48 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.lower(F.regexp_replace(F.substring_index(full, root, -1), r"^/", "")).alias("document_id"), F.col("value").alias("text"))
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _replace(new: DataFrame | None, gone: DataFrame, path: str, buckets: int) -> None:
+    """Write anew the buckets of the documents `gone` (document_id): without these, with the rows of `new`."""
+    spark = gone.sparkSession
+    if _exists(spark, path):
+        old = spark.read.parquet(path) if new is None else spark.read.schema(new.schema).parquet(path)
+        ids = gone.select("document_id").distinct()
+        kept = old.join(F.broadcast(ids.select(_bucket(buckets).alias("bucket")).distinct()), "bucket", "left_semi").join(ids, "document_id", "left_anti").select(old.columns)
+        rows = kept if new is None else new.unionByName(kept.select(new.columns))
+        staged = f"{path.rstrip('/')}__staged"
+        touched = sorted(r[0] for r in ids.select(_bucket(buckets)).distinct().collect())  # `buckets` at most
+        rows.write.mode("overwrite").parquet(staged)
+        new = spark.read.schema(rows.schema).parquet(staged)
+        left = {r[0] for r in new.select("bucket").distinct().collect()}
+        for k in touched:  # dynamic overwriting leaves partitions alone that have no row
+            if k not in left:
+                place = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/bucket={k}")
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if new is not None:
+        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def write_chunks(chunks: DataFrame, path: str, buckets: int = 16) -> None:
     """Replace all chunks of the given documents: buckets of documents that they touch are written anew, others stay.
 
     What a bucket held of other documents is read, kept and staged before it is overwritten.
     """
-    spark = chunks.sparkSession
-    bucket: Column = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
-    new = chunks.withColumn("bucket", bucket)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        old = spark.read.schema(new.schema).parquet(path)
-        kept = old.join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select("document_id").distinct(), "document_id", "left_anti")
-        staged = f"{path.rstrip('/')}__staged"
-        new.unionByName(kept.select(new.columns)).write.mode("overwrite").parquet(staged)
-        new = spark.read.schema(new.schema).parquet(staged)
-    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    _replace(chunks.withColumn("bucket", _bucket(buckets)), chunks, path, buckets)
+
+
+def delete_chunks(documents: DataFrame, path: str, buckets: int = 16) -> None:
+    """Remove all chunks of the given documents (document_id)."""
+    if _exists(documents.sparkSession, path):
+        _replace(None, documents, path, buckets)
 
 
 ENTRY = "id string, query string, language string, intent string, expected_docs array<string>, expected_keywords array<string>, expected_answer string"

@@ -81,3 +81,85 @@ def detect(readings: DataFrame, span: int = 10, caution: float = 3.0, late: str
 
     schema = "equipment_id long, sensor_id string, event_id long, ema double, z double, odd boolean"
     return readings.withWatermark("ts", late).groupBy("equipment_id", "sensor_id").applyInPandasWithState(step, schema, "ema double, n long, mean double, squares double", "append", GroupStateTimeout.NoTimeout)
+
+
+def ingest(files: DataFrame, path: str, removed: DataFrame | None = None, markdown: bool = True):
+    """Writers that keep the chunks below `path` in step with a live corpus: start each with its checkpoint.
+
+    files is a stream of (document_id, text, changed): of several versions of a document in a batch the newest counts,
+    and its chunks replace all older ones. removed is a stream of (document_id) whose chunks go.
+    """
+    from ferrolens.operators.chunks import chunk
+    from ferrolens.sources.files import delete_chunks, write_chunks
+
+    def put(batch: DataFrame, _: int) -> None:
+        newest = batch.groupBy("document_id").agg(F.max_by("text", "changed").alias("text")).persist()
+        try:
+            parts = chunk(newest, markdown=markdown)
+            write_chunks(parts, path)
+            blank = newest.join(parts.select("document_id").distinct(), "document_id", "left_anti")
+            delete_chunks(blank.select("document_id"), path)
+        finally:
+            newest.unpersist()
+
+    writers = [files.writeStream.foreachBatch(put)]
+    if removed is not None:
+        writers.append(removed.writeStream.foreachBatch(lambda batch, _: delete_chunks(batch.select("document_id"), path)))
+    return writers
+
+
+def rules(readings: DataFrame, triggers: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(equipment_id, trigger_id, since, ts): triggers (trigger_id, sensor_id, low, high, duration_seconds; a static table) whose
+    condition, a value from low to high, has held for their duration; each comes out once for a stretch in which it holds.
+
+    State is the start of the stretch and whether it was told, for each equipment and trigger.
+    """
+    met = readings.withWatermark("ts", late).join(F.broadcast(triggers), "sensor_id")
+    holds = (F.col("value") >= F.coalesce("low", F.col("value"))) & (F.col("value") <= F.coalesce("high", F.col("value")))
+    rows = met.select("equipment_id", "trigger_id", "ts", "event_id", "duration_seconds", F.coalesce(holds, F.lit(False)).alias("holds"))
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        some = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        since, told = state.get if state.exists else (None, False)
+        out = []
+        for ts, held, need in zip(some["ts"], some["holds"], some["duration_seconds"], strict=True):
+            now = ts.value // 1000
+            if not held:
+                since, told = None, False
+                continue
+            since = now if since is None else since
+            if not told and now - since >= need * 1_000_000:
+                told = True
+                out.append((*key, pd.Timestamp(since, unit="us"), ts))
+        state.update((since, told))
+        yield pd.DataFrame(out, columns=["equipment_id", "trigger_id", "since", "ts"])
+
+    schema = "equipment_id long, trigger_id long, since timestamp, ts timestamp"
+    return rows.groupBy("equipment_id", "trigger_id").applyInPandasWithState(step, schema, "since long, told boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def first_seen(requests: DataFrame, hours: int = 24) -> DataFrame:
+    """Requests (key, ts, ...) less those whose key was met within `hours` before: an expiring table of keys. A key's state goes
+    when the watermark has passed it."""
+    return requests.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["key"])
+
+
+def changes(readings: DataFrame, mean: float, std: float, threshold: float = 5.0, drift: float = 0.5, late: str = "10 minutes") -> DataFrame:
+    """(equipment_id, sensor_id, event_id, ts, direction): change points of live series by a two-sided cumulative sum of deviations
+    from a known mean, which starts anew at each. State is the two sums."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        some = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        up, down = state.get if state.exists else (0.0, 0.0)
+        out = []
+        for event, ts, x in zip(some["event_id"], some["ts"], some["value"], strict=True):
+            z = (x - mean) / std
+            up, down = max(0.0, up + z - drift), max(0.0, down - z - drift)
+            if up > threshold or down > threshold:
+                out.append((*key, event, ts, "up" if up > threshold else "down"))
+                up = down = 0.0
+        state.update((up, down))
+        yield pd.DataFrame(out, columns=["equipment_id", "sensor_id", "event_id", "ts", "direction"])
+
+    schema = "equipment_id long, sensor_id string, event_id long, ts timestamp, direction string"
+    return readings.withWatermark("ts", late).groupBy("equipment_id", "sensor_id").applyInPandasWithState(step, schema, "up double, down double", "append", GroupStateTimeout.NoTimeout)
