@@ -42,7 +42,7 @@ from ferrolens.llm.frames import column_index, fresh, positional, slices, stored
 
 LENGTH, K = 100, 32
 #: Different segments of one anchor that still form one collection.
-HOT = 16_384
+HOT = 2048
 COLLECTION_BYTES = 2 << 20
 #: Segments that a task remembers to drop copies of.
 HELD = 1 << 20
