@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrolens.llm.bytewords import BASE, INK_BYTE, U, mix, words
-from ferrolens.llm.frames import collected, pick, slices, stored, table, texts_of
+from ferrolens.llm.frames import collected, pick, shared_folder, slices, table, texts_of
 from ferrolens.llm.ftrl import fold
 
 DEPTH = 4
@@ -51,7 +51,7 @@ SECTION = 1_000_000
 #: log2 of the bits of a broadcast bitmap over keys.
 SKETCH = 26
 #: Bytes of text that are scored together, with the part of the tree that they meet.
-SCORED_BYTES = 4 << 20
+SCORED_BYTES = 8 << 20
 DISCOUNT = 0.5
 END = U(0x0E0D0E0D0E0D0E0D)
 
@@ -65,18 +65,20 @@ def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def sequences(h: np.ndarray, counts: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(n, hashes, valid) for n from 1 on: the hash of the n tokens that end at each token of a text.
+def pair_key(context: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Hash of a sequence by those of it without its last and without its first token."""
+    return mix(context * BASE + shorter)
 
-    A hash of n tokens is made from that of the last n - 1 and the token before them.
-    """
+
+def sequences(h: np.ndarray, counts: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, hashes, valid) for n from 1 on: the hash of the n tokens that end at each token of a text."""
     place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
     now = h
     yield 1, now, np.ones(len(h), bool)
     for n in range(2, longest + 1):
         valid = place >= n - 1
         longer = np.zeros(len(h), U)
-        longer[n - 1 :] = mix(now[n - 1 :] * BASE + h[: max(len(h) - n + 1, 0)])
+        longer[1:] = pair_key(now[:-1], now[1:])
         now = np.where(valid, longer, U(0))
         yield n, now, valid
 
@@ -150,10 +152,26 @@ class Lookup:
         return out
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+class Shelf:
+    """A folder of tables between steps, each of which is deleted when no later step reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, shared_folder(spark)
+
+    def put(self, df: DataFrame, name: str, mode: str = "errorifexists") -> DataFrame:
+        df.write.mode(mode).parquet(f"{self.folder}/{name}")
+        return self.get(name, df.schema)
+
+    def get(self, name: str, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete tables, and let Spark delete the shuffle files of finished steps."""
+        for name in names:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def sketch(keys: DataFrame) -> np.ndarray:
@@ -171,39 +189,41 @@ def met(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return bitmap[(place >> U(6)).astype(np.int64)] >> (place & U(63)) & U(1) > 0
 
 
-def frequent_sequences(texts: DataFrame, counts: DataFrame, total: int, least: float = LEAST, depth: int = DEPTH) -> list[DataFrame]:
-    """For each length from 2 to depth + 1, (key, context, shorter, c): all sequences with a count of at least `least`, exactly.
+def frequent_sequences(texts: DataFrame, below: DataFrame, longest: int, least: float = LEAST) -> DataFrame:
+    """(key, context, shorter, c): all sequences of `longest` tokens with a count of at least `least`, exactly.
 
-    shorter is the sequence without its first token. Counts are added up by section before the shuffle.
+    context is the sequence without its last token, shorter without its first; below are the frequent sequences one
+    shorter (key). Counts are added up by section before the shuffle; keys are made of what is left.
     """
-    names = ["key", "context", "shorter", "c"]
-    # sections of a fair size need partitions of a fair size
-    few = max(1, total // (SECTION // 2))
-    sized = texts.coalesce(few) if few < texts.rdd.getNumPartitions() else texts
-    out: list[DataFrame] = []
-    for longest in range(2, depth + 2):
-        shared = texts.sparkSession.sparkContext.broadcast(sketch(out[-1] if out else counts.filter(F.col("c") >= least)))
-
-        def run(batches, longest=longest, shared=shared):
-            for h, sizes in _sections(batches):
-                previous = now = h
-                for _, following, valid in sequences(h, sizes, longest):
-                    previous, now = now, following
-                # both shorter sequences must be frequent
-                may = met(shared.value, previous)
-                fit = valid & may
-                fit[1:] &= may[:-1]
-                at = np.flatnonzero(fit)
-                keys, first, c = np.unique(now[at], return_index=True, return_counts=True)
-                for a in range(0, len(keys), 200_000):
-                    i = at[first[a : a + 200_000]]
-                    yield pa.RecordBatch.from_arrays([*map(_signed, (now[i], previous[i - 1], previous[i])), pa.array(c[a : a + 200_000])], names=names)
+    shared = texts.sparkSession.sparkContext.broadcast(sketch(below))
 
-        counted = sized.mapInArrow(run, "key long, context long, shorter long, c long").groupBy("key")
-        out.append(stored(counted.agg(*(F.max(x).alias(x) for x in ("context", "shorter")), F.sum("c").alias("c")).filter(F.col("c") >= least), f"frequent{longest}"))
-        shared.destroy()
-        released(texts.sparkSession)
-    return out
+    def run(batches):
+        for h, sizes in _sections(batches):
+            previous = now = h
+            for _, following, valid in sequences(h, sizes, longest):
+                previous, now = now, following
+            # both shorter sequences must be frequent
+            may = met(shared.value, previous)
+            fit = valid & may
+            fit[1:] &= may[:-1]
+            at = np.flatnonzero(fit)
+            order = np.argsort(now[at])
+            at = at[order]
+            new = np.ones(len(at), bool)
+            new[1:] = now[at][1:] != now[at][:-1]
+            first = np.flatnonzero(new)
+            c = np.diff(np.append(first, len(at)))
+            for a in range(0, len(first), 200_000):
+                i = at[first[a : a + 200_000]]
+                yield pa.RecordBatch.from_arrays([_signed(previous[i - 1]), _signed(previous[i]), pa.array(c[a : a + 200_000])], names=["context", "shorter", "c"])
+
+    def keyed(batches):
+        for b in batches:
+            context, shorter = (b.column(k).to_numpy().view(U) for k in range(2))
+            yield pa.RecordBatch.from_arrays([_signed(pair_key(context, shorter)), *b.columns], names=["key", *b.schema.names])
+
+    counted = texts.mapInArrow(run, "context long, shorter long, c long").groupBy("context", "shorter").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+    return counted.mapInArrow(keyed, "key long, context long, shorter long, c long")
 
 
 @dataclass
@@ -221,17 +241,17 @@ class Part:
     def of(cls, total: int, distinct: int, word_keys: np.ndarray, word_counts: np.ndarray, rows: dict[str, np.ndarray], depth: int) -> Part:
         """From rows of a tree's entries."""
         order = np.argsort(rows["key"].view(U))
-        key, level, listed, value = rows["key"].view(U)[order], rows["level"][order], rows["listed"][order].astype(bool), rows["value"][order]
-        levels = lambda mask: [(key[mask & (level == n)], value[mask & (level == n)]) for n in range(depth)]
-        return cls(total, distinct, word_keys, word_counts, levels(~listed), levels(listed))
+        key, kind, value = rows["key"].view(U)[order], rows["kind"][order], rows["value"][order]
+        levels = lambda listed: [(key[kind == 2 * n + listed], value[kind == 2 * n + listed]) for n in range(depth)]
+        return cls(total, distinct, word_keys, word_counts, levels(0), levels(1))
 
 
 @dataclass
 class Tree:
     """The suffix tree: common words with their counts, and a stored table of all contexts and continuations.
 
-    entries: key, level (length of the context - 1), listed (a continuation, else a context), value
-    (log10 of its probability or of the back-off weight).
+    entries: key, kind (twice the length of the context less one, and one more for a continuation), value (log10 of a
+    continuation's probability or of a context's back-off weight).
     """
 
     total: int
@@ -251,32 +271,39 @@ class Tree:
         return self.whole.contexts
 
 
-def grow(total: int, distinct: int, counts: DataFrame, frequent: list[DataFrame], least: float) -> DataFrame:
-    """Entries of the tree: the divergence test of each length, as joins and grouped sums."""
+ENTRIES = T.StructType([T.StructField("key", T.LongType()), T.StructField("kind", T.ByteType()), T.StructField("value", T.DoubleType())])
+
+
+def grow(shelf: Shelf, texts: DataFrame, total: int, distinct: int, counts: DataFrame, least: float, depth: int) -> DataFrame:
+    """Entries of the tree, one length after the other: frequent sequences are counted, and the divergence test of their
+    contexts is a few joins and a grouped sum."""
     # sequences one shorter: key, count, probability of the last token in its state
     states = counts.filter(F.col("c") >= least).select("key", "c", ((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("p"))
-    levels = []
-    for n, f in enumerate(frequent, 2):
+    for n in range(2, depth + 2):
+        f = shelf.put(frequent_sequences(texts, states, n, least), f"frequent{n}")
+        shelf.drop()
         below = states.select(F.col("key").alias("shorter"), F.col("p").alias("below"))
         whole = states.select(F.col("key").alias("context"), F.col("c").alias("c_context"))
         f = f.join(below, "shorter").join(whole, "context")
-        f = stored(f.select("key", "context", "c", "c_context", "below", ((F.col("c") - DISCOUNT) / F.col("c_context")).alias("here")), f"level{n}")
+        f = shelf.put(f.select("key", "context", "c", "c_context", "below"), f"level{n}")
+        shelf.drop(f"frequent{n}")
+        here = (F.col("c") - DISCOUNT) / F.col("c_context")
         sums = f.groupBy("context").agg(
-            F.max("c_context").alias("c_context"), F.count("*").alias("n"), F.sum("here").alias("here"), F.least(F.sum("below"), F.lit(1 - 1e-9)).alias("below"), F.sum(F.col("here") * F.ln(F.col("here") / F.col("below"))).alias("divergence")
+            F.max("c_context").alias("c_context"), F.count("*").alias("n"), F.sum(here).alias("here"), F.least(F.sum("below"), F.lit(1 - 1e-9)).alias("below"), F.sum(here * F.ln(here / F.col("below"))).alias("divergence")
         )
         rest, free = F.greatest(1 - F.col("here"), F.lit(1e-9)), 1 - F.col("below")
         divergence = F.col("divergence") + rest * F.ln(rest / free)
         kept = 2 * F.col("c_context") * divergence > F.col("n") + 4 * F.sqrt(2 * F.col("n")) + 10
-        contexts = stored(sums.filter(kept).select("context", F.log10(rest / free).alias("weight")), f"contexts{n}")
-        states = stored(f.join(contexts.select("context", F.lit(True).alias("kept")), "context", "left").select("key", "c", F.coalesce("kept", F.lit(False)).alias("kept"), F.when(F.col("kept"), F.col("here")).otherwise(F.col("below")).alias("p")), f"states{n}")
-        level = F.lit(n - 2).alias("level")
-        levels.append(contexts.select(F.col("context").alias("key"), level, F.lit(False).alias("listed"), F.col("weight").alias("value")))
-        levels.append(states.filter("kept").select("key", level, F.lit(True).alias("listed"), F.log10("p").alias("value")))
-        released(counts.sparkSession)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+        contexts = shelf.put(sums.filter(kept).select("context", F.log10(rest / free).alias("weight")), f"contexts{n}")
+        kind = lambda listed, n=n: F.lit(2 * (n - 2) + listed).cast("byte").alias("kind")
+        shelf.put(contexts.select(F.col("context").alias("key"), kind(0), F.col("weight").alias("value")), "entries", "append")
+        marked = f.join(contexts.select("context", F.lit(True).alias("kept")), "context", "left")
+        last = n == depth + 1  # nothing grows from these
+        states_ = marked.select("key", "c", F.coalesce("kept", F.lit(False)).alias("kept"), F.when(F.col("kept"), here).otherwise(F.col("below")).alias("p"))
+        states = shelf.put(states_.filter("kept") if last else states_, f"states{n}")
+        shelf.put(states.filter("kept").select("key", kind(1), F.log10("p").alias("value")), "entries", "append")
+        shelf.drop(f"level{n}", f"contexts{n}", f"states{n - 1}", *([f"states{n}"] if last else []))
+    return shelf.get("entries", ENTRIES)
 
 
 class Scorer:
@@ -321,15 +348,14 @@ def suffix_tree(texts: DataFrame, rate: float = 0.0, word_rate: float = WORD_RAT
 
     Sequences need LEAST occurrences whatever the corpus; a rate above 0 asks for that share of the tokens too.
     """
-    counts = stored(count_words(texts), "words")
+    shelf = Shelf(texts.sparkSession)
+    counts = shelf.put(count_words(texts), "words")
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
     common = collected(counts.filter(F.col("c") >= F.greatest(F.lit(word_rate * total), F.lit(1.0))))  # at most 1 / word_rate rows
     keys, n = common["key"].astype(np.int64).view(U), common["c"].astype(np.int64)
     order = np.argsort(keys)
-    least = max(LEAST, rate * total)
-    frequent = frequent_sequences(texts, counts, total, least, depth)
-    return Tree(total, distinct, keys[order], n[order], grow(total, distinct, counts, frequent, least), depth), counts
+    return Tree(total, distinct, keys[order], n[order], grow(shelf, texts, total, distinct, counts, max(LEAST, rate * total), depth), depth), counts
 
 
 def score_texts(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
@@ -358,11 +384,13 @@ def score_texts(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.full(piece.num_rows, section))], names=dealt.names)
 
     dealt = T.StructType([*rows.schema.fields, T.StructField("section", T.LongType())])
-    dealt_rows = stored(rows.mapInArrow(deal, dealt), "sections")
+    shelf = Shelf(spark)
+    dealt_rows = shelf.put(rows.mapInArrow(deal, dealt), "sections")
 
     def probe(batches):
         def keys_of(section, texts):
-            h, sizes = token_stream(pa.concat_arrays(texts))
+            streams = [token_stream(texts_of(p.column(0))) for t in texts for p in slices(pa.RecordBatch.from_arrays([t], names=["t"]), 0)]
+            h, sizes = (np.concatenate(x) for x in zip(*streams, strict=True))
             for _, now, valid in sequences(h, sizes, depth + 1):
                 keys = np.unique(now[valid & met(present.value, now)])
                 for a in range(0, len(keys), 200_000):
@@ -387,7 +415,7 @@ def score_texts(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     present = spark.sparkContext.broadcast(sketch(tree.entries))
     # a section that lies in two tasks is probed by both
     probes = dealt_rows.select("text", "section").mapInArrow(probe, "section long, key long")
-    hits = probes.join(tree.entries, "key").select("section", "key", "level", "listed", "value")
+    hits = probes.join(tree.entries, "key").select("section", "key", "kind", "value")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         part = Part.of(total, distinct, *shared.value, {c: right.column(c).to_numpy() for c in right.column_names}, depth)
@@ -403,7 +431,8 @@ def score_texts(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
                 ))
         return pa.Table.from_batches(out)
 
-    scored = stored(dealt_rows.groupBy("section").cogroup(hits.groupBy("section")).applyInArrow(run, schema), "scored")
+    scored = shelf.put(dealt_rows.groupBy("section").cogroup(hits.groupBy("section")).applyInArrow(run, schema), "scored")
+    shelf.drop("sections")
     unit = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree.total + tree.distinct + 1)))
     sums = (
         scored.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.tf").join(counts, "key", "left")
