@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from ferrolens.operators.series import KEYS
 from ferrolens.operators.tables import latest_per_key
 
-TREES, SAMPLE, POOL = 100, 256, 2048
+TREES, SAMPLE = 100, 256
+#: Readings that trees draw from: as many as all of them can draw.
+POOL = TREES * SAMPLE
 EULER = 0.5772156649
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,12 +38,12 @@ def moving_average(df: DataFrame, n: int, keys=KEYS, order=ORDER) -> DataFrame:
     return numbered.withColumn("average", F.avg("value").over(w.rowsBetween(1 - n, 0))).filter(F.col("at") >= F.least(F.lit(n), F.col("n"))).drop("at", "n")
 
 
-def fold(df: DataFrame, keys, order, columns: list[str], schema: str, step: Callable) -> DataFrame:
+def scan(df: DataFrame, keys, order, schema: str, step: Callable) -> DataFrame:
     """Run an order-dependent recursion over every series, streaming over sorted partitions.
 
-    step(state, row) takes the state so far (None at a series' start) and the values of `columns` of
-    the next row; it returns the new state and an output row, or None for no output. Only a batch
-    and one state are in memory, so a series may be of any length.
+    step(state, rows) takes the state so far (None at a series' start) and the next rows of the series, those that one
+    batch holds of it; it returns the new state and a frame with the columns of `schema`. Only a batch and one state are in
+    memory, so a series may be of any length.
     """
     keys, order = list(keys), list(order)
     names = [c.strip().split(" ")[0] for c in schema.split(", ")]
@@ -50,30 +51,75 @@ def fold(df: DataFrame, keys, order, columns: list[str], schema: str, step: Call
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
+            if not len(batch):
+                continue
+            new = np.zeros(len(batch), bool)
+            for k in keys:
+                x = batch[k].to_numpy()
+                new[1:] |= ~((x[1:] == x[:-1]) | (pd.isna(x[1:]) & pd.isna(x[:-1])))
+            starts = [0, *np.flatnonzero(new).tolist(), len(batch)]
             out = []
-            for key, row in zip(zip(*(batch[k] for k in keys), strict=True), zip(*(batch[c] for c in columns), strict=True), strict=True):
+            for a, b in zip(starts, starts[1:], strict=False):
+                if a == b:
+                    continue
+                key = tuple(None if pd.isna(v) else v for v in batch[keys].iloc[a])
                 if key != current:
                     current, state = key, None
-                state, made = step(state, row)
-                if made is not None:
-                    out.append(made)
+                state, made = step(state, batch.iloc[a:b])
+                if len(made):
+                    out.append(made[names])
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield pd.concat(out)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def smoothed(x: np.ndarray, alpha: float, start: float) -> np.ndarray:
+    """alpha * x + (1 - alpha) * (the value before), from `start` on, in blocks whose powers stay exact enough."""
+    keep = 1 - alpha
+    block = max(1, min(len(x), int(-20 / np.log(keep)))) if 0 < keep < 1 else 1
+    out = np.empty(len(x))
+    powers = keep ** np.arange(1, block + 1)
+    for a in range(0, len(x), block):
+        some = x[a : a + block]
+        w = powers[: len(some)]
+        out[a : a + block] = w * (start + np.cumsum(alpha * some / w))
+        start = out[a + len(some) - 1]
+    return out
+
+
 def ema(df: DataFrame, span: int) -> DataFrame:
     """Exponential moving average with alpha 2 / (span + 1), from the first value on."""
     alpha = 2 / (span + 1)
 
-    def step(now, row):
-        *key, x = row
-        now = x if now is None else alpha * x + (1 - alpha) * now
-        return now, (*key, now)
+    def step(now, rows):
+        x = rows["value"].to_numpy(float)
+        found = smoothed(x, alpha, x[0] if now is None else now)
+        return found[-1], rows.assign(ema=found)
 
     rows = df.filter("value is not null").select(*KEYS, *ORDER, "value")
-    return fold(rows, KEYS, ORDER, [*KEYS, "event_id", "value"], "equipment_id long, sensor_id string, event_id long, ema double", step)
+    return scan(rows, KEYS, ORDER, "equipment_id long, sensor_id string, event_id long, ema double", step)
+
+
+def crossings(z: np.ndarray, up: float, down: float, threshold: float, drift: float, block: int = 1024) -> tuple[float, float, list[tuple[int, bool]]]:
+    """Sums after the deviations z, and (place, upward) of each time one of the sums passes the threshold and both start anew."""
+    found = []
+    a = 0
+    while a < len(z):
+        some = z[a : a + block]
+        rise, fall = up + np.cumsum(some - drift), down + np.cumsum(-some - drift)
+        # a sum that never goes below 0 is the running total less its least value so far, if that is below 0
+        rise, fall = rise - np.minimum(np.minimum.accumulate(rise), 0), fall - np.minimum(np.minimum.accumulate(fall), 0)
+        over_ = np.flatnonzero(np.maximum(rise, fall) > threshold)
+        if len(over_):
+            k = int(over_[0])
+            found.append((a + k, bool(rise[k] > threshold)))
+            up = down = 0.0
+            a += k + 1
+        else:
+            up, down = float(rise[-1]), float(fall[-1])
+            a += len(some)
+    return up, down, found
 
 
 def cusum(df: DataFrame, threshold: float = 5.0, drift: float = 0.5, least: int = 10) -> DataFrame:
@@ -81,17 +127,13 @@ def cusum(df: DataFrame, threshold: float = 5.0, drift: float = 0.5, least: int
     stats = df.groupBy(*KEYS).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
     joined = df.filter("value is not null").join(stats.filter((F.col("n") >= least) & (F.col("std") >= 1e-10)), list(KEYS)).select(*KEYS, *ORDER, "value", "mean", "std")
 
-    def step(state, row):
-        *shown, mean, std = row
-        z = (shown[-1] - mean) / std
-        up, down = state or (0.0, 0.0)
-        up, down = max(0.0, up + z - drift), max(0.0, down - z - drift)
-        if max(up, down) > threshold:
-            return (0.0, 0.0), (*shown, "up" if up > threshold else "down")
-        return (up, down), None
+    def step(state, rows):
+        z = ((rows["value"] - rows["mean"]) / rows["std"]).to_numpy(float)
+        up, down, found = crossings(z, *(state or (0.0, 0.0)), threshold, drift)
+        return (up, down), rows.iloc[[k for k, _ in found]].assign(direction=["up" if u else "down" for _, u in found])
 
     schema = "equipment_id long, sensor_id string, event_id long, ts timestamp_ntz, value double, direction string"
-    return fold(joined, KEYS, ORDER, [*KEYS, "event_id", "ts", "value", "mean", "std"], schema, step)
+    return scan(joined, KEYS, ORDER, schema, step)
 
 
 def trend(df: DataFrame, keys=KEYS, order=ORDER, flat: float = 0.001) -> DataFrame:

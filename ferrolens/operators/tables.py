@@ -186,20 +186,24 @@ def make_alerts(fused: DataFrame) -> DataFrame:
 
 def suppress(alerts: DataFrame, minutes: float = 60) -> DataFrame:
     """Alerts (equipment_id, hypothesis, ts, alert_id) less those within `minutes` of the last one issued for the same key."""
-    import pandas as pd
+    import numpy as np
 
-    from ferrolens.operators.series import fold
+    from ferrolens.operators.series import scan
 
-    width = pd.Timedelta(minutes=minutes)
+    width = np.timedelta64(int(minutes * 60e6), "us")
 
-    def step(last, row):
-        ts = row[2]
-        issue = last is None or ts - last >= width
-        return (ts, row) if issue else (last, None)
+    def step(last, rows):
+        ts = rows["ts"].to_numpy().astype("datetime64[us]")
+        issued, at = [], 0 if last is None else int(np.searchsorted(ts, last + width))
+        while at < len(ts):  # once for each alert that is issued
+            issued.append(at)
+            last = ts[at]
+            at = int(np.searchsorted(ts, last + width))
+        return last, rows.iloc[issued]
 
     kind = {f.name: f.dataType.simpleString() for f in alerts.schema.fields}
     columns = ["equipment_id", "hypothesis", "ts", "alert_id"]
-    return fold(alerts.select(columns), ["equipment_id", "hypothesis"], ["ts", "alert_id"], columns, ", ".join(f"{c} {kind[c]}" for c in columns), step)
+    return scan(alerts.select(columns), ["equipment_id", "hypothesis"], ["ts", "alert_id"], ", ".join(f"{c} {kind[c]}" for c in columns), step)
 
 
 SEVERITIES = {"Critical": 0, "Warning": 1}

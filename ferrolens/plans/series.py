@@ -49,12 +49,24 @@ def ts4(spark, sf):
     return S.trend(readings(spark, sf)).withColumn("slope", r6("slope"))
 
 
-@query("ts5_cusum")
+CUSUM = f"""{LINES}, s as (select {KEY}, avg(value) as mean, stddev_pop(value) as std, count(value) as n from readings group by {KEY}),
+    o as (select {KEY}, event_id, ts, value, (value - mean) / std as z, row_number() over (partition by {KEY} order by ts, event_id) as k from readings join s using ({KEY}) where value is not null and n >= 10 and std >= 1e-10),
+    w as (select {KEY}, 0::bigint as k, 0::double as up, 0::double as down, null::varchar as direction from s union all
+        select {KEY}, k, case when direction is null then u else 0 end, case when direction is null then d else 0 end, direction
+        from (select {KEY}, k, u, d, case when u > 5 then 'up' when d > 5 then 'down' end as direction from (select o.equipment_id, o.sensor_id, o.k, greatest(0, w.up + z - 0.5) as u, greatest(0, w.down - z - 0.5) as d from w join o on o.equipment_id = w.equipment_id and o.sensor_id = w.sensor_id and o.k = w.k + 1))),
+    points as (select {KEY}, event_id, ts, value, direction from w join o using ({KEY}, k) where direction is not null)"""
+
+
+@query("ts5_cusum", f"with recursive {CUSUM} select * from points")
 def ts5(spark, sf):
     return S.cusum(lines(spark, sf))
 
 
-@query("ts6_change_segments")
+@query(
+    "ts6_change_segments",
+    f"""with recursive {CUSUM}, m as (select r.*, sum((p.event_id is not null)::int) over (partition by {KEY} order by r.ts, r.event_id) as segment from readings r left join (select {KEY}, event_id, 1 as one from points) p using ({KEY}, event_id))
+    select {KEY}, cast(segment as bigint) as segment, count(*) as n, round(avg(value), 6) + 0.0 as mean, min(ts) as since from m group by {KEY}, segment""",
+)
 def ts6(spark, sf):
     df = lines(spark, sf)
     return S.change_segments(df, S.cusum(df)).withColumn("mean", r6("mean"))
