@@ -15,7 +15,8 @@ def told(*parts) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-K = F.col("event_id")
+def k() -> Column:
+    return F.col("event_id")
 
 PAGES = """pages_ as (
         select doc_id, regexp_extract_all(text, '(?s).{1,900}') as parts from documents
@@ -78,7 +79,7 @@ def doc6(spark, sf):
     """select event_id, 'intro | no table' || chr(10) || 'Sensor: ' || event_type || ', Value: ' || event_id || '.' || chr(10) || 'Value: b.' || chr(10) || 'Sensor: x, Value: y, Note: z ' || user_id || '.' || chr(10) || 'after' || chr(10) || '| lone |' as text from events""",
 )
 def doc7(spark, sf):
-    rows = told("intro | no table\n| Sensor | Value | Note |\n  |---|:--:|---|\n| ", F.col("event_type"), " | ", K, " |  |\n|  | b |\n| x | y | z ", F.col("user_id"), " | more |\nafter\n| lone |")
+    rows = told("intro | no table\n| Sensor | Value | Note |\n  |---|:--:|---|\n| ", F.col("event_type"), " | ", k(), " |  |\n|  | b |\n| x | y | z ", F.col("user_id"), " | more |\nafter\n| lone |")
     return table(spark, sf, "events").select("event_id", C.flattened_text(rows).alias("text"))
 
 
@@ -95,13 +96,13 @@ SEEN = "'See Figure 3.' || event_id || ', 표 ' || user_id || '; fig. 2-1 and Ph
     union all select event_id, 'diagram', '1', cast(strpos(text, '도면') - 1 as integer) from d""",
 )
 def doc14(spark, sf):
-    text = told("See Figure 3.", K, ", 표 ", F.col("user_id"), "; fig. 2-1 and Photograph 7, 도면1. Table")
-    return C.figure_references(table(spark, sf, "events").select(K.alias("document_id"), text.alias("text")), ("document_id",))
+    text = told("See Figure 3.", k(), ", 표 ", F.col("user_id"), "; fig. 2-1 and Photograph 7, 도면1. Table")
+    return C.figure_references(table(spark, sf, "events").select(k().alias("document_id"), text.alias("text")), ("document_id",))
 
 
 def captioned(spark, sf):
-    text = told("Figure 1.", K, ": The ", F.col("event_type"), " pump\nFig. 1.", K, " - again\n표 2: 요약 표\nphoto 3: n")
-    return table(spark, sf, "events").select(K.alias("document_id"), text.alias("text"))
+    text = told("Figure 1.", k(), ": The ", F.col("event_type"), " pump\nFig. 1.", k(), " - again\n표 2: 요약 표\nphoto 3: n")
+    return table(spark, sf, "events").select(k().alias("document_id"), text.alias("text"))
 
 
 @query("doc15_caption_map", "select event_id as document_id, 'figure' as type, '1.' || event_id as id, 'The ' || event_type || ' pump' as caption from events union all select event_id, 'table', '2', '요약 표' from events")
@@ -116,8 +117,8 @@ def doc15(spark, sf):
 )
 def doc16(spark, sf):
     events = table(spark, sf, "events")
-    parts = events.select(K.alias("document_id"), F.lit(0).alias("chunk_index"), told("As table 2 and Figure 1.", K, " show, unlike Figure 9").alias("text"))
-    parts = parts.unionByName(events.select(K.alias("document_id"), F.lit(1).alias("chunk_index"), F.lit("nothing here").alias("text")))
+    parts = events.select(k().alias("document_id"), F.lit(0).alias("chunk_index"), told("As table 2 and Figure 1.", k(), " show, unlike Figure 9").alias("text"))
+    parts = parts.unionByName(events.select(k().alias("document_id"), F.lit(1).alias("chunk_index"), F.lit("nothing here").alias("text")))
     return C.enrich_with_captions(parts, C.caption_map(captioned(spark, sf))).select("document_id", "chunk_index", "text")
 
 
@@ -159,12 +160,12 @@ def doc18(spark, sf):
 
 def manual(spark, sf, by="event_id"):
     """Chunks with a labelled block with a code, a cause alone, or two conditional sentences."""
-    kind, number = F.col("event_type"), (1000 + K % 900).cast("string")
+    kind, number = F.col("event_type"), (1000 + k() % 900).cast("string")
     block = told("Alarm E-", number, " again\nSymptom: ", kind, " pump\nRoot cause: worn ", kind, number, "\nAction: replace it\nthe end")
-    alone = told("Cause - dirty filter ", K % 7, "\n")
-    sentences = told("If pressure drops, check valve ", K % 5, ". If A", 100 + K % 50, " rises, then stop.")
-    text = F.when(K % 3 == 0, block).when(K % 3 == 1, alone).otherwise(sentences)
-    return table(spark, sf, "events").select(F.col(by).alias("document_id"), (K % 1_000_000).cast("int").alias("chunk_index"), text.alias("text"))
+    alone = told("Cause - dirty filter ", k() % 7, "\n")
+    sentences = told("If pressure drops, check valve ", k() % 5, ". If A", 100 + k() % 50, " rises, then stop.")
+    text = F.when(k() % 3 == 0, block).when(k() % 3 == 1, alone).otherwise(sentences)
+    return table(spark, sf, "events").select(F.col(by).alias("document_id"), (k() % 1_000_000).cast("int").alias("chunk_index"), text.alias("text"))
 
 
 BLOCKS = """select {0} as document_id, 'E-' || (1000 + event_id % 900) as error_code, event_type || ' pump' as symptom, 'worn ' || event_type || (1000 + event_id % 900) as cause, 'replace it' as action, 0.7::double as confidence from events where event_id % 3 = 0
@@ -199,5 +200,5 @@ def cau4(spark, sf):
     union all select event_id, 2, 'Pump ' || event_id || ' > ' || event_type, 'More #1' from events union all select event_id, 3, 'End', '#######x' from events""",
 )
 def doc1(spark, sf):
-    text = told("lead\n# Pump ", K, "\nBody.\n\n### ", F.col("event_type"), " \nMore #1\n## Blank\n \n# End\n#######x")
-    return C.sections_of(table(spark, sf, "events").select(K.alias("document_id"), text.alias("text")))
+    text = told("lead\n# Pump ", k(), "\nBody.\n\n### ", F.col("event_type"), " \nMore #1\n## Blank\n \n# End\n#######x")
+    return C.sections_of(table(spark, sf, "events").select(k().alias("document_id"), text.alias("text")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ferrolens.operators import knowledge as N
@@ -10,7 +11,8 @@ from ferrolens.plans.views import table
 from ferrolens.runtime import shared_path
 from ferrolens.sources import files as S
 
-K = F.col("event_id").cast("string")
+def k() -> Column:
+    return F.col("event_id").cast("string")
 
 
 @query(
@@ -22,9 +24,9 @@ def src1(spark, sf):
     path = shared_path(spark)
     row = F.struct(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("@t"), F.col("event_type").alias("@mt"), F.when(F.col("event_id") % 2 == 0, "Error").alias("@l"),
-        F.concat(F.lit("svc"), (F.col("user_id") % 6).cast("string")).alias("ServiceName"), F.concat(F.lit("c"), K).alias("CorrelationId"), F.col("user_id").cast("string").alias("User"),
+        F.concat(F.lit("svc"), (F.col("user_id") % 6).cast("string")).alias("ServiceName"), F.concat(F.lit("c"), k()).alias("CorrelationId"), F.col("user_id").cast("string").alias("User"),
     )
-    line = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"@t": "2024'), K)).otherwise(F.to_json(row))
+    line = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"@t": "2024'), k())).otherwise(F.to_json(row))
     table(spark, sf, "events").select(F.explode(F.array(line, F.lit(" "))).alias("value")).write.text(path)
     read = S.read_service_logs(spark, path)
     return read.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "template", "level", "service", "correlation_id", F.col("extra")["User"].alias("user"))
@@ -74,7 +76,7 @@ def src6(spark, sf):
 @query("tab8_candidates", "select event_id as response_id, coalesce(nullif(event_type, 'view'), 'unknown') as type, 's' || event_id as symptom, case when event_id % 3 = 0 then 0.9 else 0.5 end::double as confidence, 'PendingReview' as status from events where event_id % 5 <> 0")
 def tab8(spark, sf):
     """Answers with fences; every fifth is no JSON."""
-    one = F.struct(F.when(F.col("event_type") != "view", F.col("event_type")).alias("type"), F.concat(F.lit("s"), K).alias("symptom"), F.when(F.col("event_id") % 3 == 0, 0.9).alias("confidence"))
+    one = F.struct(F.when(F.col("event_type") != "view", F.col("event_type")).alias("type"), F.concat(F.lit("s"), k()).alias("symptom"), F.when(F.col("event_id") % 3 == 0, 0.9).alias("confidence"))
     answer = F.when(F.col("event_id") % 5 == 0, "no idea").otherwise(F.concat(F.lit("Here:\n```json\n"), F.to_json(F.array(one)), F.lit("\n```\n")))
     found = N.parse_candidates(table(spark, sf, "events").select(F.col("event_id").alias("response_id"), answer.alias("response")))
     return found.select("response_id", "type", "symptom", "confidence", "status")
