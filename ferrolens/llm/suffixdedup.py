@@ -45,7 +45,7 @@ LENGTH, K = 100, 32
 HOT = 2048
 COLLECTION_BYTES = 2 << 20
 #: Segments that a task remembers to drop copies of.
-HELD = 1 << 20
+HELD = 1 << 18
 BLOCK = 2 << 20
 PLACE_BITS = U(23)
 
