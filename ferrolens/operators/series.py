@@ -42,8 +42,8 @@ def scan(df: DataFrame, keys, order, schema: str, step: Callable) -> DataFrame:
     """Run an order-dependent recursion over every series, streaming over sorted partitions.
 
     step(state, rows) takes the state so far (None at a series' start) and the next rows of the series, those that one
-    batch holds of it; it returns the new state and a frame with the columns of `schema`. Only a batch and one state are in
-    memory, so a series may be of any length.
+    batch holds of it, as arrays by column; it returns the new state and arrays of the columns of `schema`. Only a batch and
+    one state are in memory, so a series may be of any length.
     """
     keys, order = list(keys), list(order)
     names = [c.strip().split(" ")[0] for c in schema.split(", ")]
@@ -58,18 +58,20 @@ def scan(df: DataFrame, keys, order, schema: str, step: Callable) -> DataFrame:
                 x = batch[k].to_numpy()
                 new[1:] |= ~((x[1:] == x[:-1]) | (pd.isna(x[1:]) & pd.isna(x[:-1])))
             starts = [0, *np.flatnonzero(new).tolist(), len(batch)]
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
             out = []
             for a, b in zip(starts, starts[1:], strict=False):
                 if a == b:
                     continue
-                key = tuple(None if pd.isna(v) else v for v in batch[keys].iloc[a])
+                rows = {c: x[a:b] for c, x in columns.items()}
+                key = tuple(None if rows[k][0] != rows[k][0] else rows[k][0] for k in keys)
                 if key != current:
                     current, state = key, None
-                state, made = step(state, batch.iloc[a:b])
-                if len(made):
-                    out.append(made[names])
+                state, made = step(state, rows)
+                if len(made[names[0]]):
+                    out.append(made)
             if out:
-                yield pd.concat(out)
+                yield pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in names})
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
@@ -93,9 +95,9 @@ def ema(df: DataFrame, span: int) -> DataFrame:
     alpha = 2 / (span + 1)
 
     def step(now, rows):
-        x = rows["value"].to_numpy(float)
+        x = rows["value"]
         found = smoothed(x, alpha, x[0] if now is None else now)
-        return found[-1], rows.assign(ema=found)
+        return found[-1], {**rows, "ema": found}
 
     rows = df.filter("value is not null").select(*KEYS, *ORDER, "value")
     return scan(rows, KEYS, ORDER, "equipment_id long, sensor_id string, event_id long, ema double", step)
@@ -128,9 +130,10 @@ def cusum(df: DataFrame, threshold: float = 5.0, drift: float = 0.5, least: int
     joined = df.filter("value is not null").join(stats.filter((F.col("n") >= least) & (F.col("std") >= 1e-10)), list(KEYS)).select(*KEYS, *ORDER, "value", "mean", "std")
 
     def step(state, rows):
-        z = ((rows["value"] - rows["mean"]) / rows["std"]).to_numpy(float)
+        z = (rows["value"] - rows["mean"]) / rows["std"]
         up, down, found = crossings(z, *(state or (0.0, 0.0)), threshold, drift)
-        return (up, down), rows.iloc[[k for k, _ in found]].assign(direction=["up" if u else "down" for _, u in found])
+        at = np.array([k for k, _ in found], int)
+        return (up, down), {**{c: x[at] for c, x in rows.items()}, "direction": np.array(["up" if u else "down" for _, u in found], object)}
 
     schema = "equipment_id long, sensor_id string, event_id long, ts timestamp_ntz, value double, direction string"
     return scan(joined, KEYS, ORDER, schema, step)

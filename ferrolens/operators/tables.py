@@ -193,13 +193,13 @@ def suppress(alerts: DataFrame, minutes: float = 60) -> DataFrame:
     width = np.timedelta64(int(minutes * 60e6), "us")
 
     def step(last, rows):
-        ts = rows["ts"].to_numpy().astype("datetime64[us]")
+        ts = rows["ts"].astype("datetime64[us]")
         issued, at = [], 0 if last is None else int(np.searchsorted(ts, last + width))
         while at < len(ts):  # once for each alert that is issued
             issued.append(at)
             last = ts[at]
             at = int(np.searchsorted(ts, last + width))
-        return last, rows.iloc[issued]
+        return last, {c: x[np.array(issued, int)] for c, x in rows.items()}
 
     kind = {f.name: f.dataType.simpleString() for f in alerts.schema.fields}
     columns = ["equipment_id", "hypothesis", "ts", "alert_id"]
