@@ -2,25 +2,26 @@
 
 Tokens are words between white space, A-Z lower-cased, then one end token for each text. The root
 is the smoothed unigram model over all training tokens. A context is a sequence of up to DEPTH
-words. The tree is learned in passes over all training texts:
+words. Texts are read once: each task writes its tokens in sections (a million or so), as numbers
+of the section's own words. The tree is learned in passes over the sections:
 
 1. All unigrams are counted.
-2. Sequences of 2 to DEPTH + 1 tokens are added up by section (a few million tokens in a task) and
-   then by key in Spark; those that occur LEAST times or more are kept. What is kept grows with
-   the corpus, so it stays in stored tables.
+2. Sequences of 2 to DEPTH + 1 tokens are added up in each task, then by ranges of their keys in
+   Spark; those that occur LEAST times or more are kept. What is kept grows with the corpus, so it
+   stays in stored tables.
 3. A context is retained if its next-symbol distribution diverges from that of its longest
    retained suffix: twice its count times the Kullback-Leibler divergence must exceed what chance
    gives. Its frequent continuations keep discounted estimates; the rest of the mass goes to the
    suffix's distribution (back-off), so every word has a probability in every state.
 
-Growing is a sequence of joins and grouped sums, one length after the other. For scoring, texts are
-dealt into sections; the distinct sequences of a section are joined to the tree by key, and each
-section walks its texts with its own part of the tree, taking at each token the longest retained
-suffix. Words of at least the share WORD_RATE (at most 1 / WORD_RATE of them) are broadcast; counts
-of all others are joined.
+Growing is a sequence of joins and grouped sums, one length after the other. For scoring, the
+distinct sequences of a section go to the tree by ranges of keys, what is found comes back to the
+section, and the section walks its texts with its own part of the tree, taking at each token the
+longest retained suffix. Keys travel as packed sorted arrays (`pack`), not as rows.
 
 Null and empty texts have the end token alone. Repeated rows are scored each for itself. Words are
-known by 64-bit hashes.
+known by 64-bit hashes. Logarithms of the tree are kept in single precision, counts exactly. Other
+columns are kept; where one has the name of a new column, the new one gets a suffix.
 """
 
 from __future__ import annotations
@@ -38,20 +39,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrolens.llm.bytewords import BASE, INK_BYTE, U, mix, words
-from ferrolens.llm.frames import collected, pick, shared_folder, slices, table, texts_of
+from ferrolens.llm.frames import collected, column_index, fresh, pick, positional, shared_folder, slices, table, texts_of
 from ferrolens.llm.ftrl import fold
 
 DEPTH = 4
 #: Occurrences that it takes to learn from a sequence.
 LEAST = 3
-#: Share of the training tokens from which on a single word is broadcast.
+#: Share of the training tokens from which on a word is held by a tree that is looked at as a whole.
 WORD_RATE = 1e-6
 #: Tokens of a section: at least SECTION / 2, at most 3 * SECTION / 2, if the task has as many.
 SECTION = 1_000_000
 #: log2 of the bits of a broadcast bitmap over keys.
 SKETCH = 26
-#: Bytes of text that are scored together, with the part of the tree that they meet.
-SCORED_BYTES = 8 << 20
+#: Sequences that a task adds up before it sends them.
+HELD = 2_000_000
+#: Tokens, or entries of the tree, for each range of keys; and log2 of the ranges that a task deals out at once.
+RANGE, RADIX = 1 << 19, 10
+#: Rounds in which sections are scored: what is asked and answered at once is that part of it.
+ROUNDS = 2
 DISCOUNT = 0.5
 END = U(0x0E0D0E0D0E0D0E0D)
 
@@ -112,16 +117,178 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(key, c): counts of all tokens of the `text` column, added up by section before the shuffle."""
+def pack(x: np.ndarray) -> bytes:
+    """The array's bytes, all first ones before all second ones and so on, compressed."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def unpack(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=U(0)))
+
+
+def unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack(data, n, U), dtype=U)
+
+
+SECTIONS = T.StructType([T.StructField(n, T.LongType()) for n in ("section", "n_texts", "n_tokens", "n_words")] + [T.StructField(n, T.BinaryType()) for n in ("sizes", "words", "counts", "ids")])
+
+
+def tokenised(docs: DataFrame, at: int, number: int = 0) -> DataFrame:
+    """Rows of two kinds: docs without the text (column number `at`) but with a `row` number, and sections of tokens.
+
+    A section has the number of its first row, the texts' numbers of tokens, its distinct words with their counts, and
+    all tokens as places of their words in order of falling counts. Rows are numbered from `number` << 33 on.
+    """
+    kept = [T.StructField(f.name, f.dataType) for i, f in enumerate(docs.schema.fields) if i != at]
+    schema = T.StructType([*kept, T.StructField("row", T.LongType()), *SECTIONS.fields])
 
     def run(batches):
-        for h, _ in _sections(batches):
-            keys, n = np.unique(h, return_counts=True)
-            for a in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([_signed(keys[a : a + 200_000]), pa.array(n[a : a + 200_000])], names=["key", "c"])
+        row = first = number + TaskContext.get().partitionId() << 33
+        passed: list[pa.RecordBatch] = []
+        blank: list[pa.DataType] = []
+
+        def seen():
+            for batch in batches:
+                blank[:] = [c.type for i, c in enumerate(batch.columns) if i != at]
+                passed.append(pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + [pa.array(np.zeros(batch.num_rows, bool))], names=[*schema.names[: len(kept)], ""]))
+                yield batch
+
+        def rows():
+            nonlocal row
+            for batch in passed:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.arange(row, row + n)), *(pa.nulls(n, k) for k in [pa.int64()] * 4 + [pa.binary()] * 4)], names=schema.names)
+                row += n
+            passed.clear()
+
+        for h, sizes in _sections(seen(), at):
+            yield from rows()
+            distinct, place, counts = np.unique(h, return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            values = [first, len(sizes), len(h), len(distinct)], [pack(sizes), pack_sorted(distinct), pack(counts), pack(rank[place])]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in blank), pa.nulls(1, pa.int64()), *(pa.array([v], pa.int64()) for v in values[0]), *(pa.array([v], pa.binary()) for v in values[1])], names=schema.names)
+            first += len(sizes)
+        yield from rows()
+
+    return docs.mapInArrow(run, schema)
+
+
+def sections_of(stored: DataFrame) -> DataFrame:
+    return stored.filter(F.col("section").isNotNull()).select(*SECTIONS.names)
+
+
+def read_sections(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Number, tokens, texts' numbers of tokens, distinct words (sorted) and their counts of each section."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = {name: batch.column(name)[i].as_py() for name in SECTIONS.names}
+            distinct, counts = unpack_sorted(r["words"], r["n_words"]), unpack(r["counts"], r["n_words"], np.int64)
+            by_rank = distinct[np.argsort(-counts, kind="stable")]
+            yield r["section"], by_rank[unpack(r["ids"], r["n_tokens"], np.uint32)], unpack(r["sizes"], r["n_texts"], np.int64), distinct, counts
+
+
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of `mix`."""
+    x = x ^ x >> U(31) ^ x >> U(62)
+    x = x * U(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = x ^ x >> U(27) ^ x >> U(54)
+    x = x * U(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return x ^ x >> U(30) ^ x >> U(60)
+
+
+def range_bits(n: int) -> int:
+    """log2 of the number of ranges of keys that n rows are dealt to."""
+    return max(0, int(n // RANGE).bit_length())
+
+
+def ranges(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(range, start, end) of the parts of sorted keys that share their leading bits."""
+    part = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)] if len(keys) else []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(part[a]), a, b
+
+
+Counted = tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted keys, contexts, counts
+COUNTED = "part long, n long, keys binary, contexts binary, counts binary"
+
+
+def merged(pieces: list[Counted]) -> Counted:
+    """Counts of equal keys added up."""
+    if len(pieces) == 1:
+        return pieces[0]
+    keys, contexts, counts = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], contexts[order[first]], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def sent(found: Iterator[Counted], bits: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows by range of keys; a task adds up some HELD of them first."""
+
+    def rows(pieces):
+        keys, contexts, counts = merged(pieces)
+        out = [(part, b - a, pack_sorted(keys[a:b]), pack(contexts[a:b]), pack(counts[a:b])) for part, a, b in ranges(keys, bits)]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "n", "keys", "contexts", "counts"]) if out else None
+
+    held, size = [], 0
+    for piece in found:
+        held.append(piece)
+        size += len(piece[0])
+        if size >= HELD:
+            yield rows(held)
+            held, size = [], 0
+    if held and (last := rows(held)) is not None:
+        yield last
+
+
+def received(batches: Iterator[pa.RecordBatch]) -> Iterator[Counted]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            n, keys, contexts, counts = (batch.column(name)[i].as_py() for name in ("n", "keys", "contexts", "counts"))
+            yield unpack_sorted(keys, n), unpack(contexts, n, U), unpack(counts, n, np.int64)
 
-    return texts.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+def added_up(sections: DataFrame, find, bits: int, least: float) -> DataFrame:
+    """(key, context, shorter, c) of what `find` yields from batches of sections, if c is at least `least`.
+
+    shorter follows from key and context (`pair_key`). Beyond 2 ** RADIX ranges, rows are dealt out in more than one step.
+    """
+    level = min(bits, RADIX)
+    rows = sections.mapInArrow(lambda batches, level=level: sent(find(batches), level), COUNTED)
+    while level < bits:
+        level = min(bits, level + RADIX)
+        rows = rows.repartition("part").mapInArrow(lambda batches, level=level: sent(received(batches), level), COUNTED)
+
+    def run(group: pa.Table) -> pa.Table:
+        keys, contexts, counts = merged(list(received(group.to_batches())))
+        kept = counts >= least
+        keys, contexts = keys[kept], contexts[kept]
+        return pa.table([_signed(keys), _signed(contexts), _signed(unmix(keys) - contexts * BASE), pa.array(counts[kept])], names=["key", "context", "shorter", "c"])
+
+    return rows.groupBy("part").applyInArrow(run, "key long, context long, shorter long, c long")
+
+
+def count_words(sections: DataFrame, bits: int) -> DataFrame:
+    """(key, c): counts of all tokens."""
+
+    def find(batches):
+        for *_, distinct, counts in read_sections(batches):
+            yield distinct, np.zeros(len(distinct), U), counts
+
+    return added_up(sections, find, bits, 1).select("key", "c")
 
 
 class Lookup:
@@ -159,7 +326,7 @@ class Shelf:
         self.spark, self.folder = spark, shared_folder(spark)
 
     def put(self, df: DataFrame, name: str, mode: str = "errorifexists") -> DataFrame:
-        df.write.mode(mode).parquet(f"{self.folder}/{name}")
+        df.write.mode(mode).option("compression", "zstd").parquet(f"{self.folder}/{name}")
         return self.get(name, df.schema)
 
     def get(self, name: str, schema: T.StructType) -> DataFrame:
@@ -189,16 +356,16 @@ def met(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return bitmap[(place >> U(6)).astype(np.int64)] >> (place & U(63)) & U(1) > 0
 
 
-def frequent_sequences(texts: DataFrame, below: DataFrame, longest: int, least: float = LEAST) -> DataFrame:
+def frequent_sequences(sections: DataFrame, below: DataFrame, longest: int, bits: int, least: float = LEAST) -> DataFrame:
     """(key, context, shorter, c): all sequences of `longest` tokens with a count of at least `least`, exactly.
 
     context is the sequence without its last token, shorter without its first; below are the frequent sequences one
-    shorter (key). Counts are added up by section before the shuffle; keys are made of what is left.
+    shorter (key). Counts are added up in each task before the shuffle.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(sketch(below))
+    shared = sections.sparkSession.sparkContext.broadcast(sketch(below))
 
-    def run(batches):
-        for h, sizes in _sections(batches):
+    def find(batches):
+        for _, h, sizes, *_ in read_sections(batches):
             previous = now = h
             for _, following, valid in sequences(h, sizes, longest):
                 previous, now = now, following
@@ -207,23 +374,14 @@ def frequent_sequences(texts: DataFrame, below: DataFrame, longest: int, least:
             fit = valid & may
             fit[1:] &= may[:-1]
             at = np.flatnonzero(fit)
-            order = np.argsort(now[at])
-            at = at[order]
+            at = at[np.argsort(now[at])]
+            keys = now[at]
             new = np.ones(len(at), bool)
-            new[1:] = now[at][1:] != now[at][:-1]
+            new[1:] = keys[1:] != keys[:-1]
             first = np.flatnonzero(new)
-            c = np.diff(np.append(first, len(at)))
-            for a in range(0, len(first), 200_000):
-                i = at[first[a : a + 200_000]]
-                yield pa.RecordBatch.from_arrays([_signed(previous[i - 1]), _signed(previous[i]), pa.array(c[a : a + 200_000])], names=["context", "shorter", "c"])
+            yield keys[first], previous[at[first] - 1], np.diff(np.append(first, len(at)))
 
-    def keyed(batches):
-        for b in batches:
-            context, shorter = (b.column(k).to_numpy().view(U) for k in range(2))
-            yield pa.RecordBatch.from_arrays([_signed(pair_key(context, shorter)), *b.columns], names=["key", *b.schema.names])
-
-    counted = texts.mapInArrow(run, "context long, shorter long, c long").groupBy("context", "shorter").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-    return counted.mapInArrow(keyed, "key long, context long, shorter long, c long")
+    return added_up(sections, find, bits, least)
 
 
 @dataclass
@@ -248,7 +406,7 @@ class Part:
 
 @dataclass
 class Tree:
-    """The suffix tree: common words with their counts, and a stored table of all contexts and continuations.
+    """The suffix tree: stored tables of all words' counts (key, c) and of all contexts and continuations.
 
     entries: key, kind (twice the length of the context less one, and one more for a continuation), value (log10 of a
     continuation's probability or of a context's back-off weight).
@@ -256,15 +414,18 @@ class Tree:
 
     total: int
     distinct: int
-    word_keys: np.ndarray
-    word_counts: np.ndarray
+    counts: DataFrame
     entries: DataFrame
     depth: int = DEPTH
+    word_rate: float = WORD_RATE
 
     @cached_property
     def whole(self) -> Part:
-        """All of a small tree, to look at; nothing else collects it."""
-        return Part.of(self.total, self.distinct, self.word_keys, self.word_counts, collected(self.entries), self.depth)
+        """All of a small tree, with its common words, to look at; nothing else collects it."""
+        common = collected(self.counts.filter(F.col("c") >= F.greatest(F.lit(self.word_rate * self.total), F.lit(1.0))))
+        keys, n = common["key"].astype(np.int64).view(U), common["c"].astype(np.int64)
+        order = np.argsort(keys)
+        return Part.of(self.total, self.distinct, keys[order], n[order], collected(self.entries), self.depth)
 
     @property
     def contexts(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -274,19 +435,19 @@ class Tree:
 ENTRIES = T.StructType([T.StructField("key", T.LongType()), T.StructField("kind", T.ByteType()), T.StructField("value", T.DoubleType())])
 
 
-def grow(shelf: Shelf, texts: DataFrame, total: int, distinct: int, counts: DataFrame, least: float, depth: int) -> DataFrame:
+def grow(shelf: Shelf, sections: DataFrame, bits: int, total: int, distinct: int, counts: DataFrame, least: float, depth: int) -> DataFrame:
     """Entries of the tree, one length after the other: frequent sequences are counted, and the divergence test of their
     contexts is a few joins and a grouped sum."""
     # sequences one shorter: key, count, probability of the last token in its state
     states = counts.filter(F.col("c") >= least).select("key", "c", ((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("p"))
+    single = lambda c: F.col(c).cast("float").cast("double") if isinstance(c, str) else c.cast("float").cast("double")
     for n in range(2, depth + 2):
-        f = shelf.put(frequent_sequences(texts, states, n, least), f"frequent{n}")
-        shelf.drop()
+        f = frequent_sequences(sections, states, n, bits, least)
         below = states.select(F.col("key").alias("shorter"), F.col("p").alias("below"))
         whole = states.select(F.col("key").alias("context"), F.col("c").alias("c_context"))
         f = f.join(below, "shorter").join(whole, "context")
         f = shelf.put(f.select("key", "context", "c", "c_context", "below"), f"level{n}")
-        shelf.drop(f"frequent{n}")
+        shelf.drop()
         here = (F.col("c") - DISCOUNT) / F.col("c_context")
         sums = f.groupBy("context").agg(
             F.max("c_context").alias("c_context"), F.count("*").alias("n"), F.sum(here).alias("here"), F.least(F.sum("below"), F.lit(1 - 1e-9)).alias("below"), F.sum(here * F.ln(here / F.col("below"))).alias("divergence")
@@ -296,12 +457,12 @@ def grow(shelf: Shelf, texts: DataFrame, total: int, distinct: int, counts: Data
         kept = 2 * F.col("c_context") * divergence > F.col("n") + 4 * F.sqrt(2 * F.col("n")) + 10
         contexts = shelf.put(sums.filter(kept).select("context", F.log10(rest / free).alias("weight")), f"contexts{n}")
         kind = lambda listed, n=n: F.lit(2 * (n - 2) + listed).cast("byte").alias("kind")
-        shelf.put(contexts.select(F.col("context").alias("key"), kind(0), F.col("weight").alias("value")), "entries", "append")
+        shelf.put(contexts.select(F.col("context").alias("key"), kind(0), single("weight").alias("value")), "entries", "append")
         marked = f.join(contexts.select("context", F.lit(True).alias("kept")), "context", "left")
         last = n == depth + 1  # nothing grows from these
         states_ = marked.select("key", "c", F.coalesce("kept", F.lit(False)).alias("kept"), F.when(F.col("kept"), here).otherwise(F.col("below")).alias("p"))
         states = shelf.put(states_.filter("kept") if last else states_, f"states{n}")
-        shelf.put(states.filter("kept").select("key", kind(1), F.log10("p").alias("value")), "entries", "append")
+        shelf.put(states.filter("kept").select("key", kind(1), single(F.log10("p")).alias("value")), "entries", "append")
         shelf.drop(f"level{n}", f"contexts{n}", f"states{n - 1}", *([f"states{n}"] if last else []))
     return shelf.get("entries", ENTRIES)
 
@@ -316,8 +477,10 @@ class Scorer:
 
     def __call__(self, texts: pa.Array):
         """By text: tokens, broadcast tokens, their unigram log, the state's log without what rare words add; and (text, key, tf) of rare words."""
-        h, counts = token_stream(texts)
-        owner = np.repeat(np.arange(len(texts)), counts)
+        return self.stream(*token_stream(texts))
+
+    def stream(self, h: np.ndarray, counts: np.ndarray):
+        owner = np.repeat(np.arange(len(counts)), counts)
         at = self.words(h)
         rare = at < 0
         base = np.where(rare, 0.0, self.log_word[at] if len(self.log_word) else 0.0)
@@ -339,7 +502,7 @@ class Scorer:
         new[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
         first = np.flatnonzero(new)
         tf = np.diff(np.append(first, len(key)))
-        n = len(texts)
+        n = len(counts)
         return counts, np.bincount(owner[~rare], minlength=n), np.bincount(owner, base, n), np.bincount(owner, score, n), who[first], key[first], tf
 
 
@@ -349,104 +512,129 @@ def suffix_tree(texts: DataFrame, rate: float = 0.0, word_rate: float = WORD_RAT
     Sequences need LEAST occurrences whatever the corpus; a rate above 0 asks for that share of the tokens too.
     """
     shelf = Shelf(texts.sparkSession)
-    counts = shelf.put(count_words(texts), "words")
-    total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    total = total or 0
-    common = collected(counts.filter(F.col("c") >= F.greatest(F.lit(word_rate * total), F.lit(1.0))))  # at most 1 / word_rate rows
-    keys, n = common["key"].astype(np.int64).view(U), common["c"].astype(np.int64)
-    order = np.argsort(keys)
-    return Tree(total, distinct, keys[order], n[order], grow(shelf, texts, total, distinct, counts, max(LEAST, rate * total), depth), depth), counts
+    stored = shelf.put(tokenised(pick(texts, text="text"), 0), "tokens")
+    tree = learned(shelf, sections_of(stored), rate, word_rate, depth)
+    shelf.drop("tokens")
+    return tree, tree.counts
+
+
+def learned(shelf: Shelf, sections: DataFrame, rate: float = 0.0, word_rate: float = WORD_RATE, depth: int = DEPTH) -> Tree:
+    total = sections.agg(F.sum("n_tokens")).first()[0] or 0
+    bits = range_bits(total)
+    counts = shelf.put(count_words(sections, bits), "words")
+    shelf.drop()
+    distinct = counts.count()
+    entries = grow(shelf, sections, bits, total, distinct, counts, max(LEAST, rate * total), depth)
+    return Tree(total, distinct, counts, entries, depth, word_rate)
+
+
+#: Kind of a word's count among the entries that a section asks for.
+WORD = -1
 
 
 def score_texts(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
-    """docs (id, text, ...) with n_tokens, n_known, base_score and score; the text goes.
+    """docs (text, ...) with n_tokens, n_known, base_score and score; the text goes.
 
-    Sections of texts meet their part of the tree by a join on the sequences' keys. Rare words' counts are joined.
+    Sections of texts ask the tree, range of keys by range, for what they hold of it, and are scored with the answers.
     """
-    spark = docs.sparkSession
+    at = column_index(docs, "text")
+    names = [n for i, n in enumerate(docs.columns) if i != at]
+    kept = [f"c{i}" for i in range(len(docs.columns)) if i != at]
+    shelf = Shelf(docs.sparkSession)
+    new = scored(shelf, shelf.put(tokenised(positional(docs), at), "tokens"), kept, tree, counts)
+    for name in SCORES:
+        names.append(fresh(name, names))
+    return new.toDF(*names)
+
+
+SCORES = ["n_tokens", "n_known", "base_score", "score"]
+
+
+def scored(shelf: Shelf, stored: DataFrame, kept: list[str], tree: Tree, counts: DataFrame) -> DataFrame:
+    """The kept columns and SCORES of all rows of a `tokenised` table."""
+    spark = shelf.spark
     total, distinct, depth = tree.total, tree.distinct, tree.depth
-    shared = spark.sparkContext.broadcast((tree.word_keys, tree.word_counts))  # bounded by word_rate
-    names = docs.columns
-    at = names.index("text")
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    new = "row long, n_tokens long, n_common long, base double, states double, rare array<struct<key: long, tf: int>>"
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    schema = T.StructType([*kept, *T._parse_datatype_string(new).fields])
-
-    def deal(batches):
-        section, held = TaskContext.get().partitionId() << 33, 0
-        for batch in batches:
-            for piece in slices(batch, at):
-                size = piece.column(at).nbytes
-                if held and held + size > SCORED_BYTES:
-                    section, held = section + 1, 0
-                held += size
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.full(piece.num_rows, section))], names=dealt.names)
-
-    dealt = T.StructType([*rows.schema.fields, T.StructField("section", T.LongType())])
-    shelf = Shelf(spark)
-    dealt_rows = shelf.put(rows.mapInArrow(deal, dealt), "sections")
+    sections = sections_of(stored)
+    entries = tree.entries.unionByName(counts.select("key", F.lit(WORD).cast("byte").alias("kind"), F.col("c").cast("double").alias("value")))
+    bits = range_bits(entries.count())
+    listed = F.col("kind") % 2 == 1
+    present = spark.sparkContext.broadcast((sketch(tree.entries.filter(~listed)), sketch(tree.entries.filter(listed))))
 
     def probe(batches):
-        def keys_of(section, texts):
-            streams = [token_stream(texts_of(p.column(0))) for t in texts for p in slices(pa.RecordBatch.from_arrays([t], names=["t"]), 0)]
-            h, sizes = (np.concatenate(x) for x in zip(*streams, strict=True))
-            for _, now, valid in sequences(h, sizes, depth + 1):
-                keys = np.unique(now[valid & met(present.value, now)])
-                for a in range(0, len(keys), 200_000):
-                    some = keys[a : a + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), section)), _signed(some)], names=["section", "key"])
-
-        now, held = None, []
-        for batch in batches:
-            sections = batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(sections)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if held and sections[a] != now:
-                    yield from keys_of(now, held)
-                    held = []
-                now = sections[a]
-                held.append(texts_of(batch.column(0).slice(a, b - a)))
-        if held:
-            yield from keys_of(now, held)
-
-    present = spark.sparkContext.broadcast(sketch(tree.entries))
-    # a section that lies in two tasks is probed by both
-    probes = dealt_rows.select("text", "section").mapInArrow(probe, "section long, key long")
-    hits = probes.join(tree.entries, "key").select("section", "key", "kind", "value")
+        contexts, continuations = present.value
+        for section, h, sizes, distinct_words, _ in read_sections(batches):
+            asked, is_context = [distinct_words], np.zeros(len(h), bool)
+            for n, now, valid in sequences(h, sizes, depth + 1):
+                # a continuation counts only after a context of the tree
+                after = np.append(False, is_context[:-1]) & valid
+                is_context = valid & met(contexts, now)
+                after[after] = met(continuations, now[after])
+                if n > 1:
+                    asked.append(now[is_context & (n <= depth) | after])
+            keys = np.sort(np.concatenate(asked))
+            keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+            out = [(part, section, b - a, pack_sorted(keys[a:b])) for part, a, b in ranges(keys, bits)]
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "section", "n", "keys"])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(right.column("key").to_numpy().view(U))
+        key, kind, value = right.column("key").to_numpy().view(U)[order], right.column("kind").to_numpy()[order], right.column("value").to_numpy()[order]
+        out = {name: [] for name in ("section", "n", "n_words", "keys", "kinds", "values", "counts")}
+        for section, n, packed in zip(*(left.column(c).to_pylist() for c in ("section", "n", "keys")), strict=True):
+            asked = unpack_sorted(packed, n)
+            low, high = np.searchsorted(key, asked, "left"), np.searchsorted(key, asked, "right")
+            times = high - low
+            found = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+            is_word = kind[found] == WORD
+            row = section, len(found), int(is_word.sum()), pack_sorted(key[found]), pack(kind[found]), pack(value[found[~is_word]].astype(np.float32)), pack(value[found[is_word]].astype(np.int64))
+            for name, v in zip(out, row, strict=True):
+                out[name].append(v)
+        return pa.table({name: pa.array(v, pa.int64() if name in ("section", "n", "n_words") else pa.binary()) for name, v in out.items()})
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        part = Part.of(total, distinct, *shared.value, {c: right.column(c).to_numpy() for c in right.column_names}, depth)
-        score = Scorer(part)
+        found = []
+        for r in right.to_pylist():
+            kinds = unpack(r["kinds"], r["n"], np.int8)
+            values = np.empty(r["n"])
+            values[kinds != WORD] = unpack(r["values"], r["n"] - r["n_words"], np.float32)
+            values[kinds == WORD] = unpack(r["counts"], r["n_words"], np.int64)
+            found.append((unpack_sorted(r["keys"], r["n"]), kinds, values))
+        key, kind, value = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U), np.zeros(0, np.int8), np.zeros(0))
+        w = np.flatnonzero(kind == WORD)
+        w, rest = w[np.argsort(key[w])], kind != WORD
+        score = Scorer(Part.of(total, distinct, key[w], value[w].astype(np.int64), {"key": key[rest].view(np.int64), "kind": kind[rest], "value": value[rest]}, depth))
         out = []
-        for batch in left.drop_columns(["section"]).combine_chunks().to_batches():
-            for piece in slices(batch, at):
-                n, common, base, states, who, key, tf = score(texts_of(piece.column(at)))
-                rare = pa.StructArray.from_arrays([_signed(key), pa.array(tf.astype(np.int32))], names=["key", "tf"])
-                offsets = pa.array(np.searchsorted(who, np.arange(piece.num_rows + 1)), pa.int32())
-                out.append(pa.RecordBatch.from_arrays(
-                    [*(c for i, c in enumerate(piece.columns[:-1]) if i != at), piece.columns[-1], pa.array(n.astype(np.int64)), pa.array(common.astype(np.int64)), pa.array(base), pa.array(states), pa.ListArray.from_arrays(offsets, rare)], names=schema.names
-                ))
-        return pa.Table.from_batches(out)
-
-    scored = shelf.put(dealt_rows.groupBy("section").cogroup(hits.groupBy("section")).applyInArrow(run, schema), "scored")
-    shelf.drop("sections")
-    unit = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree.total + tree.distinct + 1)))
-    sums = (
-        scored.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.tf").join(counts, "key", "left")
-        .groupBy("row").agg(F.sum(F.col("tf") * unit).alias("add"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known"))
-    )
-    add = F.coalesce("add", F.lit(0.0))
-    return scored.drop("rare").join(sums, "row", "left").select(
-        *(f.name for f in kept), "n_tokens", (F.col("n_common") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + add).alias("base_score"), (F.col("states") + add).alias("score")
-    )
+        for section, h, sizes, *_ in read_sections(left.to_batches()):
+            n, known, base, states, who, _, tf = score.stream(h, sizes)
+            unseen = np.bincount(who, tf, len(n)) * -np.log10(total + distinct + 1)
+            out.append(pa.table([pa.array(np.arange(section, section + len(n))), *(pa.array(c) for c in (n.astype(np.int64), known.astype(np.int64), base + unseen, states + unseen))], names=scored_names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in [pa.int64()] * 3 + [pa.float64()] * 2], names=scored_names)
+
+    scored_names = ["row", *SCORES]
+    ranged = entries.withColumn("part", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
+    for k in range(ROUNDS):
+        some = sections.filter(F.pmod(F.xxhash64("section"), F.lit(ROUNDS)) == k)
+        probes = some.mapInArrow(probe, "part long, section long, n long, keys binary")
+        hits = probes.groupBy("part").cogroup(ranged.groupBy("part")).applyInArrow(answer, "section long, n long, n_words long, keys binary, kinds binary, values binary, counts binary")
+        scores = shelf.put(some.groupBy("section").cogroup(hits.groupBy("section")).applyInArrow(run, "row long, n_tokens long, n_known long, base_score double, score double"), "scored", "append")
+        shelf.drop()
+    return stored.filter(F.col("row").isNotNull()).select(*kept, "row").join(scores, "row").select(*kept, *SCORES)
+
+
+#: Number from which on rows of held-out texts are counted (`tokenised`): beyond the tasks of the training texts.
+HELD_OUT = 1 << 28
 
 
 def op9_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     held_out = fold(F.col("doc_id"), 7) == 2
-    tree, counts = suffix_tree(docs.filter(~held_out).select("text"))
-    scored = score_texts(docs, tree, counts)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+    docs = docs.select("doc_id", "text", held_out.alias("held_out"))
+    trained = F.coalesce(~F.col("held_out"), F.lit(False))
+    shelf = Shelf(spark)
+    shelf.put(tokenised(docs.filter(trained), 1), "tokens")
+    stored = shelf.put(tokenised(docs.filter(~trained), 1, HELD_OUT), "tokens", "append")
+    tree = learned(shelf, sections_of(stored).filter(F.col("section") < F.lit(HELD_OUT << 33)))
+    scores = scored(shelf, stored, ["doc_id", "held_out"], tree, tree.counts)
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
