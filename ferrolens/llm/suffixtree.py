@@ -52,7 +52,7 @@ SECTION = 1_000_000
 #: log2 of the bits of a broadcast bitmap over keys.
 SKETCH = 26
 #: Sequences that a task adds up before it sends them.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Tokens, or entries of the tree, for each range of keys; and log2 of the ranges that a task deals out at once.
 RANGE, RADIX = 1 << 19, 10
 #: Rounds in which sections are scored: what is asked and answered at once is that part of it.
@@ -337,6 +337,7 @@ class Shelf:
         for name in names:
             place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.spark.range(1).count()  # until another job runs, Spark holds on to the last one's shuffle
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
@@ -614,11 +615,15 @@ def scored(shelf: Shelf, stored: DataFrame, kept: list[str], tree: Tree, counts:
 
     scored_names = ["row", *SCORES]
     ranged = entries.withColumn("part", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
-    for k in range(ROUNDS):
+
+    def answered(k: int) -> DataFrame:
         some = sections.filter(F.pmod(F.xxhash64("section"), F.lit(ROUNDS)) == k)
         probes = some.mapInArrow(probe, "part long, section long, n long, keys binary")
         hits = probes.groupBy("part").cogroup(ranged.groupBy("part")).applyInArrow(answer, "section long, n long, n_words long, keys binary, kinds binary, values binary, counts binary")
-        scores = shelf.put(some.groupBy("section").cogroup(hits.groupBy("section")).applyInArrow(run, "row long, n_tokens long, n_known long, base_score double, score double"), "scored", "append")
+        return shelf.put(some.groupBy("section").cogroup(hits.groupBy("section")).applyInArrow(run, "row long, n_tokens long, n_known long, base_score double, score double"), "scored", "append")
+
+    for k in range(ROUNDS):
+        scores = answered(k)
         shelf.drop()
     return stored.filter(F.col("row").isNotNull()).select(*kept, "row").join(scores, "row").select(*kept, *SCORES)
 
