@@ -177,3 +177,21 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     for name, columns in (("documents", "doc_id long, text string"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_sequences_are_counted_exactly(spark, monkeypatch):
+    """op9's sequences of two and three tokens against plain counting, also dealt out in two steps."""
+    from collections import Counter
+
+    from ferrolens.llm import suffixtree as st
+
+    monkeypatch.setattr(st, "RADIX", 2)
+    texts = [" ".join(f"w{(i * j) % 7}" for j in range(i % 11)) for i in range(60)] + ["", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    sections = st.sections_of(st.Shelf(spark).put(st.tokenised(frame, 0), "tokens"))
+    words = st.count_words(sections, 3)
+    states = words.filter("c >= 3")
+    for n in (2, 3):
+        plain = Counter(tuple(s[i : i + n]) for t in texts for s in [[*(t or "").split(), None]] for i in range(len(s) - n + 1))
+        states = st.frequent_sequences(sections, states, n, 3)
+        assert sorted(r["c"] for r in states.select("c").collect()) == sorted(c for c in plain.values() if c >= 3)
