@@ -82,7 +82,26 @@ SELECT doc_id, CAST(len(docs.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remo
 FROM docs LEFT JOIN kept USING (r)
 """
 
+INFILL = """
+WITH drawn AS (
+    SELECT doc_id, text, n, CAST('0x' || substring(x, 1, 8) AS BIGINT) AS h1, CAST('0x' || substring(x, 9, 8) AS BIGINT) AS h2,
+        CAST('0x' || substring(x, 17, 8) AS BIGINT) AS h3, CAST('0x' || substring(x, 25, 8) AS BIGINT) AS h4
+    FROM (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents)
+), cuts AS (
+    SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+), parts AS (
+    SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(prefix || middle || suffix) AS restored_sha256
+FROM parts
+"""
+
 SQL = {
+    "op13_infill": INFILL,
     "op1_decontamination": DECONTAMINATION,
     "op2_jaccardjoin": JACCARD,
     "op3_suffixdedup": REPEATS,
