@@ -100,7 +100,51 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM parts
 """
 
+#: One assignment to codebook {0}, and the means that make codebook {1}.
+CODES_ROUND = """
+, d{0} AS MATERIALIZED (
+    SELECT p.r, p.part, p.x, b.entry, list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.c) + list_inner_product(b.c, b.c) AS d FROM parts p JOIN b{0} b ON p.part = b.part
+), a{0} AS MATERIALIZED (
+    SELECT r, part, any_value(x) AS x, min(struct_pack(d := d, entry := entry)) AS best FROM d{0} GROUP BY r, part
+), m{0} AS (
+    SELECT part, entry, list(floor(total / n) ORDER BY pos) AS c
+    FROM (SELECT part, best.entry AS entry, pos, sum(x[pos]) AS total, count(*) AS n FROM a{0}, (SELECT unnest(range(1, width + 1)) AS pos FROM sizes) GROUP BY ALL) GROUP BY part, entry
+), b{1} AS MATERIALIZED (
+    SELECT part, entry, coalesce(m{0}.c, b{0}.c) AS c FROM b{0} LEFT JOIN m{0} USING (part, entry)
+)
+"""
+
+CODES = (
+    """
+WITH kept AS (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), sizes AS (
+    SELECT greatest(1, CAST(ceil(max(len(v)) / 4) AS BIGINT)) AS width FROM kept
+), parts AS MATERIALIZED (
+    SELECT r, part, list_transform(list_resize(v, 4 * width, 0.0)[part * width + 1 : (part + 1) * width], lambda x: CAST(x AS DOUBLE)) AS x
+    FROM kept, sizes, (SELECT unnest(range(0, 4)) AS part)
+), b0 AS MATERIALIZED (
+    SELECT part, r - 1 AS entry, x AS c FROM parts WHERE r <= 256
+)
+"""
+    + "".join(CODES_ROUND.format(k, k + 1) for k in range(4))
+    + """
+, d AS (
+    SELECT p.r, p.part, b.entry, list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.c) + list_inner_product(b.c, b.c) AS d FROM parts p JOIN b4 b ON p.part = b.part
+), a AS (
+    SELECT r, part, min(struct_pack(d := d, entry := entry)) AS best FROM d GROUP BY r, part
+), coded AS (
+    SELECT r, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a GROUP BY r
+), digest AS (
+    SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b4
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), digest
+"""
+)
+
 SQL = {
+    "op11_vectorcodes": CODES,
     "op13_infill": INFILL,
     "op1_decontamination": DECONTAMINATION,
     "op2_jaccardjoin": JACCARD,

@@ -15,6 +15,7 @@ from ferrolens.llm.suffixdedup import op3_suffixdedup
 from ferrolens.llm.suffixtree import op9_suffixtree
 from ferrolens.llm.tokencounts import op12_counts
 from ferrolens.llm.toxicity import op5_toxicity
+from ferrolens.llm.vectorcodes import op11_vectorcodes
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_suffixtree": op9_suffixtree,
     "op10_licenses": op10_licenses,
+    "op11_vectorcodes": op11_vectorcodes,
     "op12_counts": op12_counts,
     "op13_infill": op13_infill,
 }
