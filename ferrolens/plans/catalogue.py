@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrolens.plans import alarms, documents, files, knowledge, life, logs, models, retrieval, series, tables, text  # noqa: F401
+from ferrolens.plans import alarms, documents, files, knowledge, life, live, logs, models, retrieval, series, tables, text  # noqa: F401
 from ferrolens.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
