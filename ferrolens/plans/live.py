@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ferrolens.functions.numbers import r6
 from ferrolens.plans.registry import query
+from ferrolens.plans.retrieval import INDEX, text_index
 from ferrolens.plans.views import ALARMS, LOGS, READINGS, table
 from ferrolens.runtime import shared_path
 from ferrolens.streaming import folds, live, ordered
@@ -38,6 +39,21 @@ def live_readings(spark: SparkSession, sf: str) -> DataFrame:
     return events.select(F.col("user_id").alias("equipment_id"), F.col("event_type").alias("sensor_id"), "ts", "event_id", "value")
 
 
+@query("str2_trigger_passages", f"with {INDEX} select query_id as trigger_id, chunk_id, round(score, 5) + 0.0 as score, place from bm25 where place <= 3")
+def str2(spark, sf):
+    """Benchmark passages as live triggers, in two deliveries; each gets its three best documents."""
+    folder = shared_path(spark)
+    index = text_index(spark, sf)
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("trigger_id"), F.col("text").alias("description"))
+    for part in range(2):
+        items.filter(F.pmod(F.hash("trigger_id"), F.lit(2)) == part).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(items.schema).parquet(f"{folder}/in")
+        writer = live.with_passages(source, index, 3, f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{folder}/out").drop("batch")
+    return found.withColumn("score", F.round("score", 5) + 0.0)
+
+
 STR3 = f"""
 with recursive {ALARMS}, {PASSED},
 o as (

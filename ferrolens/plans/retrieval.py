@@ -8,9 +8,11 @@ from ferrolens.functions.numbers import r6
 from ferrolens.operators import evaluation as E
 from ferrolens.operators import pipelines as P
 from ferrolens.operators import retrieval as R
+from ferrolens.operators import textindex
 from ferrolens.operators.chunks import chunk
 from ferrolens.plans.registry import query
 from ferrolens.plans.views import table
+from ferrolens.runtime import shared_path
 
 #: Words of Latin text as both engines see them: what lies between white space and ASCII punctuation.
 SPLIT = r"""[\s\p{P}]+"""
@@ -51,8 +53,10 @@ def bm25(spark, sf, k=10, found=None):
 
 
 def index(docs):
-    """Postings, kept in memory and on disk: a search reads them three times."""
-    return R.postings(docs).persist()
+    """Postings as a table of the shared folder: a search reads them three times."""
+    path = f"{shared_path(docs.sparkSession)}/postings"
+    R.postings(docs).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 @query("ret3_bm25_search", f"with {INDEX} select query_id, chunk_id, round(score, 5) + 0.0 as score, place from bm25 where place <= 10")
@@ -60,6 +64,42 @@ def ret3(spark, sf):
     return bm25(spark, sf).withColumn("score", F.round("score", 5) + 0.0)
 
 
+def text_index(spark, sf):
+    return textindex.build(chunks(spark, sf), shared_path(spark))
+
+
+@query("ret3_block_max_search", f"with {INDEX} select query_id, chunk_id, round(score, 5) + 0.0 as score, place from bm25 where place <= 10")
+def ret3_block_max(spark, sf):
+    found = textindex.search(questions(spark, sf), text_index(spark, sf), 10)
+    return found.results.withColumn("score", F.round("score", 5) + 0.0)
+
+
+SHORT = f"""
+with {INDEX}, words as (
+    select item_id as query_id, list_filter(regexp_split_to_array(lower(text), '[\\s\\p{{P}}]+'), lambda x: length(x) >= 2) as w from benchmark
+), short as (
+    select distinct query_id, unnest(w[1:5]) as term from words
+), found as (
+    select query_id, chunk_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) as score
+    from short join postings using (term) join df using (term), s group by 1, 2
+)
+select query_id, chunk_id, round(score, 5) + 0.0 as score, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as place
+from found qualify place <= 10
+"""
+
+
+@query("ret3_block_max_short", SHORT)
+def ret3_block_max_short(spark, sf):
+    """Questions of a passage's first five terms: most blocks are skipped."""
+    short = questions(spark, sf).select("query_id", F.array_join(F.slice(R.tokenize("query"), 1, 5), " ").alias("query"))
+    return textindex.search(short, text_index(spark, sf), 10).results.withColumn("score", F.round("score", 5) + 0.0)
+
+
+@query("ret2_text_index", f"with {INDEX} select term, count(*) as n, round(max(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) + 0.0 as top from postings, s group by 1")
+def ret2_text_index(spark, sf):
+    return text_index(spark, sf).blocks.groupBy("term").agg(F.sum("n").alias("n"), r6(F.max("top")).alias("top"))
+
+
 def vectors(spark, sf, k=20):
     every = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     return R.vector_search(every.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id"), every, k)

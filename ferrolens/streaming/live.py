@@ -108,6 +108,23 @@ def ingest(files: DataFrame, path: str, removed: DataFrame | None = None, markdo
     return writers
 
 
+def with_passages(triggers: DataFrame, index, k: int, path: str):
+    """A writer that finds the k passages of each live trigger (trigger_id, description) in a stored index
+    (`operators.textindex`) and puts (trigger_id, chunk_id, score, place) below `path`: start it with a checkpoint.
+
+    Each batch probes the index once for all its triggers, and its rows go to a folder of its number, which a repeated batch
+    overwrites: every trigger gets its passages exactly once, those of `bm25_search` in batch.
+    """
+    from ferrolens.operators.textindex import search
+
+    def put(batch: DataFrame, number: int) -> None:
+        asked = batch.select(F.col("trigger_id").alias("query_id"), F.col("description").alias("query"))
+        found = search(asked, index, k).results
+        found.withColumnRenamed("query_id", "trigger_id").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return triggers.writeStream.foreachBatch(put)
+
+
 def rules(readings: DataFrame, triggers: DataFrame, late: str = "10 minutes") -> DataFrame:
     """(equipment_id, trigger_id, since, ts): triggers (trigger_id, sensor_id, low, high, duration_seconds; a static table) whose
     condition, a value from low to high, has held for their duration; each comes out once for a stretch in which it holds.
