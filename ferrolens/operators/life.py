@@ -54,3 +54,10 @@ def exponential_life(df: DataFrame, threshold: float, decreasing: bool) -> DataF
 def urgency(hours: Column | str) -> Column:
     hours = F.col(hours) if isinstance(hours, str) else hours
     return F.when(hours <= 0, "critical").when(hours <= 24, "urgent").when(hours <= 168, "warning").otherwise("info")
+
+
+def life_summary(threshold: float) -> Column:
+    """The summary of a life (remaining, confidence, last): hours left or that the end is reached; null without remaining."""
+    over = F.concat(F.lit("Component has reached end of life (current: "), F.format_string("%.1f", "last"), F.lit(f", threshold: {threshold:.1f})"))
+    left = F.concat(F.lit("Estimated "), F.round("remaining", 0).cast("long").cast("string"), F.lit(" hours remaining (confidence: "), F.round(F.round(F.col("confidence") * 100, 9), 0).cast("long").cast("string"), F.lit("%)"))
+    return F.when(F.col("remaining") <= 0, over).when(F.col("remaining").isNotNull(), left)

@@ -42,13 +42,35 @@ def authorized(requests: DataFrame, users: DataFrame, features: DataFrame) -> Da
     return requests.join(users, "user_id").join(features, "feature").filter(F.col("role") >= F.col("least_role")).select("user_id", "feature")
 
 
-def scope_rows(rows: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, row) that each user may see: all for role 4 or an empty access list, else the listed equipment.
+#: Users that see every row, at most, of one call.
+MOST_SEE_ALL = 10_000
 
-    Listed access is a join on the equipment; users who see all are few and meet every row by intent.
+
+def scope_rows(rows: DataFrame, users: DataFrame, now: Column | None = None) -> DataFrame:
+    """(user_id, row) that each user may see: every row for role 4 or an empty or null access list, else the equipment
+    listed, ignoring case. With `now`, only users whose session (session_expires_at) ends later.
+
+    users: user_id, role, access (array). Listed access is an equi-join on the equipment. Users who see all meet every row by
+    intent: their ids are an array that each row is exploded over, MOST_SEE_ALL at most; more are refused, as the
+    result would be rows times users (`see_all` marks them, so that a caller can give them the table itself).
     """
-    listed = users.filter((F.col("role") < 4) & (F.size("access") > 0)).select("user_id", F.explode("access").alias("equipment_id"))
-    return rows.join(listed.distinct(), "equipment_id").select("user_id", *rows.columns)
+    valid = users if now is None else users.filter(now < F.col("session_expires_at"))
+    marked = valid.withColumn("all_", see_all())
+    key = lambda x: F.lower(x.cast("string"))
+    listed = marked.filter(~F.col("all_")).select("user_id", F.explode(F.array_distinct(F.transform("access", key))).alias("key_")).distinct()
+    every = [r["user_id"] for r in marked.filter("all_ and user_id is not null").select("user_id").distinct().limit(MOST_SEE_ALL + 1).collect()]
+    if len(every) > MOST_SEE_ALL:
+        raise ValueError(f"more than {MOST_SEE_ALL} users see every row: give them the table itself")
+    met = rows.withColumn("key_", key(F.col("equipment_id"))).join(listed, "key_").select("user_id", *rows.columns)
+    if not every:
+        return met
+    ids = F.array(*(F.lit(u) for u in every)).cast(f"array<{users.schema['user_id'].dataType.simpleString()}>")
+    return met.unionByName(rows.select(F.explode(ids).alias("user_id"), *rows.columns))
+
+
+def see_all() -> Column:
+    """Whether a user (role, access) sees all equipment: role 4, or no access list."""
+    return F.coalesce(F.col("role") >= 4, F.lit(False)) | F.col("access").isNull() | (F.size("access") == 0)
 
 
 # -- graph -----------------------------------------------------------------------------------------
@@ -143,45 +165,15 @@ def eval_triggers(equipment: DataFrame, triggers: DataFrame, readings: DataFrame
 
 
 def match_rules(met: DataFrame, rules: DataFrame) -> DataFrame:
-    """Active rules with at least one trigger met, with the share met and the confidence times that share."""
-    share = met.groupBy("equipment_id", "rule_id").agg(F.avg(F.col("met").cast("double")).alias("ratio")).filter("ratio > 0")
-    return share.join(rules.filter("is_active"), "rule_id").select("equipment_id", "rule_id", "ratio", (F.col("confidence") * F.col("ratio")).alias("confidence"))
-
-
-# -- evidence and alerts ---------------------------------------------------------------------------
-
-# Weights of the tiers, and the gain of agreeing tiers.
-TIERS, AGREE = {1: 0.35, 2: 0.40, 3: 0.25}, 1.1
-
-
-def fuse(evidence: DataFrame) -> DataFrame:
-    """Evidence (equipment_id, hypothesis, tier, confidence) to one confidence for each hypothesis: the weighted
-    mean of the tiers' maxima over the tiers present, times AGREE for two tiers or more, again for three, 1 at most."""
-    tiers = {t: F.max(F.when(F.col("tier") == t, F.col("confidence"))) for t in TIERS}
-    wide = evidence.groupBy("equipment_id", "hypothesis").agg(*(c.alias(f"t{t}") for t, c in tiers.items()), F.count("*").alias("n"))
-    total = reduce(lambda a, b: a + b, (F.coalesce(F.col(f"t{t}") * w, F.lit(0.0)) for t, w in TIERS.items()))
-    weight = reduce(lambda a, b: a + b, (F.when(F.col(f"t{t}").isNotNull(), w).otherwise(0.0) for t, w in TIERS.items()))
-    present = reduce(lambda a, b: a + b, (F.col(f"t{t}").isNotNull().cast("int") for t in TIERS))
-    gain = F.when(present >= 3, AGREE * AGREE).when(present >= 2, AGREE).otherwise(1.0)
-    return wide.withColumn("fused", F.least(total / weight * gain, F.lit(1.0)))
-
-
-def diagnose(equipment: DataFrame, fused: DataFrame, least: float = 0.2) -> DataFrame:
-    """One report for each equipment: health by its best hypothesis, the three best ones, how many there are."""
-    placed = fused.filter(F.col("fused") >= least).withColumn("place", F.row_number().over(Window.partitionBy("equipment_id").orderBy(F.round("fused", 9).desc(), "hypothesis")))
-    told = placed.groupBy("equipment_id").agg(
-        F.max("fused").alias("top"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", "hypothesis")))), lambda x: x["hypothesis"]), "; ").alias("summary")
-    )
-    top = F.coalesce("top", F.lit(0.0))
-    health = F.when(top >= 0.7, "Critical").when(top >= 0.5, "Warning").when(F.col("n") > 0, "Caution").otherwise("Normal")
-    return equipment.join(told, "equipment_id", "left").select("equipment_id", health.alias("health"), top.alias("top"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("summary", F.lit("")).alias("summary"))
+    """Active rules with at least one trigger met, with the share met, the confidence times that share, triggers met and asked; name,
+    hypothesis and actions where the rules have them."""
+    hits = F.count_if("met")
+    share = met.groupBy("equipment_id", "rule_id").agg(F.avg(F.col("met").cast("double")).alias("ratio"), hits.alias("matched"), F.count("*").alias("total")).filter("ratio > 0")
+    told = [c for c in ("name", "hypothesis", "actions") if c in rules.columns]
+    return share.join(rules.filter("is_active"), "rule_id").select("equipment_id", "rule_id", "ratio", (F.col("confidence") * F.col("ratio")).alias("confidence"), "matched", "total", *told)
 
 
-def make_alerts(fused: DataFrame) -> DataFrame:
-    """Alerts of hypotheses that are likely enough."""
-    severity = F.when(F.col("fused") >= 0.7, "Critical").when(F.col("fused") >= 0.4, "Warning")
-    title = F.concat(F.lit("["), severity, F.lit("] "), F.col("hypothesis"))
-    return fused.withColumns({"severity": severity, "title": title}).filter("severity is not null")
+# -- alerts ----------------------------------------------------------------------------------------
 
 
 def suppress(alerts: DataFrame, minutes: float = 60) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrolens.functions.numbers import r6, seconds_between
-from ferrolens.operators import life, series
+from ferrolens.operators import fusion, life, series
 from ferrolens.operators import tables as T
 from ferrolens.plans.registry import query
 from ferrolens.plans.views import ALARMS, READINGS, alarms, readings, table
@@ -66,11 +66,29 @@ def fil7(spark, sf):
     return T.authorized(requests, users, spark.createDataFrame(FEATURES, "feature string, least_role int"))
 
 
-@query("fil8_row_scope", "select o_custkey % 50 as user_id, e.event_id from (select distinct o_custkey from orders where o_custkey < 50) o join events e on e.user_id in (o_custkey, o_custkey + 1)")
+FIL8 = """
+with users as (
+    select n_nationkey as user_id, n_nationkey % 5 as role, timestamp '2024-01-10' + to_days(cast(n_nationkey as integer)) as expires,
+        case when n_nationkey % 3 = 0 then [] when n_nationkey % 7 = 0 then null else ['eq' || n_nationkey, 'Eq' || 2 * n_nationkey, 'EQ' || n_nationkey] end as access
+    from nation
+), valid as (
+    select * from users where timestamp '2024-01-15' < expires
+)
+select v.user_id, e.event_id from valid v join events e
+    on v.role >= 4 or v.access is null or len(v.access) = 0 or list_contains(list_transform(v.access, lambda x: lower(x)), 'eq' || e.user_id)
+"""
+
+
+@query("fil8_row_scope", FIL8)
 def fil8(spark, sf):
-    users = table(spark, sf, "orders").filter("o_custkey < 50").select(F.col("o_custkey").alias("user_id")).distinct().withColumns({"role": F.lit(1), "access": F.array(F.col("user_id"), F.col("user_id") + 1)})
-    rows = table(spark, sf, "events").select(F.col("user_id").alias("equipment_id"), "event_id")
-    return T.scope_rows(rows, users).select("user_id", "event_id")
+    """Users of all roles: admins, empty and missing access lists, lists in other case, and sessions that are over."""
+    k = F.col("n_nationkey")
+    listed = F.array(F.concat(F.lit("eq"), k.cast("string")), F.concat(F.lit("Eq"), (2 * k).cast("string")), F.concat(F.lit("EQ"), k.cast("string")))
+    access = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 7 != 0, listed)
+    expires = F.lit("2024-01-10").cast("timestamp_ntz") + F.make_dt_interval(days=k.cast("int"))
+    users = table(spark, sf, "nation").select(k.alias("user_id"), (k % 5).alias("role"), access.alias("access"), expires.alias("session_expires_at"))
+    rows = table(spark, sf, "events").select(F.concat(F.lit("EQ"), F.col("user_id").cast("string")).alias("equipment_id"), "event_id")
+    return T.scope_rows(rows, users, F.lit("2024-01-15").cast("timestamp_ntz")).select("user_id", "event_id")
 
 
 # -- conversations, audit, knowledge ---------------------------------------------------------------
@@ -170,13 +188,14 @@ def gra7(spark, sf):
 
 # A small rule base.
 TRIGGERS = [(1, "T0", 1, "sensor", "view", "gt", 40.0, None), (1, "T0", 2, "alarm", "A103", None, None, None), (2, "T1", 3, "sensor", "error", "between", 5.0, 60.0), (2, "T1", 4, "sensor", "click", "lt", 10.0, None), (3, "T1", 5, "error", "A107", None, None, None), (3, "T1", 6, "other", "x", None, None, None)]
-RULES = [(1, 0.9, True), (2, 0.7, True), (3, 0.8, False)]
+RULES = [(1, 0.9, True, "High view", "View runs high", ["Inspect view", "Clean view"]), (2, 0.7, True, "Restless", "Errors and slow clicks", ["Restart"]), (3, 0.8, False, "Old", "Retired rule", [])]
+RULE_COLUMNS = "rule_id int, confidence double, is_active boolean, name string, hypothesis string, actions array<string>"
 RULE_SQL = f"""{READINGS}, {ALARMS}, triggers(rule_id, equipment_type, trigger_id, kind, source, operator, low, high) as (values (1, 'T0', 1, 'sensor', 'view', 'gt', 40.0, null), (1, 'T0', 2, 'alarm', 'A103', null, null, null), (2, 'T1', 3, 'sensor', 'error', 'between', 5.0, 60.0), (2, 'T1', 4, 'sensor', 'click', 'lt', 10.0, null), (3, 'T1', 5, 'error', 'A107', null, null, null), (3, 'T1', 6, 'other', 'x', null, null, null)),
-    rules(rule_id, confidence, is_active) as (values (1, 0.9, true), (2, 0.7, true), (3, 0.8, false)),
+    rules(rule_id, confidence, is_active, name, hypothesis, actions) as (values (1, 0.9, true, 'High view', 'View runs high', ['Inspect view', 'Clean view']), (2, 0.7, true, 'Restless', 'Errors and slow clicks', ['Restart']), (3, 0.8, false, 'Old', 'Retired rule', [])),
     now_ as (select equipment_id, sensor_id as source, arg_max(value, (ts, event_id)) as value from readings group by 1, 2), active as (select distinct equipment_id, code as source from alarms where cleared_at is null),
     met as (select e.equipment_id, t.rule_id, t.trigger_id, case kind when 'sensor' then coalesce(case operator when 'gt' then value > low when 'lt' then value < low when 'between' then value between low and high end, false) when 'other' then false else a.source is not null end as met
         from (select distinct equipment_id from now_) e join triggers t on t.equipment_type = 'T' || e.equipment_id % 2 left join now_ n on n.equipment_id = e.equipment_id and n.source = t.source left join active a on a.equipment_id = e.equipment_id and a.source = t.source),
-    matched as (select equipment_id, rule_id, avg(met::int) as ratio, any_value(confidence) * avg(met::int) as confidence from met join rules using (rule_id) where is_active group by 1, 2 having avg(met::int) > 0)"""
+    matched as (select equipment_id, rule_id, avg(met::int) as ratio, any_value(confidence) * avg(met::int) as confidence, count(*) filter (met) as matched, count(*) as total, any_value(name) as name, any_value(hypothesis) as hypothesis, any_value(actions) as actions from met join rules using (rule_id) where is_active group by 1, 2 having avg(met::int) > 0)"""
 
 
 def met(spark, sf):
@@ -188,7 +207,7 @@ def met(spark, sf):
 
 
 def matched(spark, sf):
-    return T.match_rules(met(spark, sf), spark.createDataFrame(RULES, "rule_id int, confidence double, is_active boolean"))
+    return T.match_rules(met(spark, sf), spark.createDataFrame(RULES, RULE_COLUMNS))
 
 
 @query("exr1_eval_triggers", f"with {RULE_SQL} select equipment_id, rule_id, trigger_id, met from met")
@@ -198,57 +217,156 @@ def exr1(spark, sf):
 
 @query("exr2_match_rules", f"with {RULE_SQL} select equipment_id, rule_id, round(ratio, 6) + 0.0 as ratio, round(confidence, 6) + 0.0 as confidence from matched")
 def exr2(spark, sf):
-    return matched(spark, sf).withColumns({"ratio": r6("ratio"), "confidence": r6("confidence")})
+    return matched(spark, sf).select("equipment_id", "rule_id", r6("ratio").alias("ratio"), r6("confidence").alias("confidence"))
+
+
+EVIDENCE = f"""
+{RULE_SQL}, stats as (
+    select equipment_id, sensor_id, avg(value) as mean, stddev_pop(value) as std, count(value) as n from readings group by 1, 2
+), codes as (
+    select event_id, code from alarms
+), anomalies as (
+    select r.equipment_id, r.sensor_id, case when value > mean then 'SpikeUp' else 'SpikeDown' end as type, least(abs((value - mean) / std) / 4, 1) as confidence,
+        r.sensor_id || ' reading, see ' || lower(code) || '.' as description
+    from readings r join stats using (equipment_id, sensor_id) join codes using (event_id)
+    where n >= 5 and std > 1e-10 and abs((value - mean) / std) >= 2
+), h as (
+    select *, (epoch_us(ts) - min(epoch_us(ts)) over (partition by equipment_id, sensor_id)) / 3600e6 as hours from readings
+), f as (
+    select equipment_id, sensor_id, count(*) as n, regr_slope(value, hours) as slope, regr_intercept(value, hours) as intercept, regr_r2(value, hours) as r2, max(hours) as span,
+        arg_max(value, (ts, event_id)) as last
+    from h group by 1, 2
+), life as (
+    select equipment_id, sensor_id, last, greatest((100 - intercept) / slope - span, 0) as remaining, least(greatest(r2, 0), 1) as confidence from f where n >= 3 and slope >= 1e-12
+), entries as (
+    select n_nationkey as entry_id, case when n_nationkey < 12 then 'a' || (100 + n_nationkey) else '' end as error_code, case n_nationkey % 4 when 0 then null else 'T' || n_nationkey % 2 end as equipment_type,
+        case n_nationkey % 3 when 0 then 'Overview is odd' when 1 then 'no ERROR, purchase' else 'none' end as symptom,
+        case when n_nationkey % 5 = 0 then '' else 'Worn ' || lower(n_name) end as cause, case when n_nationkey % 6 = 0 then '' else 'Check ' || n_name end as action,
+        'manual-' || n_regionkey as source_document, 0.5 + n_regionkey / 10 as confidence
+    from nation
+), causal as (
+    select a.equipment_id, e.* from active a join entries e on lower(a.source) = e.error_code where e.equipment_type is null or e.equipment_type = 'T' || a.equipment_id % 2
+), pairs as (
+    select a.equipment_id, a.sensor_id, a.type, c.entry_id, any_value(c.cause) as cause, any_value(c.action) as action, any_value(c.source_document) as source_document,
+        any_value(c.confidence) as confidence, count(*) as n
+    from anomalies a join causal c on a.equipment_id = c.equipment_id and (contains(lower(c.symptom), lower(a.sensor_id)) or contains(lower(a.description), c.error_code)) group by 1, 2, 3, 4
+), evidence as (
+    select equipment_id, 'anomaly:' || sensor_id || ':' || type as key, any_value(sensor_id || ' ' || type || ' detected') as hypothesis, 0.0 as place, 1 as tier, 'anomaly' as kind,
+        any_value(sensor_id) as source, min(description) as description, max(confidence) as confidence, count(*) as n, []::varchar[] as actions
+    from anomalies group by 1, 2
+    union all
+    select equipment_id, 'rul:' || case when remaining <= 0 then 'critical' when remaining <= 24 then 'urgent' when remaining <= 168 then 'warning' else 'info' end,
+        'Component approaching end of life (' || cast(round(remaining) as bigint) || 'h remaining)', remaining, 1, 'rul', 'RUL Predictor',
+        case when remaining <= 0 then 'Component has reached end of life (current: ' || printf('%.1f', last) || ', threshold: 100.0)'
+            else 'Estimated ' || cast(round(remaining) as bigint) || ' hours remaining (confidence: ' || cast(round(round(confidence * 100, 9)) as bigint) || '%)' end,
+        confidence * case when remaining <= 24 then 1 else 0.6 end, 1, ['Schedule replacement within ' || cast(round(remaining) as bigint) || ' hours']
+    from life
+    union all
+    select equipment_id, 'expert:' || rule_id, hypothesis, 0.0, 2, 'expert_rule', 'Rule ' || rule_id || ': ' || name, 'Matched ' || matched || '/' || total || ' triggers', confidence, 1, actions from matched
+    union all
+    select equipment_id, 'doc:' || case when error_code <> '' then error_code else cast(entry_id as varchar) end, case when cause <> '' then cause else symptom end, entry_id, 3, 'document', source_document,
+        'Document evidence: ' || symptom || ' → ' || cause, confidence, 1, case when action <> '' then [action] else [] end
+    from causal
+    union all
+    select equipment_id, 'anomaly:' || sensor_id || ':' || type, sensor_id || ' ' || type || ' detected', entry_id, 3, 'document', source_document,
+        'Correlated: ' || cause, 0.8 * confidence, n, case when action <> '' then [action] else [] end
+    from pairs
+), w as (
+    select equipment_id, key, arg_min(hypothesis, (tier, place, hypothesis)) as hypothesis, max(confidence) filter (tier = 1 and confidence > 0) as t1, max(confidence) filter (tier = 2 and confidence > 0) as t2,
+        max(confidence) filter (tier = 3 and confidence > 0) as t3, cast(coalesce(sum(n) filter (tier = 1), 0) as bigint) as n1, cast(coalesce(sum(n) filter (tier = 2), 0) as bigint) as n2,
+        cast(coalesce(sum(n) filter (tier = 3), 0) as bigint) as n3, flatten(list(actions order by tier, place, source)) as told
+    from evidence group by 1, 2
+), fused as (
+    select equipment_id, key, hypothesis, n1, n2, n3, list_transform(list_filter(list_zip(told, range(1, len(told) + 1)), lambda x: list_position(told, x[1]) = x[2]), lambda x: x[1]) as actions,
+        case when t1 is null and t2 is null and t3 is null then 0 else least((coalesce(t1 * 0.35, 0) + coalesce(t2 * 0.4, 0) + coalesce(t3 * 0.25, 0))
+            / ((t1 is not null)::int * 0.35 + (t2 is not null)::int * 0.4 + (t3 is not null)::int * 0.25::double)
+            * case (t1 is not null)::int + (t2 is not null)::int + (t3 is not null)::int when 3 then 1.1 * 1.1 when 2 then 1.1 else 1.0 end, 1) end as confidence
+    from w
+), ranked as (
+    select *, row_number() over (partition by equipment_id order by round(confidence, 9) desc, key) as rank, count(*) over (partition by equipment_id) as n_hypotheses,
+        cast(round(round(confidence * 100, 9)) as bigint) || '%' as percent
+    from fused where confidence >= 0.2
+)
+"""
 
 
-EVIDENCE = f"""{RULE_SQL}, stats as (select equipment_id, sensor_id, avg(value) as mean, stddev_pop(value) as std, count(value) as n from readings group by 1, 2),
-    odd as (select r.equipment_id, r.sensor_id, max(abs((value - mean) / std)) as z from readings r join stats using (equipment_id, sensor_id) where n >= 5 and std > 1e-10 and abs((value - mean) / std) >= 2 group by 1, 2),
-    h as (select *, (epoch_us(ts) - min(epoch_us(ts)) over (partition by equipment_id, sensor_id)) / 3600e6 as hours from readings), f as (select equipment_id, sensor_id, count(*) as n, regr_slope(value, hours) as slope, regr_intercept(value, hours) as intercept, regr_r2(value, hours) as r2, max(hours) as span from h group by 1, 2),
-    life as (select equipment_id, sensor_id, greatest((100 - intercept) / slope - span, 0) as remaining, least(greatest(r2, 0), 1) as confidence from f where n >= 3 and slope >= 1e-12),
-    evidence as (select equipment_id, 'sensor:' || sensor_id as hypothesis, 1 as tier, least(z / 4, 1) as confidence from odd union all select equipment_id, 'sensor:' || sensor_id, 2, confidence * case when remaining <= 24 then 1 else 0.6 end from life
-        union all select equipment_id, 'expert:' || rule_id, 2, confidence from matched union all select equipment_id, 'sensor:' || sensor_id, 3, 0.8 * least(z / 4, 1) from odd where sensor_id = 'error'),
-    w as (select equipment_id, hypothesis, max(confidence) filter (tier = 1) as t1, max(confidence) filter (tier = 2) as t2, max(confidence) filter (tier = 3) as t3, count(*) as n from evidence group by 1, 2),
-    fused as (select *, least((coalesce(t1 * 0.35, 0) + coalesce(t2 * 0.4, 0) + coalesce(t3 * 0.25, 0)) / ((t1 is not null)::int * 0.35 + (t2 is not null)::int * 0.4 + (t3 is not null)::int * 0.25::double)
-        * case (t1 is not null)::int + (t2 is not null)::int + (t3 is not null)::int when 3 then 1.1 * 1.1 when 2 then 1.1 else 1.0 end, 1) as fused from w)"""
+def causal_entries(spark, sf):
+    k, text = F.col("n_nationkey"), lambda c: F.lit(c)
+    blank = lambda test, c: F.when(test, text("")).otherwise(c)
+    symptom = F.when(k % 3 == 0, "Overview is odd").when(k % 3 == 1, "no ERROR, purchase").otherwise("none")
+    return table(spark, sf, "nation").select(
+        k.alias("entry_id"), F.when(k < 12, F.concat(text("a"), (100 + k).cast("string"))).otherwise("").alias("error_code"), F.when(k % 4 != 0, F.concat(text("T"), (k % 2).cast("string"))).alias("equipment_type"),
+        symptom.alias("symptom"), blank(k % 5 == 0, F.concat(text("Worn "), F.lower("n_name"))).alias("cause"), blank(k % 6 == 0, F.concat(text("Check "), "n_name")).alias("action"),
+        F.concat(text("manual-"), F.col("n_regionkey").cast("string")).alias("source_document"), (0.5 + F.col("n_regionkey") / 10).alias("confidence"),
+    )
 
 
 def evidence(spark, sf):
-    df = readings(spark, sf)
-    odd = series.sigma_anomalies(df).groupBy("equipment_id", "sensor_id").agg(F.max(F.abs("z")).alias("z"))
-    ends = life.linear_life(df, 100.0, False).filter("remaining is not null")
-    sensor = F.concat(F.lit("sensor:"), "sensor_id").alias("hypothesis")
-    likely = F.least(F.col("z") / 4, F.lit(1.0))
-    return (
-        odd.select("equipment_id", sensor, F.lit(1).alias("tier"), likely.alias("confidence"))
-        .unionByName(ends.select("equipment_id", sensor, F.lit(2).alias("tier"), (F.col("confidence") * F.when(F.col("remaining") <= 24, 1.0).otherwise(0.6)).alias("confidence")))
-        .unionByName(matched(spark, sf).select("equipment_id", F.concat(F.lit("expert:"), F.col("rule_id").cast("string")).alias("hypothesis"), F.lit(2).alias("tier"), "confidence"))
-        .unionByName(odd.filter("sensor_id = 'error'").select("equipment_id", sensor, F.lit(3).alias("tier"), (0.8 * likely).alias("confidence")))
-    )
-
-
-@query("fus1_evidence", f"with {EVIDENCE} select equipment_id, hypothesis, tier, round(confidence, 6) + 0.0 as confidence from evidence")
+    """Evidence of all equipment: anomalies, remaining life, matched rules, and causal entries of active codes."""
+    df, events = readings(spark, sf), alarms(spark, sf)
+    odd = series.sigma_anomalies(df).join(events.select("event_id", "code"), "event_id")
+    anomalies = odd.select(
+        "equipment_id", "sensor_id", F.when(F.col("z") > 0, "SpikeUp").otherwise("SpikeDown").alias("type"), F.least(F.abs("z") / 4, F.lit(1.0)).alias("confidence"),
+        F.concat("sensor_id", F.lit(" reading, see "), F.lower("code"), F.lit(".")).alias("description"),
+    )
+    lives = life.linear_life(df, 100.0, False).filter("remaining is not null").withColumn("summary", life.life_summary(100.0))
+    equipment = df.select("equipment_id", F.concat(F.lit("T"), (F.col("equipment_id") % 2).cast("string")).alias("equipment_type")).distinct()
+    active = events.filter("cleared_at is null").select("equipment_id", F.col("code").alias("source"))
+    causal = fusion.relevant_causal(causal_entries(spark, sf), equipment, active)
+    return fusion.evidence(anomalies, lives, matched(spark, sf), causal)
+
+
+@query("fus1_evidence", f"with {EVIDENCE} select equipment_id, key, hypothesis, tier, kind, source, description, round(confidence, 6) + 0.0 as confidence, n, array_to_string(actions, ';') as actions from evidence")
 def fus1(spark, sf):
-    return evidence(spark, sf).withColumn("confidence", r6("confidence"))
+    return evidence(spark, sf).drop("place").withColumns({"confidence": r6("confidence"), "actions": F.array_join("actions", ";")})
+
+
+@query("fus2_linked_evidence", f"with {EVIDENCE} select equipment_id, sensor_id, type, entry_id, n from pairs")
+def fus2_linked(spark, sf):
+    rows = evidence(spark, sf).filter("tier = 3 and key like 'anomaly:%'")
+    part = F.split("key", ":")
+    return rows.select("equipment_id", part[1].alias("sensor_id"), part[2].alias("type"), F.col("place").cast("long").alias("entry_id"), "n")
 
 
-@query("fus3_fuse", f"with {EVIDENCE} select equipment_id, hypothesis, n, round(fused, 6) + 0.0 as fused from fused")
+@query("fus3_fuse", f"with {EVIDENCE} select equipment_id, key, hypothesis, n1, n2, n3, round(confidence, 6) + 0.0 as fused, array_to_string(actions, ';') as actions from fused")
 def fus3(spark, sf):
-    return T.fuse(evidence(spark, sf)).select("equipment_id", "hypothesis", "n", r6("fused").alias("fused"))
+    told = fusion.fuse(evidence(spark, sf))
+    return told.select("equipment_id", "key", "hypothesis", "n1", "n2", "n3", r6("confidence").alias("fused"), F.array_join("actions", ";").alias("actions"))
 
 
-@query(
-    "fus4_diagnose",
-    f"""with {EVIDENCE}, p as (select *, row_number() over (partition by equipment_id order by round(fused, 9) desc, hypothesis) as place from fused where fused >= 0.2), r as (select equipment_id, max(fused) as top, count(*) as n, string_agg(hypothesis, '; ' order by place) filter (place <= 3) as summary from p group by 1)
-    select e.equipment_id, case when coalesce(top, 0) >= 0.7 then 'Critical' when coalesce(top, 0) >= 0.5 then 'Warning' when n > 0 then 'Caution' else 'Normal' end as health, round(coalesce(top, 0), 6) + 0.0 as top, coalesce(n, 0) as n, coalesce(summary, '') as summary from (select distinct equipment_id from readings) e left join r on r.equipment_id = e.equipment_id""",
+FUS4 = f"""
+with {EVIDENCE}, r as (
+    select equipment_id, max(confidence) as top, count(*) as n, string_agg(hypothesis || ' (' || percent || ')', ' | ' order by rank) filter (rank <= 3) as summary from ranked group by 1
+), c as (
+    select equipment_id, cast(coalesce(sum(n) filter (kind = 'anomaly'), 0) as bigint) as anomalies, cast(coalesce(sum(n) filter (kind = 'expert_rule'), 0) as bigint) as rules from evidence group by 1
 )
+select e.equipment_id, case when r.n is null then 'Normal' when top >= 0.7 then 'Critical' when top >= 0.5 then 'Warning' else 'Caution' end as health, round(coalesce(top, 0), 6) + 0.0 as top,
+    coalesce(r.n, 0) as n, coalesce(summary, 'No anomalies or issues detected. Equipment operating normally.') as summary, coalesce(anomalies, 0) as anomalies, coalesce(rules, 0) as rules
+from (select distinct equipment_id from readings) e left join r using (equipment_id) left join c using (equipment_id)
+"""
+
+
+@query("fus4_diagnose", FUS4)
 def fus4(spark, sf):
-    """The flagship: anomalies, remaining life and expert rules of all equipment, fused to one report each."""
-    return T.diagnose(readings(spark, sf).select("equipment_id").distinct(), T.fuse(evidence(spark, sf))).withColumn("top", r6("top"))
+    """The flagship: anomalies, remaining life, expert rules and causal knowledge of all equipment, fused to one report each."""
+    return fusion.diagnose(readings(spark, sf).select("equipment_id"), evidence(spark, sf)).withColumn("top", r6("top"))
+
+
+ALR1 = f"""
+with {EVIDENCE}, a as (
+    select *, case when confidence >= 0.7 then 'Critical' when confidence >= 0.4 then 'Warning' end as severity from ranked
+)
+select equipment_id, key, severity, '[' || upper(severity) || '] ' || hypothesis as title, array_to_string(actions, ';') as actions, concat_ws(chr(10),
+    'Equipment: ' || equipment_id, 'Confidence: ' || percent, 'Rank: #' || rank || ' of ' || n_hypotheses || ' hypotheses',
+    case when n1 > 0 then 'Statistical evidence: ' || n1 || ' indicators' end, case when n2 > 0 then 'Expert rules matched: ' || n2 end, case when n3 > 0 then 'Document references: ' || n3 end,
+    case when len(actions) > 0 then 'Recommended actions:' end, case when len(actions) > 0 then array_to_string(list_transform(actions[1:3], lambda x: '  - ' || x), chr(10)) end) as message
+from a where severity is not null
+"""
 
 
-@query("alr1_make_alerts", f"with {EVIDENCE} select equipment_id, hypothesis, severity, '[' || severity || '] ' || hypothesis as title from (select *, case when fused >= 0.7 then 'Critical' when fused >= 0.4 then 'Warning' end as severity from fused) where severity is not null")
+@query("alr1_make_alerts", ALR1)
 def alr1(spark, sf):
-    return T.make_alerts(T.fuse(evidence(spark, sf))).select("equipment_id", "hypothesis", "severity", "title")
+    return fusion.make_alerts(evidence(spark, sf)).withColumn("actions", F.array_join("actions", ";"))
 
 
 @query("alr2_suppress", f"""with recursive {ALARMS}, o as (select code, ts, event_id, row_number() over (partition by code order by ts, event_id) as k from alarms), w as (select code, ts, event_id, k, ts as last, true as issued from o where k = 1
