@@ -1,17 +1,22 @@
 """Vectorised tokenising and hashing of UTF-8 texts held as one byte array.
 
 A token's 64-bit hash is a polynomial in an odd base over a random table of byte values, taken
-from prefix sums, so that the hash of every token of a slice costs a few array passes. Two
-different tokens share a hash with probability about 2**-64; operators that need certainty
-compare bytes afterwards.
+from prefix sums, so that the hash of every token of a slice costs a few array passes. A polynomial modulo
+2**64 has built-in collisions between long strings of a certain form (from 1,024 bytes on), so `words` hashes
+tokens of over LONG bytes by BLAKE2 instead. Two different tokens share a hash with probability about
+2**-64; operators that need certainty compare bytes afterwards.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+#: Bytes of the longest token that is hashed by prefix sums.
+LONG = 256
 BASE = U(0x9E3779B97F4A7C15)
 BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -98,7 +103,10 @@ def words(texts: pa.Array, member: np.ndarray = WORD_BYTE) -> tuple[np.ndarray,
     data, bounds = flat_bytes(texts)
     data = LOWER[data]
     starts, ends, owner = tokens(data, bounds, member)
-    return span_hash(prefix_hash(data), starts, ends), owner, starts, ends, bounds
+    hashes = span_hash(prefix_hash(data), starts, ends)
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        hashes[k] = np.frombuffer(blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "<u8")[0]
+    return hashes, owner, starts, ends, bounds
 
 
 def ngrams(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

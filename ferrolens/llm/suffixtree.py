@@ -48,7 +48,7 @@ LEAST = 3
 #: Share of the training tokens from which on a word is held by a tree that is looked at as a whole.
 WORD_RATE = 1e-6
 #: Tokens of a section: at least SECTION / 2, at most 3 * SECTION / 2, if the task has as many.
-SECTION = 1_000_000
+SECTION = 500_000
 #: log2 of the bits of a broadcast bitmap over keys.
 SKETCH = 26
 #: Sequences that a task adds up before it sends them.
@@ -56,7 +56,7 @@ HELD = 1_000_000
 #: Tokens, or entries of the tree, for each range of keys; and log2 of the ranges that a task deals out at once.
 RANGE, RADIX = 1 << 19, 10
 #: Rounds in which sections are scored: what is asked and answered at once is that part of it.
-ROUNDS = 2
+ROUNDS = 4
 DISCOUNT = 0.5
 END = U(0x0E0D0E0D0E0D0E0D)
 
@@ -596,7 +596,8 @@ def scored(shelf: Shelf, stored: DataFrame, kept: list[str], tree: Tree, counts:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
-        for r in right.to_pylist():
+        for k in range(right.num_rows):
+            r = {name: right.column(name)[k].as_py() for name in right.column_names}
             kinds = unpack(r["kinds"], r["n"], np.int8)
             values = np.empty(r["n"])
             values[kinds != WORD] = unpack(r["values"], r["n"] - r["n_words"], np.float32)
@@ -605,7 +606,10 @@ def scored(shelf: Shelf, stored: DataFrame, kept: list[str], tree: Tree, counts:
         key, kind, value = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U), np.zeros(0, np.int8), np.zeros(0))
         w = np.flatnonzero(kind == WORD)
         w, rest = w[np.argsort(key[w])], kind != WORD
-        score = Scorer(Part.of(total, distinct, key[w], value[w].astype(np.int64), {"key": key[rest].view(np.int64), "kind": kind[rest], "value": value[rest]}, depth))
+        counted, told = (key[w], value[w].astype(np.int64)), {"key": key[rest].view(np.int64), "kind": kind[rest], "value": value[rest]}
+        del found, key, kind, value, w, rest
+        score = Scorer(Part.of(total, distinct, *counted, told, depth))
+        del counted, told
         out = []
         for section, h, sizes, *_ in read_sections(left.to_batches()):
             n, known, base, states, who, _, tf = score.stream(h, sizes)

@@ -221,3 +221,30 @@ def test_fill_in_middle_equals_sql(spark, tmp_path):
 def test_fill_in_middle_of_empty_tables_and_clashing_columns(spark):
     out = infill.fill_in_middle(spark.createDataFrame([], "doc_id long, text string, N int, output string"))
     assert out.columns == ["doc_id", "text", "N", "output", "n_1", "form", "prefix_chars", "middle_chars", "output_1"] and out.collect() == []
+
+
+# -- long words ------------------------------------------------------------------------------------
+
+
+def test_long_words_that_collide_in_a_polynomial_differ():
+    """The words that follow the Thue-Morse order of ab and of ba share every polynomial hash modulo 2**64 from 1,024 letters on."""
+    import pyarrow as pa
+
+    from ferrolens.llm.bytewords import words
+
+    for n in (256, 1024, 4096):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        b = "".join("ba"[bin(i).count("1") % 2] for i in range(n))
+        h, *_ = words(pa.array([a, b, f"x {a}", a.upper()]))
+        assert h[0] == h[3] == h[4] and h[0] != h[1]
+
+
+def test_long_colliding_words_in_decontamination(spark):
+    from ferrolens.llm import decontamination
+
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = "".join("ba"[bin(i).count("1") % 2] for i in range(2048))
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, a)], "item_id long, text string")
+    found = decontamination.contamination(docs, items)
+    assert {r["doc_id"]: r[found.columns[-3]] for r in found.collect()} == {1: 1, 2: 0}
