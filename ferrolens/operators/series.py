@@ -200,6 +200,42 @@ def series_frame(df: DataFrame, signals: list[str], seconds: int) -> DataFrame:
     return spine.join(wide, ["equipment_id", "bucket"], "left").withColumn("missing_ratio", missing).withColumn("interpolated", F.col("missing_ratio") == 1)
 
 
+AGGREGATES = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}
+
+
+def interpolated_frame(df: DataFrame, signals: list[str], seconds: int, start: int | None = None, end: int | None = None, agg: str = "mean") -> DataFrame:
+    """Signals as columns on a fixed step, gaps filled: equipment_id, bucket, a column for each signal, missing_ratio, interpolated.
+
+    start and end (seconds since 1970, multiples of the step) bound the buckets of every equipment, both included; by default they are its first
+    and last bucket. A bucket without readings of a signal lies on the line in time between the last bucket before and the
+    first after that have some; before the first and after the last it stays null. missing_ratio is the share of signals
+    without readings of their own, interpolated whether any was filled in.
+
+    Known neighbours are carried over segments of a signal's buckets (`segments.filled`), so a signal may have any length.
+    """
+    from ferrolens.operators.segments import filled
+
+    some = df.filter(F.col("sensor_id").isin(signals)).withColumn("bucket", bucket("ts", seconds))
+    inside = [F.lit(True)] + ([F.col("bucket") >= start] if start is not None else []) + ([F.col("bucket") <= end] if end is not None else [])
+    for test in inside:
+        some = some.filter(test)
+    means = some.groupBy("equipment_id", "sensor_id", "bucket").agg(AGGREGATES[agg]("value").alias("value")).filter("value is not null")
+    ends = some.groupBy("equipment_id").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
+    first, last = (F.lit(start) if start is not None else F.col("a")), (F.lit(end) if end is not None else F.col("b"))
+    steps = F.sequence(first.cast("long"), last.cast("long"), F.lit(seconds).cast("long"))
+    spine = ends.select("equipment_id", F.explode(steps).alias("bucket")).select("*", F.explode(F.array(*map(F.lit, signals))).alias("sensor_id"))
+    rows = spine.join(means, ["equipment_id", "sensor_id", "bucket"], "left")
+    known = F.when(F.col("value").isNotNull(), F.struct("bucket", "value"))
+    told = filled(rows, ["equipment_id", "sensor_id"], ["bucket"], known)
+    share = (F.col("bucket") - F.col("before.bucket")) / (F.col("after.bucket") - F.col("before.bucket"))
+    line = F.col("before.value") + share * (F.col("after.value") - F.col("before.value"))
+    told = told.withColumn("shown", F.coalesce("value", line))
+    columns = [F.max(F.when(F.col("sensor_id") == s, F.col("shown"))).alias(s) for s in signals]
+    missing = (F.count_if(F.col("value").isNull()) / len(signals)).alias("missing_ratio")
+    gap = F.coalesce(F.bool_or(F.col("value").isNull() & F.col("shown").isNotNull()), F.lit(False)).alias("interpolated")
+    return told.groupBy("equipment_id", "bucket").agg(*columns, missing, gap)
+
+
 #: (oldest age in days, seconds of a mean); 0 keeps the readings.
 RETENTION = ((7, 0), (90, 60), (365, 300))
 
