@@ -13,10 +13,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrolens.operators.series import KEYS
+from ferrolens.operators.segments import filled
 from ferrolens.operators.tables import latest_per_key
 
 TREES, SAMPLE = 100, 256
@@ -75,13 +76,17 @@ def fit_forest(df: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: in
 
 
 def score(df: DataFrame, steps: DataFrame) -> DataFrame:
-    """df with `score` (0.5 for series without a forest)."""
-    w = Window.partitionBy(*KEYS).orderBy(F.col("value").asc_nulls_first(), F.col("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    """df with `score` (0.5 for series without a forest).
+
+    Each reading takes the last step that is not above its value: steps and readings lie in one range partitioning, and the
+    last step before a range is carried into it (`segments.filled`), so a series of any length is scored by many tasks.
+    """
     marks = steps.select(*KEYS, F.col("since").alias("value"), F.lit(0).alias("kind"), F.struct("path", "c").alias("step"))
     rows = df.select(*KEYS, "value", F.lit(1).alias("kind"), F.lit(None).cast("struct<path: double, c: double>").alias("step"), "event_id")
-    both = marks.withColumn("event_id", F.lit(None).cast("long")).unionByName(rows).withColumn("step", F.last("step", ignorenulls=True).over(w)).filter("kind = 1")
+    both = marks.withColumn("event_id", F.lit(None).cast("long")).unionByName(rows)
+    found = filled(both, list(KEYS), ["value", "kind", "event_id"], "step").filter("kind = 1").withColumn("step", F.col("before"))
     value = F.when(F.col("step.c") > 0, F.pow(F.lit(2.0), -F.col("step.path") / F.col("step.c"))).otherwise(0.5)
-    return both.select(*KEYS, "event_id", "value", F.coalesce(value, F.lit(0.5)).alias("score"))
+    return found.select(*KEYS, "event_id", "value", F.coalesce(value, F.lit(0.5)).alias("score"))
 
 
 def severity(score_: Column | str, caution: float = 0.6, anomaly: float = 0.75) -> Column:

@@ -103,6 +103,20 @@ def local_anomalies(df: DataFrame, keys: list[str], order: list[str], window: in
     return scored.filter((F.col("std") > 1e-10) & (F.col("score") > threshold)).drop("n", "at", "s_", "q_", "block", "own")
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], tasks: int | None = None) -> DataFrame:
+    """keys, `n` and one column for each share: the least value that at least that share of the group's values don't exceed
+    (`percentile_disc`), exactly. Null values take no part.
+
+    Values are placed by a range partitioning, and the rows at the wanted places are the answer: no group is held or sorted by one
+    task, and nothing grows with a group's different values.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value_"), F.monotonically_increasing_id().alias("tie_"))
+    placed = positioned(rows, keys, ["value_", "tie_"], tasks)
+    wanted = {name: F.greatest(F.ceil(F.col("n") * F.lit(q)).cast("long") - 1, F.lit(0)) for name, q in shares.items()}
+    some = placed.filter(reduce(lambda a, b: a | b, (F.col("at") == w for w in wanted.values())))
+    return some.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("at") == w, F.col("value_"))).alias(name) for name, w in wanted.items()))
+
+
 def gaps(df: DataFrame, keys: list[str], order: list[str], ts: str, size: int = BLOCK) -> DataFrame:
     """df with `place` from 1 on, and `gap_ms` to the row before (0 for the first): the flow of one long request or series."""
     spread = blocks(positioned(df, keys, order), before=1, size=size)

@@ -19,6 +19,19 @@ def one(spark, sf):
     return readings(spark, sf).select(F.lit(0).cast("long").alias("line"), *ORDER, "value")
 
 
+PERCENTILES = f"""
+with {READINGS}
+select sensor_id, count(value) as n, percentile_disc(0.05) within group (order by value) as p5,
+    percentile_disc(0.5) within group (order by value) as median, percentile_disc(0.95) within group (order by value) as p95
+from readings group by sensor_id
+"""
+
+
+@query("ts1_long_percentiles", PERCENTILES)
+def ts1(spark, sf):
+    return G.percentiles(readings(spark, sf), ["sensor_id"], "value", {"p5": 0.05, "median": 0.5, "p95": 0.95})
+
+
 TS2 = f"""
 with {ONE}, t as (
     select event_id, row_number() over (order by ts, event_id) as k, avg(value) over (order by ts, event_id rows between 24 preceding and current row) as average from one

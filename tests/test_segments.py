@@ -95,3 +95,24 @@ def test_interpolated_frame(spark):
     assert got == [(1, 0, 10.0, None, 0.5, False), (1, 1, 20.0, 7.0, 0.5, True), (1, 2, 30.0, None, 1.0, True), (1, 3, 40.0, None, 0.5, False), (2, 2, None, None, 1.0, False)]
     wide = series.interpolated_frame(df, ["a", "b"], 60, base + 60, base + 240).filter("equipment_id = 1").orderBy("bucket").collect()
     assert [(r["bucket"] - base) // 60 for r in wide] == [1, 2, 3, 4] and [r["a"] for r in wide] == [None, None, 40.0, None]
+
+
+def test_percentiles(df):
+    got = segments.percentiles(df, KEYS, "value", {"a": 0.0, "b": 0.05, "c": 0.5, "d": 1.0}, tasks=7)
+    p = lambda q, c: F.expr(f"percentile_disc({q}) within group (order by value)").alias(c)
+    want = df.groupBy(*KEYS).agg(F.count("value").alias("n"), p(0.0, "a"), p(0.05, "b"), p(0.5, "c"), p(1.0, "d"))
+    assert rows(got, *KEYS, "n", "a", "b", "c", "d") == rows(want, *KEYS, "n", "a", "b", "c", "d")
+
+
+def test_forest_scores_over_segments(df):
+    """Each reading takes the last step not above it, as one window over its series would give."""
+    from pyspark.sql import Window
+
+    from ferrolens.operators import forest
+
+    steps = forest.fit_forest(df.filter("equipment_id is not null"), trees=5)
+    w = Window.partitionBy(*KEYS).orderBy(F.col("value").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    marks = steps.select(*KEYS, F.col("since").alias("value"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("event_id"), F.struct("path", "c").alias("step"))
+    both = marks.unionByName(df.select(*KEYS, "value", F.lit(1).alias("kind"), "event_id", F.lit(None).cast("struct<path: double, c: double>").alias("step")))
+    want = both.withColumn("step", F.last("step", True).over(w)).filter("kind = 1").withColumn("score", F.coalesce(F.when(F.col("step.c") > 0, F.pow(F.lit(2.0), -F.col("step.path") / F.col("step.c"))), F.lit(0.5)))
+    assert rows(forest.score(df, steps), "event_id", "score") == rows(want, "event_id", "score")
