@@ -67,9 +67,30 @@ PLAIN = frozenset(
     "area block bottom box bar button buttons container content form global group icon icons inner item items left link links list main outer page panel post posts primary right row secondary section side site slot "
     "text top unit wrap wrapper".split()
 )
+#: Parts of a class token or id that decide in any place of it, unless a part of WITHOUT stands there too ("no-comments").
+STRONG = frozenset("advert adverts advertisement breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus gdpr newsletter pagination sidebar".split())
+WITHOUT = frozenset("enabled has hide no not open show with without".split())
+#: Parts that decide as the last or, before a number or a plain part, the first of a token ("googleAd", "related-articles").
+EDGES = frozenset("ad ads related recommended".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dl dt dd ol ul table tr figure figcaption".split())
 
 
+def names_aside(token: str, strong_only: bool = False) -> bool:
+    """Whether a class token or an id names something other than an article (`Page.says_aside`)."""
+    parts = [x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", token)]
+    if not parts:
+        return False
+    if any(x in STRONG for x in parts) and not any(x in WITHOUT for x in parts):
+        return True
+    if strong_only:
+        return False
+    if "".join(parts) in WORDS:
+        return True
+    if parts[-1] in EDGES or parts[0] in EDGES and (len(parts) == 1 or parts[1] in PLAIN or parts[1].rstrip("s") in ("article", "story", "item")):
+        return not any(x in WITHOUT for x in parts)
+    return any(x in WORDS for x in parts) and all(x in WORDS or x in PLAIN for x in parts)
+
+
 class Page:
     """Elements of one page in the order of their start, and its pieces of text."""
 
@@ -188,32 +209,44 @@ class Page:
                 out[i] = int.from_bytes(hashlib.blake2b(told.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
         return out
 
+    def sizes(self) -> list[int]:
+        """Characters of text below each element, without scripts, styles and the like."""
+        out = [0] * len(self.tags)
+        for i, a, b in self.events:
+            if a >= 0 <= i and self.tags[i] not in RAW:
+                out[i] += len(self.source[a:b].strip())
+        for i in range(len(out) - 1, -1, -1):
+            if self.parents[i] >= 0:
+                out[self.parents[i]] += out[i]
+        return out
+
     def says_aside(self, i: int, holder: bool = False, words: bool = True) -> bool:
         """Whether tag, role, class or id name something other than an article.
 
         A class token or id counts if it is one of WORDS, or made of these and of PLAIN parts alone: "cookie-notice"
-        and "site-footer" do, "share-price" and "has-sidebar" don't. For a holder
-        (an article, or what contains one) only SECOND counts, and nothing without `words`.
+        and "site-footer" do, "share-price" and "has-sidebar" don't; STRONG parts count in any place. The id of a section
+        is a place to link to, so there only STRONG parts count. For a holder
+        (an article, what contains one, or a form around a page's text) only SECOND counts, and nothing without `words`.
         """
         tag = self.tags[i]
-        if tag in NEVER:
+        if tag in NEVER and not (tag == "form" and holder):
             return True
         attributes = self.attributes[i]
         if not attributes or tag in ("html", "body"):
             return False
         for m in ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+            name, raw = m[1].lower(), (m[2] or "").strip("\"'")
+            value = raw.lower()
             if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true":
                 return True
-            if name == "role" and value in ROLES:
+            if name == "role" and value in ROLES and not (value == "form" and holder):
                 return True
             if name in ("class", "id"):
-                for token in value.split():
-                    parts = re.findall(r"[a-z]+", token)
+                for token in raw.split():
                     if holder:
-                        if words and token in SECOND:
+                        if words and token.lower() in SECOND:
                             return True
-                    elif any(x in WORDS for x in parts) and all(x in WORDS or x in PLAIN for x in parts):
+                    elif names_aside(token, name == "id" and tag == "section"):
                         return True
         return False
 
@@ -249,6 +282,11 @@ class Page:
         for i in range(n - 1, -1, -1):
             if holders[i] and parents[i] >= 0:
                 holders[parents[i]] = True
+        around = list(holders)
+        if "form" in tags and not any(holders):  # some sites put all of a page into one form
+            sizes = self.sizes()
+            whole = sum(x for x, p in zip(sizes, parents, strict=True) if p < 0)
+            around = [tag == "form" and 2 * x >= whole > 0 for tag, x in zip(tags, sizes, strict=True)]
         cut = self.template(self.hashes(), common) if common else [False] * n
         by_template = sum(c and not (parents[i] >= 0 and cut[parents[i]]) for i, c in enumerate(cut))
         # if class and id leave no article of several or one, they don't count for articles
@@ -257,7 +295,7 @@ class Page:
             for i, tag in enumerate(tags):
                 p = parents[i]
                 up, body = (gone[p], marked[p]) if p >= 0 else (False, False)
-                aside = up or cut[i] or self.says_aside(i, holders[i], words)
+                aside = up or cut[i] or self.says_aside(i, around[i], words)
                 marked[i] = body or tag in ("article", "main") and not aside
                 if tag == "header":  # of an article, a header keeps its headings alone
                     heading[i] = body
@@ -325,19 +363,25 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float =
     return counted.join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list(F.struct("hash", (F.col("n") / F.col("pages")).alias("share"))).alias("template"))
 
 
-#: Hosts with a template that are broadcast to the pages at once; as many hosts again take another join.
-MOST_HOSTS = 10_000
+#: Hosts and entries of templates that are broadcast to the pages; more take a join on the host.
+MOST_HOSTS, MOST_ENTRIES = 10_000, 1_000_000
+#: Parts that the pages of a host are dealt to in that join, if it has a thousandth of all pages.
+SALTS = 64
 
 
 def with_templates(keyed: DataFrame, templates: DataFrame) -> DataFrame:
-    """keyed (with host) and each row's template. Templates of the MOST_HOSTS hosts with the most pages are
-    broadcast, so that no large host goes to one task; pages of the other hosts, all small, are shuffled."""
-    if templates.count() <= MOST_HOSTS:
+    """keyed (with host) and each row's template: broadcast if there are few hosts and few entries in all; else joined on host
+    and salt, where pages of large hosts, at most a thousand of them, are dealt out and their templates repeated."""
+    hosts, entries = templates.agg(F.count("*"), F.coalesce(F.sum(F.size("template")), F.lit(0))).first()
+    if hosts <= MOST_HOSTS and entries <= MOST_ENTRIES:
         return keyed.join(F.broadcast(templates), "host", "left")
-    large = stored(keyed.groupBy("host").count().orderBy(F.desc("count"), "host").limit(MOST_HOSTS).select("host"), "large")
-    first = keyed.join(F.broadcast(large), "host", "left_semi").join(F.broadcast(templates.join(F.broadcast(large), "host", "left_semi")), "host", "left")
-    rest = keyed.join(F.broadcast(large), "host", "left_anti").join(templates, "host", "left")
-    return first.unionByName(rest)
+    total = keyed.count()
+    large = stored(keyed.groupBy("host").count().filter(F.col("count") * 1000 >= total).select("host", F.lit(True).alias("large_")), "large")
+    salts = F.when(F.col("large_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = templates.join(F.broadcast(large), "host", "left").select("host", "template", F.explode(salts).alias("salt_"))
+    salt = F.when(F.col("large_"), F.pmod(F.xxhash64(*(c for c in keyed.columns if c != "host")), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = keyed.join(F.broadcast(large), "host", "left").withColumn("salt_", salt).drop("large_")
+    return dealt.join(repeated, ["host", "salt_"], "left").drop("salt_")
 
 
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str = "text", template: bool = True) -> DataFrame:

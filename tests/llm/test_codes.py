@@ -248,3 +248,45 @@ def test_long_colliding_words_in_decontamination(spark):
     items = spark.createDataFrame([(1, a)], "item_id long, text string")
     found = decontamination.contamination(docs, items)
     assert {r["doc_id"]: r[found.columns[-3]] for r in found.collect()} == {1: 1, 2: 0}
+
+
+# -- pages: forms, comments, anchors ---------------------------------------------------------------
+
+
+def main(html):
+    from ferrolens.llm.pages import Page
+
+    return Page(html).text({})[0]
+
+
+def test_a_form_around_the_page_keeps_it():
+    assert main("<form id='aspnetForm'><div><article><h1>T</h1><p>Body text here.</p></article></div></form>") == "T\n\nBody text here."
+    assert main("<form><main><p>Body</p></main></form>") == "Body"
+    assert main("<body><form><div class=nav>menu</div><div><p>Body text here and more of it.</p></div></form></body>") == "Body text here and more of it."
+    assert main("<body><p>Long text of the page that matters.</p><form>Login <p>here</p></form></body>") == "Long text of the page that matters."
+    assert main("<article><p>Body</p><form><p>Subscribe to a much longer text than the body is</p></form></article>") == "Body"
+
+
+@pytest.mark.parametrize("name", "disqus_thread user-comments reader-comments commentlist fb-comments entry-comments comments-title cookieConsent cookie-law-info-bar googleAd related-articles side-bar breadcrumb-trail ad-slot".split())
+def test_furniture_goes(name):
+    assert main(f"<body><div><p>Body</p></div><div class='{name}'><p>gone</p></div></body>") == "Body"
+
+
+@pytest.mark.parametrize("name", "no-comments has-sidebar share-price post-content adhoc read heading load shadow related-work comments-open".split())
+def test_prose_stays(name):
+    assert main(f"<body><div class='{name}'><p>kept</p></div></body>") == "kept"
+
+
+def test_sections_with_common_ids_stay():
+    html = "<article><h1>T</h1><section id='social'><p>one</p></section><section id='notice'><p>two</p></section><section id='comments'><p>x</p></section></article>"
+    assert main(html) == "T\n\none\n\ntwo"
+
+
+def test_templates_of_many_entries_are_joined_by_salt(spark, monkeypatch):
+    from ferrolens.llm import pages
+
+    keyed = spark.createDataFrame([("a", i) for i in range(300)] + [("b", 1), ("c", 2), (None, 3)], "host string, c0 long")
+    templates = spark.createDataFrame([("a", [(1, 0.5)]), ("b", [(2, 1.0), (3, 1.0)])], "host string, template array<struct<hash: long, share: double>>")
+    want = sorted(map(str, pages.with_templates(keyed, templates).select("host", "c0", "template").collect()))
+    monkeypatch.setattr(pages, "MOST_ENTRIES", 1)
+    assert sorted(map(str, pages.with_templates(keyed, templates).select("host", "c0", "template").collect())) == want
