@@ -52,9 +52,11 @@ def variant(key, share: float):
 
 
 def arm_report(df: DataFrame) -> DataFrame:
-    """Each arm's number of results, latency (mean, nearest-rank median and 95 %), mean top score and share of good feedback."""
+    """Each arm's number of answers, latency (mean, nearest-rank median and 95 %), mean top score, share of good feedback, and
+    mean number of results where there is a column `results`."""
     p = lambda q: F.expr(f"percentile_disc({q}) within group (order by latency)")
-    return df.groupBy("arm").agg(F.count("*").alias("n"), F.avg("latency").alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.avg("score").alias("score"), F.avg(F.col("positive").cast("double")).alias("positive"))
+    more = [F.avg("results").alias("results")] if "results" in df.columns else []
+    return df.groupBy("arm").agg(F.count("*").alias("n"), F.avg("latency").alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.avg("score").alias("score"), F.avg(F.col("positive").cast("double")).alias("positive"), *more)
 
 
 def attach_feedback(results: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -87,3 +89,8 @@ def latency_summary(df: DataFrame) -> DataFrame:
         found = upto.filter(F.col("below") + F.col("upto") > F.floor(F.col("n") * p)).groupBy("name").agg(F.min("latency").alias(name))
         out = out.join(F.broadcast(found), "name", "left")
     return out.select("name", "n", "mean", "p50", "p95", "low", "high")
+
+
+def token_rates(df: DataFrame) -> DataFrame:
+    """(name, tokens_per_second): tokens of all runs over their latencies (ms) together; null without any time."""
+    return df.groupBy("name").agg(F.try_divide(F.sum("tokens") * 1000.0, F.sum("latency")).alias("tokens_per_second"))

@@ -114,15 +114,20 @@ def rerank_from_scores(results: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def parse_graph(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities (name, type) and relations (source, target, kind) of model answers; ends are named as the entities are."""
+    """Entities (name, type) and relations (source, target, kind) of model answers; ends are named as the entities are.
+
+    Names that differ in case are one entity: the least name of them by code points, with the least of its types. An end that no entity
+    has keeps its own name.
+    """
     schema = "entities array<struct<name: string, type: string>>, relations array<struct<source: string, target: string, type: string>>"
     parsed = responses.select(F.from_json(unfenced("response"), schema).alias("g"))
-    entities = parsed.select(F.explode("g.entities").alias("e")).select("e.*").filter("name is not null").dropDuplicates(["name"])
-    names = entities.groupBy(F.lower("name").alias("low")).agg(F.min("name").alias("named"))
+    said = parsed.select(F.explode("g.entities").alias("e")).select("e.*").filter("name is not null")
+    named = said.groupBy(F.lower("name").alias("low")).agg(F.min(F.struct("name", "type")).alias("e")).select("low", "e.name", "e.type")
+    names = named.select("low", F.col("name").alias("named"))
     relations = parsed.select(F.explode("g.relations").alias("r")).select(F.col("r.source").alias("source"), F.col("r.target").alias("target"), F.col("r.type").alias("kind"))
     for end in ("source", "target"):
         relations = relations.join(names, F.lower(end) == F.col("low"), "left").withColumn(end, F.coalesce("named", end)).drop("low", "named")
-    return entities, relations
+    return named.drop("low"), relations
 
 
 def parse_candidates(responses: DataFrame) -> DataFrame:
@@ -150,6 +155,82 @@ def apply_feedback(rules: DataFrame, feedback: DataFrame) -> DataFrame:
     return rules.join(told, "rule_id", "left").select("rule_id", folded.alias("s")).select("rule_id", "s.*")
 
 
+def rule_types(rules: DataFrame) -> DataFrame:
+    """(equipment_type, n, active): the types that the rules are for."""
+    return rules.groupBy("equipment_type").agg(F.count("*").alias("n"), F.count_if("is_active").alias("active"))
+
+
+def list_rules(rules: DataFrame, equipment_type: str | None = None, active: bool | None = None) -> DataFrame:
+    """Current rules of a type (ignoring case) and state, with their place by confidence, ties by rule_id."""
+    some = rules if equipment_type is None else rules.filter(F.lower("equipment_type") == equipment_type.lower())
+    some = some if active is None else some.filter(F.col("is_active") == F.lit(active))
+    return some.withColumn("place", F.row_number().over(Window.orderBy(F.desc("confidence"), "rule_id")).cast("long"))
+
+
+# Days that a draft and a changed object live.
+DRAFT_DAYS, CHANGED_DAYS = 30, 90
+
+
+def knowledge_current(events: DataFrame, now: Column) -> DataFrame:
+    """Knowledge objects as they stand at `now`: id, status, changed_at, approved_by, approved_at, expires_at.
+
+    events: id, at, event_no (tie-break), status, by. A Draft event creates an object (anew); others change its status. An object lives
+    DRAFT_DAYS from its draft and CHANGED_DAYS from its last change; changes of an expired object don't count. The stamps are those of
+    the last approval and stay when the status changes again. Objects that have expired by `now` are left out.
+    """
+    w = Window.partitionBy("id").orderBy("at", "event_no")
+    drafts = events.withColumn("now_", now).filter("at <= now_").withColumn("made", F.sum(F.when(F.col("status") == "Draft", 1).otherwise(0)).over(w))
+    one = Window.partitionBy("id", "made").orderBy("at", "event_no")
+    days = F.when(F.col("status") == "Draft", DRAFT_DAYS).otherwise(CHANGED_DAYS)
+    until = F.col("at") + F.make_dt_interval(days=days)
+    told = drafts.filter("made > 0").withColumn("until", until).withColumn("dead", F.coalesce(F.col("at") >= F.lag("until").over(one), F.lit(False)))
+    alive = told.withColumn("over", F.max("dead").over(one)).filter(~F.col("over"))
+    approved = F.col("status") == "Approved"
+    state = F.struct("made", "at", "event_no")
+    last = lambda c: F.max_by(c, state)
+    newest = alive.withColumn("newest", F.max("made").over(Window.partitionBy("id"))).filter("made = newest")
+    current = newest.groupBy("id").agg(
+        last("status").alias("status"), last("at").alias("changed_at"), F.max_by("by", F.when(approved, state)).alias("approved_by"), F.max_by("at", F.when(approved, state)).alias("approved_at"),
+        last("until").alias("expires_at"), F.max("now_").alias("now_"),
+    )
+    return current.filter("expires_at > now_").drop("now_")
+
+
+def pending_review(current: DataFrame) -> DataFrame:
+    return current.filter("status = 'PendingReview'")
+
+
+def approved_objects(current: DataFrame) -> DataFrame:
+    """What may be indexed."""
+    return current.filter("status = 'Approved'")
+
+
+def get_entities(entities: DataFrame, names: DataFrame) -> DataFrame:
+    """Entities of the names (name), ignoring case."""
+    return entities.join(names.select(F.lower("name").alias("low_")).distinct(), F.lower("name") == F.col("low_"), "left_semi")
+
+
+def delete_entities(entities: DataFrame, names: DataFrame) -> DataFrame:
+    """Entities without those of the names (name), ignoring case; relations stay as they are."""
+    return entities.join(names.select(F.lower("name").alias("low_")).distinct(), F.lower("name") == F.col("low_"), "left_anti")
+
+
+def component_lives(chunks: DataFrame) -> DataFrame:
+    """(document_id, component, amount, unit, hours): life spans that the texts state, with the component named before them.
+
+    The component is the last run of one to three capitalised or upper-case words, or the last word, of the 100 characters before the
+    statement's label; null where there is none. Months are 30 days; wafers have no hours.
+    """
+    spans = F.regexp_extract_all("text", F.lit(r"(?s)(.{0,100}?)" + f"({LIFE})"), 1)
+    rows = chunks.select("document_id", F.explode(F.arrays_zip(spans.alias("before"), F.regexp_extract_all("text", F.lit(r"(?s)(.{0,100}?)" + f"({LIFE})"), 2).alias("said"))).alias("x"))
+    lives = life_spans(rows.select(F.struct("document_id", "x.before").alias("document_id"), F.col("x.said").alias("text")))
+    before = F.col("document_id.before")
+    named = F.element_at(F.regexp_extract_all(before, F.lit(r"((?:\b[A-Z][\w-]*\s?){1,3})"), 1), -1)
+    word = F.element_at(F.regexp_extract_all(before, F.lit(r"(\w[\w-]*)"), 1), -1)
+    component = F.trim(F.when(F.size(F.regexp_extract_all(before, F.lit(r"(\b[A-Z][\w-]*)"), 1)) > 0, named).when(F.size(F.regexp_extract_all(before, F.lit(r"(\w[\w-]*)"), 1)) > 0, word))
+    return lives.select(F.col("document_id.document_id").alias("document_id"), component.alias("component"), "amount", "unit", "hours")
+
+
 def rule_stats(rules: DataFrame) -> DataFrame:
     return rules.agg(F.count("*").alias("n"), F.count_if("is_active").alias("active"), F.avg("confidence").alias("confidence"), F.sum("hits").alias("hits"), F.try_divide(F.sum("confirms"), F.sum("hits")).alias("precision"))
 

@@ -102,6 +102,27 @@ def metric_rollup(df: DataFrame, seconds: int) -> DataFrame:
     return df.groupBy("name", at).agg(F.count("*").alias("n"), F.sum("value").alias("sum"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
+# Upper bounds of the histograms, milliseconds.
+BOUNDS = (0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000)
+
+
+def metric_histograms(df: DataFrame, seconds: int, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
+    """Durations (name, ts, value) by name and time bucket: count, sum, extremes, and `counts`, how many lie up to each bound and above
+    the one before, the last above all. One pass of partial sums, of a fixed size for each group."""
+    at = (F.floor(micros("ts") / (seconds * 1_000_000)) * seconds).alias("bucket")
+    x, edges = F.col("value"), [None, *bounds, None]
+    inside = lambda a, b: (F.lit(True) if a is None else x > a) & (F.lit(True) if b is None else x <= b)
+    counts = F.array(*(F.count_if(inside(a, b)) for a, b in zip(edges, edges[1:], strict=False)))
+    return df.filter("value is not null").groupBy("name", at).agg(F.count("*").alias("n"), F.sum("value").alias("sum"), F.min("value").alias("low"), F.max("value").alias("high"), counts.alias("counts"))
+
+
+def metric_counters(df: DataFrame, seconds: int) -> DataFrame:
+    """Counters (name, ts, value; null counts as one) by name and time bucket: what was added, and the running total of the name."""
+    at = (F.floor(micros("ts") / (seconds * 1_000_000)) * seconds).alias("bucket")
+    added = df.groupBy("name", at).agg(F.sum(F.coalesce("value", F.lit(1))).alias("added"))
+    return added.withColumn("total", F.sum("added").over(Window.partitionBy("name").orderBy("bucket")))
+
+
 def log_context(df: DataFrame, now: Column, hours: int = 1, n: int = 10) -> DataFrame:
     """(context): one row of text for an answer: the n most frequent errors of the last hours, and each service's health.
 

@@ -182,3 +182,14 @@ def confidence(requests: DataFrame, results: DataFrame, least: float) -> DataFra
     """Best score of each request, 0 without results, and whether it is enough."""
     top = results.groupBy("query_id").agg(F.max("score").alias("top"))
     return requests.select("query_id").join(top, "query_id", "left").select("query_id", F.coalesce("top", F.lit(0.0)).alias("max_score"), (F.coalesce("top", F.lit(0.0)) >= least).alias("is_confident"))
+
+
+# The least best score of an answer, and that of strict mode.
+CONFIDENT, STRICT = 0.40, 0.75
+
+
+def gate_a(requests: DataFrame, results: DataFrame, strict: bool = False) -> DataFrame:
+    """(query_id, max_score, confident): requests without results, or whose best result (score) is good enough. max_score is null without results."""
+    top = results.groupBy("query_id").agg(F.max("score").alias("max_score"))
+    told = requests.select("query_id").join(top, "query_id", "left")
+    return told.withColumn("confident", F.col("max_score").isNull() | (F.col("max_score") >= (STRICT if strict else CONFIDENT)))

@@ -236,6 +236,35 @@ def interpolated_frame(df: DataFrame, signals: list[str], seconds: int, start: i
     return told.groupBy("equipment_id", "bucket").agg(*columns, missing, gap)
 
 
+def last_averages(df: DataFrame, lengths: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """Means of each series' last n values, of all if it is shorter, as average_<n>."""
+    w = Window.partitionBy(*KEYS).orderBy(*(F.desc(c) for c in ORDER))
+    latest = df.filter("value is not null").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= max(lengths))
+    return latest.groupBy(*KEYS).agg(*(F.avg(F.when(F.col("k") <= n, F.col("value"))).alias(f"average_{n}") for n in lengths))
+
+
+def summarize_window(readings: DataFrame, logs: DataFrame, n: int = 3) -> DataFrame:
+    """One row for each equipment: `levels`, `signals` and `highlights` as text.
+
+    levels: log lines (equipment_id, level) by level, the most frequent first. signals: peak-to-peak and trend of each sensor, by name. highlights:
+    the n readings farthest from their sensor's mean, from three deviations on.
+    """
+    shown = lambda x: F.format_string("%.3f", x)
+    joined = lambda order, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]), sep)
+    counts = logs.groupBy("equipment_id", "level").agg(F.count("*").alias("m")).withColumns({"line": F.concat_ws("=", "level", F.col("m").cast("string")), "first": -F.col("m")})
+    levels = counts.groupBy("equipment_id").agg(joined(["first", "level"], ", ").alias("levels"))
+    spread = readings.groupBy(*KEYS).agg((F.max("value") - F.min("value")).alias("spread")).join(trend(readings), list(KEYS))
+    spread = spread.withColumn("line", F.concat("sensor_id", F.lit(": p2p "), shown("spread"), F.lit(", "), "direction"))
+    signals = spread.groupBy("equipment_id").agg(joined(["sensor_id"], "; ").alias("signals"))
+    odd = sigma_anomalies(readings, 3.0, 3.0).withColumn("far", F.round(F.abs("z"), 9))
+    place = F.row_number().over(Window.partitionBy("equipment_id").orderBy(F.desc("far"), "event_id"))
+    told = odd.withColumn("place", place).filter(F.col("place") <= n).withColumn("line", F.concat("sensor_id", F.lit(" "), shown("value"), F.lit(" (z "), F.format_string("%.2f", "z"), F.lit(")")))
+    highlights = told.groupBy("equipment_id").agg(joined(["place"], "; ").alias("highlights"))
+    every = readings.select("equipment_id").unionByName(logs.select("equipment_id")).distinct()
+    filled = every.join(levels, "equipment_id", "left").join(signals, "equipment_id", "left").join(highlights, "equipment_id", "left")
+    return filled.fillna("", ["levels", "signals", "highlights"])
+
+
 #: (oldest age in days, seconds of a mean); 0 keeps the readings.
 RETENTION = ((7, 0), (90, 60), (365, 300))
 

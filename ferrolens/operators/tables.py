@@ -29,6 +29,37 @@ def payload_filter(df: DataFrame, equal: dict[str, object], words: tuple[str, ..
     return df.filter(reduce(lambda a, b: a & b, tests)) if tests else df
 
 
+def trim_audit(events: DataFrame, n: int = 10_000, cut: int = 500) -> DataFrame:
+    """The n latest events (equipment_id, ts, event_id, data) of each equipment and the n latest of all, told apart by `scope`
+    (equipment, global), with data cut to `cut` characters."""
+    short = events.withColumn("data", F.substring("data", 1, cut))
+    order = [F.desc("ts"), F.desc("event_id")]
+    each = latest_per_key(short, ["equipment_id"], n, order).drop("place").withColumn("scope", F.lit("equipment"))
+    return each.unionByName(short.orderBy(*order).limit(n).withColumn("scope", F.lit("global")))
+
+
+def equipment_board(readings: DataFrame, lives: DataFrame, alerts: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row for each equipment and sensor: latest value and its status, the life gauge, and the equipment's health and rule hits.
+
+    readings: equipment_id, sensor_id, ts, event_id, value. lives: equipment_id, sensor_id, remaining, span (hours). alerts: equipment_id,
+    severity. matches: equipment_id. Status is that of the latest value against the sensor's mean: Anomaly from 3 deviations on, Caution from 2. The
+    gauge is the share of the whole life that is left: ok above 50 %, caution above 20 %, else danger; null without an estimate.
+    """
+    now = readings.filter("value is not null").groupBy("equipment_id", "sensor_id").agg(
+        F.max_by("value", F.struct("ts", "event_id")).alias("latest"), F.max("ts").alias("at"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
+    )
+    z = F.when(F.col("std") > 1e-10, F.abs(F.col("latest") - F.col("mean")) / F.col("std")).otherwise(0.0)
+    status = F.when(z >= 3, "Anomaly").when(z >= 2, "Caution").otherwise("Normal")
+    share = F.try_divide(100 * F.col("remaining"), F.col("remaining") + F.col("span"))
+    gauge = lives.filter("remaining is not null").select("equipment_id", "sensor_id", share.alias("life_percent"))
+    band = F.when(F.col("life_percent") > 50, "ok").when(F.col("life_percent") > 20, "caution").when(F.col("life_percent").isNotNull(), "danger")
+    severe = alerts.groupBy("equipment_id").agg(F.bool_or(F.col("severity") == "Critical").alias("critical"))
+    hits = matches.groupBy("equipment_id").agg(F.count("*").alias("rule_hits"))
+    health = F.when(F.col("critical"), "Critical").when(F.col("critical").isNotNull(), "Caution").otherwise("Normal")
+    board = now.join(gauge, ["equipment_id", "sensor_id"], "left").join(severe, "equipment_id", "left").join(hits, "equipment_id", "left")
+    return board.select("equipment_id", "sensor_id", "latest", "at", status.alias("status"), "life_percent", band.alias("life_band"), health.alias("health"), F.coalesce("rule_hits", F.lit(0)).alias("rule_hits"))
+
+
 def clamp_requests(df: DataFrame, most_minutes: int = 120, most_rows: int = 5000) -> DataFrame:
     """Requests (equipment_id, minutes_before, minutes_after, rows) within policy: windows that are too
     long shrink in proportion, rows are capped, requests without equipment are refused."""
@@ -37,6 +68,21 @@ def clamp_requests(df: DataFrame, most_minutes: int = 120, most_rows: int = 5000
     return df.filter("equipment_id is not null").withColumns({"minutes_before": F.col("minutes_before") * factor, "minutes_after": F.col("minutes_after") * factor, "rows": F.least("rows", F.lit(most_rows))})
 
 
+# The least role of each feature; 0 operator, 1 maintenance, 2 senior engineer, 3 equipment owner, 4 admin.
+FEATURE_ROLES = {
+    "ChatQuery": 0, "ViewDocumentation": 0,
+    "ViewSensorData": 1, "ViewAlarmHistory": 1, "ViewPmHistory": 1, "ViewDashboard": 1,
+    "ViewParameterOptimization": 2, "ViewTrendAnalysis": 2, "ViewAnomalyDetection": 2, "RunRca": 2,
+    "ViewUnredactedOutput": 3,
+    "ManageUsers": 4, "ManageEquipment": 4, "ViewAuditLog": 4, "ConfigureSystem": 4,
+}
+
+
+def feature_roles(spark) -> DataFrame:
+    """(feature, least_role) of all features."""
+    return spark.createDataFrame(list(FEATURE_ROLES.items()), "feature string, least_role int")
+
+
 def authorized(requests: DataFrame, users: DataFrame, features: DataFrame) -> DataFrame:
     """Requests (user_id, feature) whose user (user_id, role) has the feature's least role (feature, least_role)."""
     return requests.join(users, "user_id").join(features, "feature").filter(F.col("role") >= F.col("least_role")).select("user_id", "feature")
@@ -164,13 +210,18 @@ def eval_triggers(equipment: DataFrame, triggers: DataFrame, readings: DataFrame
     return asked.join(readings, ["equipment_id", "source"], "left").join(codes, ["equipment_id", "source"], "left").select("equipment_id", "rule_id", "trigger_id", met.alias("met"))
 
 
-def match_rules(met: DataFrame, rules: DataFrame) -> DataFrame:
+def match_rules(met: DataFrame, rules: DataFrame, equipment: DataFrame | None = None) -> DataFrame:
     """Active rules with at least one trigger met, with the share met, the confidence times that share, triggers met and asked; name,
-    hypothesis and actions where the rules have them."""
+    hypothesis and actions where the rules have them. With equipment (equipment_id, model), a rule that names an equipment_model counts
+    only there, ignoring case."""
     hits = F.count_if("met")
     share = met.groupBy("equipment_id", "rule_id").agg(F.avg(F.col("met").cast("double")).alias("ratio"), hits.alias("matched"), F.count("*").alias("total")).filter("ratio > 0")
     told = [c for c in ("name", "hypothesis", "actions") if c in rules.columns]
-    return share.join(rules.filter("is_active"), "rule_id").select("equipment_id", "rule_id", "ratio", (F.col("confidence") * F.col("ratio")).alias("confidence"), "matched", "total", *told)
+    matched = share.join(rules.filter("is_active"), "rule_id")
+    if equipment is not None and "equipment_model" in rules.columns:
+        models = equipment.select("equipment_id", F.lower("model").alias("model_")).distinct()
+        matched = matched.join(models, "equipment_id", "left").filter(F.col("equipment_model").isNull() | (F.lower("equipment_model") == F.col("model_")))
+    return matched.select("equipment_id", "rule_id", "ratio", (F.col("confidence") * F.col("ratio")).alias("confidence"), "matched", "total", *told)
 
 
 # -- alerts ----------------------------------------------------------------------------------------

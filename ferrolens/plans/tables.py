@@ -237,7 +237,7 @@ EVIDENCE = f"""
         arg_max(value, (ts, event_id)) as last
     from h group by 1, 2
 ), life as (
-    select equipment_id, sensor_id, last, greatest((100 - intercept) / slope - span, 0) as remaining, least(greatest(r2, 0), 1) as confidence from f where n >= 3 and slope >= 1e-12
+    select equipment_id, sensor_id, last, span, greatest((100 - intercept) / slope - span, 0) as remaining, least(greatest(r2, 0), 1) as confidence from f where n >= 3 and slope >= 1e-12
 ), entries as (
     select n_nationkey as entry_id, case when n_nationkey < 12 then 'a' || (100 + n_nationkey) else '' end as error_code, case n_nationkey % 4 when 0 then null else 'T' || n_nationkey % 2 end as equipment_type,
         case n_nationkey % 3 when 0 then 'Overview is odd' when 1 then 'no ERROR, purchase' else 'none' end as symptom,
