@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrolens.runtime import shared_path
+
 
 def latest_per_key(df: DataFrame, keys: list[str], n: int, order: list[Column]) -> DataFrame:
     """The first n rows of each key in the given order."""
@@ -128,16 +130,42 @@ def keyword_index(entities: DataFrame) -> DataFrame:
     return entities.select(F.explode(words).alias("word"), "entity_id")
 
 
+#: Relations from which on an entity is heavy, and as which share of all relations at least (so heavy entities are 200,000 at most).
+HEAVY, HEAVY_SHARE = 1000, 100_000
+
+
+def split_relations(relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, part, target) of all relations either way, and (source, parts) of the heavy entities.
+
+    A heavy entity's relations are dealt into parts of about HEAVY by their other end, so that a join on (source, part) has no hot key.
+    The heavy ones are few by definition, and broadcast. Both are stored in the shared folder, as each round of a search reads them.
+    """
+    spark, folder = relations.sparkSession, shared_path(relations.sparkSession)
+    both = relations.select("source", "target").unionByName(relations.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    both.distinct().write.parquet(f"{folder}/both")
+    both = spark.read.parquet(f"{folder}/both")
+    least = max(HEAVY, both.count() // HEAVY_SHARE)
+    degrees = both.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") > least)
+    degrees.select("source", F.ceil(F.col("n") / least).cast("int").alias("parts")).write.parquet(f"{folder}/heavy")
+    heavy = spark.read.parquet(f"{folder}/heavy")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("target"), F.col("parts"))).cast("int")
+    return both.join(F.broadcast(heavy), "source", "left").select("source", part.alias("part"), "target"), heavy
+
+
 def neighbours(seeds: DataFrame, relations: DataFrame, depth: int) -> DataFrame:
     """(seed, entity_id, distance): what up to `depth` relations (source, target), either way, lead to from each seed (seed).
 
-    Each round joins the newest level with the relations and drops what was reached before.
+    Each round joins the newest level with the relations and drops what was reached before. Hubs are expanded part by part
+    (`split_relations`).
     """
-    both = relations.select("source", "target").unionByName(relations.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    both, heavy = split_relations(relations)
     reached = seeds.select("seed", F.col("seed").alias("entity_id"), F.lit(0).cast("long").alias("distance"))
     level = reached
     for d in range(1, depth + 1):
-        level = level.join(both, level["entity_id"] == both["source"]).select("seed", F.col("target").alias("entity_id")).distinct().join(reached.select("seed", "entity_id"), ["seed", "entity_id"], "left_anti").withColumn("distance", F.lit(d).cast("long"))
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        ready = level.withColumnRenamed("entity_id", "source").join(F.broadcast(heavy), "source", "left").select("seed", "source", parts.alias("part"))
+        found = ready.join(both, ["source", "part"]).select("seed", F.col("target").alias("entity_id")).distinct()
+        level = found.join(reached.select("seed", "entity_id"), ["seed", "entity_id"], "left_anti").withColumn("distance", F.lit(d).cast("long"))
         reached = reached.unionByName(level)
     return reached
 
