@@ -10,6 +10,7 @@ from ferrolens.plans.registry import query
 from ferrolens.plans.views import table
 from ferrolens.runtime import shared_path
 from ferrolens.sources import files as S
+from ferrolens.sources.chunkstore import ChunkStore
 
 def k() -> Column:
     return F.col("event_id").cast("string")
@@ -42,6 +43,22 @@ def snk1(spark, sf):
     return spark.read.parquet(path).select("document_id", "chunk_index", "text")
 
 
+SNK1 = """
+select doc_id as document_id, case when doc_id % 3 = 0 then 1 else 0 end as chunk_index, case when doc_id % 3 = 0 then 'new' else source end as text from documents where doc_id % 5 > 0
+"""
+
+
+@query("snk1_versioned_store", SNK1)
+def snk1_versioned(spark, sf):
+    """A third of the documents come again with other chunks, then a fifth goes: the newest version."""
+    store = ChunkStore(spark, shared_path(spark))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("source").alias("text"))
+    store.write(docs)
+    store.write(docs.filter("document_id % 3 = 0").withColumns({"chunk_index": F.lit(1), "text": F.lit("new")}))
+    store.delete(docs.filter("document_id % 5 = 0"))
+    return store.read()
+
+
 @query("snk5_index_alias", "select 'active' as what, count(*) as n from documents union all select 'promoted', count(*) filter (doc_id % 2 = 0) from documents union all select 'standby', count(*) from documents union all select 'back', count(*) from documents")
 def snk5(spark, sf):
     """Rows that searches see: at first, while another index is written, after it is promoted and after going back."""

@@ -87,10 +87,18 @@ def ingest(files: DataFrame, path: str, removed: DataFrame | None = None, markdo
     """Writers that keep the chunks below `path` in step with a live corpus: start each with its checkpoint.
 
     files is a stream of (document_id, text, changed): of several versions of a document in a batch the newest counts,
-    and its chunks replace all older ones. removed is a stream of (document_id) whose chunks go.
+    and its chunks replace all older ones. removed is a stream of (document_id) whose chunks go. path may be a
+    `sources.chunkstore.ChunkStore`: then each batch is one version, and readers never see half of it.
     """
     from ferrolens.operators.chunks import chunk
-    from ferrolens.sources.files import delete_chunks, write_chunks
+    from ferrolens.sources import files as stores
+    from ferrolens.sources.chunkstore import ChunkStore
+
+    def write_chunks(rows: DataFrame, where) -> None:
+        where.write(rows) if isinstance(where, ChunkStore) else stores.write_chunks(rows, where)
+
+    def delete_chunks(ids: DataFrame, where) -> None:
+        where.delete(ids) if isinstance(where, ChunkStore) else stores.delete_chunks(ids, where)
 
     def put(batch: DataFrame, _: int) -> None:
         newest = batch.groupBy("document_id").agg(F.max_by("text", "changed").alias("text")).persist()
