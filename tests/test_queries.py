@@ -58,6 +58,11 @@ def test_entry_without_the_corpus_operators(tmp_path):
     root = Path(__file__).resolve().parent.parent
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     shutil.copytree(root / "ferrolens", tmp_path / "ferrolens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
+    code = (
+        "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()\n"
+        "from pyspark.sql import SparkSession\n"
+        f"s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.warehouse.dir', {str(tmp_path / 'w')!r}).getOrCreate()\n"
+        f"assert all(q[n](s, {FOLDER!r}).count() for n in ('fus4_diagnose', 'ts3_ema', 'doc6_chunk_documents'))"
+    )
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=False)
     assert done.returncode == 0, done.stderr
