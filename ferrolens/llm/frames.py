@@ -7,6 +7,7 @@ are, whatever their names.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -119,6 +120,16 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system. Workers live on between tasks, and keep the freed arrays of many
+    sizes as their own otherwise, beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def collected(df: DataFrame) -> dict[str, np.ndarray]:
     """The columns of a small, bounded result as arrays, through Arrow."""
     rows = df.toArrow()

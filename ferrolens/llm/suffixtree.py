@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrolens.llm.bytewords import BASE, INK_BYTE, U, mix, words
-from ferrolens.llm.frames import collected, column_index, fresh, pick, positional, shared_folder, slices, table, texts_of
+from ferrolens.llm.frames import collected, column_index, fresh, give_back, pick, positional, shared_folder, slices, table, texts_of
 from ferrolens.llm.ftrl import fold
 
 DEPTH = 4
@@ -195,6 +195,8 @@ def read_sections(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.n
             distinct, counts = unpack_sorted(r["words"], r["n_words"]), unpack(r["counts"], r["n_words"], np.int64)
             by_rank = distinct[np.argsort(-counts, kind="stable")]
             yield r["section"], by_rank[unpack(r["ids"], r["n_tokens"], np.uint32)], unpack(r["sizes"], r["n_texts"], np.int64), distinct, counts
+            del r, by_rank, distinct, counts
+            give_back()
 
 
 def unmix(x: np.ndarray) -> np.ndarray:
@@ -592,7 +594,10 @@ def scored(shelf: Shelf, stored: DataFrame, kept: list[str], tree: Tree, counts:
             row = section, len(found), int(is_word.sum()), pack_sorted(key[found]), pack(kind[found]), pack(value[found[~is_word]].astype(np.float32)), pack(value[found[is_word]].astype(np.int64))
             for name, v in zip(out, row, strict=True):
                 out[name].append(v)
-        return pa.table({name: pa.array(v, pa.int64() if name in ("section", "n", "n_words") else pa.binary()) for name, v in out.items()})
+        told = pa.table({name: pa.array(v, pa.int64() if name in ("section", "n", "n_words") else pa.binary()) for name, v in out.items()})
+        del out, order, key, kind, value
+        give_back()
+        return told
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
