@@ -325,7 +325,7 @@ def fus1(spark, sf):
 def fus2_linked(spark, sf):
     rows = evidence(spark, sf).filter("tier = 3 and key like 'anomaly:%'")
     part = F.split("key", ":")
-    return rows.select("equipment_id", part[1].alias("sensor_id"), part[2].alias("type"), F.col("place").cast("long").alias("entry_id"), "n")
+    return rows.select("equipment_id", part[1].alias("sensor_id"), part[2].alias("type"), F.col("place").cast("int").alias("entry_id"), "n")
 
 
 @query("fus3_fuse", f"with {EVIDENCE} select equipment_id, key, hypothesis, n1, n2, n3, round(confidence, 6) + 0.0 as fused, array_to_string(actions, ';') as actions from fused")
