@@ -290,3 +290,72 @@ def test_templates_of_many_entries_are_joined_by_salt(spark, monkeypatch):
     want = sorted(map(str, pages.with_templates(keyed, templates).select("host", "c0", "template").collect()))
     monkeypatch.setattr(pages, "MOST_ENTRIES", 1)
     assert sorted(map(str, pages.with_templates(keyed, templates).select("host", "c0", "template").collect())) == want
+
+
+# -- 9: contexts, divergence and back-off weights ---------------------------------------------------
+
+
+def plain_tree(texts, depth):
+    """Contexts (tokens -> back-off weight) and continuations (tokens -> log10 probability), by dictionaries."""
+    from collections import Counter
+    from math import log, log10, sqrt
+
+    streams = [[*t.split(), "END"] for t in texts]
+    counts = {n: Counter(tuple(s[i : i + n]) for s in streams for i in range(len(s) - n + 1)) for n in range(1, depth + 2)}
+    total, distinct = sum(counts[1].values()), len(counts[1])
+    p = {w: (c + 1) / (total + distinct + 1) for w, c in counts[1].items() if c >= 3}
+    contexts, continuations, passed = {}, {}, 0
+    for n in range(2, depth + 2):
+        frequent = {s: c for s, c in counts[n].items() if c >= 3}
+        groups = {}
+        for s, c in frequent.items():
+            groups.setdefault(s[:-1], []).append((s, c))
+        here = {}
+        for context, some in groups.items():
+            c_context = counts[n - 1][context]
+            shares = [(s, (c - 0.5) / c_context, p[s[1:]]) for s, c in some]
+            below, rest = min(sum(b for *_, b in shares), 1 - 1e-9), max(1 - sum(h for _, h, _ in shares), 1e-9)
+            free = 1 - below
+            divergence = sum(h * log(h / b) for _, h, b in shares) + rest * log(rest / free)
+            kept = 2 * c_context * divergence > len(some) + 4 * sqrt(2 * len(some)) + 10
+            passed += not kept
+            if kept:
+                contexts[context] = log10(rest / free)
+            for s, h, b in shares:
+                here[s] = h if kept else b
+                if kept:
+                    continuations[s] = log10(h)
+        p = here
+    return contexts, continuations, passed
+
+
+def test_contexts_divergence_and_weights_by_brute_force(spark):
+    import pyarrow as pa
+
+    from ferrolens.llm import suffixtree
+    from ferrolens.llm.bytewords import INK_BYTE, words
+
+    r = random.Random(6)
+    texts = []
+    for _ in range(500):
+        w = [r.choice("abcdefgh")]
+        for _ in range(r.randint(3, 14)):  # mostly a chain, some of it three words long, else noise
+            after = {"a": "b", "b": "c", "c": "d"}.get(w[-1])
+            after = "x" if w[-2:] == ["b", "c"] and r.random() < 0.8 else after
+            w.append(after if after and r.random() < 0.8 else r.choice("abcdefgh"))
+        texts.append(" ".join(w))
+    tree, _ = suffixtree.suffix_tree(spark.createDataFrame([(t,) for t in texts], "text string"), depth=3)
+    contexts, continuations, passed = plain_tree(texts, 3)
+    names = sorted({w for t in texts for w in t.split()})
+    h, *_ = words(pa.array(names), INK_BYTE)
+    single = dict(zip(names, h, strict=True)) | {"END": suffixtree.END}
+
+    def key(s):
+        return single[s[0]] if len(s) == 1 else suffixtree.pair_key(np.array([key(s[:-1])]), np.array([key(s[1:])]))[0]
+
+    got_contexts = [{int(k): float(v) for k, v in zip(*level, strict=True)} for level in tree.whole.contexts]
+    got_continuations = [{int(k): float(v) for k, v in zip(*level, strict=True)} for level in tree.whole.continuations]
+    for n in range(1, 4):
+        assert got_contexts[n - 1] == pytest.approx({int(key(s)): w for s, w in contexts.items() if len(s) == n}, abs=1e-5)
+        assert got_continuations[n - 1] == pytest.approx({int(key(s)): w for s, w in continuations.items() if len(s) == n + 1}, abs=1e-5)
+    assert passed > 20 and {len(s) for s in contexts} >= {1, 2}  # the test keeps some and drops some
