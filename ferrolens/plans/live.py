@@ -13,6 +13,7 @@ from ferrolens.plans.registry import query
 from ferrolens.plans.retrieval import INDEX, text_index
 from ferrolens.plans.views import ALARMS, LOGS, READINGS, table
 from ferrolens.runtime import shared_path
+from ferrolens.sources.chunkstore import ChunkStore
 from ferrolens.streaming import folds, live, ordered
 
 #: Microseconds that the watermark has passed in SQL, for a delay of one hour.
@@ -54,6 +55,31 @@ def str2(spark, sf):
     return found.withColumn("score", F.round("score", 5) + 0.0)
 
 
+STR1 = """
+select item_id as document_id, 0 as chunk_index, case when item_id % 3 = 0 then 'New: ' || text else text end as text from benchmark where item_id % 5 > 0
+"""
+
+
+@query("str1_ingest", STR1)
+def str1(spark, sf):
+    """A live corpus of passages, each of one chunk: all of them, then a third anew, then a fifth removed; what the store holds."""
+    folder = shared_path(spark)
+    store = ChunkStore(spark, f"{folder}/store", buckets=4)
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("document_id"), "text")
+    files = items.withColumn("changed", F.lit(1))
+    anew = items.filter("document_id % 3 = 0").select("document_id", F.concat(F.lit("New: "), "text").alias("text"), F.lit(2).alias("changed"))
+    gone = items.filter("document_id % 5 = 0").select("document_id")
+    for k, (name, rows) in enumerate((("files", files), ("files", anew), ("gone", gone))):
+        rows.write.mode("append").parquet(f"{folder}/{name}")
+        writers = live.ingest(
+            spark.readStream.schema(files.schema).parquet(f"{folder}/files"), store,
+            spark.readStream.schema(gone.schema).parquet(f"{folder}/gone") if k == 2 else None, markdown=False,
+        )
+        for i, writer in enumerate(writers):
+            writer.option("checkpointLocation", f"{folder}/checkpoint{i}").trigger(availableNow=True).start().awaitTermination()
+    return store.read().select("document_id", "chunk_index", "text")
+
+
 STR3 = f"""
 with recursive {ALARMS}, {PASSED},
 o as (
