@@ -11,28 +11,31 @@ from ferrolens.operators import retrieval as R
 from ferrolens.operators.evaluation import chunks_to_documents, ranking_measures
 from ferrolens.operators.knowledge import correct_patterns, expand_keywords, rerank_from_scores
 from ferrolens.operators.tables import graph_context
+from ferrolens.operators.termscan import bm25
 from ferrolens.operators.text import keywords as keywords_of
+from ferrolens.runtime import shared_path
 
 NAIVE, ADVANCED, GRAPH, AGENTIC = "naive", "advanced", "graph", "agentic"
 
 
 @dataclass
 class Corpus:
-    """What is searched: chunks (chunk_id, text) with postings, and vectors (chunk_id, vector)."""
+    """What is searched: chunks (chunk_id, text) and vectors (chunk_id, vector)."""
 
     chunks: DataFrame
     vectors: DataFrame
-    index: DataFrame
 
     @classmethod
     def of(cls, chunks: DataFrame, vectors: DataFrame) -> Corpus:
-        return cls(chunks, vectors, R.postings(chunks))
+        return cls(chunks, vectors)
 
 
 def candidates(requests: DataFrame, corpus: Corpus, k: int, least: float) -> DataFrame:
-    """(query_id, chunk_id, score, place): vector hits above the floor, merged with BM25 by reciprocal rank."""
+    """(query_id, chunk_id, score, place), stored: vector hits above the floor, merged with BM25 by reciprocal rank."""
+    spark, path = requests.sparkSession, shared_path(requests.sparkSession)
     found = R.vector_search(requests, corpus.vectors, max(10 * k, 100)).filter(F.col("score") >= least)
-    return R.rrf_merge(found, R.bm25_search(requests, corpus.index, corpus.chunks, 10 * k))
+    R.rrf_merge(found, bm25(requests, corpus.chunks, 10 * k)).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def boosted(requests: DataFrame, found: DataFrame, corpus: Corpus, synonyms: DataFrame | None) -> DataFrame:
@@ -88,6 +91,6 @@ def evaluate_bm25(chunks: DataFrame, truth: DataFrame, k: int = 10, overfetch: i
     and documents ranked by their first chunk. One row for each query."""
     named = chunks.withColumn("chunk_id", F.struct("document_id", "chunk_index"))
     asked = truth.select("query_id", "query").distinct()
-    hits = R.bm25_search(asked, R.postings(named), named, overfetch * k).withColumn("document_id", F.col("chunk_id.document_id"))
+    hits = bm25(asked, named, overfetch * k).withColumn("document_id", F.col("chunk_id.document_id"))
     ranked = chunks_to_documents(hits.select("query_id", "document_id", "place")).filter(F.col("place") <= k)
     return ranking_measures(ranked, truth.select("query_id", "item").distinct(), k)
