@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrolens.functions.numbers import micros
+from ferrolens.functions.numbers import micros, shown
 from ferrolens.operators.series import KEYS
 
 
@@ -58,6 +58,6 @@ def urgency(hours: Column | str) -> Column:
 
 def life_summary(threshold: float) -> Column:
     """The summary of a life (remaining, confidence, last): hours left or that the end is reached; null without remaining."""
-    over = F.concat(F.lit("Component has reached end of life (current: "), F.format_string("%.1f", "last"), F.lit(f", threshold: {threshold:.1f})"))
+    over = F.concat(F.lit("Component has reached end of life (current: "), shown("last", 1), F.lit(f", threshold: {threshold:.1f})"))
     left = F.concat(F.lit("Estimated "), F.round("remaining", 0).cast("long").cast("string"), F.lit(" hours remaining (confidence: "), F.round(F.round(F.col("confidence") * 100, 9), 0).cast("long").cast("string"), F.lit("%)"))
     return F.when(F.col("remaining") <= 0, over).when(F.col("remaining").isNotNull(), left)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ferrolens.functions.numbers import r6, seconds_between
+from ferrolens.functions.numbers import r6, seconds_between, shown_sql
 from ferrolens.operators import fusion, life, series
 from ferrolens.operators import tables as T
 from ferrolens.plans.registry import query
@@ -257,7 +257,7 @@ EVIDENCE = f"""
     union all
     select equipment_id, 'rul:' || case when remaining <= 0 then 'critical' when remaining <= 24 then 'urgent' when remaining <= 168 then 'warning' else 'info' end,
         'Component approaching end of life (' || cast(round(remaining) as bigint) || 'h remaining)', remaining, 1, 'rul', 'RUL Predictor',
-        case when remaining <= 0 then 'Component has reached end of life (current: ' || printf('%.1f', last) || ', threshold: 100.0)'
+        case when remaining <= 0 then 'Component has reached end of life (current: ' || {shown_sql("last", 1)} || ', threshold: 100.0)'
             else 'Estimated ' || cast(round(remaining) as bigint) || ' hours remaining (confidence: ' || cast(round(round(confidence * 100, 9)) as bigint) || '%)' end,
         confidence * case when remaining <= 24 then 1 else 0.6 end, 1, ['Schedule replacement within ' || cast(round(remaining) as bigint) || ' hours']
     from life
