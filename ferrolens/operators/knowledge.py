@@ -252,11 +252,11 @@ def link_documents(anomalies: DataFrame, causal: DataFrame) -> DataFrame:
 
 
 def citations(passages: DataFrame) -> DataFrame:
-    """One citation for each answer and source: the best passage, with a readable place.
+    """One citation for each answer and source: the best passage, with a readable place; of equal ones the first by line, page, chapter and section.
 
     passages: answer_id, document_id, chapter, section, line_start, line_end, page, score.
     """
-    w = Window.partitionBy("answer_id", "document_id").orderBy(F.desc("score"), "line_start")
+    w = Window.partitionBy("answer_id", "document_id").orderBy(F.desc("score"), "line_start", "line_end", "page", "chapter", "section")
     place = F.when(F.col("line_start").isNotNull(), F.format_string("{Line:%d-%d}", "line_start", "line_end")).when(F.col("page").isNotNull(), F.format_string("{Page:%d}", "page"))
     shown = F.concat_ws("-", F.col("document_id").cast("string"), "chapter", F.concat(F.lit("S"), F.col("section")), place)
     return passages.withColumn("k", F.row_number().over(w)).filter("k = 1").select("answer_id", "document_id", shown.alias("shown"), "score")

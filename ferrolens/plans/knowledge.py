@@ -121,7 +121,7 @@ def alr4(spark, sf):
 
 
 @query("ans5_citations", """select answer_id, document_id, concat_ws('-', cast(document_id as varchar), 'C' || cast(document_id % 5 as varchar), case when document_id % 2 = 0 then 'S' || cast(document_id % 3 as varchar) end, case when line_start is not null then '{Line:' || line_start || '-' || line_start + 4 || '}' else '{Page:' || event_id % 9 || '}' end) as shown, score
-    from (select user_id as answer_id, event_id % 20 as document_id, case when event_id % 4 > 0 then event_id end as line_start, event_id, value as score, row_number() over (partition by user_id, event_id % 20 order by value desc, case when event_id % 4 > 0 then event_id end nulls first) as k from events) where k = 1""")
+    from (select user_id as answer_id, event_id % 20 as document_id, case when event_id % 4 > 0 then event_id end as line_start, event_id, value as score, row_number() over (partition by user_id, event_id % 20 order by value desc, case when event_id % 4 > 0 then event_id end nulls first, event_id % 9) as k from events) where k = 1""")
 def ans5(spark, sf):
     document, line = F.col("event_id") % 20, F.when(F.col("event_id") % 4 > 0, F.col("event_id"))
     passages = table(spark, sf, "events").select(
