@@ -86,6 +86,7 @@ def trend(df: DataFrame, keys: list[str], order: list[str], flat: float = 0.001)
     fitted = fitted.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("value", "x").alias("slope"), F.avg("value").alias("mean"))
     slope = F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("slope", F.lit(0.0)))
     share = F.when(F.col("mean") == 0, slope).otherwise(slope / F.abs("mean"))
+    share = F.round(share, 9)
     direction = F.when(F.abs(share) < flat, "Stable").when(share > 0, "Increasing").otherwise("Decreasing")
     return fitted.select(*keys, "n", slope.alias("slope"), direction.alias("direction"))
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrolens.functions.numbers import micros
+from ferrolens.functions.numbers import micros, shown
 
 KEYS = ("equipment_id", "sensor_id")
 ORDER = ("ts", "event_id")
@@ -145,6 +145,7 @@ def trend(df: DataFrame, keys=KEYS, order=ORDER, flat: float = 0.001) -> DataFra
     fitted = placed.groupBy(*keys).agg(F.count("*").alias("n"), F.expr("regr_slope(value, x)").alias("slope"), F.avg("value").alias("mean"))
     slope = F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("slope", F.lit(0.0)))
     share = F.when(F.col("mean") == 0, slope).otherwise(slope / F.abs("mean"))
+    share = F.round(share, 9)  # noise of the sums decides nothing
     return fitted.select(*keys, "n", slope.alias("slope"), F.when(F.abs(share) < flat, "Stable").when(share > 0, "Increasing").otherwise("Decreasing").alias("direction"))
 
 
@@ -249,16 +250,15 @@ def summarize_window(readings: DataFrame, logs: DataFrame, n: int = 3) -> DataFr
     levels: log lines (equipment_id, level) by level, the most frequent first. signals: peak-to-peak and trend of each sensor, by name. highlights:
     the n readings farthest from their sensor's mean, from three deviations on.
     """
-    shown = lambda x: F.format_string("%.3f", x)
     joined = lambda order, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]), sep)
     counts = logs.groupBy("equipment_id", "level").agg(F.count("*").alias("m")).withColumns({"line": F.concat_ws("=", "level", F.col("m").cast("string")), "first": -F.col("m")})
     levels = counts.groupBy("equipment_id").agg(joined(["first", "level"], ", ").alias("levels"))
     spread = readings.groupBy(*KEYS).agg((F.max("value") - F.min("value")).alias("spread")).join(trend(readings), list(KEYS))
-    spread = spread.withColumn("line", F.concat("sensor_id", F.lit(": p2p "), shown("spread"), F.lit(", "), "direction"))
+    spread = spread.withColumn("line", F.concat("sensor_id", F.lit(": p2p "), shown("spread", 3), F.lit(", "), "direction"))
     signals = spread.groupBy("equipment_id").agg(joined(["sensor_id"], "; ").alias("signals"))
     odd = sigma_anomalies(readings, 3.0, 3.0).withColumn("far", F.round(F.abs("z"), 9))
     place = F.row_number().over(Window.partitionBy("equipment_id").orderBy(F.desc("far"), "event_id"))
-    told = odd.withColumn("place", place).filter(F.col("place") <= n).withColumn("line", F.concat("sensor_id", F.lit(" "), shown("value"), F.lit(" (z "), F.format_string("%.2f", "z"), F.lit(")")))
+    told = odd.withColumn("place", place).filter(F.col("place") <= n).withColumn("line", F.concat("sensor_id", F.lit(" "), shown("value", 3), F.lit(" (z "), shown("z", 2), F.lit(")")))
     highlights = told.groupBy("equipment_id").agg(joined(["place"], "; ").alias("highlights"))
     every = readings.select("equipment_id").unionByName(logs.select("equipment_id")).distinct()
     filled = every.join(levels, "equipment_id", "left").join(signals, "equipment_id", "left").join(highlights, "equipment_id", "left")

@@ -69,7 +69,7 @@ with {ONE}, t as (
     select count(*) as n, coalesce(regr_slope(value, x), 0) as slope, avg(value) as mean from t
 )
 select 0::bigint as line, n, round(slope, 9) + 0.0 as slope,
-    case when abs(slope / abs(mean)) < 0.001 then 'Stable' when slope > 0 then 'Increasing' else 'Decreasing' end as direction from f
+    case when abs(round(slope / abs(mean), 9)) < 0.001 then 'Stable' when slope > 0 then 'Increasing' else 'Decreasing' end as direction from f
 """
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ferrolens.functions.numbers import micros, r6
+from ferrolens.functions.numbers import micros, r6, rounded_sql
 from ferrolens.operators import series as S
 from ferrolens.plans.registry import query
 from ferrolens.plans.views import LINES, READINGS, lines, readings
@@ -41,12 +41,12 @@ def ts3(spark, sf):
 
 
 TREND = f"""with {READINGS}, t as (select *, row_number() over (partition by {KEY} order by ts, event_id) - 1 as x from readings), f as (select {KEY}, count(*) as n, coalesce(regr_slope(value, x), 0) as slope, avg(value) as mean from t group by {KEY}),
-    g as (select *, case when mean = 0 then slope else slope / abs(mean) end as share from f) select {KEY}, n, round(slope, 6) + 0.0 as slope, case when abs(share) < 0.001 then 'Stable' when share > 0 then 'Increasing' else 'Decreasing' end as direction from g"""
+    g as (select *, round(case when mean = 0 then slope else slope / abs(mean) end, 9) as share from f) select {KEY}, n, {rounded_sql("slope", 6)} as slope, case when abs(share) < 0.001 then 'Stable' when share > 0 then 'Increasing' else 'Decreasing' end as direction from g"""
 
 
 @query("ts4_trend", TREND)
 def ts4(spark, sf):
-    return S.trend(readings(spark, sf)).withColumn("slope", r6("slope"))
+    return S.trend(readings(spark, sf)).withColumn("slope", r6(F.round("slope", 10)))
 
 
 CUSUM = f"""{LINES}, s as (select {KEY}, avg(value) as mean, stddev_pop(value) as std, count(value) as n from readings group by {KEY}),
