@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ferrolens.functions.numbers import r6
+from ferrolens.functions.numbers import r6, shown_sql
 from ferrolens.operators import evaluation, fusion, life
 from ferrolens.operators import knowledge as K
 from ferrolens.operators import logs as L
@@ -263,14 +263,14 @@ with {READINGS}, {LOGS}, l as (
 ), f as (
     select equipment_id, sensor_id, max(value) - min(value) as spread, coalesce(regr_slope(value, x), 0) as slope, avg(value) as mean, stddev_pop(value) as std, count(value) as n from t group by 1, 2
 ), signals as (
-    select equipment_id, string_agg(sensor_id || ': p2p ' || printf('%.3f', spread) || ', ' || case when abs(case when mean = 0 then slope else slope / abs(mean) end) < 0.001 then 'Stable' when slope > 0 then 'Increasing' else 'Decreasing' end, '; ' order by sensor_id) as signals
+    select equipment_id, string_agg(sensor_id || ': p2p ' || {shown_sql("spread", 3)} || ', ' || case when abs(round(case when mean = 0 then slope else slope / abs(mean) end, 9)) < 0.001 then 'Stable' when slope > 0 then 'Increasing' else 'Decreasing' end, '; ' order by sensor_id) as signals
     from f group by 1
 ), odd as (
     select equipment_id, sensor_id, event_id, value, (value - mean) / std as z from readings join f using (equipment_id, sensor_id) where n >= 5 and std > 1e-10 and abs((value - mean) / std) >= 3
 ), placed as (
     select *, row_number() over (partition by equipment_id order by round(abs(z), 9) desc, event_id) as place from odd
 ), highlights as (
-    select equipment_id, string_agg(sensor_id || ' ' || printf('%.3f', value) || ' (z ' || printf('%.2f', z) || ')', '; ' order by place) as highlights from placed where place <= 3 group by 1
+    select equipment_id, string_agg(sensor_id || ' ' || {shown_sql("value", 3)} || ' (z ' || {shown_sql("z", 2)} || ')', '; ' order by place) as highlights from placed where place <= 3 group by 1
 )
 select equipment_id, coalesce(levels, '') as levels, coalesce(signals, '') as signals, coalesce(highlights, '') as highlights
 from (select distinct user_id as equipment_id from events) left join levels using (equipment_id) left join signals using (equipment_id) left join highlights using (equipment_id)
