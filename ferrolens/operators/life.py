@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,21 +11,22 @@ from ferrolens.functions.numbers import micros, shown
 from ferrolens.operators.series import KEYS
 
 
-EPOCH = 1_577_836_800_000_000  # 2020 in microseconds
-
-
 def _hours(df: DataFrame) -> DataFrame:
-    """Readings with hours since 2020; fits are moved to the series' first reading afterwards, so that no series is sorted."""
-    return df.withColumn("at", (micros("ts") - EPOCH) / F.lit(3600e6)).withColumn("hours", F.when(F.col("value").isNotNull(), F.col("at")))
+    """Readings with hours since the series' first reading: one small aggregate beside, so that no series is sorted. Hours
+    since a far time would lose digits of the fit."""
+    first = df.groupBy(*KEYS).agg(F.min("ts").alias("first_ts"))
+    by = functools.reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in KEYS])
+    at = df.alias("r").join(first.alias("f"), by).select("r.*", ((micros("ts") - micros("first_ts")) / F.lit(3600e6)).alias("at"))
+    return at.withColumn("hours", F.when(F.col("value").isNotNull(), F.col("at")))
 
 
 def linear_fit(df: DataFrame) -> DataFrame:
     """Slope, intercept and R-squared of value on hours; flat series have slope and R-squared 0."""
     fit = _hours(df).groupBy(*KEYS).agg(
         F.count("value").alias("n"), F.expr("regr_slope(value, hours)").alias("slope"), F.expr("regr_intercept(value, hours)").alias("intercept"), F.expr("regr_r2(value, hours)").alias("r2"),
-        F.max("hours").alias("span"), F.max_by("value", F.when(F.col("value").isNotNull(), F.struct("ts", "event_id"))).alias("last"), F.avg("value").alias("mean"), F.var_pop("value").alias("spread"), F.min("at").alias("first"),
+        F.max("hours").alias("span"), F.max_by("value", F.when(F.col("value").isNotNull(), F.struct("ts", "event_id"))).alias("last"), F.avg("value").alias("mean"), F.var_pop("value").alias("spread"),
     )
-    fit = fit.filter("n > 0").withColumns({"span": F.col("span") - F.col("first"), "intercept": F.col("intercept") + F.col("slope") * F.col("first")}).drop("first")
+    fit = fit.filter("n > 0")
     return fit.withColumns({"slope": F.coalesce("slope", F.lit(0.0)), "intercept": F.coalesce("intercept", "mean"), "r2": F.when(F.col("spread") > 0, F.coalesce("r2", F.lit(0.0))).otherwise(0.0)}).drop("mean", "spread")
 
 
@@ -43,8 +46,7 @@ def exponential_life(df: DataFrame, threshold: float, decreasing: bool) -> DataF
     """As linear_life, by the logarithm of positive readings, unless the line fits better or fewer than three are positive."""
     line = linear_life(df, threshold, decreasing).select(*KEYS, F.col("remaining").alias("line_remaining"), F.col("confidence").alias("line_confidence"), F.col("r2").alias("line_r2"))
     hours = _hours(df).withColumn("y", F.when(F.col("value") > 0, F.ln("value"))).withColumn("hours", F.when(F.col("y").isNotNull(), F.col("hours")))
-    curve = hours.groupBy(*KEYS).agg(F.min("at").alias("first"), F.count("y").alias("n"), F.expr("regr_slope(y, hours)").alias("b"), F.expr("regr_intercept(y, hours)").alias("a"), F.coalesce(F.expr("regr_r2(y, hours)"), F.lit(0.0)).alias("r2"), F.max("hours").alias("span"))
-    curve = curve.withColumns({"span": F.col("span") - F.col("first"), "a": F.col("a") + F.col("b") * F.col("first")}).drop("first")
+    curve = hours.groupBy(*KEYS).agg(F.count("y").alias("n"), F.expr("regr_slope(y, hours)").alias("b"), F.expr("regr_intercept(y, hours)").alias("a"), F.coalesce(F.expr("regr_r2(y, hours)"), F.lit(0.0)).alias("r2"), F.max("hours").alias("span"))
     both = line.join(curve, list(KEYS), "left")
     usable = F.coalesce((F.col("n") >= 3) & (F.abs("b") >= 1e-12) & (F.col("r2") >= F.col("line_r2")), F.lit(False)) & F.lit(threshold > 0)
     remaining = F.greatest((F.ln(F.lit(float(threshold))) - F.col("a")) / F.col("b") - F.col("span"), F.lit(0.0))
