@@ -352,7 +352,7 @@ CAUSAL = ("document_id", "error_code", "symptom", "cause", "action", "confidence
 def _matches(chunks: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """(document_id, chunk_index, kind, at, end, first, second): where each pattern matches, and its groups."""
     compiled = [(kind, re.compile(p)) for kind, p in patterns.items()]
-    key = chunks.schema["document_id"].dataType.simpleString()
+    keys = ", ".join(f"{k} {chunks.schema[k].dataType.simpleString()}" for k in ("document_id", "chunk_index"))
     columns = ["document_id", "chunk_index", "kind", "at", "end", "first", "second"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -365,7 +365,7 @@ def _matches(chunks: DataFrame, patterns: dict[str, str]) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=columns)
 
-    return chunks.select("document_id", "chunk_index", "text").mapInPandas(run, f"document_id {key}, chunk_index int, kind string, at int, end int, first string, second string")
+    return chunks.select("document_id", "chunk_index", "text").mapInPandas(run, f"{keys}, kind string, at int, end int, first string, second string")
 
 
 def causal_from_blocks(chunks: DataFrame) -> DataFrame:

@@ -159,13 +159,13 @@ def doc18(spark, sf):
 
 
 def manual(spark, sf, by="event_id"):
-    """Chunks with a labelled block with a code, a cause alone, or two conditional sentences."""
+    """Chunks with a labelled block with a code, a cause alone, or two conditional sentences; each event is a chunk of its own number."""
     kind, number = F.col("event_type"), (1000 + k() % 900).cast("string")
     block = told("Alarm E-", number, " again\nSymptom: ", kind, " pump\nRoot cause: worn ", kind, number, "\nAction: replace it\nthe end")
     alone = told("Cause - dirty filter ", k() % 7, "\n")
     sentences = told("If pressure drops, check valve ", k() % 5, ". If A", 100 + k() % 50, " rises, then stop.")
     text = F.when(k() % 3 == 0, block).when(k() % 3 == 1, alone).otherwise(sentences)
-    return table(spark, sf, "events").select(F.col(by).alias("document_id"), (k() % 1_000_000).cast("int").alias("chunk_index"), text.alias("text"))
+    return table(spark, sf, "events").select(F.col(by).alias("document_id"), k().alias("chunk_index"), text.alias("text"))
 
 
 BLOCKS = """select {0} as document_id, 'E-' || (1000 + event_id % 900) as error_code, event_type || ' pump' as symptom, 'worn ' || event_type || (1000 + event_id % 900) as cause, 'replace it' as action, 0.7::double as confidence from events where event_id % 3 = 0
