@@ -1,22 +1,24 @@
 """Event-time order on live rows: a reorder buffer with timers, and a second output for late rows.
 
-Rows of a key are kept in list state until the watermark has passed them, then go to a fold in
+Rows of a key are kept in its state until the watermark has passed them, then go to a fold in
 order of time and tie-break. So results don't depend on how rows fall into batches, as long as each
 comes before the watermark has passed it. A row behind the watermark isn't dropped: it comes out at once as a late row,
 with its lateness. Timers in event time release rows of keys that get no more input, tell folds that time has passed
 (`Fold.wake`), and clear the state of keys that were silent for the fold's `forget`.
 
-A fold is the same object in a stream (`in_order`) and in a batch (`in_batch`). State of a key is the rows of the watermark's delay and one
-tuple. Streams need the RocksDB state store: `use_state_store` or `run_available` sets it.
+A fold is the same object in a stream (`in_order`) and in a batch (`in_batch`). State of a key is one
+value: the rows of the watermark's delay, packed, and the fold's tuple. Streams need the RocksDB state store: `use_state_store` or `run_available` sets it.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -72,52 +74,53 @@ class Fold:
 
 
 class _Reorder(StatefulProcessor):
-    """Buffer, release in order, fold; see the module's text."""
+    """Buffer, release in order, fold; see the module's text.
 
-    def __init__(self, fold: Fold | None, keys: list[T.StructField], row: list[T.StructField]):
-        self.fold, self.keys, self.row = fold, keys, row
+    A call costs a few messages to Spark and no frame: a key's state, clock and waiting rows are one value, and what a call tells
+    of a key is one row of arrays, however many keys there are.
+    """
+
+    def __init__(self, fold: Fold, keys: list[T.StructField], row: list[T.StructField]):
+        self.fold, self.row = fold, row
         # parsed here: workers have no session
-        self.own = [] if fold is None else T.StructType.fromDDL(fold.columns).fieldNames()
-        self.held = [] if fold is None else T.StructType.fromDDL(fold.state).fields
+        self.own = T.StructType.fromDDL(fold.columns).fields
+        self.held = T.StructType.fromDDL(fold.state).fields
+        self.lists = [*self.own, T.StructField("late_by", T.DoubleType()), *(T.StructField(f"late_{f.name}", f.dataType) for f in row)]
+        self.schema = T.StructType([*keys, *(T.StructField(f.name, T.ArrayType(f.dataType)) for f in self.lists)])
 
     def init(self, handle: Any) -> None:
         self.handle = handle
-        if self.fold is not None:
-            clock = [T.StructField("last_us", T.LongType()), T.StructField("timer_ms", T.LongType())]
-            self.buffer = handle.getListState("buffer", T.StructType(self.row))
-            self.state = handle.getValueState("state", T.StructType(self.held + clock))
+        clock = [T.StructField("last_us", T.LongType()), T.StructField("timer_ms", T.LongType()), T.StructField("waiting", T.BinaryType())]
+        self.state = handle.getValueState("state", T.StructType(self.held + clock))
+        self.told = Row(*self.schema.names)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         fresh: list[tuple] = []
-        for batch in rows:
-            behind = (batch[AT] < passed).to_numpy()
-            if behind.any():
-                late = batch[behind]
-                yield self._frame(key, len(late), {"late_by": (passed - late[AT]) / 1e6} | {f"late_{f.name}": late[f.name] for f in self.row})
-            if self.fold is None:
-                ready = batch[~behind]
-                yield self._frame(key, len(ready), {f.name: ready[f.name] for f in self.row})
+        late: list[tuple] = []
+        own = None
+        for r in rows:
+            own = own or itemgetter(*(r.__fields__.index(f.name) for f in self.row))
+            row = own(r)
+            if row[0] < passed:
+                late.append(((passed - row[0]) / 1e6, *row))
             else:
-                fresh += list(batch.loc[~behind, [f.name for f in self.row]].itertuples(index=False, name=None))
-        if self.fold is not None:
-            yield from self._advance(key, fresh, passed)
+                fresh.append(row)
+        if late:
+            yield self._tell(key, [[]] * len(self.own) + [list(c) for c in zip(*late, strict=True)])
+        yield from self._advance(key, fresh, passed)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def _advance(self, key: Any, fresh: list[tuple], passed: int) -> Iterator[pd.DataFrame]:
-        waiting = [tuple(r) for r in self.buffer.get()] + fresh if self.buffer.exists() else fresh
-        ready = sorted((r for r in waiting if r[0] < passed), key=lambda r: r[:2])
+    def _advance(self, key: Any, fresh: list[tuple], passed: int) -> Iterator[Row]:
+        held = self.state.get()
+        *state, last, timer, kept = held or (*(None,) * len(self.held), None, None, None)
+        state = tuple(state) if last is not None else None
+        waiting = pickle.loads(kept) + fresh if kept else fresh
+        ready = sorted((r for r in waiting if r[0] < passed), key=itemgetter(0, 1))
         left = [r for r in waiting if r[0] >= passed]
-        held = tuple(self.state.get()) if self.state.exists() else None
-        timer = held[-1] if held else None
-        state, last = (held[:-2], held[-2]) if held and held[-2] is not None else (None, None)
         state, last, out = self.fold.run(state, last, ready, passed if passed > 0 else None)
-        if left:
-            self.buffer.put(left)
-        elif self.buffer.exists():
-            self.buffer.clear()
         due = [min(r[0] for r in left)] if left else []
         if state is not None:
             wake = self.fold.wake(state)
@@ -132,15 +135,41 @@ class _Reorder(StatefulProcessor):
             if held:
                 self.state.clear()
         else:
-            self.state.update((*(state if state is not None else (None,) * len(self.held)), last if state is not None else None, at))
+            now = state if state is not None else (None,) * len(self.held)
+            self.state.update((*now, last if state is not None else None, at, pickle.dumps(left) if left else None))
         if out:
-            yield self._frame(key, len(out), dict(zip(self.own, zip(*out, strict=True), strict=True)))
+            yield self._tell(key, [list(c) for c in zip(*out, strict=True)] + [[]] * (1 + len(self.row)))
+
+    def _tell(self, key: Any, lists: list[list]) -> Row:
+        return self.told(*key, *lists)
+
+    def close(self) -> None:
+        pass
+
+
+class _Split(StatefulProcessor):
+    """Rows in time and late rows side by side; no state."""
+
+    def __init__(self, keys: list[T.StructField], row: list[T.StructField]):
+        self.keys, self.row = keys, row
+
+    def init(self, handle: Any) -> None:
+        pass
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        for batch in rows:
+            behind = (batch[AT] < passed).to_numpy()
+            if behind.any():
+                late = batch[behind]
+                yield self._frame(key, len(late), {"late_by": (passed - late[AT]) / 1e6} | {f"late_{f.name}": late[f.name] for f in self.row})
+            ready = batch[~behind]
+            yield self._frame(key, len(ready), {f.name: ready[f.name] for f in self.row})
 
     def _frame(self, key: Any, n: int, columns: dict[str, Any]) -> pd.DataFrame:
-        names = [f.name for f in self.keys]
         given = {c: list(v) for c, v in columns.items()}
-        out = {name: [value] * n for name, value in zip(names, key, strict=True)}
-        every = [*names, *([f.name for f in self.row] if self.fold is None else self.own), "late_by", *(f"late_{f.name}" for f in self.row)]
+        out = {f.name: [value] * n for f, value in zip(self.keys, key, strict=True)}
+        every = [*(f.name for f in (*self.keys, *self.row)), "late_by", *(f"late_{f.name}" for f in self.row)]
         return pd.DataFrame({c: out.get(c, given.get(c, [None] * n)) for c in every}, columns=every).astype(object)
 
     def close(self) -> None:
@@ -161,8 +190,9 @@ def in_order(df: DataFrame, keys: list[str], tie: str, fold: Fold, late: str = "
     columns are late_at_us, late_<tie>, late_<needs>. See `on_time` and `late_rows`.
     """
     rows, key_fields, row = _prepared(df, keys, tie, fold.needs, late, ts)
-    schema = T.StructType([*key_fields, *T.StructType.fromDDL(fold.columns).fields, T.StructField("late_by", T.DoubleType()), *(T.StructField(f"late_{f.name}", f.dataType) for f in row)])
-    return rows.groupBy(*keys).transformWithStateInPandas(_Reorder(fold, key_fields, row), schema, "Append", "EventTime")
+    reorder = _Reorder(fold, key_fields, row)
+    told = rows.groupBy(*keys).transformWithState(reorder, reorder.schema, "Append", "EventTime")
+    return told.select(*keys, F.inline(F.arrays_zip(*(f.name for f in reorder.lists))))
 
 
 def split_late(df: DataFrame, key: str, late: str = "10 minutes", ts: str = "ts", buckets: int = 64) -> DataFrame:
@@ -174,7 +204,7 @@ def split_late(df: DataFrame, key: str, late: str = "10 minutes", ts: str = "ts"
     salted = df.withColumn("bucket_", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     rows, key_fields, row = _prepared(salted, ["bucket_"], key, needs, late, ts)
     schema = T.StructType([*key_fields, *row, T.StructField("late_by", T.DoubleType()), *(T.StructField(f"late_{f.name}", f.dataType) for f in row)])
-    return rows.groupBy("bucket_").transformWithStateInPandas(_Reorder(None, key_fields, row), schema, "Append", "EventTime").drop("bucket_")
+    return rows.groupBy("bucket_").transformWithStateInPandas(_Split(key_fields, row), schema, "Append", "EventTime").drop("bucket_")
 
 
 def _late_columns(tagged: DataFrame) -> list[str]:

@@ -1,8 +1,12 @@
 """What came to light on large tables: numbers beyond a million, many keys, many and long texts."""
 
 import duckdb
+from pyspark.sql import Row
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from ferrolens.plans.catalogue import QUERIES, SQL
+from ferrolens.streaming import folds, ordered
 
 
 def test_chunks_of_a_document_keep_apart_beyond_a_million_events(spark, tmp_path):
@@ -15,3 +19,44 @@ def test_chunks_of_a_document_keep_apart_beyond_a_million_events(spark, tmp_path
     want = con.sql(f"select {', '.join(got.columns)} from ({SQL['cau4_extract_causal']})").fetchall()
     plain = lambda found: sorted(map(str, map(tuple, found)))
     assert plain(got.collect()) == plain(want)
+
+
+class Handle:
+    """A key's state and timers, and how many messages went to Spark."""
+
+    def __init__(self):
+        self.value, self.messages, self.timers = None, 0, []
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.messages += 1
+        return self.value
+
+    def update(self, value):
+        self.messages += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        self.messages += 1
+        self.timers.append(at)
+
+
+def test_a_live_key_costs_few_messages_and_one_row(spark):
+    fold = folds.Detect()
+    fields = [T.StructField("at_us", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType())]
+    reorder, handle = ordered._Reorder(fold, [T.StructField("equipment_id", T.LongType())], fields), Handle()
+    reorder.init(handle)
+    live = Row("equipment_id", "at_us", "event_id", "value")
+    given = [live(7, 1000 * i, i, float(i % 5)) for i in range(500)]
+    assert list(reorder.handleInputRows((7,), iter(given[::-1]), TimerValues(-1, 0))) == []
+    assert handle.messages == 3 and handle.timers == [1]
+    (told,) = reorder.handleExpiredTimer((7,), TimerValues(-1, 400), None)
+    assert handle.messages == 6
+    want = fold.run(None, None, [tuple(r)[1:] for r in given[:400]], None)[2]
+    assert list(zip(told.event_id, told.ema, told.z, told.odd, strict=True)) == want
+    assert told.late_by == []
+    late, rest = reorder.handleInputRows((7,), iter([live(7, 5, 900, 1.0)]), TimerValues(-1, 600))
+    assert (late.late_event_id, late.late_by) == ([900], [0.599995])
+    assert rest.event_id == list(range(400, 500))
