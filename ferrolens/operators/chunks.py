@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +52,9 @@ def sections(text: str) -> Iterator[tuple[str, int, int]]:
         yield " > ".join(x for x in path if x), start, len(text)
 
 
+#: Chunks, and characters of them, that a task holds before it gives them on.
+MOST_ROWS, MOST_CHARS = 4_000, 2_000_000
+
 SCHEMA = "chunk_index int, text string, char_start int, char_end int, line_start int, line_end int, section string"
 
 
@@ -59,25 +63,47 @@ def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, markdown: b
     led by its header path. Null and blank documents have no chunks."""
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [*keys, "chunk_index", "text", "char_start", "char_end", "line_start", "line_end", "section"]
+
+    def chunks_of(key: list, text: str) -> Iterator[tuple]:
+        k = 0
+        seen, line = 0, 1  # the line of the character at `seen`
+        for section, a, b in sections(text) if markdown else [("", 0, len(text))]:
+            lead = f"[{section}]\n" if section else ""
+            for s, e in cuts(text[a:b], max(64, size - len(lead)), overlap):
+                part = text[a + s : a + e]
+                if part.strip():
+                    line, seen = line + text.count("\n", seen, a + s), a + s
+                    yield (*key, k, lead + part, a + s, a + e, line, line + part.count("\n"), section)
+                    k += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        rows: list[tuple] = []
+        held = 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
         for batch in batches:
-            rows = []
-            for *key, text in zip(*(batch[k] for k in keys), batch["text"], strict=True):
+            if schema is None:
+                kinds_ = dict(zip(columns[len(keys) :], (pa.int32(), pa.string(), *[pa.int32()] * 4, pa.string()), strict=True))
+                schema = pa.schema([(k, kinds_[k] if k in kinds_ else batch.schema.field(k).type) for k in columns])
+            # one text after the other: neither all texts of a batch nor all their chunks are there as objects
+            for *key, text in zip(*(batch.column(k) for k in keys), batch.column("text"), strict=True):
+                text = text.as_py()
                 if not text or not text.strip():
                     continue
-                parts = sections(text) if markdown else [("", 0, len(text))]
-                k = 0
-                for section, a, b in parts:
-                    lead = f"[{section}]\n" if section else ""
-                    for s, e in cuts(text[a:b], max(64, size - len(lead)), overlap):
-                        if text[a + s : a + e].strip():
-                            line = text.count("\n", 0, a + s) + 1
-                            rows.append((*key, k, lead + text[a + s : a + e], a + s, a + e, line, line + text.count("\n", a + s, a + e), section))
-                            k += 1
-            if rows:
-                yield pd.DataFrame(rows, columns=[*keys, "chunk_index", "text", "char_start", "char_end", "line_start", "line_end", "section"])
-
-    return docs.select(*keys, "text").mapInPandas(run, f"{kinds}, {SCHEMA}")
+                for row in chunks_of([k.as_py() for k in key], text):
+                    rows.append(row)
+                    held += len(row[len(keys) + 1]) + len(row[-1])
+                    if len(rows) >= MOST_ROWS or held >= MOST_CHARS:
+                        yield told()
+                        rows, held = [], 0
+        if rows:
+            yield told()
+
+    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, {SCHEMA}")
 
 
 def sections_of(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
 """What came to light on large tables: numbers beyond a million, many keys, many and long texts."""
 
+import tracemalloc
+
 import duckdb
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import TimerValues
 
+from ferrolens.operators import chunks
 from ferrolens.plans.catalogue import QUERIES, SQL
 from ferrolens.streaming import folds, ordered
 
@@ -60,3 +64,48 @@ def test_a_live_key_costs_few_messages_and_one_row(spark):
     late, rest = reorder.handleInputRows((7,), iter([live(7, 5, 900, 1.0)]), TimerValues(-1, 600))
     assert (late.late_event_id, late.late_by) == ([900], [0.599995])
     assert rest.event_id == list(range(400, 500))
+
+
+class Given:
+    """One batch of documents, and the peak of what chunking it holds in Python."""
+
+    schema = T.StructType([T.StructField("document_id", T.LongType())])
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *_):
+        return self
+
+    def _drain(self, run, batch):
+        tracemalloc.start()
+        n = sum(len(x) for x in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, peak
+
+    def mapInArrow(self, run, _):
+        return self._drain(run, self.batch)
+
+    def mapInPandas(self, run, _):
+        return self._drain(run, self.batch.to_pandas())
+
+
+def test_chunks_of_a_batch_are_given_on_as_they_come():
+    text = "## Pump\n" + "word " * 4_000
+    batch = pa.RecordBatch.from_pydict({"document_id": list(range(1_000)), "text": [text] * 1_000})
+    for markdown in (False, True):
+        n, peak = chunks.chunk(Given(batch), markdown=markdown)
+        assert n >= 50_000
+        assert peak < 15_000_000
+
+
+def test_lines_of_chunks(spark):
+    text = "a\n\n# One\n" + "x y.\n" * 300 + "# Two\n\n" + "\n" * 700 + "end"
+    for markdown in (False, True):
+        found = chunks.chunk(spark.createDataFrame([(1, text), (2, None), (3, " ")], "document_id long, text string"), markdown=markdown).collect()
+        assert found and {r.document_id for r in found} == {1}
+        assert [r.chunk_index for r in found] == list(range(len(found)))
+        for r in found:
+            assert r.text.endswith(text[r.char_start : r.char_end])
+            assert (r.line_start, r.line_end) == tuple(text.count("\n", 0, at) + 1 for at in (r.char_start, r.char_end))
